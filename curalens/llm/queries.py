@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_text import Weights, extract_main_text, learn
 from .url_filter import host_of, judge_urls, path_of
 
 #: The url rules of the contract.
@@ -71,5 +72,31 @@ SELECT b.page_id, b.host, b.path, f.rule,
 FROM base b LEFT JOIN fits f ON b.page_id = f.page_id AND b.host = h0 AND b.path = p0 LEFT JOIN known k ON b.host = k.host
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_url_filter": op10_url_filter}
+#: Bounds of the labelled sample for the html weights: pages, and characters of html in each.
+HTML_SAMPLE, HTML_SAMPLE_CHARS = 300, 20_000
+
+
+def html_weights(spark: SparkSession, sf_dir: str) -> Weights:
+    """Weights from a bounded sample of labelled pages: those whose document, named by the number that ends the path, is
+    at hand, as that document's text is the page's known main text."""
+    pages = table(spark, sf_dir, "pages").where(F.length("html") <= HTML_SAMPLE_CHARS)
+    doc = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:[/.]|$)", 1)
+    sample = pages.select("page_id", doc.alias("doc"), "html").where(F.col("doc") != "")
+    sample = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(HTML_SAMPLE).collect()
+    wanted = sorted({int(r["doc"]) for r in sample})
+    if not wanted:
+        return Weights()
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isin(wanted) & (F.length("text") <= HTML_SAMPLE_CHARS))
+    gold = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    return learn((r["html"], gold[int(r["doc"])]) for r in sample if int(r["doc"]) in gold)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), html_weights(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_html_text": op9_html_text,
+    "op10_url_filter": op10_url_filter,
+}
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
