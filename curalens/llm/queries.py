@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import quality, toxicity
+from .common import remainder, table
 from .html_text import Weights, extract_main_text, learn
 from .url_filter import host_of, judge_urls, path_of
 
@@ -72,6 +73,20 @@ SELECT b.page_id, b.host, b.path, f.rule,
 FROM base b LEFT JOIN fits f ON b.page_id = f.page_id AND b.host = h0 AND b.path = p0 LEFT JOIN known k ON b.host = k.host
 """
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"), modulus=3, held_out=1)
+    scored = quality.score_quality(documents, model)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    found = toxicity.find_passages(documents, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 #: Bounds of the labelled sample for the html weights: pages, and characters of html in each.
 HTML_SAMPLE, HTML_SAMPLE_CHARS = 300, 20_000
 
@@ -96,6 +111,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_toxic_segments": op2_toxic_segments,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
 }
