@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .common import remainder, table
 from .html_text import Weights, extract_main_text, learn
+from .packing import pack_documents
 from .url_filter import host_of, judge_urls, path_of
 
 #: The url rules of the contract.
@@ -87,6 +88,16 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: Bounds of the labelled sample for the html weights: pages, and characters of html in each.
 HTML_SAMPLE, HTML_SAMPLE_CHARS = 300, 20_000
 
@@ -113,6 +124,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
+    "op6_packing": op6_packing,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
 }
