@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .common import remainder, table
 from .html_text import Weights, extract_main_text, learn
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .url_filter import host_of, judge_urls, path_of
 
@@ -98,6 +99,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Bounds of the labelled sample for the html weights: pages, and characters of html in each.
 HTML_SAMPLE, HTML_SAMPLE_CHARS = 300, 20_000
 
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
     "op6_packing": op6_packing,
+    "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
 }
