@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .common import remainder, table
+from .decontaminate import find_leaks
 from .html_text import Weights, extract_main_text, learn
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -99,6 +100,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
