@@ -18,31 +18,34 @@ from curalens.llm.packing import pack_documents
 from curalens.llm.queries import tokenizer_path
 
 
-def keep_scored(docs: DataFrame, scored: DataFrame, wanted: int) -> DataFrame:
-    """Documents whose id's prediction is `wanted`. Rows with one id stand or fall together: one bad row drops the id.
-    A null id can't be joined; such rows stay, as do their texts' scores out of reach."""
-    dropped = scored.where((F.col("predicted") != wanted) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of `docs` whose id isn't in gone(doc_id). The ids are written first, so that a short list is seen to be
+    short and is broadcast by size, and the texts aren't shuffled for it. Rows with a null id stay."""
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone")).distinct(), name)
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: reject documents with a significant toxic passage (score of 0.5 or more)."""
+    """Stage 1: reject documents that the toxic-segment model scores 0.5 or more."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return keep_scored(docs, toxicity.find_passages(docs, model), 0)
+    return toxicity.remove_toxic(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: reject documents that the rule ensemble scores below 0.5."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return keep_scored(docs, quality.score_quality(docs, model), 1)
+    return quality.keep_good(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: keep the document with the smallest id of each near-duplicate group; of rows with one id, one stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where(F.col("doc_id").isNull()))
+    kept = without(docs, near_duplicates(docs).where(~F.col("kept")), "copies")
+    again = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return kept
+    same = kept["doc_id"] == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,6 +174,12 @@ def score_quality(documents: DataFrame, model: RuleModel, id_col: str = "doc_id"
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_good(documents: DataFrame, model: RuleModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that score `least` or more, with all their columns as they were. Nothing is shuffled."""
+    held = documents.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return with_statistics(held, "_text").where(compile_score(model) >= least).select("_row.*")
+
+
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS_PER_CLASS, label: str = "quality") -> RuleModel:
     """Fit on labelled rows whose crc32(doc_id) mod `modulus` isn't `held_out`: at most `max_rows` of each class, in a
     hash order of the id. Only their statistics, a few numbers a row, reach the driver."""

@@ -256,3 +256,15 @@ def find_passages(documents: DataFrame, model: ToxicModel, significance: float =
             )
 
     return chosen.mapInArrow(run, kind)
+
+
+def remove_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The documents that score under `limit`, with all their columns as they were. Nothing is shuffled."""
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [score_text(text, shared.value)[0] < limit for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
