@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
-from .common import remainder, table
+from .common import remainder, scratch_path, table
 from .decontaminate import find_leaks
 from .html_text import Weights, extract_main_text, learn
 from .minhash import near_duplicates
 from .packing import pack_documents
-from .url_filter import host_of, judge_urls, path_of
+from .url_filter import judge_urls, path_of
+from .warc import URN, assemble, read_warc, write_warc
 
 #: The url rules of the contract.
 URL_RULES = (
@@ -90,6 +91,27 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.nullif(F.regexp_extract(c, URN + r"(-?[0-9]+):", 1), F.lit("")).cast("long")
+    answer = F.col("response")
+    return assemble(read_warc(spark, path, with_block=False)).select(
+        page(F.col("capture_id")).alias("page_id"), answer["payload_bytes"].alias("payload_bytes"), answer["payload_digest"].alias("payload_digest"),
+        answer["type"].alias("record_type"), page(answer["refers_to"]).alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+WITH base AS (SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+first AS (SELECT digest, min(page_id) AS original FROM base WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM base b LEFT JOIN first f ON b.digest = f.digest AND n >= 100
+"""
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -134,10 +156,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
