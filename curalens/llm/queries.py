@@ -13,6 +13,7 @@ from .decontaminate import find_leaks
 from .html_text import Weights, extract_main_text, learn
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pivots import near_vectors
 from .url_filter import judge_urls, path_of
 from .warc import URN, assemble, read_warc, write_warc
 
@@ -91,6 +92,10 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -156,6 +161,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
+    "op4_pivot_index": op4_pivot_index,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
