@@ -19,8 +19,8 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 25, 5
 #: Fixed odd multipliers of the 64-bit mixing step, and the words whose hashes a worker keeps.
 MIX1, MIX2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 CACHE = 700_000
-#: Stars that an unsettled bucket gives in each further round.
-STARS = 4
+#: Stars that a bucket gives in each turn.
+STARS = 3
 
 
 class Hashes(dict):
@@ -129,20 +129,31 @@ def shingles(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, digest binary, shingles array<long>")
 
 
-def verify(edges: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of edges(a, b) whose full shingle sets have 100 * intersection >= percent * union.
-
-    Sets are built only for the documents that an edge names, and travel only along edges."""
-    nodes = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
-    named = documents.join(nodes, "doc_id", "left_semi")
-    rep = classes.select(F.col("rep").alias("doc_id"), "digest")
-    sets = materialize(shingles(named, size).join(rep, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "sets")
-    left = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
+def verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of edges(a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets travel along edges."""
+    left = edges.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
+def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of members(key, rep, n, weight, component): every bucket gives STARS stars, one from its
+    heaviest member and the others from members that a hash picks afresh in each turn. A pair whose sizes rule it out, or
+    that lies in one component already, is left out. At most STARS pairs a member and bucket come of it, and centers are
+    found by map-side aggregation, however large the bucket."""
+    held = ("rep", "n", "component")
+    picks = [F.max(F.struct("weight", *held)).alias("c0")]
+    picks += [F.min(F.struct(F.xxhash64("rep", "key", F.lit(STARS * turn + i)).alias("h"), *held)).alias(f"c{i}") for i in range(1, STARS)]
+    centers = members.groupBy("key").agg(*picks)
+    centers = centers.select("key", F.array_distinct(F.array(*[F.struct(*[F.col(f"c{i}.{x}") for x in held]) for i in range(STARS)])).alias("centers"))
+    useful = lambda c: (
+        (c["component"] != F.col("component")) & (100 * F.least(c["n"], F.col("n")) >= percent * F.greatest(c["n"], F.col("n")))
+    )
+    pairs = members.join(centers, "key").select("rep", F.explode(F.filter("centers", useful)).alias("c"))
+    return pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -150,10 +161,10 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Equal shingle sets are one class, represented by its smallest id. Classes that share a bucket are candidates: each
-    bucket gives a star from its smallest member, never all pairs. Links are confirmed on full sets. A bucket whose
-    members then lie in several components gives up more stars, from members of its smallest component, and each centre
-    leaves the bucket once it has been compared; this goes on until every bucket is of one component or used up, so no
-    pair that shares a bucket is left untested unless a path of links joins it already.
+    bucket gives stars, never all pairs. The first star's center is the member with most company over all its buckets,
+    which is the text that the others were copied from if there is one. Links are confirmed on full sets. Buckets whose
+    members then lie in several components give further stars from other members, turn by turn, until a turn finds no
+    link. A pair at the threshold shares about eleven of 25 buckets, each with stars of its own in each turn.
 
     Texts that are null, empty or without words link with nothing. Rows with one id are one node. A null id is kept and
     links with nothing. An empty table gives an empty result; other columns are ignored."""
@@ -163,41 +174,32 @@ def near_duplicates(
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
     classes = materialize(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.keys").alias("keys")), "classes")
     members = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    first = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    members = members.join(first.select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "size"), "key")
-    members = materialize(members, "buckets")
-
-    def fits(df: DataFrame) -> DataFrame:
-        """Sizes alone rule out many pairs: the similarity is at most the smaller size over the larger."""
-        return df.where((F.col("rep") != F.col("center")) & (100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")))
-
-    tested = materialize(fits(members).select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct(), "tested")
-    links = materialize(verify(tested, source, classes, size, percent), "links")
-    parts = connected_components(links)
-    left = members.where((F.col("size") > 2) & (F.col("rep") != F.col("center"))).select("key", "rep", "n")
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(members.join(shared, "key"), "buckets")
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = materialize(members.join(weights, "rep").select("key", "rep", "n", "weight", F.col("rep").alias("component")), "members")
+    # shingle sets are kept for the members of buckets alone, once for all turns
+    named = classes.join(weights.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "digest")
+    texts = source.join(named.select("doc_id"), "doc_id", "left_semi")
+    sets = shingles(texts, size).join(named, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(sets.select(F.col("doc_id").alias("rep"), "shingles"), "sets")
+    tested, links, parts, turn = None, None, None, 0
     while True:
-        sizes = parts.groupBy("component").agg(F.count("*").alias("in_part"))
-        placed = left.join(parts.join(sizes, "component").withColumnRenamed("node", "rep"), "rep", "left")
-        placed = placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("in_part", F.lit(1)).alias("in_part"))
-        seeds = [F.min(F.struct("in_part", F.xxhash64("rep", "key", F.lit(i)).alias("h"), "rep", "n", "component")).alias(f"c{i}") for i in range(STARS)]
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *seeds).where("lo < hi")
-        centers = F.array_distinct(F.array(*[F.col(f"c{i}").dropFields("in_part", "h") for i in range(STARS)]))
-        now = materialize(placed.join(open_keys.select("key", centers.alias("centers")), "key"), "open")
-        if now.isEmpty():
+        more = stars(members, turn, percent)
+        more = materialize(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(verify(more, sets, percent), "links")
+        tested = more if tested is None else tested.unionByName(more)
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(links)
+        placed = members.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+        members = placed.join(mixed.where((F.col("lo") < F.col("hi")) & (F.col("size") > 2)).select("key"), "key", "left_semi")
+        members = materialize(members.select("key", "rep", "n", "weight", "component"), "members")
+        turn += 1
+        if members.isEmpty():
             break
-        stars = now.select("rep", "n", "component", F.explode("centers").alias("c"))
-        stars = stars.select("rep", "n", "component", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), F.col("c.component").alias("center_part"))
-        apart = fits(stars.where(F.col("component") != F.col("center_part")))
-        more = apart.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialize(more, "more")
-        left = now.where(~F.array_contains(F.transform("centers", lambda c: c["rep"]), F.col("rep"))).select("key", "rep", "n")
-        if more.isEmpty():
-            continue
-        found = materialize(verify(more, source, classes, size, percent), "links")
-        tested = tested.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = connected_components(links)
     label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     whole = signed.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
