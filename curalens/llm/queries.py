@@ -11,6 +11,7 @@ from . import quality, toxicity
 from .common import remainder, scratch_path, table
 from .decontaminate import find_leaks
 from .html_text import Weights, extract_main_text, learn
+from .lm import lm_scores
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pivots import near_vectors
@@ -92,6 +93,12 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 7) == 2
+    found = lm_scores(table(spark, sf_dir, "documents"), ~held, tokenizer_path())
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -161,6 +168,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
+    "op3_attention_lm": op3_attention_lm,
     "op4_pivot_index": op4_pivot_index,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
