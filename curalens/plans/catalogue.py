@@ -1,10 +1,494 @@
-"""Registered queries over the driver's tables, with the SQL that must give the same rows."""
+"""Registered queries over the driver's tables, with the SQL that must give the same rows.
+
+orders play the tasks, conversations the turns, documents and benchmark the corpora, labels the review decisions, lineitem
+the scored rows (flag = behavior, status F = pass and O = fail), events the logs of runs (user = run).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import deadlines, text
+from ..operators import compare, leakage, rollups, tasks
+from ..sources.tables import read
+from ..sources.tables import tasks as task_table
+from ..streaming import lifecycle
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The reference time of the due queries; orders' dates surround it.
+NOW = "1998-06-15 10:00:00"
+TASKS = "(SELECT o_orderkey AS id, o_orderpriority AS content, o_orderstatus = 'F' AS completed, epoch(o_orderdate)::BIGINT AS due_at FROM orders)"
+DAY0 = f"epoch(timezone('Asia/Ho_Chi_Minh', date_trunc('day', timezone('Asia/Ho_Chi_Minh', TIMESTAMPTZ '{NOW}+00'))))::BIGINT"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def now() -> F.Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+# -- task store ---------------------------------------------------------------------------------------------------------
+
+
+@query("tasks_list", f"SELECT * FROM {TASKS} ORDER BY id")
+def tasks_list(spark: SparkSession, d: str) -> DataFrame:
+    return task_table(spark, d).orderBy("id")
+
+
+@query("task_lookup", f"SELECT * FROM {TASKS} WHERE id = 7")
+def task_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return task_table(spark, d).where(F.col("id") == 7)
+
+
+for _scope, _test in (
+    ("today", f"due_at >= {DAY0} AND due_at < {DAY0} + 86400"),
+    ("tomorrow", f"due_at >= {DAY0} + 86400 AND due_at < {DAY0} + 172800"),
+    ("overdue", f"due_at < epoch(TIMESTAMP '{NOW}')::BIGINT"),
+):
+
+    @query(f"tasks_{'overdue' if _scope == 'overdue' else 'due_' + _scope}", f"SELECT id, content, due_at FROM {TASKS} WHERE NOT completed AND due_at IS NOT NULL AND {_test}")
+    def _due(spark: SparkSession, d: str, scope: str = _scope) -> DataFrame:
+        return tasks.due(task_table(spark, d), scope, now()).select("id", "content", "due_at").orderBy("due_at", "id")
+
+
+@query(
+    "tasks_scopes_overlap",
+    f"SELECT count(*) FILTER (due_at >= {DAY0} AND due_at < {DAY0} + 86400) AS today, count(*) FILTER (due_at < epoch(TIMESTAMP '{NOW}')::BIGINT) AS overdue, "
+    f"count(*) FILTER (due_at >= {DAY0} AND due_at < epoch(TIMESTAMP '{NOW}')::BIGINT) AS both FROM {TASKS} WHERE NOT completed",
+)
+def tasks_scopes_overlap(spark: SparkSession, d: str) -> DataFrame:
+    at, start, end = F.col("due_at"), deadlines.local_day_start(now()), deadlines.local_day_start(now(), 1)
+    is_today, is_over = (at >= start) & (at < end), at < F.unix_seconds(now())
+    open_tasks = task_table(spark, d).where(~F.col("completed"))
+    return open_tasks.agg(F.count_if(is_today).alias("today"), F.count_if(is_over).alias("overdue"), F.count_if(is_today & is_over).alias("both"))
+
+
+COMMANDS = "(SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS id FROM orders WHERE o_custkey % 7 = 0)"
+
+
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    """Commands of every seventh customer's orders; each fifth names a task that doesn't exist."""
+    key = F.col("o_orderkey")
+    return read(spark, d, "orders").where("o_custkey % 7 = 0").select(key.alias("seq"), F.when(key % 5 == 0, key + 100000000).otherwise(key).alias("id"))
+
+
+@query(
+    "complete_commands",
+    f"SELECT seq, c.id, CASE WHEN t.id IS NULL THEN 'not_found' WHEN completed THEN 'already_completed' ELSE 'completed' END AS status FROM {COMMANDS} c LEFT JOIN {TASKS} t ON c.id = t.id",
+)
+def complete_commands(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.complete(task_table(spark, d), commands(spark, d))
+
+
+@query(
+    "update_commands",
+    f"SELECT seq, c.id, CASE WHEN t.id IS NULL THEN 'not_found' WHEN content = '1-URGENT' THEN 'unchanged' ELSE 'updated' END AS status FROM {COMMANDS} c LEFT JOIN {TASKS} t ON c.id = t.id",
+)
+def update_commands(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.update_content(task_table(spark, d), commands(spark, d).withColumn("content", F.lit("1-URGENT")))
+
+
+UNSET = f"(SELECT id, content, completed, CASE WHEN id % 3 = 0 THEN NULL ELSE due_at END AS due_at FROM {TASKS})"
+
+
+def some_without_deadline(spark: SparkSession, d: str) -> DataFrame:
+    return task_table(spark, d).withColumn("due_at", F.when(F.col("id") % 3 != 0, F.col("due_at")))
+
+
+@query(
+    "deadline_commands",
+    f"SELECT seq, c.id, CASE WHEN t.id IS NULL THEN 'not_found' WHEN due_at IS NULL THEN 'set' WHEN due_at = 900000000 THEN 'unchanged' ELSE 'updated' END AS status FROM {COMMANDS} c LEFT JOIN {UNSET} t ON c.id = t.id",
+)
+def deadline_commands(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.set_deadline(some_without_deadline(spark, d), commands(spark, d).withColumn("due_at", F.lit(900000000).cast("long")))
+
+
+@query(
+    "guarded_delete",
+    f"SELECT seq, c.id, CASE WHEN t.id IS NULL THEN 'not_found' WHEN c.id % 2 = 0 OR (content = '1-URGENT' AND NOT completed AND due_at IS NULL) THEN 'deleted' ELSE 'stale' END AS status FROM {COMMANDS} c LEFT JOIN {UNSET} t ON c.id = t.id",
+)
+def guarded_delete(spark: SparkSession, d: str) -> DataFrame:
+    snapshot = F.struct(F.col("id"), F.lit("1-URGENT").alias("content"), F.lit(False).alias("completed"), F.lit(None).cast("long").alias("due_at"))
+    return tasks.guarded_delete(some_without_deadline(spark, d), commands(spark, d).withColumn("expected", F.when(F.col("id") % 2 != 0, snapshot)))
+
+
+@query(
+    "next_snapshot",
+    f"SELECT id, CASE WHEN id % 4 = 1 THEN 'new' ELSE content END AS content, completed OR id % 4 = 0 AS completed, CASE WHEN id % 4 = 2 THEN 5 ELSE due_at END AS due_at FROM {TASKS} WHERE id % 4 <> 3",
+)
+def next_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id") % 4
+    op = F.when(k == 0, "complete").when(k == 1, "update").when(k == 2, "deadline").otherwise("delete")
+    changes = task_table(spark, d).select("id", op.alias("op"), F.lit("new").alias("content"), F.lit(5).cast("long").alias("due_at"))
+    return tasks.apply_changes(task_table(spark, d), changes)
+
+
+@query(
+    "insert_lines",
+    """SELECT (1000000 + row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS id, content, false AS completed, NULL::BIGINT AS due_at FROM (
+    SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS content, unnest(range(len(string_split_regex(text, '\\r\\n|\\r|\\n')))) AS pos FROM documents)
+    WHERE trim(content, E' \\t\\n\\x0B\\f\\r') <> ''""",
+)
+def insert_lines(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.insert_lines(read(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"), 1000000)
+
+
+@query("migrate_layout", f"SELECT id, content, false AS completed, NULL::BIGINT AS due_at FROM {TASKS}")
+def migrate_layout(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.migrate(task_table(spark, d).select("id", "content"))
+
+
+# -- deadlines and text rules -------------------------------------------------------------------------------------------
+
+
+@query("deadline_format", f"SELECT id, strftime(timezone('Asia/Ho_Chi_Minh', to_timestamp(due_at)), '%d/%m/%Y %H:%M') AS shown FROM {TASKS}")
+def deadline_format(spark: SparkSession, d: str) -> DataFrame:
+    return task_table(spark, d).select("id", deadlines.format_deadline(F.col("due_at")).alias("shown"))
+
+
+@query("deadline_parse", f"SELECT id, (due_at // 60) * 60 AS parsed, CASE id % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'time' WHEN 2 THEN 'colon' ELSE 'bad' END AS form FROM {TASKS} WHERE id % 4 < 2 "
+       f"UNION ALL SELECT id, epoch(timezone('Asia/Ho_Chi_Minh', date_trunc('day', timezone('Asia/Ho_Chi_Minh', TIMESTAMPTZ '{NOW}+00')) + INTERVAL 1 DAY + to_hours(id % 24)))::BIGINT, 'colon' FROM {TASKS} WHERE id % 4 = 2 "
+       f"UNION ALL SELECT id, NULL, 'bad' FROM {TASKS} WHERE id % 4 = 3")
+def deadline_parse(spark: SparkSession, d: str) -> DataFrame:
+    local = F.from_utc_timestamp(F.timestamp_seconds("due_at"), deadlines.ZONE)
+    form = F.element_at(F.array(*[F.lit(x) for x in ("date", "time", "colon", "bad")]), (F.col("id") % 4 + 1).cast("int"))
+    shown = (
+        F.when(form == "date", F.date_format(local, "d/M/yyyy H:mm")).when(form == "time", F.concat(F.date_format(local, "HH:mm"), F.lit(" ngày "), F.date_format(local, "dd/MM/yyyy.")))
+        .when(form == "colon", F.concat((F.col("id") % 24).cast("string"), F.lit(":00 mai"))).otherwise(F.lit("30/02/2026 08:00"))
+    )
+    return task_table(spark, d).select("id", deadlines.parse_deadline(shown, now()).alias("parsed"), form.alias("form"))
+
+
+@query("text_id_tokens", "SELECT event_id, regexp_extract_all(props, '[0-9]+')[1] AS first_id, len(regexp_extract_all(props, '[0-9]+'))::INT AS n FROM events")
+def text_id_tokens(spark: SparkSession, d: str) -> DataFrame:
+    found = text.id_tokens(F.col("props"))
+    return read(spark, d, "events").select("event_id", F.get(found, F.lit(0)).alias("first_id"), F.size(found).alias("n"))
+
+
+@query("text_id_grounded", "SELECT event_id, list_contains(list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: x::BIGINT), event_id % 100) AS ok FROM events")
+def text_id_grounded(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", text.id_grounded(F.col("event_id") % 100, F.col("props")).alias("ok"))
+
+
+@query("text_any_term", "SELECT conv_id, turn, contains(lower(text), 'the ') OR contains(lower(text), 'der ') AS hit FROM conversations")
+def text_any_term(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", text.any_term(F.col("text"), ["the ", "der "]).alias("hit"))
+
+
+@query("text_reply_hygiene")
+def text_reply_hygiene(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").where("role = 'assistant'")
+    return turns.select("conv_id", "turn", text.reply_violations(F.col("text"), F.lit(""), ["tool:", "<|"]).alias("violations"))
+
+
+@query("text_differences", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [] WHEN p_partkey % 3 = 1 THEN ['content_mismatch', 'content_truncated'] ELSE ['content_mismatch', 'content_not_verbatim'] END AS tags FROM part""")
+def text_differences(spark: SparkSession, d: str) -> DataFrame:
+    name, k = F.col("p_name"), F.col("p_partkey") % 3
+    actual = F.when(k == 0, name).when(k == 1, F.expr("substring(p_name, 1, length(p_name) - 1)")).otherwise(F.concat(name, F.lit("~")))
+    return read(spark, d, "part").select("p_partkey", text.text_differences("content", actual, name, name).alias("tags"))
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """Generated texts: a good call, one with text beside it, two calls, a tag without end, JSON with a key twice, a reply."""
+    call = F.format_string('<tool_call>{"name": "get", "arguments": {"id": %d}}</tool_call>', F.col("p_partkey"))
+    twice = F.lit('<tool_call>{"name": "a", "name": "b", "arguments": {}}</tool_call>')
+    forms = F.array(F.concat(call, F.lit("<|im_end|>")), F.concat(F.lit("ok "), call), F.concat(call, F.lit("\n"), call), F.lit("<tool_call>{"), twice, F.lit("a reply"))
+    return read(spark, d, "part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 6 + 1).cast("int")).alias("t"))
+
+
+@query("tool_call_extract", """SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 5 THEN 0 ELSE 1 END AS n_calls,
+    CASE p_partkey % 6 WHEN 1 THEN ['extra_text'] WHEN 2 THEN ['multiple_calls'] WHEN 3 THEN ['malformed_tool_call_tag'] WHEN 4 THEN ['invalid_call_json'] ELSE [] END AS errors FROM part""")
+def tool_call_extract(spark: SparkSession, d: str) -> DataFrame:
+    return generated(spark, d).select("p_partkey", F.size(text.generated_calls(F.col("t"))).alias("n_calls"), text.generated_errors(F.col("t")).alias("errors"))
+
+
+@query("json_strict", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN true ELSE false END AS ok FROM events")
+def json_strict(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(F.col("props"), F.lit('{"k": 1, "k": 2}'), F.lit('{"k": NaN}'))
+    doc = F.element_at(forms, (F.col("event_id") % 3 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", text.strict_json(doc).isNotNull().alias("ok"))
+
+
+@query("json_exact_equal", "SELECT event_id, event_id % 4 = 0 AS same FROM events")
+def json_exact_equal(spark: SparkSession, d: str) -> DataFrame:
+    other = F.element_at(F.array(F.lit('{"b": "x", "a": 1}'), F.lit('{"a": 1.0, "b": "x"}'), F.lit('{"a": true, "b": "x"}'), F.lit('{"a": "1", "b": "x"}')), (F.col("event_id") % 4 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", text.exact_equal(F.lit('{"a": 1, "b": "x"}'), other).alias("same"))
+
+
+# -- roll-ups -----------------------------------------------------------------------------------------------------------
+
+SCORED = "(SELECT l_returnflag AS behavior, CASE WHEN l_linenumber = 7 THEN 'error' WHEN l_linestatus = 'F' THEN 'pass' ELSE 'fail' END AS status, l_quantity AS seconds, l_linenumber AS tokens, l_orderkey AS family FROM lineitem)"
+COUNTS = "count(*) AS total, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'error') AS error"
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("l_linenumber") == 7, "error").when(F.col("l_linestatus") == "F", "pass").otherwise("fail")
+    return read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("behavior"), status.alias("status"), F.col("l_quantity").alias("seconds"), F.col("l_linenumber").alias("tokens"), F.col("l_orderkey").alias("family")
+    )
+
+
+@query("proposal_summary", f"SELECT behavior, {COUNTS}, count(*) FILTER (status = 'pass') / nullif(count(*) FILTER (status <> 'error'), 0) AS accuracy FROM {SCORED} GROUP BY behavior")
+def proposal_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.status_summary(scored(spark, d), ["behavior"])
+
+
+@query("category_rollup", f"SELECT behavior, {COUNTS} FROM {SCORED} GROUP BY ROLLUP (behavior)")
+def category_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.with_total(scored(spark, d), "behavior")
+
+
+@query("latency_metrics", f"""SELECT behavior, median(seconds) AS median_seconds, quantile_disc(seconds, 0.95) AS p95_seconds, sum(seconds) AS total_seconds, sum(tokens)::BIGINT AS total_tokens,
+    sum(tokens) / sum(seconds) AS tokens_per_second FROM {SCORED} GROUP BY behavior""")
+def latency_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.latency(scored(spark, d), ["behavior"], "seconds", "tokens")
+
+
+@query("length_stats", """SELECT min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS greatest, sum(n_chars)::BIGINT AS total,
+    (SELECT list(doc_id ORDER BY doc_id) FROM documents WHERE n_chars = (SELECT max(n_chars) FROM documents)) AS greatest_keys FROM documents""")
+def length_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.length_stats(read(spark, d, "documents"), "n_chars", "doc_id")
+
+
+@query("quota_check", """SELECT coalesce(a.lang, q.lang) AS lang, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS ok
+    FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL JOIN (VALUES ('en', 600), ('de', 150), ('xx', 1)) q(lang, expected) ON a.lang = q.lang""")
+def quota_check(spark: SparkSession, d: str) -> DataFrame:
+    quota = spark.createDataFrame([("en", 600), ("de", 150), ("xx", 1)], "lang string, expected int")
+    return rollups.quota_check(read(spark, d, "documents"), "lang", quota)
+
+
+@query("family_consistency", f"SELECT family, count(*) AS members, count(DISTINCT (behavior, status)) AS signatures, count(DISTINCT (behavior, status)) = 1 AND count(*) <= 4 AS ok FROM {SCORED} GROUP BY family")
+def family_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.family_check(scored(spark, d), "family", ["behavior", "status"])
+
+
+@query("family_sizes", f"SELECT size, count(*) AS families FROM (SELECT count(*) AS size FROM {SCORED} GROUP BY family) GROUP BY size")
+def family_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.count_of_counts(scored(spark, d), "family")
+
+
+@query("multi_valued_summary", f"SELECT value, count(*) AS total, count(*) FILTER (status = 'pass') AS pass FROM (SELECT unnest([behavior, 'size' || tokens]) AS value, status FROM {SCORED}) GROUP BY value")
+def multi_valued_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.multi_valued(scored(spark, d), F.array("behavior", F.concat(F.lit("size"), F.col("tokens").cast("string"))))
+
+
+@query("most_frequent", "SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY event_type ORDER BY n DESC, first_seen LIMIT 8")
+def most_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.most_frequent(read(spark, d, "events"), "event_type", "event_id")
+
+
+@query("check_groups", """SELECT * FROM (SELECT 'money' AS "group", count(*) AS applicable, count(*) FILTER (l_tax < 0.05 AND l_discount < 0.05) AS passed FROM lineitem
+    UNION ALL SELECT 'size', count(*) FILTER (l_linenumber > 1), count(*) FILTER (l_linenumber > 1 AND l_quantity < 25) FROM lineitem UNION ALL SELECT 'none', 0, 0)""")
+def check_groups(spark: SparkSession, d: str) -> DataFrame:
+    entries = [F.struct(F.lit("tax").alias("key"), (F.col("l_tax") < 0.05).alias("value")), F.struct(F.lit("discount").alias("key"), (F.col("l_discount") < 0.05).alias("value"))]
+    quantity = F.struct(F.lit("quantity").alias("key"), (F.col("l_quantity") < 25).alias("value"))
+    checks = F.when(F.col("l_linenumber") > 1, F.map_from_entries(F.array(*entries, quantity))).otherwise(F.map_from_entries(F.array(*entries)))
+    turns = read(spark, d, "lineitem").select(checks.alias("checks"))
+    return rollups.check_groups(turns, "checks", {"money": ["tax", "discount"], "size": ["quantity"], "none": ["absent"]})
+
+
+@query("case_verdicts", "SELECT l_orderkey, bool_and(l_quantity > 2) AND bool_and(l_discount < 0.1) AS passed, count(*) AS turns FROM lineitem GROUP BY l_orderkey")
+def case_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity") > 2).alias("ok"), (F.col("l_discount") < 0.1).alias("final"))
+    return rollups.case_verdict(turns, "l_orderkey", "ok", "final")
+
+
+@query("review_status", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN quality IS NULL THEN 'not_evaluated' WHEN quality = 0 THEN 'pending' WHEN toxic = 1 THEN 'fail' ELSE 'pass' END AS status FROM labels) GROUP BY status""")
+def review_status(spark: SparkSession, d: str) -> DataFrame:
+    criteria = F.create_map(
+        F.lit("quality"), F.when(F.col("quality").isNull(), "not_evaluated").when(F.col("quality") == 0, "pending").otherwise("pass"), F.lit("safety"), F.when(F.col("toxic") == 1, "fail").otherwise("pass")
+    )
+    rows = read(spark, d, "labels").withColumn("criteria", criteria)
+    return rows.select(rollups.review_status(rows, "criteria").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# -- comparison and gates -----------------------------------------------------------------------------------------------
+
+OLD = "(SELECT doc_id AS id, CASE quality WHEN 1 THEN 'pass' ELSE 'fail' END AS status, doc_id % 5 AS action FROM labels)"
+NEW = "(SELECT doc_id AS id, CASE toxic WHEN 0 THEN 'pass' ELSE 'fail' END AS status FROM labels)"
+
+
+def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    labels = read(spark, d, "labels")
+    old = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("status"), (F.col("doc_id") % 5).alias("action"))
+    return old, labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "pass").otherwise("fail").alias("status"))
+
+
+@query("fixed_regressed", f"SELECT o.id, CASE WHEN o.status = 'fail' THEN 'fixed' ELSE 'regressed' END AS change FROM {OLD} o JOIN {NEW} n USING (id) WHERE o.status <> n.status")
+def fixed_regressed(spark: SparkSession, d: str) -> DataFrame:
+    return compare.fixed_regressed(*runs(spark, d), "id")
+
+
+@query("acceptance_gates", f"""WITH j AS (SELECT action, o.status AS b, n.status AS a FROM {OLD} o JOIN {NEW} n USING (id)),
+    g AS (SELECT count(*) FILTER (b = 'pass') AS bp, count(*) FILTER (a = 'pass') AS ap, count(*) FILTER (b = 'fail') AS bf, count(*) FILTER (a = 'fail') AS af FROM j GROUP BY action),
+    t AS (SELECT sum(ap) AS ap, sum(bf) AS bf, sum(af) AS af, bool_and(ap >= bp) AS ok FROM g)
+    SELECT 'minimum_pass' AS gate, ap >= 100 AS passed FROM t UNION ALL SELECT 'minimum_error_reduction', CASE WHEN bf = 0 THEN af = 0 ELSE bf - af >= ceil(0.25 * bf) END FROM t
+    UNION ALL SELECT 'no_group_regression', ok FROM t""")
+def acceptance_gates(spark: SparkSession, d: str) -> DataFrame:
+    return compare.acceptance_gates(*runs(spark, d), "id", "action", 100, 0.25)
+
+
+@query("safety_new_errors", """SELECT o_orderkey AS id, ['wrong_tool'] AS new_errors FROM orders WHERE o_totalprice > 50000 AND NOT o_custkey % 2 = 0""")
+def safety_new_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
+    old = rows.select("id", text.tags((F.col("o_custkey") % 2 == 0, "wrong_tool")).alias("tags"))
+    now_tags = rows.select("id", text.tags((F.col("o_totalprice") > 50000, "wrong_tool"), (F.col("o_orderstatus") == "F", "style")).alias("tags"))
+    return compare.new_errors(old, now_tags, "id", "tags", ["wrong_tool", "unexpected_call"])
+
+
+AFTER = f"(SELECT CASE WHEN id % 11 = 0 THEN id + 100000000 ELSE id END AS id, CASE WHEN id % 7 = 0 THEN 'x' ELSE content END AS content, completed, due_at FROM {TASKS} WHERE id % 5 <> 0)"
+
+
+@query("before_after_diff", f"""SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'created' WHEN a.id IS NULL THEN 'deleted' ELSE 'changed' END AS change
+    FROM {TASKS} b FULL JOIN {AFTER} a ON b.id = a.id WHERE b.id IS NULL OR a.id IS NULL OR b.content <> a.content""")
+def before_after_diff(spark: SparkSession, d: str) -> DataFrame:
+    before, k = task_table(spark, d), F.col("id")
+    after = before.where(k % 5 != 0).withColumn("content", F.when(k % 7 == 0, "x").otherwise(F.col("content"))).withColumn("id", F.when(k % 11 == 0, k + 100000000).otherwise(k))
+    return compare.diff(before, after, "id", ["content", "completed", "due_at"])
+
+
+@query("multiset_difference", """SELECT p_brand, a - e AS surplus FROM (SELECT p_brand, count(*) FILTER (p_size > 25) AS a, count(*) FILTER (p_size <= 25) AS e FROM part GROUP BY p_brand) WHERE a > e""")
+def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    return compare.multiset_difference(part.where("p_size > 25"), part.where("p_size <= 25"), "p_brand")
+
+
+@query("choose_checkpoint", "SELECT * FROM (SELECT l_linenumber AS step, count(*) FILTER (l_discount < 0.08) AS passed, count(*) FILTER (l_tax > 0.07) AS unsafe FROM lineitem GROUP BY 1) WHERE passed >= 100 ORDER BY passed DESC, step LIMIT 1")
+def choose_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.count_if(F.col("l_discount") < 0.08).alias("passed"), F.count_if(F.col("l_tax") > 0.07).alias("unsafe"))
+    return compare.choose_checkpoint(rows, 100, 1 << 60)
+
+
+@query("baseline_deltas", f"WITH s AS (SELECT behavior, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'fail') AS fail FROM {SCORED} GROUP BY behavior) SELECT s.behavior, s.pass - b.pass AS pass_delta, s.fail - b.fail AS fail_delta FROM s, s b WHERE b.behavior = 'N' AND s.behavior <> 'N'")
+def baseline_deltas(spark: SparkSession, d: str) -> DataFrame:
+    return compare.deltas(rollups.status_summary(scored(spark, d), ["behavior"]), "behavior", "N", ["pass", "fail"])
+
+
+@query("paired_variants", """SELECT a.o_orderkey // 2 AS pair_id, a.o_orderstatus AS a, b.o_orderstatus AS b, a.o_orderstatus = b.o_orderstatus AS same
+    FROM orders a JOIN orders b ON a.o_orderkey // 2 = b.o_orderkey // 2 WHERE a.o_orderkey % 2 = 0 AND b.o_orderkey % 2 = 1""")
+def paired_variants(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select(F.floor(key / 2).alias("pair_id"), (key % 2).alias("variant"), "o_orderstatus")
+    return compare.paired(rows, "pair_id", "variant", 0, 1, "o_orderstatus")
+
+
+@query("review_binding", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE quality = 1 END AS digest_ok, CASE toxic WHEN 0 THEN 'approved' ELSE 'needs_correction' END AS decision FROM labels LEFT JOIN documents USING (doc_id)")
+def review_binding(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    stored = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("now"))
+    reviews = read(spark, d, "labels").join(stored, "doc_id", "left").select(
+        "doc_id", F.when(F.col("quality") == 1, F.col("now")).otherwise(F.lit("0" * 64)).alias("digest"), F.when(F.col("toxic") == 0, "approved").otherwise("needs_correction").alias("decision")
+    )
+    return compare.bind_reviews(docs, reviews, "doc_id", "text")
+
+
+@query("prefix_extension", "SELECT p_partkey FROM part WHERE p_partkey % 10 = 0")
+def prefix_extension(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    changed = part.withColumn("p_name", F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name")))
+    return compare.prefix_equal(part, changed, "p_partkey", ["p_name", "p_size"])
+
+
+@query("template_cross", "SELECT format('t_{:02d}_{:02d}', r_regionkey, n_nationkey) AS id, 'Go to ' || n_name || ' in ' || r_name AS prompt FROM region, nation")
+def template_cross(spark: SparkSession, d: str) -> DataFrame:
+    frames = read(spark, d, "region").select(F.col("r_regionkey").alias("f"), F.concat(F.lit("Go to {place} in "), F.col("r_name")).alias("frame"))
+    values = read(spark, d, "nation").select(F.col("n_nationkey").alias("v"), F.lit("place").alias("slot"), F.col("n_name").alias("value"))
+    return compare.cross_fill(frames, values, "t")
+
+
+# -- leakage ------------------------------------------------------------------------------------------------------------
+
+
+@query("leak_exact", "SELECT a.doc_id AS id, b.doc_id AS ref_id FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.text <> ''")
+def leak_exact(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), "text")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    odd = docs.where("id % 2 = 1").select(F.col("id").alias("ref_id"), digest.alias("digest"))
+    return docs.where("id % 2 = 0").select("id", digest.alias("digest")).join(odd, "digest").select("id", "ref_id")
+
+
+@query("leak_folded")
+def leak_folded(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return leakage.exact_matches(turns, read(spark, d, "benchmark").withColumnRenamed("item_id", "id")).select("id.*", "ref_id")
+
+
+@query("leak_length_band", """SELECT conv_id, turn, count(*) AS candidates FROM conversations c JOIN benchmark b ON length(c.text) > 0 AND length(b.text) > 0
+    AND 2 * least(length(c.text), length(b.text)) >= 0.92 * (length(c.text) + length(b.text)) - 1e-9 WHERE role = 'user' GROUP BY conv_id, turn""")
+def leak_length_band(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
+    return leakage.length_band(turns, items, 0.92).groupBy("conv_id", "turn").agg(F.count("*").alias("candidates"))
+
+
+@query("leak_near_top1")
+def leak_near_top1(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
+    found = leakage.nearest(turns, items, 0.92, ["conv_id", "turn"], ["ref_id"])
+    return found.select("conv_id", "turn", "ref_id", F.round("score", 6).alias("score"))
+
+
+@query("leak_shapes")
+def leak_shapes(spark: SparkSession, d: str) -> DataFrame:
+    parts = read(spark, d, "part").select("p_partkey", leakage.shape(F.concat_ws(" #", F.col("p_name"), F.col("p_size").cast("string")), F.array("p_name")).alias("shape"))
+    return parts.groupBy("shape").agg(F.count("*").alias("n"))
+
+
+@query("leak_families", "SELECT l_suppkey AS family FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7")
+def leak_families(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem")
+    return rows.where("l_linenumber = 1").select(F.col("l_suppkey").alias("family")).intersect(rows.where("l_linenumber = 7").select("l_suppkey"))
+
+
+@query("dedupe_last", "SELECT max(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
+def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.last_of_each(read(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
+
+
+# -- sessions and runs --------------------------------------------------------------------------------------------------
+
+
+@query("turn_state_chain", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS state_before, role AS state_after FROM conversations")
+def turn_state_chain(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    return lifecycle.turn_states(turns, "conv_id", "turn", "role")
+
+
+@query("run_reservations", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def run_reservations(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.reservations(read(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("run_lifecycle", """WITH e AS (SELECT user_id, min(event_id) FILTER (event_type = 'purchase') AS fin FROM events GROUP BY user_id)
+    SELECT user_id, arg_max(event_type, event_id) AS state, count(*) FILTER (event_type = 'error') AS interruptions, count(*) AS events
+    FROM events JOIN e USING (user_id) WHERE fin IS NULL OR event_id <= fin GROUP BY user_id""")
+def run_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.run_state(read(spark, d, "events"), "user_id", "event_id", "event_type", "purchase", "error")
+
+
+@query("run_heartbeats", "SELECT * FROM (SELECT user_id, event_id, (floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL)) WHERE gap > 86400")
+def run_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    beats = read(spark, d, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
+    return lifecycle.heartbeat_gaps(beats, "user_id", "ts", 86400).select("user_id", "event_id", "gap")
+
+
+@query("resume_prefix", "SELECT count(*) AS done, true AS valid FROM part WHERE p_partkey <= 50")
+def resume_prefix(spark: SparkSession, d: str) -> DataFrame:
+    least = read(spark, d, "part").agg(F.min("p_partkey").alias("least"))
+    expected = read(spark, d, "part").join(F.broadcast(least)).select((F.col("p_partkey") - F.col("least")).alias("ordinal"), F.col("p_name").alias("id"), "p_partkey")
+    return lifecycle.resume_point(expected.select("ordinal", "id"), expected.where("p_partkey <= 50").select("ordinal", "id"))
