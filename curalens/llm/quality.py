@@ -175,9 +175,13 @@ def score_quality(documents: DataFrame, model: RuleModel, id_col: str = "doc_id"
 
 
 def keep_good(documents: DataFrame, model: RuleModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that score `least` or more, with all their columns as they were. Nothing is shuffled."""
+    """The documents that score `least` or more, with all their columns as they were. Nothing is shuffled.
+
+    The score passes through a generator of one row: a filter would otherwise be pushed below the projection of the
+    statistics, each of which would then be computed again in every rule that names it."""
     held = documents.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    return with_statistics(held, "_text").where(compile_score(model) >= least).select("_row.*")
+    scored = with_statistics(held, "_text").select("_row", F.explode(F.array(compile_score(model))).alias("_score"))
+    return scored.where(F.col("_score") >= least).select("_row.*")
 
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS_PER_CLASS, label: str = "quality") -> RuleModel:
