@@ -34,5 +34,5 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 def latest_report(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """The newest file that parses as a JSON object: path and text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    texts = files.select("path", "modificationTime", F.decode("content", F.lit("UTF-8")).alias("text"))
+    texts = files.select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
     return texts.where(F.try_parse_json("text").isNotNull() & F.col("text").rlike(r"^\s*\{")).orderBy(F.desc("modificationTime"), "path").limit(1).select("path", "text")
