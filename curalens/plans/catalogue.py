@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import deadlines, text
+from ..functions import deadlines, proposals, text, tokens
 from ..operators import compare, leakage, rollups, tasks
+from ..sources import documents
 from ..sources.tables import read
 from ..sources.tables import tasks as task_table
 from ..streaming import lifecycle
@@ -492,3 +493,75 @@ def resume_prefix(spark: SparkSession, d: str) -> DataFrame:
     least = read(spark, d, "part").agg(F.min("p_partkey").alias("least"))
     expected = read(spark, d, "part").join(F.broadcast(least)).select((F.col("p_partkey") - F.col("least")).alias("ordinal"), F.col("p_name").alias("id"), "p_partkey")
     return lifecycle.resume_point(expected.select("ordinal", "id"), expected.where("p_partkey <= 50").select("ordinal", "id"))
+
+
+# -- proposals, token arrays and nested documents -----------------------------------------------------------------------
+
+#: Two tools in the shape of the task tools: an id, and a scope from a closed list.
+TOOLS: proposals.Tools = {"complete": (proposals.Field("id", "integer", 1),), "due": (proposals.Field("scope", "string", 1, ("today", "tomorrow", "overdue")),)}
+#: (tool, arguments, errors): one of each kind of error.
+ARGUMENTS = (
+    ("complete", '{"id": 7}', []), ("complete", '{"id": true}', ["invalid_argument:id"]), ("complete", '{"id": 1.0}', ["invalid_argument:id"]), ("complete", '{"z": 1}', ["missing_argument:id", "extra_argument:z"]),
+    ("due", '{"scope": "never"}', ["invalid_enum:scope"]), ("due", "[1]", ["arguments_not_object"]), ("other", "{}", ["unknown_tool"]), ("complete", '{"id": 0}', ["invalid_argument:id"]),
+)
+
+
+def pick(values: tuple, key: str) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+@query("proposal_argument_errors", "SELECT event_id, [" + ", ".join(repr(e) for _, _, e in ARGUMENTS) + f"][event_id % {len(ARGUMENTS)} + 1] AS errors FROM events")
+def proposal_argument_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select("event_id", pick(tuple(a[0] for a in ARGUMENTS), "event_id").alias("tool"), pick(tuple(a[1] for a in ARGUMENTS), "event_id").alias("arguments"))
+    return rows.select("event_id", proposals.argument_errors(F.col("tool"), F.col("arguments"), TOOLS).alias("errors"))
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Chat responses: a good call, two calls, no call though one is announced, a reply, a cut-off one, no JSON."""
+    call = '{"id": "c", "type": "function", "function": {"name": "complete", "arguments": "{\\"id\\": 7}"}}'
+    whole = '{"choices": [{"finish_reason": "%s", "message": {"role": "assistant", "content": %s, "tool_calls": %s}}]}'
+    forms = (whole % ("tool_calls", "null", f"[{call}]"), whole % ("tool_calls", "null", f"[{call}, {call}]"), whole % ("tool_calls", "null", "null"), whole % ("stop", '"hi"', "[]"), whole % ("length", "null", f"[{call}]"), "no json")
+    return read(spark, d, "events").select("event_id", pick(forms, "event_id").alias("response"))
+
+
+@query("proposal_scores", """SELECT event_id, [[], ['multiple_calls'], ['missing_tool_calls'], [], ['incomplete_response'], ['invalid_response']][event_id % 6 + 1] AS errors,
+    [1, 2, 0, 0, 1, 0][event_id % 6 + 1] AS n_calls, CASE WHEN event_id % 6 = 0 THEN 'pass' ELSE 'fail' END AS status FROM events""")
+def proposal_scores(spark: SparkSession, d: str) -> DataFrame:
+    calls = F.coalesce(proposals.calls_of(F.col("response")), F.array().cast("array<struct<name:string,arguments:string,envelope_ok:boolean>>"))
+    rows = responses(spark, d).select("event_id", proposals.envelope_errors(F.col("response")).alias("errors"), F.transform(calls, lambda c: F.to_json(F.struct(c["name"], c["arguments"]))).alias("calls"))
+    gold = F.array(F.to_json(F.struct(F.lit("complete").alias("name"), F.lit('{"id": 7}').alias("arguments"))))
+    return rows.select("event_id", "errors", F.size("calls").alias("n_calls"), proposals.proposal_status(F.lit("call"), F.col("calls"), gold, F.col("errors")).alias("status"))
+
+
+@query("proposal_contract", """SELECT event_id, [[], ['accepted_calls'], ['missing_slots'], ['unknown_behavior']][event_id % 4 + 1] AS violations FROM events""")
+def proposal_contract(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("event_id") % 4, F.array().cast("array<string>")
+    behavior = pick(("call", "call", "clarify", "dance"), "event_id")
+    accepted = F.when(k == 0, F.array(F.lit("x"))).otherwise(none)
+    return read(spark, d, "events").select("event_id", proposals.contract_violations(behavior, accepted, none, F.col("props")).alias("violations"))
+
+
+@query("token_arrays", """SELECT l_orderkey, l_linenumber, l_linenumber || ':' || CASE WHEN l_linenumber > 3 THEN 3 ELSE l_linenumber END AS cut, 8 AS padded, 2 * -100 + (l_linenumber * (l_linenumber + 1)) / 2 - CASE l_linenumber WHEN 1 THEN -99 ELSE 3 END AS label_sum
+    FROM lineitem WHERE l_linenumber >= 2""")
+def token_arrays(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    ids = F.sequence(F.lit(1), n)
+    rows = read(spark, d, "lineitem").where(n >= 2)
+    cut = F.concat(n.cast("string"), F.lit(":"), F.size(tokens.through_end(ids, 3)).cast("string"))
+    labels = tokens.assistant_labels(F.sequence(F.lit(1), F.lit(2)), ids)
+    total = F.aggregate(labels, F.lit(0), lambda a, x: a + x).cast("double")
+    return rows.select("l_orderkey", "l_linenumber", cut.alias("cut"), F.size(tokens.pad(ids, 0, F.lit(7))).alias("padded"), total.alias("label_sum"))
+
+
+@query("json_digests", """SELECT sha256('{"a":' || p_size || ',"b":"x"}') AS digest, count(*) AS n FROM part GROUP BY 1""")
+def json_digests(spark: SparkSession, d: str) -> DataFrame:
+    text_of = F.concat(F.lit('{"b": "x", "a": '), F.col("p_size").cast("string"), F.lit("}"))
+    return read(spark, d, "part").select(documents.canonical_digest(text_of).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+
+
+@query("json_harvest", """SELECT p_partkey, p_name AS text, '$.cases[0]' AS path FROM part UNION ALL SELECT p_partkey, p_type, '$.cases[0].x' FROM part""")
+def json_harvest(spark: SparkSession, d: str) -> DataFrame:
+    inner = F.struct(F.col("p_type").alias("user_message"))
+    case = F.struct(F.col("p_name").alias("prompt"), inner.alias("x"))
+    rows = read(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.array(case).alias("cases"))).alias("doc"))
+    return documents.harvest(rows, "doc").select("p_partkey", "text", "path")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curalens.functions import deadlines, text
 from curalens.operators import compare, leakage, tasks
+from curalens.sources import documents
 from curalens.sources.tables import file_digests, latest_report
 from curalens.streaming import lifecycle
 
@@ -151,3 +153,14 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "b.json").write_text("not json")
     assert file_digests(spark, str(tmp_path), "*.json").count() == 2
     assert latest_report(spark, str(tmp_path)).first()["text"] == '{"k": 1}'
+
+
+def test_documents(spark):
+    nested = spark.createDataFrame([(1, '{"cases": [{"prompt": "a", "x": {"user_message": "b"}}], "prompt": 3}'), (2, None)], "id int, doc string")
+    assert [(r["id"], r["text"], r["path"]) for r in documents.harvest(nested, "doc").collect()] == [(1, "a", "$.cases[0]"), (1, "b", "$.cases[0].x")]
+    pair = spark.createDataFrame([('{"a": 1, "b": [1.5, "é"]}',), ('{"b":[1.5,"é"],"a":1}',), ("{",)], "doc string")
+    digests = [r["d"] for r in pair.select(documents.canonical_digest(F.col("doc")).alias("d")).collect()]
+    assert digests[0] == digests[1] == hashlib.sha256('{"a":1,"b":[1.5,"é"]}'.encode()).hexdigest() and digests[2] is None
+    files = [("f", "b", "00" * 32), ("f", "a", "11" * 32)]
+    want = hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p.encode() + bytes.fromhex(h) for _, p, h in sorted(files))).hexdigest()
+    assert documents.folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).first()["digest"] == want
