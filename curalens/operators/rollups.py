@@ -43,7 +43,7 @@ def length_stats(rows: DataFrame, length: str, key: str) -> DataFrame:
 def quota_check(rows: DataFrame, key: str, quota: DataFrame) -> DataFrame:
     """quota(key, expected) against the counts: one row for each key of either side."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    joined = counts.join(F.broadcast(quota), key, "full_outer")
+    joined = counts.join(quota, key, "full_outer")
     n, expected = F.coalesce("n", F.lit(0)), F.coalesce("expected", F.lit(0))
     return joined.select(key, n.alias("n"), expected.alias("expected"), (n == expected).alias("ok"))
 
