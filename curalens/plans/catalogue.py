@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deadlines, proposals, text, tokens
-from ..operators import compare, leakage, rollups, tasks
+from ..operators import compare, leakage, rollups, tasks, validate
 from ..sources import documents
 from ..sources.tables import read
 from ..sources.tables import tasks as task_table
@@ -565,3 +565,55 @@ def json_harvest(spark: SparkSession, d: str) -> DataFrame:
     case = F.struct(F.col("p_name").alias("prompt"), inner.alias("x"))
     rows = read(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.array(case).alias("cases"))).alias("doc"))
     return documents.harvest(rows, "doc").select("p_partkey", "text", "path")
+
+
+# -- validators ---------------------------------------------------------------------------------------------------------
+
+
+@query("select_cases", "SELECT p_partkey, p_name FROM part WHERE p_partkey % 50 = 3 AND p_partkey < 150")
+def select_cases(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.range(0, 150).where("id % 50 = 3").withColumnRenamed("id", "p_partkey")
+    return validate.select_cases(read(spark, d, "part").select("p_partkey", "p_name"), wanted, "p_partkey")[0]
+
+
+@query("unknown_cases", "SELECT x AS p_partkey FROM range(0, 100000, 997) t(x) WHERE x NOT IN (SELECT p_partkey FROM part)")
+def unknown_cases(spark: SparkSession, d: str) -> DataFrame:
+    return validate.select_cases(read(spark, d, "part"), spark.range(0, 100000, 997).withColumnRenamed("id", "p_partkey"), "p_partkey")[1]
+
+
+@query("set_differences", """(SELECT DISTINCT l_partkey, 'missing' AS side FROM lineitem WHERE l_linenumber = 1 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 2))
+    UNION ALL (SELECT DISTINCT l_partkey, 'extra' FROM lineitem WHERE l_linenumber = 2 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1))""")
+def set_differences(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem")
+    return validate.set_differences(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), "l_partkey")
+
+
+@query("stored_differs", "SELECT DISTINCT l_orderkey AS family FROM lineitem WHERE l_orderkey % 9 = 0")
+def stored_differs(spark: SparkSession, d: str) -> DataFrame:
+    again = rollups.status_summary(scored(spark, d), ["family"])
+    stored = again.withColumn("pass", F.when(F.col("family") % 9 == 0, F.col("pass") + 1).otherwise(F.col("pass")))
+    return validate.stored_differs(stored, again, "family", ["total", "pass", "fail", "error", "accuracy"])
+
+
+@query("undecided_flags", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'undecided' WHEN 1 THEN 'changed' ELSE 'unknown' END AS problem FROM labels WHERE doc_id % 4 < 3""")
+def undecided_flags(spark: SparkSession, d: str) -> DataFrame:
+    labels, k = read(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("score")), F.col("doc_id") % 4
+    return validate.undecided_flags(labels.where(k != 2), labels.where(k != 0).withColumn("score", F.when(k == 1, 2).otherwise(F.col("score"))), "doc_id", ["quality", "score"])
+
+
+@query("review_completeness", """SELECT count(*) FILTER (toxic = 0) AS approved, count(*) FILTER (toxic = 1) AS needs_correction, count(*) FILTER (toxic IS NULL) AS pending, count(*) FILTER (toxic = 0) = count(*) AS complete
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def review_completeness(spark: SparkSession, d: str) -> DataFrame:
+    reviews = read(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 0, "approved").otherwise("needs_correction").alias("decision"))
+    return validate.review_completeness(read(spark, d, "documents"), reviews, "doc_id")
+
+
+@query("latest_numbered", "SELECT 'checkpoint-' || max(p_partkey) AS name, max(p_partkey) AS number FROM part WHERE p_size > 10")
+def latest_numbered(spark: SparkSession, d: str) -> DataFrame:
+    names = read(spark, d, "part").select(F.concat(F.lit("checkpoint-"), F.col("p_partkey").cast("string")).alias("name"), "p_size")
+    return validate.latest_numbered(names, "name", F.col("p_size") > 10, "checkpoint-")
+
+
+@query("budget_check", "SELECT sum(l_quantity * (l_tax + l_discount)) AS cost, sum(l_quantity * (l_tax + l_discount)) <= 1000 + 1e-12 AS within FROM lineitem")
+def budget_check(spark: SparkSession, d: str) -> DataFrame:
+    return validate.budget(read(spark, d, "lineitem"), "l_quantity", ["l_tax", "l_discount"], 1000.0)
