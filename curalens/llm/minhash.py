@@ -179,7 +179,7 @@ def near_duplicates(
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = materialize(members.join(weights, "rep").select("key", "rep", "n", "weight", F.col("rep").alias("component")), "members")
     # shingle sets are kept for the members of buckets alone, once for all turns
-    named = classes.join(weights.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "digest")
+    named = materialize(classes.join(weights.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "digest"), "named")
     texts = source.join(named.select("doc_id"), "doc_id", "left_semi")
     sets = shingles(texts, size).join(named, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(sets.select(F.col("doc_id").alias("rep"), "shingles"), "sets")
@@ -194,9 +194,10 @@ def near_duplicates(
         links = found if links is None else links.unionByName(found)
         parts = connected_components(links)
         placed = members.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = materialize(placed.select("key", "rep", "n", "weight", "component"), "placed")
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
         members = placed.join(mixed.where((F.col("lo") < F.col("hi")) & (F.col("size") > 2)).select("key"), "key", "left_semi")
-        members = materialize(members.select("key", "rep", "n", "weight", "component"), "members")
+        members = materialize(members, "members")
         turn += 1
         if members.isEmpty():
             break
