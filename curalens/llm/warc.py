@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .url_filter import host_of
 
 #: Default parameters: least payload that is deduplicated, captures in a file, and the date that records carry.
@@ -37,7 +38,8 @@ def with_originals(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     base = pages.withColumn("payload", F.coalesce("html", F.lit(""))).drop("html")
     base = base.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
     shared = base.where(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    shared = shared.where(F.col("n") > 1).select("digest", "original")
+    # written first, so that a short list is seen to be short and broadcast by size: payloads then stay where they are
+    shared = materialize(shared.where(F.col("n") > 1).select("digest", "original"), "shared")
     joined = base.join(shared, "digest", "left")
     return joined.withColumn("original", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
 
@@ -47,8 +49,8 @@ def capture_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str
     line, end = F.lit("\r\n"), "\r\n\r\n"
     dealt = with_originals(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes)
     # rows that repeat an id get a number of their own, so that record ids stay unique
-    again = dealt.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_again"), F.lit(True).alias("_many"))
-    dealt = dealt.join(again, F.col("page_id").eqNullSafe(F.col("_again")), "left")
+    again = pages.groupBy(F.col("page_id").cast("long").alias("page_id")).count().where("count > 1").select(F.col("page_id").alias("_again"), F.lit(True).alias("_many"))
+    dealt = dealt.join(materialize(again, "again"), F.col("page_id").eqNullSafe(F.col("_again")), "left")
     number = F.when(F.col("_many"), F.monotonically_increasing_id() + 1).otherwise(F.lit(0))
     dealt = dealt.withColumn("capture", F.concat(F.lit(URN), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), number.cast("string")))
 
