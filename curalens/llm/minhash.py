@@ -19,8 +19,8 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 25, 5
 #: Fixed odd multipliers of the 64-bit mixing step, and the words whose hashes a worker keeps.
 MIX1, MIX2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 CACHE = 700_000
-#: Stars that a bucket gives in each turn.
-STARS = 3
+#: Stars that a bucket gives in each turn, and the bins of the histogram that orders shingles from rare to frequent.
+STARS, BINS = 3, 1 << 20
 
 
 class Hashes(dict):
@@ -154,6 +154,50 @@ def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, at, rep, n, component, indexed) of sets(rep, component, shingles): each set's first shingles in one order of
+    all shingles, rare ones first. Two sets of n and m shingles that are similar enough share at least
+    s = ceil(percent * (n + m) / (100 + percent)), so they meet among the first n - s + 1 of the one and m - s + 1 of the
+    other, whatever the order. `indexed` marks the part that is enough for the smaller set of a pair. The order follows a
+    histogram of hashed shingles: it decides how many pairs meet in vain, never whether a similar pair meets."""
+    bins = sets.select(F.explode("shingles").alias("t")).groupBy(F.pmod("t", F.lit(BINS)).alias("bin")).count().toArrow()
+    often = np.zeros(BINS, np.int64)
+    often[bins.column(0).to_numpy()] = bins.column(1).to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, component, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = own.values.to_numpy()
+                n = len(own)
+                probe, index = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
+                token = own[np.lexsort((own, shared.value[own % BINS]))[:probe]]
+                at = np.arange(probe)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(at), *(pa.array(np.full(probe, x)) for x in (rep, n, component)), pa.array(at < index)], ["token", "at", "rep", "n", "component", "indexed"])
+
+    return sets.select("rep", "component", "shingles").mapInArrow(run, "token long, at long, rep long, n long, component long, indexed boolean")
+
+
+def untested(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of members(rep, component) in two components that can reach the similarity: an exact prefix-filter
+    join. A token's largest component isn't joined with itself, so a large group of copies costs no pair."""
+    placed = members.select("rep", "component").distinct()
+    rows = materialize(prefixes(sets.join(placed, "rep"), percent), "prefixes")
+    tokens = rows.groupBy("token", "component").agg(F.count("*").alias("size"), F.max("indexed").alias("indexed"))
+    tokens = tokens.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("top"), F.count("*").alias("parts"), F.max("indexed").alias("any"))
+    rows = materialize(rows.join(tokens.where((F.col("parts") > 1) & F.col("any")).select("token", "top"), "token"), "shared")
+    x, y = rows.where("indexed").alias("x"), rows.alias("y")
+    least = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9)
+    fits = (
+        (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+        & (F.col("x.at") + least <= F.col("x.n")) & (F.col("y.at") + least <= F.col("y.n"))
+    )
+    same = F.col("x.token") == F.col("y.token")
+    pairs = x.where("component <> top").join(y, same & fits).select("x.rep", F.col("y.rep").alias("other"))
+    pairs = pairs.unionByName(x.where("component = top").join(y.where("component <> top"), same & fits).select("x.rep", F.col("y.rep").alias("other")))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -164,7 +208,9 @@ def near_duplicates(
     bucket gives stars, never all pairs. The first star's center is the member with most company over all its buckets,
     which is the text that the others were copied from if there is one. Links are confirmed on full sets. Buckets whose
     members then lie in several components give further stars from other members, turn by turn, until a turn finds no
-    link. A pair at the threshold shares about eleven of 25 buckets, each with stars of its own in each turn.
+    link. Stars only make the components large early: the members of buckets that are mixed even then are joined exactly,
+    by the rare shingles that similar sets must share, and every pair left is tested. So every pair at the threshold that
+    shares a bucket is linked or lies in one component.
 
     Texts that are null, empty or without words link with nothing. Rows with one id are one node. A null id is kept and
     links with nothing. An empty table gives an empty result; other columns are ignored."""
@@ -190,6 +236,10 @@ def near_duplicates(
         found = materialize(verify(more, sets, percent), "links")
         tested = more if tested is None else tested.unionByName(more)
         if links is not None and found.isEmpty():
+            last = materialize(untested(members, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = materialize(verify(last, sets, percent), "links")
+            if not found.isEmpty():
+                parts = connected_components(links.unionByName(found))
             break
         links = found if links is None else links.unionByName(found)
         parts = connected_components(links)

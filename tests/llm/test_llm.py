@@ -84,6 +84,25 @@ def test_minhash_against_brute_force(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_minhash_tests_every_pair_of_mixed_buckets(spark):
+    rng = random.Random(5)
+    template = [f"w{k}" for k in range(400)]
+
+    def changed(words, places):
+        return [f"{k}x{rng.random()}" if k in places else w for k, w in enumerate(words)]
+
+    rows = [(i, changed(template, range(20, 400, 48))) for i in range(200)]  # of one template, with 8 words each of their own
+    for k in range(2):  # near copies, hardly nearer than any two documents
+        rows.append((1000 + k, changed(rows[40 * k + 7][1], range(40, 400, 64))))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    sets = {i: set(minhash.shingle_set(t.encode()).tolist()) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.85 < alike(1000 + k, 40 * k + 7) < 0.87 for k in range(2)) and 0.8 < alike(0, 1) < 0.85
+    # in a single bucket, so that few stars can't come to test all pairs by chance
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), bands=1, rows=1).collect()}
+    assert got == {i: i if i < 1000 else 40 * (i - 1000) + 7 for i, _ in rows}
+
+
 def test_optimal_densification_fills_every_bin():
     borrow = minhash.probes(125)
     for n in (1, 3, 40, 4000):
