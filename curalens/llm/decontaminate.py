@@ -6,9 +6,13 @@ the slots must correspond one to one, so a benchmark question is found verbatim
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Default parameters: template words in a window, least share of an item's words that matched windows must cover, least
 #: literal words in a window, and the most benchmark windows that are broadcast (about 100 bytes each).
 SIZE, COVERAGE, LITERAL, BROADCAST_WINDOWS = 5, 0.8, 2, 500_000
@@ -43,6 +47,28 @@ def windows(size: int) -> Column:
     return F.expr(f"CASE WHEN size(_template) >= {size} THEN transform(sequence(1, size(_template) - {size - 1}), i -> xxhash64({words})) ELSE array() END")
 
 
+def judged(found: DataFrame, spread: Callable[[Column], Column]) -> DataFrame:
+    """Add coverage, n_windows, n_slots, verbatim and _fits to found(words, at, slots): the item's positions of the matched
+    windows, and the distinct pairs of an item's value and the document's."""
+    changed = F.filter("slots", lambda x: x["item"] != x["doc"])
+    same = F.transform(F.filter("slots", lambda x: x["item"] == x["doc"]), lambda x: x["item"])
+    # a document may hold the item verbatim and its numbers elsewhere too: values found unchanged need no second match
+    other = F.filter(changed, lambda x: ~F.array_contains(same, x["item"]))
+    values = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["item"])))
+    return found.withColumns({
+        "coverage": spread(F.col("at")) / F.col("words"), "n_windows": F.size("at").cast("long"), "n_slots": values(F.col("slots")).cast("long"),
+        "verbatim": F.size(other) == 0, "_fits": values(other) == F.size(other),
+    })
+
+
+def nearby(rest: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Each window of rest(doc_id, item_id, words, shift) beside the anchors of its pair that lie within an item's length, dealt
+    by bins of that length. Null ids are ids here."""
+    a, r = anchors.alias("a"), rest.withColumn("_bin", F.floor(F.col("shift") / F.col("words"))).alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("r.item_id").eqNullSafe(F.col("a.item_id")) & (F.col("r._bin") == F.col("a._bin"))
+    return r.join(a, same).select("r.*", "anchor").drop("_bin")
+
+
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, size: int = SIZE, coverage: float = COVERAGE, literal: int = LITERAL,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -53,6 +79,10 @@ def find_leaks(
     document holds the item if the windows they share cover at least `coverage` of the item's words that its windows
     cover at all, and the values in the shared windows' slots correspond one to one: an item's value always to the same
     document value. Windows whose values are equal on both sides always agree. `verbatim` tells that all values are equal.
+    Where the whole document fails that test of values, each occurrence is tested by itself, so that a document may hold
+    variants of one item side by side: around each alignment (position in the document less that in the item), the
+    nearest window for each position of the item, of that alignment alone, within `size` words and within the item's
+    length. The pair is reported with its best occurrence if any passes.
 
     Null and empty texts, and items shorter than a window, give no pair. Rows with one id are one document (or item);
     null ids form one too. An empty table gives an empty result; other columns are ignored.
@@ -72,26 +102,33 @@ def find_leaks(
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     docs = with_templates(docs, F.col("_text")).select("doc_id", "_raw", F.posexplode(windows(size)).alias("pos", "h"))
-    docs = docs.select("doc_id", F.slice("_raw", F.col("pos") + 1, size).alias("doc_raw"), "h")
+    docs = docs.select("doc_id", "pos", F.slice("_raw", F.col("pos") + 1, size).alias("doc_raw"), "h")
     met = docs.join(side, "h")
     slots = F.filter(F.arrays_zip("item_raw", "doc_raw", "marks"), lambda x: x["marks"])
     met = met.select(
-        "doc_id", "item_id", "item_pos",
+        "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.transform(slots, lambda x: F.struct(x["item_raw"].alias("item"), x["doc_raw"].alias("doc"))).alias("slots"),
-    ).distinct()
-    found = met.groupBy("doc_id", "item_id").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    by_item = F.size(F.array_distinct(F.transform("slots", lambda x: x["item"])))
-    changed = F.filter("slots", lambda x: x["item"] != x["doc"])
-    same = F.transform(F.filter("slots", lambda x: x["item"] == x["doc"]), lambda x: x["item"])
-    # a document may hold the item verbatim and its numbers elsewhere too: values found unchanged need no second match
-    other = F.filter(changed, lambda x: ~F.array_contains(same, x["item"]))
-    one_to_one = F.size(F.array_distinct(F.transform(other, lambda x: x["item"]))) == F.size(other)
-    found = found.join(F.broadcast(totals) if n_windows <= BROADCAST_WINDOWS else totals, "item_id")
-    found = found.select(
-        "doc_id", "item_id", (spread(F.col("at")) / F.col("words")).alias("coverage"), F.size("at").cast("long").alias("n_windows"),
-        by_item.cast("long").alias("n_slots"), (F.size(other) == 0).alias("verbatim"), one_to_one.alias("_fits"),
     )
-    return found.where((F.col("coverage") >= coverage) & F.col("_fits")).drop("_fits")
+    windows_met = F.collect_set(F.struct("item_pos", "shift", "slots"))
+    found = met.groupBy("doc_id", "item_id").agg(windows_met.alias("met"))
+    found = found.join(F.broadcast(totals) if n_windows <= BROADCAST_WINDOWS else totals, "item_id")
+    found = found.where(spread(F.array_distinct(F.col("met.item_pos"))) / F.col("words") >= coverage)
+    key, figures = ["doc_id", "item_id"], ["coverage", "n_windows", "n_slots", "verbatim"]
+    found = materialize(found, "met")
+    whole = judged(found.withColumns({"at": F.array_distinct("met.item_pos"), "slots": F.array_distinct(F.flatten("met.slots"))}), spread)
+    fits = whole.where("_fits").select(*key, *figures)
+    # the others may hold the item once or more often beside values that differ: each occurrence is judged by itself
+    rest = whole.where(~F.col("_fits")).select(*key, "words", F.explode("met").alias("w")).select(*key, "words", "w.*")
+    anchors = rest.select(*key, "words", F.col("shift").alias("anchor")).distinct()
+    anchors = anchors.select(*key, "anchor", F.explode(F.sequence(F.floor(F.col("anchor") / F.col("words")) - 1, F.floor(F.col("anchor") / F.col("words")) + 1)).alias("_bin"))
+    near = nearby(rest, anchors)
+    far = F.abs(F.col("shift") - F.col("anchor"))
+    near = near.where(far <= F.col("words")).groupBy(*key, "words", "anchor", "item_pos").agg(F.min(F.struct(far.alias("far"), "shift", "slots")).alias("w"))
+    near = near.groupBy(*key, "words", "anchor").agg(F.collect_list(F.struct("item_pos", "w.far", "w.slots")).alias("all"))
+    near = near.withColumn("reach", F.explode(F.array_distinct(F.array(F.lit(0), F.lit(size), "words")))).withColumn("own", F.filter("all", lambda x: x["far"] <= F.col("reach")))
+    near = judged(near.withColumns({"at": F.array_distinct("own.item_pos"), "slots": F.array_distinct(F.flatten("own.slots"))}), spread)
+    best = near.where(F.col("_fits") & (F.col("coverage") >= coverage)).groupBy(*key).agg(F.max(F.struct("verbatim", "coverage", "n_windows", "n_slots")).alias("b"))
+    return fits.unionByName(best.select(*key, *[F.col(f"b.{x}").alias(x) for x in figures]))
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -354,6 +354,18 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, []), bench).collect() == decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).collect() == []
 
 
+def test_leaks_of_several_variants_in_one_document(spark):
+    item = "the farmer sold 12 baskets of apples and then he bought 30 chickens at the old market for 45 dollars before going home again"
+    first = item.replace("12", "17").replace("30", "81").replace("45", "99")
+    second = item.replace("12", "23").replace("30", "64").replace("45", "77")
+    broken = item.replace("12", "23").replace("then he", "then quite happily he")
+    clash = "a clerk sold 5 pens . the farmer sold 88 baskets of apples and left"
+    texts = [(1, f"{first}. some other words in between. {second}."), (2, f"{first}. {'many more words here ' * 50}{clash}"), (3, "nothing of the kind is here"), (4, f"{broken}. and now {second}."), (5, clash)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert got.keys() == {(1, 7), (2, 7), (4, 7)} and all(r["coverage"] >= 0.8 for r in got.values()) and not any(got[i, 7]["verbatim"] for i in (1, 2))
+
+
 def test_url_rules_and_reputation(spark):
     rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block")]
     urls = ["http://a.example.com/en/1", "HTTPS://WWW.Example.com/en/x?q", "http://x.com", "http://x.com/", "http://notexample.com/en/", "http://s.net/es/1", "http://bad.org/1", "http://ok.org/2", None, "nothing", "x://"]
