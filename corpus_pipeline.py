@@ -18,6 +18,10 @@ from curalens.llm.packing import pack_documents
 from curalens.llm.queries import tokenizer_path
 
 
+#: Least Jaccard similarity of near duplicates, in hundredths; op8_minhash has a threshold of its own.
+NEAR_PERCENT = 80
+
+
 def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The rows of `docs` whose id isn't in gone(doc_id). The ids are written first, so that a short list is seen to be
     short and is broadcast by size, and the texts aren't shuffled for it. Rows with a null id stay."""
@@ -39,7 +43,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: keep the document with the smallest id of each near-duplicate group; of rows with one id, one stays."""
-    kept = without(docs, near_duplicates(docs).where(~F.col("kept")), "copies")
+    kept = without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")), "copies")
     again = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     again = materialize(again, "again")
     if again.isEmpty():

@@ -39,6 +39,14 @@ def test_stages(spark):
     assert sorted(map(tuple, whole.select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "ids_crc32").collect()))
 
 
+def test_near_copies_above_four_fifths_go(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = [f"x{k}" if k in (10, 50, 90, 130) else w for k, w in enumerate(words)]  # 20 of 196 shingles change: 176 / 216 = 0.815
+    far = [f"y{k}" if k in (10, 50, 90, 130, 170, 185) else w for k, w in enumerate(words)]  # 30 change: 166 / 226 = 0.735
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {1, 3}
+
+
 def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and ORACLE_SQL.keys() <= QUERIES.keys()
     assert zlib.crc32(b"") == 0
