@@ -288,6 +288,16 @@ def test_lm_base_is_exact(spark):
         assert abs(r["base_score"] - base) < 1e-9 * abs(base) + 1e-9 and r["score"] < 0
 
 
+def test_lm_score_counts_every_word(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices(["ba", "do", "ki", "lu"], k=rng.randint(1, 5))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(120)]
+    few, all_hot = (
+        {r["doc_id"]: r["score"] for r in lm.lm_scores(docs(spark, rows), F.col("doc_id") % 5 != 2, PATH, hot_words=n, sample_docs=60, steps=20).collect()} for n in (10, 100_000)
+    )
+    assert len(few) == 120 and all(abs(few[i] - all_hot[i]) < 1e-6 * abs(all_hot[i]) for i in few)
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     held = QUERIES["op3_attention_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(held) > 100 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
