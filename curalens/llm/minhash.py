@@ -8,19 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Scratch, connected_components, portions, worker_cache
 
 #: Default parameters: words in a shingle, least Jaccard similarity in hundredths, bands and bins in each band. At 0.85 a
 #: pair shares a bucket with probability 1 - (1 - 0.85^5)^25, over 0.9999995.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 25, 5
-#: Fixed odd multipliers of the 64-bit mixing step, and the words whose hashes a worker keeps.
+#: Odd multipliers of the 64-bit mixing step, and the words whose hashes a worker keeps.
 MIX1, MIX2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-CACHE = 700_000
-#: Stars that a bucket gives in each turn, and the bins of the histogram that orders shingles from rare to frequent.
-STARS, BINS = 3, 1 << 20
+CACHE = 300_000
+#: Bands of the first stars, stars that a bucket gives after them, and the bins of the histogram that orders shingles
+#: from rare to frequent.
+FIRST, STARS, BINS = 4, 3, 1 << 20
 
 
 class Hashes(dict):
@@ -31,9 +32,6 @@ class Hashes(dict):
         return found
 
 
-_WORDS = Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -47,9 +45,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > CACHE:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("word hashes", Hashes)
+    if len(known) > CACHE:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -87,14 +86,14 @@ def one_permutation(shingles: np.ndarray, bins: int, borrow: np.ndarray) -> np.n
     return out
 
 
-def signatures(documents: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest of the shingle set, one bucket key for each band). Texts without words have nulls."""
-    chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def signatures(documents: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """documents(doc_id, text as binary, carried long) -> (doc_id, carried, n_shingles, digest of the shingle set, one bucket key
+    for each band). Texts without words have nulls."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow, salt = probes(bins), np.arange(bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in (p for whole in batches for p in portions(whole, 1)):
             sizes, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, size)
@@ -110,18 +109,18 @@ def signatures(documents: DataFrame, size: int = SHINGLE, bands: int = BANDS, ro
                     key = mix(key * ODD + least[:, k])
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "keys"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "carried", "n_shingles", "digest", "keys"],
             )
 
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return documents.select("doc_id", "text", "carried").mapInArrow(run, "doc_id long, carried long, n_shingles long, digest binary, keys array<long>")
 
 
 def shingles(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, digest, shingles) of documents(doc_id, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in portions(whole, 1)):
             sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "shingles"])
@@ -129,33 +128,44 @@ def shingles(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, digest binary, shingles array<long>")
 
 
-def verify(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of edges(a, b) whose full shingle sets have 100 * intersection >= percent * union. Sets travel along edges."""
-    left = edges.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b, ...) whose full shingle sets have 100 * intersection >= percent * union. Sets travel along pairs."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
-    return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
-
-
-def stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of members(key, rep, n, weight, component): every bucket gives STARS stars, one from its
-    heaviest member and the others from members that a hash picks afresh in each turn. A pair whose sizes rule it out, or
-    that lies in one component already, is left out. At most STARS pairs a member and bucket come of it, and centers are
-    found by map-side aggregation, however large the bucket."""
-    held = ("rep", "n", "component")
-    picks = [F.max(F.struct("weight", *held)).alias("c0")]
-    picks += [F.min(F.struct(F.xxhash64("rep", "key", F.lit(STARS * turn + i)).alias("h"), *held)).alias(f"c{i}") for i in range(1, STARS)]
-    centers = members.groupBy("key").agg(*picks)
-    centers = centers.select("key", F.array_distinct(F.array(*[F.struct(*[F.col(f"c{i}.{x}") for x in held]) for i in range(STARS)])).alias("centers"))
-    useful = lambda c: (
-        (c["component"] != F.col("component")) & (100 * F.least(c["n"], F.col("n")) >= percent * F.greatest(c["n"], F.col("n")))
+    return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select(pairs.columns)
+
+
+def ordered(x: Column, y: Column) -> tuple[Column, ...]:
+    """a, b, ca, cb of a pair of structs (node, component)."""
+    return F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), F.least(x["component"], y["component"]).alias("ca"), F.greatest(x["component"], y["component"]).alias("cb")
+
+
+def members_of(classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, n, weight, component): one row for each class and band."""
+    return classes.select("node", "n", "keys").join(label, "node").select(F.explode("keys").alias("key"), "node", "n", "weight", "component")
+
+
+def stars(members: DataFrame, percent: int, more: int) -> DataFrame:
+    """Candidate pairs (a, b, ca, cb) of members(key, node, n, weight, component): every bucket whose members lie in several
+    components gives a star from its heaviest member, and `more` from members that a hash picks. A pair whose sizes rule it
+    out, or that lies in one component already, isn't made at all. So a bucket gives at most 1 + more pairs for each of
+    its members, and none for those that an earlier star has joined; centers are found in one map-side aggregation,
+    however large the bucket."""
+    held = ("node", "n", "component")
+    picks = [F.max(F.struct("weight" if k == 0 else F.xxhash64("node", "key", F.lit(k)), *held)).alias(f"c{k}") for k in range(1 + more)]
+    centers = members.groupBy("key").agg(*picks, (F.min("component") < F.max("component")).alias("several")).where("several")
+    centers = centers.select("key", F.array_distinct(F.array(*[F.struct(*[F.col(f"c{k}.{x}") for x in held]) for k in range(1 + more)])).alias("centers"))
+    fit = lambda c: (
+        (c["component"] != F.col("m.component")) & (100 * F.least(c["n"], F.col("m.n")) >= percent * F.greatest(c["n"], F.col("m.n")))
     )
-    pairs = members.join(centers, "key").select("rep", F.explode(F.filter("centers", useful)).alias("c"))
-    return pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    useful = members.alias("m").join(centers.alias("c"), (F.col("m.key") == F.col("c.key")) & F.exists("centers", fit))
+    pairs = useful.select(F.struct("m.node", "m.component").alias("x"), F.explode(F.filter("centers", fit)).alias("c"))
+    return pairs.select(*ordered(F.col("x"), F.col("c"))).distinct()
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, at, rep, n, component, indexed) of sets(rep, component, shingles): each set's first shingles in one order of
+    """(token, at, node, n, component, indexed) of sets(node, component, shingles): each set's first shingles in one order of
     all shingles, rare ones first. Two sets of n and m shingles that are similar enough share at least
     s = ceil(percent * (n + m) / (100 + percent)), so they meet among the first n - s + 1 of the one and m - s + 1 of the
     other, whatever the order. `indexed` marks the part that is enough for the smaller set of a pair. The order follows a
@@ -167,25 +177,24 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, component, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for node, component, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = own.values.to_numpy()
                 n = len(own)
                 probe, index = n + percent * n // -100 + 1, n + 2 * percent * n // -(100 + percent) + 1
                 token = own[np.lexsort((own, shared.value[own % BINS]))[:probe]]
                 at = np.arange(probe)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(at), *(pa.array(np.full(probe, x)) for x in (rep, n, component)), pa.array(at < index)], ["token", "at", "rep", "n", "component", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(at), *(pa.array(np.full(probe, x)) for x in (node, n, component)), pa.array(at < index)], ["token", "at", "node", "n", "component", "indexed"])
 
-    return sets.select("rep", "component", "shingles").mapInArrow(run, "token long, at long, rep long, n long, component long, indexed boolean")
+    return sets.select("node", "component", "shingles").mapInArrow(run, "token long, at long, node long, n long, component long, indexed boolean")
 
 
-def untested(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) of members(rep, component) in two components that can reach the similarity: an exact prefix-filter
-    join. A token's largest component isn't joined with itself, so a large group of copies costs no pair."""
-    placed = members.select("rep", "component").distinct()
-    rows = materialize(prefixes(sets.join(placed, "rep"), percent), "prefixes")
+def untested(placed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Every pair (a, b, ca, cb) of placed(node, component) in two components that can reach the similarity: an exact
+    prefix-filter join. A token's largest component isn't joined with itself, so a large group of copies costs no pair."""
+    rows = scratch.write(prefixes(sets.join(placed, "node"), percent), "prefixes")
     tokens = rows.groupBy("token", "component").agg(F.count("*").alias("size"), F.max("indexed").alias("indexed"))
     tokens = tokens.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("top"), F.count("*").alias("parts"), F.max("indexed").alias("any"))
-    rows = materialize(rows.join(tokens.where((F.col("parts") > 1) & F.col("any")).select("token", "top"), "token"), "shared")
+    rows = scratch.write(rows.join(tokens.where((F.col("parts") > 1) & F.col("any")).select("token", "top"), "token"), "prefixes")
     x, y = rows.where("indexed").alias("x"), rows.alias("y")
     least = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9)
     fits = (
@@ -193,65 +202,100 @@ def untested(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & (F.col("x.at") + least <= F.col("x.n")) & (F.col("y.at") + least <= F.col("y.n"))
     )
     same = F.col("x.token") == F.col("y.token")
-    pairs = x.where("component <> top").join(y, same & fits).select("x.rep", F.col("y.rep").alias("other"))
-    pairs = pairs.unionByName(x.where("component = top").join(y.where("component <> top"), same & fits).select("x.rep", F.col("y.rep").alias("other")))
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    ends = F.struct("x.node", "x.component").alias("x"), F.struct("y.node", "y.component").alias("y")
+    pairs = x.where("component <> top").join(y, same & fits).select(*ends)
+    pairs = pairs.unionByName(x.where("component = top").join(y.where("component <> top"), same & fits).select(*ends))
+    return pairs.select(*ordered(F.col("x"), F.col("y"))).distinct()
+
+
+def contract(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label(node, weight, component) after the components that links(ca, cb) join have become one."""
+    parts = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = label.join(parts.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    return joined.select("node", "weight", F.coalesce("into", "component").alias("component"))
+
+
+class Sets:
+    """The shingle sets of classes(node, digest, least_id), made from the texts for the nodes that are asked for, once each."""
+
+    def __init__(self, source: DataFrame, classes: DataFrame, size: int, scratch: Scratch) -> None:
+        self.source, self.size, self.scratch = source.select("doc_id", "text"), size, scratch
+        self.classes, self.tables = classes.select("node", "digest", F.col("least_id").alias("doc_id")), []
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of these nodes and of all asked for before."""
+        for held in self.tables:
+            nodes = nodes.join(held.select("node"), "node", "left_anti")
+        named = self.scratch.write(self.classes.join(nodes, "node", "left_semi"), "named")
+        if not named.isEmpty() or not self.tables:
+            texts = self.source.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+            found = shingles(texts, self.size).join(named, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+            self.tables.append(self.scratch.write(found.select("node", "shingles"), f"sets{len(self.tables)}"))
+        whole = self.tables[0]
+        for held in self.tables[1:]:
+            whole = whole.unionByName(held)
+        return whole
 
 
 def near_duplicates(
     documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Equal shingle sets are one class, represented by its smallest id. Classes that share a bucket are candidates: each
-    bucket gives stars, never all pairs. The first star's center is the member with most company over all its buckets,
-    which is the text that the others were copied from if there is one. Links are confirmed on full sets. Buckets whose
-    members then lie in several components give further stars from other members, turn by turn, until a turn finds no
-    link. Stars only make the components large early: the members of buckets that are mixed even then are joined exactly,
-    by the rare shingles that similar sets must share, and every pair left is tested. So every pair at the threshold that
-    shares a bucket is linked or lies in one component.
-
-    Texts that are null, empty or without words link with nothing. Rows with one id are one node. A null id is kept and
-    links with nothing. An empty table gives an empty result; other columns are ignored."""
-    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(signatures(source, size, bands, rows), "signed")
+    """(doc_id, n_shingles, component_id, kept, carried) of every row. carry: a long of the row that is handed through, by which
+    a caller can tell rows that repeat an id apart; null by default.
+
+    Equal shingle sets are one class. Classes that share a bucket are candidates: each bucket gives stars, never all pairs.
+    A first star, over FIRST bands, has the member with most company as its center, which is the text that the others were
+    copied from if there is one, and joins most of a group. Stars over all bands follow, only to members that lie in
+    another component than the center. Links are confirmed on full sets. Stars only make the components large early:
+    where a bucket's members lie in several components even then, all members of these components are joined exactly, by the
+    rare shingles that similar sets must share, and every pair left is tested. So every pair at the threshold that shares
+    a bucket is linked or lies in one component.
+
+    A component's id is the smallest doc_id of its rows. Texts that are null, empty or without words link with nothing, and
+    neither does a null id, which is kept. Rows that repeat an id are rows of their own: with one text they are in one
+    class, with several they may lie in several components, and each is kept where the id is its component's. Texts of any
+    length are read whole; a set takes 8 bytes a word. An empty table gives an empty result; other columns are ignored."""
+    carry = F.lit(None) if carry is None else carry
+    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), carry.cast("long").alias("carried"))
+    scratch = Scratch(documents.sparkSession, "minhash")
+    signed = scratch.write(signatures(source, size, bands, rows), "signed")
     usable = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
-    classes = materialize(classes.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.keys").alias("keys")), "classes")
-    members = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(members.join(shared, "key"), "buckets")
-    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(weights, "rep").select("key", "rep", "n", "weight", F.col("rep").alias("component")), "members")
-    # shingle sets are kept for the members of buckets alone, once for all turns
-    named = materialize(classes.join(weights.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "digest"), "named")
-    texts = source.join(named.select("doc_id"), "doc_id", "left_semi")
-    sets = shingles(texts, size).join(named, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(sets.select(F.col("doc_id").alias("rep"), "shingles"), "sets")
-    tested, links, parts, turn = None, None, None, 0
-    while True:
-        more = stars(members, turn, percent)
-        more = materialize(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(verify(more, sets, percent), "links")
-        tested = more if tested is None else tested.unionByName(more)
-        if links is not None and found.isEmpty():
-            last = materialize(untested(members, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = materialize(verify(last, sets, percent), "links")
-            if not found.isEmpty():
-                parts = connected_components(links.unionByName(found))
-            break
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        placed = members.drop("component").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = materialize(placed.select("key", "rep", "n", "weight", "component"), "placed")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        members = placed.join(mixed.where((F.col("lo") < F.col("hi")) & (F.col("size") > 2)).select("key"), "key", "left_semi")
-        members = materialize(members, "members")
-        turn += 1
-        if members.isEmpty():
-            break
-    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    whole = signed.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("r.doc_id").alias("least_id"), F.col("r.n_shingles").alias("n"), F.col("r.keys").alias("keys"))
+    classes = scratch.write(classes, "classes")  # from here on the numbers of the classes stand
+    sets = Sets(source, classes, size, scratch)
+
+    few = classes.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "node", "n")
+    shared = few.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    company = F.sum("size").over(Window.partitionBy("node"))  # FIRST rows a node at most
+    few = scratch.write(few.join(shared, "key").select("key", "node", "n", company.alias("weight"), F.col("node").alias("component")), "few")
+    weights = few.groupBy("node").agg(F.max("weight").alias("weight"))
+    label = classes.select("node").join(weights, "node", "left").select("node", F.coalesce("weight", F.lit(0)).alias("weight"), F.col("node").alias("component"))
+    label, tested = scratch.write(label, "label"), None
+    for turn in range(2):
+        pairs = stars(few, percent, 0) if turn == 0 else stars(members_of(classes, label), percent, STARS - 1)
+        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{turn}")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = scratch.write(verify(pairs, sets.of(ends), percent), "links")
+        if not links.isEmpty():
+            label = scratch.write(contract(label, links), "label")
+    parts = members_of(classes, label).groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1 and size > 2").select("key")
+    open_parts = scratch.write(parts.join(mixed, "key", "left_semi").select("component").distinct(), "open")
+    if not open_parts.isEmpty():
+        placed = scratch.write(label.join(open_parts, "component", "left_semi").select("node", "component"), "placed")
+        last = untested(placed, sets.of(placed.select("node")), percent, scratch).join(tested, ["a", "b"], "left_anti")
+        last = scratch.write(last, "last")
+        ends = last.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = scratch.write(verify(last, sets.of(ends), percent), "links")
+        if not links.isEmpty():
+            label = scratch.write(contract(label, links), "label")
+    scratch.drop(*[name for name in scratch.paths if name not in ("signed", "classes", "label")])
+    placed = classes.select("node", "digest", "least_id").join(label.select("node", "component"), "node")
+    ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
+    names = placed.join(ids, "component", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
+    whole = signed.select("doc_id", "n_shingles", "digest", "carried").join(names, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "carried")
