@@ -7,18 +7,19 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, portions, unlike, worker_cache
 
-#: Default parameters: window length, the id that ends a document, documents that are packed together, cached words.
-WINDOW, END_ID, SHARD_DOCS, CACHE = 2048, 1, 3000, 1_200_000
+#: Default parameters: window length, the id that ends a document, pieces that are packed together, bytes of cached words.
+WINDOW, END_ID, SHARD_PIECES, CACHE_BYTES = 2048, 1, 4096, 64_000_000
 #: Fixed values of byte-level BPE: the characters that stand for the 256 bytes; printable bytes stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: About what a cached word takes beside its characters and ids.
+ENTRY_BYTES = 200
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -27,22 +28,26 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by a byte-level BPE file of `tokenizers`.
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by a byte-level BPE file of `tokenizers`: the ids
+    that the tokenizer's own `encode` gives, the strings of its special tokens included.
 
     The pre-tokenizer never joins across a single space between two non-space characters, nor across a single line feed
     between them, so words are encoded once and kept. Words of letters alone are one pre-token and go straight to the
-    BPE model. The cache is bounded: when full it is emptied."""
+    BPE model. The cache is bounded in bytes: when full it is emptied."""
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.limit = self.tokenizer.model, cache
-        self.alphabet = {b: c for b, c in byte_alphabet().items()}
+        self.model, self.limit, self.held = self.tokenizer.model, cache_bytes, 0
+        self.alphabet = byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.cuts = re.compile(r"(?<=\S)([ \n])(?=\S)")
         self.runs = re.compile(r"\s\s")
+        # special tokens are cut out of a text before anything else is looked at
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
+        self.marks = special
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -51,59 +56,69 @@ class Encoder:
         mapped = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _word(self, chunk: str) -> bytes:
-        """Ids of a chunk that holds no space but may begin with one."""
+    def _line(self, chunk: str) -> bytes:
+        """Ids of a chunk without line feeds that holds no space but may begin with one."""
         body = chunk[1:] if chunk[:1] == " " else chunk
         if body.isalpha() and len(body) <= 200:
             return self._letters(chunk)
         if len(body) > 1 and body[-1] in ".,!" and body[-2].isalpha():
-            return self._of(chunk[:-1]) + self._of(body[-1])
-        if "\n" in body and not self.runs.search(body) and body[0] != "\n" and body[-1] != "\n":
-            first, _, rest = chunk.partition("\n")
-            return self._of(first) + self._of("\n") + self._of(rest)
+            return self.word(chunk[:-1]) + self.word(body[-1])
         return self._whole(chunk)
 
-    def _of(self, chunk: str) -> bytes:
+    def word(self, chunk: str) -> bytes:
+        """Ids of a chunk that holds no space but may begin with one; kept if it is short."""
         got = self.words.get(chunk)
-        if got is None:
-            got = self._word(chunk)
-            if len(chunk) <= 64:
-                self.words[chunk] = got
+        if got is not None:
+            return got
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if "\n" in body and body[0] != "\n" and body[-1] != "\n" and not self.runs.search(body):
+            feed, lines = self.word("\n"), chunk.split("\n")
+            got = feed.join(map(self.word, lines))
+        else:
+            got = self._line(chunk)
+        if len(chunk) <= 64:
+            self.words[chunk] = got
+            self.held += ENTRY_BYTES + len(chunk) + len(got)
+            if self.held > self.limit:
+                self.clear()
         return got
 
+    def clear(self) -> None:
+        self.words.clear()
+        self.held = 0
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.words) > self.limit:
-            self.words.clear()
+        if self.special and any(m in text for m in self.marks):
+            parts = self.special.split(text)  # text, special token, text, ...
+            return b"".join(self._whole(p) if k % 2 else self._plain_text(p) for k, p in enumerate(parts) if p)
+        return self._plain_text(text)
+
+    def _plain_text(self, text: str) -> bytes:
         if self.runs.search(text) or text[0] == " " or text[-1] == " ":
             parts = self.cuts.split(text)  # text, separator, text, ...
-            out, lead = [self._of(parts[0]) if self._plain(parts[0]) else self._whole(parts[0])], ""
+            out, lead = [self.word(parts[0]) if self._solid(parts[0]) else self._whole(parts[0])], ""
             for k in range(1, len(parts), 2):
                 lead = parts[k]
                 if lead == "\n":
-                    out.append(self._of("\n"))
+                    out.append(self.word("\n"))
                     lead = ""
                 chunk = lead + parts[k + 1]
-                out.append(self._of(chunk) if self._plain(parts[k + 1]) else self._whole(chunk))
+                out.append(self.word(chunk) if self._solid(parts[k + 1]) else self._whole(chunk))
             return b"".join(out)
         first, *rest = text.split(" ")
-        get, words, of = self.words.get, self.words, self._of
-        found = [get(" " + c) or of(" " + c) for c in rest]
-        return of(first) + b"".join(found)
+        get, word = self.words.get, self.word
+        found = [get(" " + c) or word(" " + c) for c in rest]
+        return word(first) + b"".join(found)
 
-    def _plain(self, chunk: str) -> bool:
+    def _solid(self, chunk: str) -> bool:
         return not any(c.isspace() for c in chunk)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder for each Python worker, as its one cache."""
+    return worker_cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -117,9 +132,9 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (p for whole in batches for p in portions(whole, 1)):
             columns: list[list] = [[] for _ in names]
-            ids: list[list[int]] = []
+            ids: list[np.ndarray] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = own.encode(text) + end
                 total = len(data) // 4
@@ -128,11 +143,11 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_
                     for column, value in zip(columns, (doc, at, len(part) // 4, zlib.crc32(part), total), strict=True):
                         column.append(value)
                     if with_ids:
-                        ids.append(array("I", part).tolist())
+                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             arrays = [pa.array(c, pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, names + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
-    return chosen.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", ids array<long>" * with_ids)
+    return chosen.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids)
 
 
 class Capacities:
@@ -186,28 +201,32 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
     return placed
 
 
-def pack(cut: DataFrame, n_docs: int, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Add sequence_id and offset to pieces. Documents are dealt into shards of about `shard_docs` by a hash of the
-    piece, and each shard is packed by itself: the work is linear, no task holds more than one shard, and what sharding
-    costs is less than a window a shard. A sequence's id is its shard times 2^32 plus its number there."""
-    shards = max(1, round(n_docs / shard_docs))
-    names = cut.columns
-    kind = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("long"))
+def pack(cut: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Add sequence_id and offset to written pieces. Pieces are dealt into shards of about `shard_pieces` by a hash of their
+    row's number, so that repeated rows spread like any others, and each shard is packed by itself: the work is linear, no
+    task holds more than one shard, and what sharding costs is less than a window a shard. A sequence's id is its shard
+    times 2^32 plus its number there."""
+    shards = max(1, round(cut.count() / shard_pieces))
+    names, (shard_col,) = cut.columns, unlike(cut, "_shard")
+    kind = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
+    # the pieces are a table, whose rows have the same number whenever a task is run again
+    dealt = cut.withColumn(shard_col, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
 
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        placed = best_fit_decreasing(shard["length"].tolist(), window)
-        shard["sequence_id"] = [(int(shard["_shard"].iloc[0]) << 32) + s for s, _ in placed]
-        shard["offset"] = [o for _, o in placed]
-        return shard[[*names, "sequence_id", "offset"]]
+    def run(shard: pa.Table) -> pa.Table:
+        number = shard.column(shard_col)[0].as_py()
+        shard = shard.select(names).sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        placed = best_fit_decreasing(shard.column("length").to_pylist(), window)
+        shard = shard.append_column("sequence_id", pa.array([(number << 32) + s for s, _ in placed], pa.int64()))
+        return shard.append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
-    return dealt.groupBy("_shard").applyInPandas(run, kind)
+    return dealt.groupBy(shard_col).applyInArrow(run, kind)
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, cut and pack: one row per piece, with sequence_id and offset. The pieces are written once to the shared
-    folder, so the text is encoded once however often the packing is retried. An empty table gives no pieces; documents
-    with a null id keep it; other columns are ignored."""
+    folder, so the text is encoded once however often the packing is retried.
+
+    Null and empty texts have the end alone; a text of any length is encoded whole and cut into full windows and a rest; rows
+    that repeat are packed as often; a null id is kept; an empty table gives no pieces; other columns are ignored."""
     cut = materialize(pieces(documents, tokenizer_path, window, end_id, id_col, text_col, with_ids), "pieces")
-    return pack(cut, cut.where(F.col("start") == 0).count(), window, shard_docs)
+    return pack(cut, window, shard_pieces)
