@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Scratch, connected_components
 
 #: Default parameters: least cosine, nearest pivots that describe a vector, pivots that a pair must share, bounds on the
 #: number of pivots, and rows of a list that are compared in one block.
@@ -36,7 +36,7 @@ def usable(vector: list | None) -> bool:
 
 
 def read_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, dim, digest): digest of the components, null for vectors that can't be compared."""
+    """(vec_id, v, dim, digest): digest of the components, null for vectors that can't be compared."""
     chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +46,9 @@ def read_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 good = usable(v)
                 dims.append(len(v) if good else None)
                 digests.append(hashlib.blake2b((np.array(v, np.float64) + 0.0).tobytes(), digest_size=16).digest() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(digests, pa.binary())], ["vec_id", "dim", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(digests, pa.binary())], ["vec_id", "v", "dim", "digest"])
 
-    return chosen.mapInArrow(run, "vec_id long, dim int, digest binary")
+    return chosen.mapInArrow(run, "vec_id long, v array<double>, dim int, digest binary")
 
 
 def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.ndarray:
@@ -141,7 +141,8 @@ def compare(rows: dict[str, np.ndarray], pivots: int, cosine: float, shared: int
 
 
 def links_of(described: DataFrame, pivots: int, cosine: float, shared: int, block: int) -> DataFrame:
-    """described(rep, copies, v, perm) -> (rep, n, root): sums of linked vectors and edges of a spanning forest."""
+    """described(rep, copies, v, perm) -> (rep, n, root): sums of linked vectors and edges of a spanning forest. rep is the
+    number of a class of equal vectors."""
     spark = described.sparkSession
     width = described.select(F.size("perm")).first()
     k = width[0] if width else 0
@@ -196,37 +197,42 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector, whatever its label.
 
-    Equal vectors are one class, represented by its smallest id, and are linked with each other. The number of pivots
-    grows with the square root of the classes, from LEAST_PIVOTS to MOST_PIVOTS, which keeps the lists short; they are
-    chosen from a sample of four times as many classes in a hash order, the only vectors that reach the driver. Every class is indexed.
+    Equal vectors are one class and are linked with each other. The number of pivots grows with the square root of the
+    classes, from LEAST_PIVOTS to MOST_PIVOTS, which keeps the lists short; they are chosen from a sample of four times as many
+    classes in a hash order, the only vectors that reach the driver. Every class is indexed, and `nearest` grows by one with
+    each fourfold of the pivots beyond LEAST_PIVOTS, as a pair's descriptions agree less the finer they are.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, as do rows with a null
-    id. Only vectors of one dimension are compared. Rows that repeat an id count as vectors of their own among the links.
-    An empty table gives an empty result; other columns are ignored."""
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    read = materialize(read_vectors(source, "vec_id", "v"), "vectors")
+    id. Only vectors of one dimension are compared. Rows that repeat an id are vectors of their own, each with its own links
+    and component. An empty table gives an empty result; other columns are ignored."""
+    scratch = Scratch(vectors.sparkSession, "pivots")
+    read = scratch.write(read_vectors(vectors, id_col, vector_col), "vectors")
     good = read.where(F.col("digest").isNotNull() & F.col("vec_id").isNotNull())
-    classes = good.groupBy("dim", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "classes")
-    own = source.join(classes.select("dim", "digest", F.col("rep").alias("vec_id"), "copies"), "vec_id").where(F.size("v") == F.col("dim"))
-    reps = materialize(own.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "dim", "copies", "v"), "reps")
+    # equal digests are equal vectors, so any row of a class gives its vector
+    classes = good.groupBy("dim", "digest").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
     found = None
-    for row in sorted(reps.groupBy("dim").count().collect()):
-        part = reps.where(F.col("dim") == row["dim"]).drop("dim")
+    for row in sorted(classes.groupBy("dim").count().collect()):
+        part = classes.where(F.col("dim") == row["dim"]).select("rep", "copies", "v")
         wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2.5 * row["count"] ** 0.5)))
-        sample = part.orderBy(F.xxhash64("rep"), "rep").limit(4 * wanted).select("v").collect()
+        sample = part.orderBy(F.xxhash64("v"), "rep").limit(4 * wanted).select("v").collect()
         pivots = choose_pivots(unit(np.array([r["v"] for r in sample], np.float64)), wanted)
-        described = materialize(describe(part, pivots, nearest), "described")
+        close = nearest + max(0, round(np.log2(len(pivots) / LEAST_PIVOTS) / 2))
+        described = scratch.write(describe(part, pivots, close), f"described{row['dim']}")
         links = links_of(described, len(pivots), cosine, shared, block)
         found = links if found is None else found.unionByName(links)
     if found is None:
         return read.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialize(found, "links")
+    found = scratch.write(found, "links")
+    scratch.drop(*[name for name in scratch.paths if name.startswith("described")])
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("n").alias("others"))
-    label = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    label = label.select("dim", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("part"))
-    whole = read.join(label, ["dim", "digest"], "left")
+    label = classes.drop("v").join(counted, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    label = scratch.write(label.withColumn("component", F.coalesce("component", "rep")), "label")
+    scratch.drop("links")
+    ids = label.groupBy("component").agg(F.min("least_id").alias("part"), F.count("*").alias("size")).where("size > 1")
+    label = label.join(ids, "component", "left").select("dim", "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("part", "least_id").alias("part"))
+    whole = read.drop("v").join(label, ["dim", "digest"], "left")
     linked = F.col("vec_id").isNotNull()
     component = F.when(linked, F.coalesce("part", "vec_id"))
     return whole.select(
