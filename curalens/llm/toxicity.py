@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import portions, remainder
 
-#: Bound of the labelled sample: rows of each class.
-MAX_ROWS_PER_CLASS = 5_000
+#: Bounds of the labelled sample: rows of each class, and characters of a text and of all texts.
+MAX_ROWS_PER_CLASS, MAX_TEXT_CHARS, MAX_SAMPLE_CHARS = 5_000, 200_000, 40_000_000
 TOKEN = re.compile(r"\w+")
 #: Prefixes of these lengths stand in for words that the sample has seen too rarely.
 PREFIXES = (7, 5, 4)
+#: What a token scores that speaks neither way.
+DRIFT = -0.5
 
 
 @dataclass
@@ -109,81 +110,135 @@ def extreme(model: ToxicModel, n: int, found: list[tuple[int, int, float]]) -> f
     if not found:
         return 0.0
     shift = math.log(model.k) + 0.5 * math.log(max(n, 1))
-    values = sorted((max(0.0, model.lam * s - shift) for _, _, s in found), reverse=True)
-    return values[0] + 0.25 * sum(values[1:8])
+    values = [max(0.0, model.lam * s - shift) for _, _, s in found]
+    best = max(values)
+    return best + 0.25 * (sum(values) - best)
 
 
-def distinct(rows: list[tuple[list[str], int]], checks: int = 3) -> list[tuple[list[str], int]]:
-    """Leave out copies: rows whose least word-triple hash, under any of `checks` hashes, an earlier row had. The words
-    of a text that was copied many times would otherwise look like evidence."""
-    seen: set[tuple[int, int]] = set()
-    found = []
-    for words, y in rows:
-        own = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words)) if words else np.zeros(1, np.uint64)
-        grams = own if len(own) < 3 else own[:-2] * np.uint64(0x9E3779B1) ** np.uint64(2) + own[1:-1] * np.uint64(0x9E3779B1) + own[2:]
-        keys = {(k, int((grams * np.uint64(m)).min())) for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:checks])}
-        if seen.isdisjoint(keys):
-            found.append((words, y))
-        seen |= keys
-    return found
-
-
-def lexicon(rows: list[tuple[list[str], int]], z: float = 1.0) -> ToxicModel | None:
-    """Scores of tokens and prefixes from distinct rows: the lower bound d - z * deviation of their log-odds.
-
-    Kept are tokens whose bound exceeds 1.6 and prefixes, for rare words, whose bound exceeds 2.2.
-    All other tokens drift. lambda solves E[exp(lambda s)] = 1 on the clean rows' mix of scores."""
-    n_toxic = sum(y for _, y in rows)
+class Words(dict):
+    """Word -> number, in the order first seen."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+@dataclass
+class Sample:
+    """Labelled texts as arrays of word numbers, with what is known of each word: its hash, and the numbers of its prefixes (-1
+    where it is no longer than the prefix)."""
+
+    names: list[str]
+    texts: list[np.ndarray]
+    labels: np.ndarray
+    hashes: np.ndarray
+    heads: list[str]
+    head_of: np.ndarray
+
+    @classmethod
+    def read(cls, rows: Iterable[tuple[str | None, int]]) -> Sample:
+        known, texts, labels = Words(), [], []
+        for text, y in rows:
+            words = TOKEN.findall((text or "").lower())
+            texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            labels.append(y)
+        names, heads = list(known), Words()
+        head_of = np.array([[heads[w[:n]] if len(w) > n else -1 for n in PREFIXES] for w in names], np.int32).reshape(-1, len(PREFIXES))
+        return cls(names, texts, np.array(labels, int), np.array([zlib.crc32(w.encode()) for w in names], np.uint64), list(heads), head_of)
+
+    def distinct(self, checks: int = 3) -> list[int]:
+        """The texts without copies: not those whose least word-triple hash, under any of `checks` hashes, an earlier text had.
+        The words of a text that was copied many times would otherwise look like evidence."""
+        seen: set[tuple[int, int]] = set()
+        found, odd = [], np.uint64(0x9E3779B1)
+        for i, ids in enumerate(self.texts):
+            own = self.hashes[ids] if len(ids) else np.zeros(1, np.uint64)
+            grams = own if len(own) < 3 else own[:-2] * odd ** np.uint64(2) + own[1:-1] * odd + own[2:]
+            keys = {(k, int((grams * np.uint64(m)).min())) for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:checks])}
+            if seen.isdisjoint(keys):
+                found.append(i)
+            seen |= keys
+        return found
+
+
+@dataclass
+class Lexicon:
+    """Scores of a sample's words (nan where the prefixes decide) and prefixes (nan where they say nothing), and of each word
+    altogether; lambda."""
+
+    words: np.ndarray
+    heads: np.ndarray
+    score: np.ndarray
+    lam: float
+
+
+def lexicon(sample: Sample, rows: list[int], z: float = 1.0, drift: float = DRIFT) -> Lexicon | None:
+    """Scores of words and prefixes from these rows of a sample: the lower bound d - z * deviation of their log-odds.
+
+    Kept are words whose bound exceeds 1.6 and prefixes, for rare words, whose bound exceeds 2.2.
+    All other words drift. lambda solves E[exp(lambda s)] = 1 on the clean rows' mix of scores."""
+    labels = sample.labels[rows]
+    n_toxic = int(labels.sum())
     n_clean = len(rows) - n_toxic
     if not n_toxic or not n_clean:
         return None
-    counts = Counter(), Counter()
-    heads = Counter(), Counter()
-    for words, y in rows:
-        own = set(words)
-        counts[y].update(own)
-        heads[y].update({w[:n] for w in own for n in PREFIXES if len(w) > n})
-
-    def bounds(by: tuple[Counter, Counter], least: int, over: float) -> dict[str, float]:
-        found = {}
-        for token, y1 in by[1].items():
-            if y1 >= least:
-                d, deviation = log_odds(y1, by[0][token], n_toxic, n_clean)
-                if d - z * deviation > over:
-                    found[token] = d - z * deviation
+    counts, heads = np.zeros((2, len(sample.names)), int), np.zeros((2, len(sample.heads)), int)
+    for i in rows:
+        own = np.unique(sample.texts[i])
+        counts[sample.labels[i], own] += 1
+        begin = np.unique(sample.head_of[own])
+        heads[sample.labels[i], begin[begin >= 0]] += 1
+
+    def bounds(by: np.ndarray, least: int, over: float) -> np.ndarray:
+        found = np.full(by.shape[1], np.nan)
+        for k in np.flatnonzero(by[1] >= least):
+            d, deviation = log_odds(int(by[1, k]), int(by[0, k]), n_toxic, n_clean)
+            if d - z * deviation > over:
+                found[k] = d - z * deviation
         return found
 
-    model = ToxicModel(bounds(counts, 2, 1.6), bounds(heads, 4, 2.2), -0.5, 1.0, 1.0, 1.0, 0.0)
-    mix: Counter = Counter()
-    for words, y in rows:
-        if not y:
-            mix.update(round(model.of(w), 1) for w in words)
-    values, seen = np.array(list(mix)), np.array(list(mix.values()), float)
-    if values.size and values.max() > 0:
+    words, begins = bounds(counts, 2, 1.6), bounds(heads, 4, 2.2)
+    score = words.copy()
+    for n in range(len(PREFIXES)):
+        by_head = np.where(sample.head_of[:, n] >= 0, begins[sample.head_of[:, n]] if len(begins) else np.nan, np.nan)
+        score = np.where(np.isnan(score), by_head, score)
+    score = np.where(np.isnan(score), drift, score)
+    seen = np.zeros(len(score))
+    for i in rows:
+        if not sample.labels[i]:
+            seen += np.bincount(sample.texts[i], minlength=len(score))
+    lam = 1.0
+    if seen.any() and score[seen > 0].max() > 0:
         lo, hi = 0.0, 20.0
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if (seen * np.exp(np.minimum(mid * values, 700))).sum() < seen.sum() else (lo, mid)
-        model.lam = max(lo, 0.05)
-    return model
+            lo, hi = (mid, hi) if (seen * np.exp(np.minimum(mid * score, 700))).sum() < seen.sum() else (lo, mid)
+        lam = max(lo, 0.05)
+    return Lexicon(words, begins, score, lam)
 
 
-def fit(rows: list[tuple[str | None, int]], folds: int = 3) -> ToxicModel:
-    """rows: (whole text, label). Token counts are by document, as one passage makes a document toxic.
+def fit(rows: Iterable[tuple[str | None, int]], folds: int = 3) -> ToxicModel:
+    """rows: (whole text, label). Word counts are by document, as one passage makes a document toxic.
 
     K is fitted to the best segments of clean rows, and the logistic to the extreme values of all rows; both use rows
     that the scoring lexicon has not seen, by `folds` folds. Without rows of both classes every text scores the share
     of label 1."""
-    own = distinct([(TOKEN.findall((text or "").lower()), y) for text, y in rows])
-    share = (sum(y for _, y in own) + 0.5) / (len(own) + 1)
-    model = lexicon(own)
-    if model is None:
+    sample = Sample.read(rows)
+    own = sample.distinct()
+    share = (float(sample.labels[own].sum()) + 0.5) / (len(own) + 1)
+    whole = lexicon(sample, own)
+    if whole is None:
         return ToxicModel({}, {}, -1.0, 1.0, 1.0, 0.0, math.log(share / (1 - share)))
+    kept = lambda names, scores: {names[k]: float(scores[k]) for k in np.flatnonzero(~np.isnan(scores))}
+    model = ToxicModel(kept(sample.names, whole.words), kept(sample.heads, whole.heads), DRIFT, whole.lam, 1.0, 1.0, 0.0)
     found = []
     for k in range(folds):
-        part = lexicon([r for i, r in enumerate(own) if i % folds != k])
+        part = lexicon(sample, [i for at, i in enumerate(own) if at % folds != k])
         if part is not None:
-            found += [(len(words), scan_words(words, part), y) for i, (words, y) in enumerate(own) if i % folds == k]
+            for i in own[k::folds]:
+                at = np.flatnonzero(part.score[sample.texts[i]] != DRIFT)
+                hits = list(zip(at.tolist(), part.score[sample.texts[i][at]].tolist(), strict=True))
+                found.append((len(sample.texts[i]), segments(hits, DRIFT), int(sample.labels[i])))
     # the count of chance segments over s is K n exp(-lambda s); each clean row's best segments give one estimate
     chance = [(n, max(s for _, _, s in got)) for n, got, y in found if got and not y]
     clean_tokens = sum(n for n, _, y in found if not y)
@@ -214,27 +269,37 @@ def score_text(text: str | None, model: ToxicModel) -> tuple[float, list[tuple[i
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS_PER_CLASS, label: str = "toxic") -> ToxicModel:
     """Fit on labelled rows whose crc32(doc_id) mod `modulus` isn't `held_out`: at most `max_rows` of each class, in a
-    hash order of the id. The sample is bounded by that parameter and read into the driver as whole texts."""
+    hash order of the id. Only this sample, bounded in rows and characters, is read into the driver."""
     return fit(sample_labelled(documents, labels, modulus, held_out, max_rows, label))
 
 
-def sample_labelled(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, max_rows: int, label: str) -> list[tuple[str | None, int]]:
+def sample_labelled(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, max_rows: int, label: str) -> Iterator[tuple[str | None, int]]:
+    """(whole text, label) of a bounded sample, one by one in a hash order of the id, one text for each id. Texts beyond
+    MAX_TEXT_CHARS are no part of it, and it ends at MAX_SAMPLE_CHARS."""
     known = labels.where(F.col(label).isin(0, 1) & (remainder("doc_id", modulus) != held_out)).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.dropDuplicates(["doc_id", "y"])
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows narrow rows
-    return [(r["text"], r["y"]) for r in texts.select("text", "y").toLocalIterator()]
+    short = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_TEXT_CHARS)
+    texts = short.join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows narrow rows
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+    held = 0
+    for r in texts.toLocalIterator():
+        held += len(r["text"] or "")
+        if held > MAX_SAMPLE_CHARS:
+            break
+        yield r["text"], r["y"]
 
 
 def find_passages(documents: DataFrame, model: ToxicModel, significance: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score, predicted, n_tokens, and its significant toxic passages
     (first and last token, score, p value), by a linear scan of the whole text.
 
-    Null and empty texts have no segment and score the calibrated floor; repeated rows stay repeated; other columns are
-    ignored. Nothing is shuffled: the model, bounded by its training sample, travels with the task."""
+    Null and empty texts have no segment and score the calibrated floor; a text of any length is scanned whole, and all its
+    passages count; equal texts score the same; repeated rows stay repeated; an empty table gives an empty result; other
+    columns are ignored. Nothing is shuffled: the model, bounded by its training sample, travels with the task."""
     chosen = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = "doc_id long, score double, predicted int, n_tokens long, passages array<struct<first:long,last:long,score:double,p_value:double>>"
@@ -242,7 +307,7 @@ def find_passages(documents: DataFrame, model: ToxicModel, significance: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (p for whole in batches for p in portions(whole, 1)):
             scores, sizes, passages = [], [], []
             for text in batch.column(1).to_pylist():
                 score, found, n = score_text(text, m)
@@ -259,11 +324,12 @@ def find_passages(documents: DataFrame, model: ToxicModel, significance: float =
 
 
 def remove_toxic(documents: DataFrame, model: ToxicModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents that score under `limit`, with all their columns as they were. Nothing is shuffled."""
+    """The documents that score under `limit`, with all their columns as they were, whatever their names. Null and empty texts
+    score the floor; repeated rows are judged alike; an empty table stays empty. Nothing is shuffled."""
     shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in portions(whole, at)):
             keep = [score_text(text, shared.value)[0] < limit for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
