@@ -65,17 +65,19 @@ class Encoder:
             return self.word(chunk[:-1]) + self.word(body[-1])
         return self._whole(chunk)
 
+    def ids(self, chunk: str) -> bytes:
+        """Ids of a chunk that holds no space but may begin with one."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if "\n" in body and body[0] != "\n" and body[-1] != "\n" and not self.runs.search(body):
+            return self.word("\n").join(map(self.word, chunk.split("\n")))
+        return self._line(chunk)
+
     def word(self, chunk: str) -> bytes:
-        """Ids of a chunk that holds no space but may begin with one; kept if it is short."""
+        """`ids`, kept if the chunk is short."""
         got = self.words.get(chunk)
         if got is not None:
             return got
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if "\n" in body and body[0] != "\n" and body[-1] != "\n" and not self.runs.search(body):
-            feed, lines = self.word("\n"), chunk.split("\n")
-            got = feed.join(map(self.word, lines))
-        else:
-            got = self._line(chunk)
+        got = self.ids(chunk)
         if len(chunk) <= 64:
             self.words[chunk] = got
             self.held += ENTRY_BYTES + len(chunk) + len(got)
