@@ -5,11 +5,14 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from curalens.llm import attention_lm, decontaminate, html_text, lm, minhash, packing, pivots, quality, toxicity, url_filter, warc
@@ -103,6 +106,34 @@ def test_minhash_tests_every_pair_of_mixed_buckets(spark):
     assert got == {i: i if i < 1000 else 40 * (i - 1000) + 7 for i, _ in rows}
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    a, b = ([f"{x}{k}" for k in range(300)] for x in "ab")
+    near = lambda w: " ".join([*w[:-2], "y", "z"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (7, " ".join(b)), (4, near(b) + " x")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(4, 4, True), (5, 4, False), (5, 5, True), (6, 5, False), (7, 4, False), (7, 4, False)]
+
+
+def test_minhash_finds_links_among_boilerplate(spark):
+    rng, rows = random.Random(11), []
+    template = [f"w{k}" for k in range(250)]
+    own = lambda words, k: [f"{rng.random()}" if at % (len(words) // k) == 3 else w for at, w in enumerate(words)]
+    for i in range(600):
+        rows.append((i, own(template, 6)))  # any two share about 0.80
+    pairs = [(17 * k, 1000 + k) for k in range(12)]
+    for at, new in pairs:
+        rows.append((new, own(rows[at][1], 3)))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    sets = {i: set(minhash.shingle_set(t.encode()).tolist()) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in range(5):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(linked) >= 12
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()} == label
+
+
 def test_optimal_densification_fills_every_bin():
     borrow = minhash.probes(125)
     for n in (1, 3, 40, 4000):
@@ -132,22 +163,34 @@ def test_vectors_against_brute_force(spark):
     assert pivots.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_vectors_that_repeat_an_id(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 16))
+    rows = [(1, a), (1, b), (2, a + 0.01 * rng.standard_normal(16)), (3, b + 0.01 * rng.standard_normal(16)), (3, a), (4, b)]
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in pivots.near_vectors(frame).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
-    own, rng = packing.Encoder(PATH, cache=300), random.Random(2)
-    parts = [*"ab é,.!'\n\t  1\xa0\x1c\u3000s-𝒳", "don't", " the", "  ", "\n\n", "<|endoftext|>", " 's"]
+    own, rng = packing.Encoder(PATH, cache_bytes=60_000), random.Random(2)
+    same = lambda t: np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    parts = [*"ab é,.!'\n\t  1\xa0\x1c\u3000s-𝒳", "don't", " the", "  ", "\n\n", "<|endoftext|>", "<|endof", " 's"]
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert same(text), repr(text)
+    assert own.held <= 60_000
+    lines = [prose(rng, 4).split()[0] for _ in range(20_000)]
+    assert same("\n".join(lines)) and same(" x".join(lines)) and np.frombuffer(own.encode("a<|endoftext|>"), "<u4").tolist() == [64, 50256]
 
 
 def test_packing_round_trip(spark):
     rng = random.Random(4)
     rows = [(100 + i, prose(rng, rng.choice([3, 40, 300]))) for i in range(120)] + EDGE
-    got = packing.pack_documents(docs(spark, rows), PATH, window=64, shard_docs=50, with_ids=True).collect()
+    got = packing.pack_documents(docs(spark, rows), PATH, window=64, shard_pieces=80, with_ids=True).collect()
     own, sequences, texts = packing.Encoder(PATH), collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         sequences[r["sequence_id"]].append(r)
@@ -169,6 +212,12 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), PATH).collect() == []
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    got = packing.pack_documents(docs(spark, [(None, "")] * 400 + [(7, "a b c")] * 400), PATH, shard_pieces=100).collect()
+    shards = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 800 and len(shards) == 8 and max(shards.values()) < 160
+
+
 def test_best_fit_takes_the_tightest():
     placed = packing.best_fit_decreasing([6, 5, 4, 3, 2, 10], 10)
     assert placed[5] == (0, 0) and placed[0][0] == placed[2][0] and placed[1][0] == placed[3][0] == placed[4][0]
@@ -184,6 +233,35 @@ def test_best_fit_takes_the_tightest():
     assert len({s for s, _ in packing.best_fit_decreasing(lengths, 100)}) == len(bins)
 
 
+def all_maximal(scores, at=0):
+    """The best segment, and those of what lies before and after it."""
+    best = max(((sum(scores[i : j + 1]), -i, j) for i in range(len(scores)) for j in range(i, len(scores))), default=(0, 0, 0))
+    total, i, j = best[0], -best[1], best[2]
+    if total <= 0:
+        return []
+    return [*all_maximal(scores[:i], at), (at + i, at + j, total), *all_maximal(scores[j + 1 :], at + j + 1)]
+
+
+def test_all_segments_and_the_score_against_brute_force():
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(30)]
+    model = toxicity.ToxicModel({w: rng.uniform(-2, 3) for w in words[:20]}, {}, toxicity.DRIFT, 0.8, 0.3, 1.7, -2.0)
+    for _ in range(150):
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 45))]
+        want = all_maximal([model.of(w) for w in text])
+        score, found, n = toxicity.score_text(" ".join(text), model)
+        assert n == len(text) and [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want] and np.allclose([s for *_, s in found], [s for *_, s in want])
+        shift = np.log(0.3) + 0.5 * np.log(max(n, 1))
+        values = sorted((max(0.0, 0.8 * s - shift) for *_, s in want), reverse=True) or [0.0]
+        assert abs(score - 1 / (1 + np.exp(-(1.7 * (values[0] + 0.25 * sum(values[1:])) - 2.0)))) < 1e-9
+
+
+def test_every_passage_counts():
+    model = toxicity.ToxicModel({"bad": 3.0}, {}, toxicity.DRIFT, 1.0, 0.01, 1.0, -30.0)
+    passage = "bad " + "fine " * 20
+    assert toxicity.score_text(passage * 9, model)[0] < toxicity.score_text(passage * 12, model)[0] < toxicity.score_text(passage * 40, model)[0]
+
+
 def test_segments_against_quadratic_search():
     rng = random.Random(6)
     for _ in range(200):
@@ -229,6 +307,25 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.find_passages(docs(spark, []), model).collect() == quality.score_quality(docs(spark, []), good_model).collect() == []
 
 
+def test_compiled_score_equals_the_rules(spark):
+    rng = random.Random(14)
+    texts = [(100 + i, prose(rng, rng.choice([4, 30, 90])).upper() if i % 3 else prose(rng, 40) + " 12 34! a\nb") for i in range(250)] + EDGE
+    frame = docs(spark, texts)
+    rows = quality.with_statistics(frame, "text").select("doc_id", "text", *[f"_s_{n}" for n in quality.STATISTICS], quality.compile_score(quality.RuleModel(0.25)).alias("flat")).collect()
+    x = np.array([[r[f"_s_{n}"] for n in quality.STATISTICS] for r in rows])
+    words = [(r["text"] or "").split() for r in rows]
+    plain = [i for i, r in enumerate(rows) if r["text"] and r["text"].isascii() and "\x0b" not in r["text"]]
+    at = {n: j for j, n in enumerate(quality.STATISTICS)}
+    assert all(x[i, at["n_words"]] == len(words[i]) and x[i, at["distinct_words"]] == (len(set(words[i])) / len(words[i]) if words[i] else 0) for i in plain)
+    model = quality.fit(x[:200], np.array([i % 3 > 0 for i in range(200)], float), trees=8)
+    assert model.rules
+    z = model.intercept + sum(r.weight * quality.holds(r, x, at) for r in model.rules)
+    got = quality.score_quality(frame, model).collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
+    assert np.allclose([r["score"] for r in got], 1 / (1 + np.exp(-z)), atol=1e-12) and [r["predicted"] for r in got] == [int(v >= 0) for v in z]
+    assert all(abs(r["flat"] - 1 / (1 + np.exp(-0.25))) < 1e-12 for r in rows)
+
+
 def test_lasso_drops_useless_rules():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
@@ -237,14 +334,26 @@ def test_lasso_drops_useless_rules():
     assert model.rules and sum(abs(r.weight) for r in model.rules if r.terms[0][0] == "a") > 0.9 * sum(abs(r.weight) for r in model.rules)
 
 
+def small_model(rng, n=41, **sizes):
+    """A model of n - 1 subwords, every third of which begins a word, with random weights."""
+    counts = rng.integers(1, 50, n).astype(float)
+    at = np.unique(rng.integers(0, n * n, 300))
+    before, after = at // n - 1, np.minimum(at % n, n - 2)
+    _, one = np.unique(before * n + after, return_index=True)
+    first = np.arange(n) % 3 == 0
+    first[-1] = True
+    model = attention_lm.start(counts, first, (before[one], after[one], rng.integers(1, 9, len(one)).astype(float)), width=4, block=4, **sizes)
+    model.params = {k: v.astype(np.float64) + 0.3 * rng.standard_normal(v.shape) for k, v in model.params.items()}
+    return model
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(3)
-    counts = rng.integers(1, 50, 41).astype(float)
+    model = small_model(rng, n_classes=8, own=20)
     texts = [np.r_[rng.integers(0, 40, n), 40] for n in (1, 7, 30)]
-    model = attention_lm.start(counts, np.arange(41) % 2 == 0, texts, (np.array([-1, 3]), np.array([2, 5]), np.array([4.0, 2.0])), width=4, block=4, n_classes=8, own=20)
-    model.params = {k: v.astype(np.float64) for k, v in model.params.items()}
     x, first, y, _ = attention_lm.blocks_of(texts, model, 4)
     _, grads = attention_lm.gradients(model, x, first, y)
+    assert grads.keys() == model.params.keys()
     for name, g in grads.items():
         p = model.params[name]
         for at in [np.unravel_index(int(i), p.shape) for i in rng.integers(0, p.size, 6)]:
@@ -259,12 +368,57 @@ def test_gradients_against_differences():
 
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
-    counts = rng.integers(1, 50, 31).astype(float)
-    pairs = (rng.integers(-1, 30, 200), rng.integers(0, 30, 200), rng.integers(1, 9, 200).astype(float))
-    begin = np.array([1, 9, 17])
-    model = attention_lm.start(counts, np.arange(31) % 3 == 0, [begin], pairs, n_classes=8, own=12)
-    total = sum(10 ** attention_lm.score(model, [np.r_[begin, i]])[-1] for i in range(31))
-    assert abs(total - 1) < 1e-5
+    model = small_model(rng, 31, n_classes=8, own=12)
+    for begin in (np.array([], int), np.array([3, 4]), np.array([3, 1, 9, 0, 17, 6, 2, 5, 8])):
+        logs = [attention_lm.score(model, [np.r_[begin, i]], block=4) for i in range(31)]
+        assert abs(sum(np.exp(own[-1]) for own, _ in logs) - 1) < 1e-5
+        opens = sum(np.exp(own[-1]) for i, (own, _) in enumerate(logs) if i % 3 == 0)  # 30 is the end
+        assert all(abs(np.exp(edge[-1]) - opens) < 1e-5 for _, edge in logs)
+    texts = [np.r_[rng.integers(0, 30, n), 30] for n in (0, 3, 4, 5, 21)]
+    together = attention_lm.score(model, texts, portion=2, group=4, block=4)
+    apart = [attention_lm.score(model, [t], block=4) for t in texts]
+    assert all(np.allclose(together[k], np.concatenate([a[k] for a in apart])) for k in (0, 1))
+
+
+def test_scores_of_all_words_sum_to_one(monkeypatch):
+    """Subwords 0, 3 and 6 begin words, 9 is the end. Words of up to four subwords, the end, and what goes on after four
+    subwords have probability 1 together, by the attention model and in the mixture."""
+    model = small_model(np.random.default_rng(6), 10, n_classes=6, own=6)
+    grown, code = [(0,), (3,), (6,)], {}
+    for _ in range(4):
+        code |= {bytes(w): w for w in grown}
+        grown = [(*w, r) for w in grown for r in range(9) if r % 3]
+    real = attention_lm.score_ids
+    monkeypatch.setattr(attention_lm, "score_ids", lambda m, ids, n, block=4: real(m, ids, n, block=block))
+    hot = {w: k % 7 for k, w in enumerate(code)}
+    scorer = lm.Scorer(model, {w: c for w, c in hot.items() if c}, 11, sum(hot.values()) + 11, 0, 0.3, "")
+    known = {None: struct.pack("<dI", 11, 9)} | {w: struct.pack("<d", hot[w]) + np.array(ids, "<u4").tobytes() for w, ids in code.items()}
+    monkeypatch.setattr(lm.Scorer, "known", lambda self: known)
+    lead = [bytes((3, 1)), bytes((0, 2, 4))]
+    flat, _, logs = lm.word_logs(scorer, [[*lead, w] for w in code])
+    assert flat[2::4] == list(code)
+    own = np.exp(logs[2::4])
+    end = np.exp(lm.word_logs(scorer, [lead])[2][2])
+    closes = [np.exp(attention_lm.score(model, [np.array([3, 1, 0, 2, 4, *w, 9])], block=4)[1][-1]) for w in code.values()]
+    longer = sum(p * (1 / c - 1) for p, c, w in zip(own, closes, code.values(), strict=True) if len(w) == 4)
+    assert abs(own.sum() + end + longer - 1) < 1e-5 and longer < 0.9
+    batch = lm.score_batch(scorer, 0, pa.array([1, 2, 3]), [b" ".join(lead), None, b""])
+    told = lm.word_logs(scorer, [lead, []])[2]
+    mixed = lambda c, p: np.log10(0.3 * c / scorer.tokens + 0.7 * np.exp(p))
+    cold = sum(hot[w] == 0 for w in lead)
+    want = sum(mixed(hot[w], p) for w, p in zip(lead, told, strict=False) if hot[w]) + mixed(11, told[2])
+    assert abs(batch.column(5)[0].as_py() - want) < 1e-6 and abs(batch.column(5)[2].as_py() - mixed(11, told[3])) < 1e-6 and len(batch.column(6)[0]) == cold
+
+
+def test_runs_cover_the_text():
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{k}" for k in range(500)).encode()
+    whole, seen = text.split(), set()
+    for words, before, ends in lm.runs_of(text, 1.0, rng):
+        at = whole.index(words[0])
+        assert whole[at : at + len(words)] == words and before == (at > 0 or len(text) < 90) and ends == (words[-1] == whole[-1])
+        seen.update(words)
+    assert len(seen) == 500 and list(lm.runs_of(b"", 1.0, rng)) == [([], False, True)]
 
 
 def test_lm_base_is_exact(spark):
@@ -272,7 +426,7 @@ def test_lm_base_is_exact(spark):
     words = ["".join(rng.choices(["ba", "do", "ki", "lu"], k=rng.randint(1, 7))) for _ in range(2000)]
     rows = [(1000 + i, " ".join(rng.choices(words, k=rng.randint(1, 80)))) for i in range(300)] + [e for e in EDGE if e[0] != 4] + [(900, "unseen-word-x")]
     train = F.coalesce(F.col("doc_id") % 5 != 2, F.lit(True))
-    got = lm.lm_scores(docs(spark, rows), train, PATH, hot_words=20, sample_docs=150, steps=60).collect()
+    got = lm.lm_scores(docs(spark, rows), train, PATH, hot_words=20, steps=60).collect()
     counts, n = collections.Counter(), 0
     for i, t in rows:
         if i is None or i % 5 != 2:
@@ -293,7 +447,7 @@ def test_lm_score_counts_every_word(spark):
     words = ["".join(rng.choices(["ba", "do", "ki", "lu"], k=rng.randint(1, 5))) for _ in range(300)]
     rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(120)]
     few, all_hot = (
-        {r["doc_id"]: r["score"] for r in lm.lm_scores(docs(spark, rows), F.col("doc_id") % 5 != 2, PATH, hot_words=n, sample_docs=60, steps=20).collect()} for n in (10, 100_000)
+        {r["doc_id"]: r["score"] for r in lm.lm_scores(docs(spark, rows), F.col("doc_id") % 5 != 2, PATH, hot_words=n, steps=20).collect()} for n in (10, 100_000)
     )
     assert len(few) == 120 and all(abs(few[i] - all_hot[i]) < 1e-6 * abs(all_hot[i]) for i in few)
 
@@ -349,6 +503,42 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0), html_text.Weights()).collect() == []
 
 
+def test_best_run_against_quadratic_search():
+    rng = random.Random(12)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randrange(0, 30))]
+        sums = {(i, j): sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))}
+        best, got = max(sums.values(), default=0), html_text.best_run(scores)
+        assert (got is None) if best <= 0 else (abs(sums[got] - best) < 1e-9 and scores[got[0]] > 0 < scores[got[1]])
+
+
+#: Furniture without any name that tells it: only the scores of words and tags set the borders.
+UNNAMED = (
+    "<div><a href=/>Home</a> <a href=/n>News here</a> <a href=/c>Contact</a></div><div><div>Est. 1999</div></div>"
+    "<div class='search-results-and-comment-guide'><h2>How it works</h2><p>The first part of a long and quiet text with a <a href=/x>link</a> in it.</p>"
+    "<div id='notice-board-history'><p>The second part, on the history of the notice board, is long too and stays.</p></div>"
+    "<p title='%s > x'>The last part has an attribute of any length.</p></div><div><a href=/1>One more</a></div><div><a href=/2>Another one</a></div>"
+) % ("y" * 30_000)
+
+
+def test_the_scan_sets_the_borders(monkeypatch):
+    want = "How it works\nThe first part of a long and quiet text with a link in it.\nThe second part, on the history of the notice board, is long too and stays.\nThe last part has an attribute of any length."
+    weights = html_text.learn([(PAGE, "Title One & two three four. Short. item a item b")] * 30)
+    for w in (html_text.Weights(), weights):
+        assert html_text.main_text(UNNAMED, w) == want
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores) - 1))
+    assert html_text.main_text(UNNAMED, weights) != want and html_text.main_text(PAGE, weights).startswith("Site name here")
+
+
+def test_labelled_pages_outweigh_the_names():
+    page = "<body><div class='widget'><p>%s</p></div><div class='zzz'>%s</div><div class='promo'>buy it</div></body>"
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    weights = html_text.learn([(page % (text(k), "only here today"), text(k)) for k in range(40)])
+    assert html_text.main_text(page % (text(99), "and not here"), weights) == text(99)
+    lead = "<article><header><h1>Head</h1><p class='intro'>A lead paragraph.</p></header><p>Body text.</p><div class='ad'>Buy now</div><p>End.</p><footer>By line</footer></article>"
+    assert html_text.main_text(lead, html_text.Weights()) == "Head\nA lead paragraph.\nBody text.\nEnd."
+
+
 def test_leaks(spark):
     item = "A farmer named John has 12 apples and 3.5 kg of pears, how many apples does John sell to Mary after 2 hours?"
     other = item.replace("John", "Peter").replace("12", "99").replace("3.5 kg", "7lb").replace("Mary", "Anna").replace("2 hours", "5 days")
@@ -364,6 +554,80 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, []), bench).collect() == decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).collect() == []
 
 
+def templates(text):
+    """Words and template words of a text, one after the other, as the docstring of decontaminate.with_templates says."""
+    text = regex.sub(r"(?<=[0-9])[.,:/](?=[0-9])", "", text)
+    text = regex.sub(r"(?<=[0-9])(?=\p{L})", " ", text)
+    named = regex.sub(r"(?<=[\p{Ll}\p{N},;]\s)\p{Lu}\p{L}+", decontaminate.NAME, text)
+    clean = lambda t: regex.sub(rf"[^\p{{L}}\p{{N}}{decontaminate.NUMBER}-{decontaminate.UNIT}]+", " ", t.lower()).split()
+    raw, template = clean(text), [decontaminate.NUMBER if regex.fullmatch(r"\p{N}+", w) else w for w in clean(named)]
+    for k in range(1, len(template)):
+        if template[k - 1] == decontaminate.NUMBER and template[k] in decontaminate.UNITS:
+            template[k] = decontaminate.UNIT
+    return raw, template
+
+
+def brute_leak(doc, item, size=5):
+    """(coverage, whether values fit, verbatim) of an item in a whole document; None for an item without windows."""
+    (draw, dt), (iraw, it) = templates(doc), templates(item)
+    marks = {decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT}
+    own = [p for p in range(len(it) - size + 1) if sum(w not in marks for w in it[p : p + size]) >= 2]
+    if not own:
+        return None
+    met = [(p, q) for p in own for q in range(len(dt) - size + 1) if dt[q : q + size] == it[p : p + size]]
+    cover = lambda places: len({p + k for p in places for k in range(size)})
+    slots = {(iraw[p + k], draw[q + k]) for p, q in met for k in range(size) if it[p + k] in marks}
+    same = {a for a, b in slots if a == b}
+    other = {(a, b) for a, b in slots if a != b and a not in same}
+    return cover({p for p, _ in met}) / cover(own), len({a for a, _ in other}) == len(other), not other
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(21)
+    names, units = ["John", "Mary", "Olaf", "Anna"], ["kg", "miles", "hours", "dollars"]
+    word = lambda: rng.choice(["the", "farmer", "sold", "bought", "apples", "pears", "red", "old", "market", "boat", "train", "then", "went", "home", "again", "many"])
+
+    def sentence(n):
+        out = [word() for _ in range(n)]
+        for _ in range(n // 6):
+            out[rng.randrange(1, n)] = rng.choice([str(rng.randint(2, 99)), rng.choice(names), f"{rng.randint(2, 99)} {rng.choice(units)}"])
+        return " ".join(out)
+
+    items = [sentence(rng.randint(6, 22)) for _ in range(12)]
+    texts = []
+    for k in range(90):
+        item = rng.choice(items)
+        if k % 3 == 1:
+            item = regex.sub(r"[0-9]+", lambda m: str(int(m.group()) + 100 + k), item)
+        if k % 5 == 2:
+            item = " ".join(w if rng.random() > 0.15 else word() for w in item.split())
+        texts.append((k, f"{sentence(30)}. {item if k % 7 else ''} . {sentence(20)}"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    hits = 0
+    for i, text in texts:
+        for j, item in enumerate(items):
+            found = brute_leak(text, item)
+            if found is None or found[0] >= 0.8 and not found[1]:
+                continue  # found by its own words, or occurrence by occurrence
+            assert ((i, j) in got) == (found[0] >= 0.8)
+            if (i, j) in got:
+                hits += 1
+                assert abs(got[i, j]["coverage"] - found[0]) < 1e-9 and got[i, j]["verbatim"] == found[2]
+    assert hits > 30
+
+
+def test_leaks_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Where is Paris?"), (2, "12 34 56 78 90 11"), (3, "yes"), (4, ""), (None, "one two three four")], "item_id long, text string")
+    texts = [(10, "Tell me: where is paris, now?"), (11, "where is London"), (12, "x 12 34 56 78 90 11 y"), (13, "x 12 34 56 78 91 11 y"), (14, "oh yes"), (15, "One, two three four five"), (16, "")]
+    for most in (decontaminate.BROADCAST_WINDOWS, 0):
+        decontaminate.BROADCAST_WINDOWS, saved = most, decontaminate.BROADCAST_WINDOWS
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+        decontaminate.BROADCAST_WINDOWS = saved
+        assert got == {(10, 1), (12, 2), (14, 3), (15, None)}
+    assert {r["doc_id"] for r in decontaminate.remove_leaks(docs(spark, texts), bench).collect()} == {11, 13, 14, 16}
+
+
 def test_leaks_of_several_variants_in_one_document(spark):
     item = "the farmer sold 12 baskets of apples and then he bought 30 chickens at the old market for 45 dollars before going home again"
     first = item.replace("12", "17").replace("30", "81").replace("45", "99")
