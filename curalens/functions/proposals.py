@@ -83,21 +83,3 @@ def calls_of(response: Column) -> Column:
         F.when(is_text(c["function"]["arguments"]), as_text(c["function"]["arguments"])).alias("arguments"),
         ((c["type"] == "function") & is_text(c["id"]) & ~blank(as_text(c["id"])) & is_text(c["function"]["name"]) & (as_text(c["function"]["name"]) != "")).alias("envelope_ok"),
     ))
-
-
-def proposal_status(behavior: Column, calls: Column, accepted: Column, errors: Column) -> Column:
-    """pass if the calls are what the case wants and nothing is wrong with them. A case that wants a call passes with one
-    call among the accepted ones (JSON texts of name and arguments); any other case passes with none."""
-    same = F.exists(accepted, lambda a: a == F.element_at(calls, 1))
-    exact = F.when(behavior == "call", (F.size(calls) == 1) & same).otherwise(F.size(calls) == 0)
-    return F.when(F.coalesce(exact, F.lit(False)) & (F.size(errors) == 0), "pass").otherwise("fail")
-
-
-def contract_violations(behavior: Column, accepted: Column, missing: Column, prompt: Column) -> Column:
-    """A case's contract: a prompt, a known behavior, accepted calls exactly for a call, missing slots exactly to clarify."""
-    return tags(
-        (F.coalesce(blank(prompt), F.lit(True)), "empty_prompt"),
-        (~F.coalesce(behavior.isin("call", "clarify", "no_action"), F.lit(False)), "unknown_behavior"),
-        ((F.size(accepted) > 0) != (behavior == "call"), "accepted_calls"),
-        ((F.size(missing) > 0) != (behavior == "clarify"), "missing_slots"),
-    )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The tag that wraps a generated call, and the token that ends a generated text.
 CALL_OPEN, CALL_CLOSE, END_TOKEN = "<tool_call>", "</tool_call>", "<|im_end|>"
+#: Fixed value: the line ends of Unicode.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def blank(text: Column) -> Column:
@@ -56,30 +58,41 @@ def safe_run_id(run_id: Column) -> Column:
 
 
 def reply_violations(reply: Column, prompt: Column, markers: Sequence[str]) -> Column:
-    """Hygiene of a reply: empty, raw JSON, CJK characters, leaked internal markers, placeholder markup."""
+    """Hygiene of a reply: empty, raw JSON (of a plain reader, which lets keys repeat), CJK characters, leaked internal markers,
+    placeholder markup."""
     text = F.coalesce(reply, F.lit(""))
     stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     leaked = F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m) & ~F.contains(prompt, m))
+    is_json = (stripped.rlike(r"(?s)^\{.*\}\z") & F.json_object_keys(stripped).isNotNull()) | (stripped.rlike(r"(?s)^\[.*\]\z") & F.json_array_length(stripped).isNotNull())
     return tags(
-        (stripped == "", "empty_reply"),
-        (stripped.rlike(r"^[{\[]") & F.try_parse_json(stripped).isNotNull(), "raw_json"),
-        (text.rlike("[㐀-䶿一-鿿]"), "cjk_character"),
-        (leaked, "internal_protocol"),
-        (stripped.rlike(r"^<[A-Za-z_][A-Za-z0-9_ -]*>$"), "placeholder_markup"),
+        (stripped == "", "empty_reply"), (is_json, "raw_json"), (text.rlike("[㐀-䶿一-鿿]"), "cjk_character"), (leaked, "internal_protocol"),
+        (stripped.rlike(r"^<[A-Za-z_][A-Za-z0-9_ -]*>\z"), "placeholder_markup"),
     )
 
 
-def text_differences(field: str, actual: Column, target: Column, prompt: Column) -> Column:
-    """How a proposed text differs from its target: observable differences only."""
-    a, t = F.split(actual, r"\r\n|\r|\n"), F.split(target, r"\r\n|\r|\n")
-    known = actual.isNotNull()
-    return F.when(actual.eqNullSafe(target), F.array().cast("array<string>")).otherwise(tags(
+def reply_warnings(reply: Column, label: str) -> Column:
+    """What is odd in a reply without being wrong: it begins with the assistant's own label."""
+    stripped = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?U)^\s+", "")
+    return tags((stripped.startswith(f"{label}:"), "assistant_label"))
+
+
+def split_lines(text: Column) -> Column:
+    """Lines of a text by any line end of Unicode; the end of the last line opens no further one, and an empty text has none."""
+    body = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_END))
+
+
+def text_differences(field: str, actual: Column, targets: Column, prompt: Column) -> Column:
+    """How a proposed text differs from its targets (an array): observable differences only, each told if any target shows it."""
+    known, some = actual.isNotNull(), lambda test: F.coalesce(F.exists(targets, test), F.lit(False))
+    lines = split_lines(actual)
+    return F.when(F.coalesce(F.array_contains(targets, actual), F.lit(False)), F.array().cast("array<string>")).otherwise(tags(
         (F.lit(True), f"{field}_mismatch"),
         (known & ~F.contains(prompt, actual), f"{field}_not_verbatim"),
-        (known & (actual != "") & (actual != target) & F.contains(target, actual), f"{field}_truncated"),
-        (known & (F.regexp_replace(target, r"[.?!]+$", "") == actual) & (target != actual), f"{field}_punctuation_missing"),
-        (known & (F.size(a) != F.size(t)), f"{field}_line_count_changed"),
-        (known & (a != t) & (F.array_sort(a) == F.array_sort(t)), f"{field}_lines_reordered"),
+        (known & (actual != "") & some(lambda t: (t != actual) & F.contains(t, actual)), f"{field}_truncated"),
+        (known & some(lambda t: (t != actual) & (F.regexp_replace(t, r"[.?!]+\z", "") == actual)), f"{field}_punctuation_missing"),
+        (known & some(lambda t: F.size(split_lines(t)) != F.size(lines)), f"{field}_line_count_changed"),
+        (known & some(lambda t: (split_lines(t) != lines) & (F.array_sort(split_lines(t)) == F.array_sort(lines))), f"{field}_lines_reordered"),
     ))
 
 
@@ -94,32 +107,19 @@ def generated_calls(text: Column) -> Column:
     return F.regexp_extract_all(strip_end_token(text), F.lit(rf"(?sU){CALL_OPEN}\s*(.*?)\s*{CALL_CLOSE}"), F.lit(1))
 
 
-def generated_errors(text: Column) -> Column:
+def generated_errors(text: Column, values: Column) -> Column:
     """Errors of a generated text's envelope: tag without a body, several calls, text beside them, JSON that is invalid or
-    not exactly a name and arguments."""
+    not exactly a name and arguments. values: the canonical forms of its calls, null for what is no JSON."""
     clean = strip_end_token(text)
     calls = generated_calls(text)
     tagged = F.contains(clean, F.lit(CALL_OPEN)) | F.contains(clean, F.lit(CALL_CLOSE))
     rest = F.regexp_replace(clean, rf"(?sU){CALL_OPEN}\s*(.*?)\s*{CALL_CLOSE}", "")
-    keys = F.transform(calls, lambda c: F.array_sort(F.json_object_keys(c)))
-    valid = F.transform(calls, lambda c: F.try_parse_json(c).isNotNull())
     shape = F.array(F.lit("arguments"), F.lit("name"))
     return tags(
         (text.isNull(), "invalid_text"),
         (tagged & (F.size(calls) == 0), "malformed_tool_call_tag"),
         (F.size(calls) > 1, "multiple_calls"),
         ((F.size(calls) > 0) & ~blank(rest), "extra_text"),
-        (F.exists(valid, lambda v: ~v), "invalid_call_json"),
-        (F.exists(F.arrays_zip(valid.alias("v"), keys.alias("k")), lambda z: z["v"] & ~z["k"].eqNullSafe(shape)), "invalid_call_shape"),
+        (F.exists(values, lambda v: v.isNull()), "invalid_call_json"),
+        (F.exists(values, lambda v: v.isNotNull() & ~F.array_sort(F.json_object_keys(v)).eqNullSafe(shape)), "invalid_call_shape"),
     )
-
-
-def strict_json(text: Column) -> Column:
-    """The value of a JSON text, null where it isn't strict: duplicate keys, NaN and infinities are rejected."""
-    return F.try_parse_json(text)
-
-
-def exact_equal(left: Column, right: Column) -> Column:
-    """Equality of two JSON texts that keeps types apart (1 is neither 1.0 nor true) and ignores the order of keys."""
-    a, b = F.try_parse_json(left), F.try_parse_json(right)
-    return (F.schema_of_variant(a) == F.schema_of_variant(b)) & (F.to_json(a) == F.to_json(b))

@@ -56,9 +56,9 @@ def choose_checkpoint(rows: DataFrame, baseline_pass: int, baseline_unsafe: int)
 
 
 def deltas(rows: DataFrame, model: str, baseline: str, values: Sequence[str]) -> DataFrame:
-    """Each model's values less the baseline's. The baseline is one row."""
-    base = rows.where(F.col(model) == baseline).select(*[F.col(v).alias(f"_{v}") for v in values])
-    return rows.where(F.col(model) != baseline).join(F.broadcast(base)).select(model, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_delta") for v in values])
+    """Each model's values less the baseline's. The baseline's values are summed into one row, whatever it has."""
+    base = rows.where(F.col(model) == baseline).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    return rows.where(F.col(model) != baseline).crossJoin(base).select(model, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_delta") for v in values])
 
 
 def paired(rows: DataFrame, pair: str, variant: str, first: str, second: str, value: str) -> DataFrame:
@@ -76,14 +76,14 @@ def bind_reviews(rows: DataFrame, reviews: DataFrame, key: str, content: str) ->
 
 def prefix_equal(old: DataFrame, new: DataFrame, ordinal: str, values: Sequence[str]) -> DataFrame:
     """Ordinals at which a dataset doesn't extend an earlier one verbatim."""
-    d = lambda df, n: df.select(ordinal, F.xxhash64(*values).alias(n))
+    d = lambda df, n: df.select(ordinal, F.struct(*values).alias(n))
     return d(old, "x").join(d(new, "y"), ordinal, "left").where(~F.col("x").eqNullSafe(F.col("y"))).select(ordinal)
 
 
 def cross_fill(frames: DataFrame, values: DataFrame, prefix: str) -> DataFrame:
-    """frames(f, frame) x values(v, slot, value): filled templates with numbered ids. Both sides are short lists of a
-    generator; their product is the result."""
-    both = frames.crossJoin(F.broadcast(values))
+    """frames(f, frame) x values(v, slot, value): filled templates with numbered ids. Their product is the result that is asked for;
+    which side is sent around is left to the engine, by size."""
+    both = frames.crossJoin(values)
     text = F.replace("frame", F.concat(F.lit("{"), F.col("slot"), F.lit("}")), F.col("value"))
     return both.select(F.format_string(f"{prefix}_%02d_%02d", F.col("f"), F.col("v")).alias("id"), text.alias("prompt"))
 

@@ -7,7 +7,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,26 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def normalized(text: str | None) -> str | None:
+    return None if text is None else " ".join(unicodedata.normalize("NFKC", text).casefold().split())
+
+
+def masked_fields(text: str | None, content: str | None, when: str | None) -> str | None:
+    """The other mask: white space collapsed, content and when as placeholders of their own, standing numbers as ids, punctuation kept."""
+    if text is None:
+        return None
+    out = normalized(text)
+    for name, raw in (("content", content), ("when", when)):
+        if raw:
+            out = out.replace(normalized(raw), f"<{name}>")
+    return re.sub(r"(?<!\w)\d+(?!\w)", "<id>", out)
+
+
+@F.pandas_udf(T.StringType())
+def field_mask(text: pd.Series, content: pd.Series, when: pd.Series) -> pd.Series:
+    return pd.Series([masked_fields(t, c, w) for t, c, w in zip(text, content, when, strict=True)])
+
+
 def exact_matches(audited: DataFrame, reference: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Pairs of equal texts after folding, by a hash join."""
     a = audited.select(F.col(key).alias("id"), fold(F.col(text)).alias("folded"))
@@ -67,14 +87,44 @@ def length_band(audited: DataFrame, reference: DataFrame, threshold: float) -> D
     return a.join(b, "ba").where(fits).drop("ba", "bb", "la", "lb")
 
 
-def nearest(audited: DataFrame, reference: DataFrame, threshold: float, key: list[str], ties: list[str]) -> DataFrame:
-    """The most similar reference text of each audited row at `threshold` or more; ties are broken by `ties` in order."""
-    pairs = length_band(audited, reference, threshold).withColumn("score", similarity("text", "ref_text")).where(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), *ties))
-    return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def letters(text: Column) -> Column:
+    """How often each character of a text occurs, in order of the characters: the sorted text, whose common part with another's bounds the
+    matching blocks that the two can have."""
+    return F.array_sort(F.split(text, ""))
+
+
+def may_reach(a: Column, b: Column, la: Column, lb: Column, threshold: float) -> Column:
+    """Whether two texts' characters, whatever their order, allow the ratio: an exact bound. The common part of two sorted lists of
+    characters is their lengths less half of what each has beyond the other, counted by character."""
+    kinds = F.array_distinct(a)
+    n = lambda where, c: F.size(F.filter(where, lambda x: x == c))
+    common = F.aggregate(kinds, F.lit(0), lambda total, c: total + F.least(n(a, c), n(b, c)))
+    return 2 * common >= F.lit(threshold) * (la + lb) - 1e-9
+
+
+def nearest(audited: DataFrame, reference: DataFrame, threshold: float, key: list[str], ties: list[str], last: bool = False) -> DataFrame:
+    """The most similar reference text of each audited row at `threshold` or more. Of equal scores the first in the order of `ties` wins,
+    or the last. Pairs are cut by length and then by their characters before the ratio is worked out."""
+    pairs = length_band(audited, reference, threshold)
+    a, b = letters(F.col("text")), letters(F.col("ref_text"))
+    pairs = pairs.where(may_reach(a, b, F.length("text"), F.length("ref_text"), threshold))
+    pairs = pairs.withColumn("score", similarity("text", "ref_text")).where(F.col("score") >= threshold)
+    others = [c for c in pairs.columns if c not in key]
+    best = F.max if last else F.min
+    order = F.struct((F.col("score") if last else -F.col("score")).alias("_s"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], F.struct(*others).alias("_row"))
+    return pairs.groupBy(*key).agg(best(order).alias("_b")).select(*key, "_b._row.*")
 
 
 def last_of_each(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    """Deduplicate by key, keeping the last row."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(ordinal)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Deduplicate by key, keeping the last row: found by map-side aggregation, so a key's rows never meet."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(ordinal)).alias("_row")).select(*key, "_row.*").select(*rows.columns)
+
+
+def union_last(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """One corpus of several: rows that agree in `key` are one, the last of them, in the order of the parts and of `ordinal` within them."""
+    whole = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("_part", F.lit(k))
+        whole = part if whole is None else whole.unionByName(part)
+    return last_of_each(whole.withColumn("_at", F.struct("_part", "ordinal")), key, "_at").drop("_part", "_at")

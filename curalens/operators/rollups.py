@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,26 +18,60 @@ def status_summary(rows: DataFrame, group: Sequence[str], status: str = "status"
 
 
 def with_total(rows: DataFrame, group: str, status: str = "status") -> DataFrame:
-    """status_summary by one column with the overall row, whose group is null, in one pass over the rows."""
+    """status_summary by one column with the overall row, in one pass over the rows. is_total tells the overall row from the group of
+    rows without a value."""
     n = lambda s: F.count_if(F.col(status) == s)
-    return rows.rollup(group).agg(F.count("*").alias("total"), n("pass").alias("pass"), n("fail").alias("fail"), n("error").alias("error"))
+    return rows.rollup(group).agg((F.grouping(group) == 1).alias("is_total"), F.count("*").alias("total"), n("pass").alias("pass"), n("fail").alias("fail"), n("error").alias("error"))
+
+
+def ranked(counts: DataFrame, group: Sequence[str], value: str, count: str = "_c", ranges: int = 1000) -> DataFrame:
+    """Add _upto, how many rows of the group have this value or less, and _n, how many it has, to a histogram (group, value, count).
+
+    Values are dealt into ranges; sums are formed within each and then over the ranges' totals, so no task sees more than a range of one
+    group's distinct values, or the list of ranges."""
+    keys = [F.col(g) for g in group]
+    bounds = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(count).alias("_n"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (ranges - 1))).otherwise(F.lit(0))
+    dealt = same_group(counts, bounds, group).withColumn("_r", part)
+    earlier = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_r").agg(F.sum(count).alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
+    upto = F.sum(count).over(Window.partitionBy(*keys, "_r").orderBy(value)) + F.col("_base")
+    return same_group(dealt, totals, [*group, "_r"]).withColumn("_upto", upto)
+
+
+def same_group(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """A join on group columns in which a missing value is a group of its own."""
+    other = right.select(*[F.col(c).alias(f"_g_{c}") if c in group else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return left.join(other, same).drop(*[f"_g_{g}" for g in group])
+
+
+def reaches(value: str, rank: Column) -> Column:
+    """The least value that `rank` rows have or fall below."""
+    return F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+
+
+def median_of(value: str) -> Column:
+    return (reaches(value, F.floor((F.col("_n") + 1) / 2)) + reaches(value, F.floor(F.col("_n") / 2) + 1)) / 2
 
 
 def latency(rows: DataFrame, group: Sequence[str], seconds: str, tokens: str) -> DataFrame:
-    """Interpolated median, nearest-rank 95th percentile, totals and tokens a second; nulls are left out."""
-    return rows.groupBy(*group).agg(
-        F.median(seconds).alias("median_seconds"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {seconds})").alias("p95_seconds"),
-        F.sum(seconds).alias("total_seconds"), F.sum(tokens).alias("total_tokens"), F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_second"),
-    )
+    """Interpolated median, nearest-rank 95th percentile, totals and tokens a second; nulls are left out. The percentiles come from the
+    histogram of each group."""
+    counts = rows.where(F.col(seconds).isNotNull()).groupBy(*group, seconds).agg(F.count("*").alias("_c"))
+    ranks = ranked(counts, group, seconds).groupBy(*group).agg(median_of(seconds).alias("median_seconds"), reaches(seconds, F.ceil(F.col("_n") * 0.95)).alias("p95_seconds"))
+    sums = rows.groupBy(*group).agg(F.sum(seconds).alias("total_seconds"), F.sum(tokens).alias("total_tokens"), F.try_divide(F.sum(tokens), F.sum(seconds)).alias("tokens_per_second"))
+    return same_group(sums, ranks, group)
 
 
 def length_stats(rows: DataFrame, length: str, key: str) -> DataFrame:
-    """Least, median and greatest length, the sum, and all keys that reach the greatest, in order.
-
-    The greatest is found first, so only rows that tie for it are gathered."""
-    whole = rows.agg(F.min(length).alias("least"), F.median(length).alias("median"), F.max(length).alias("greatest"), F.sum(length).alias("total"))
-    top = rows.join(F.broadcast(whole.select("greatest")), F.col(length) == F.col("greatest")).agg(F.array_sort(F.collect_list(key)).alias("greatest_keys"))
-    return whole.join(F.broadcast(top))
+    """Least, median and greatest length and the sum, from the histogram of lengths, beside each key that reaches the greatest: one row
+    a tie, so that no number of ties meets in one array."""
+    counts = rows.where(F.col(length).isNotNull()).groupBy(F.lit(1).alias("_all"), length).agg(F.count("*").alias("_c"))
+    whole = ranked(counts, ["_all"], length).agg(F.min(length).alias("least"), median_of(length).alias("median"), F.max(length).alias("greatest"), F.sum(F.col(length) * F.col("_c")).alias("total"))
+    return rows.join(whole, F.col(length) == F.col("greatest")).select("least", "median", "greatest", "total", F.col(key).alias("greatest_key"))
 
 
 def quota_check(rows: DataFrame, key: str, quota: DataFrame) -> DataFrame:
@@ -94,3 +128,8 @@ def review_status(rows: DataFrame, criteria: str) -> Column:
     values = F.map_values(criteria)
     has = lambda v: F.array_contains(values, v)
     return F.when(has("not_evaluated"), "not_evaluated").when(has("pending"), "pending").when(has("fail"), "fail").otherwise("pass")
+
+
+def compatibility(rows: DataFrame, group: str, served: str, key: str) -> DataFrame:
+    """(group, calls, served, first_gap): how many rows of each group are served, and the least key of those that aren't."""
+    return rows.groupBy(group).agg(F.count("*").alias("calls"), F.count_if(served).alias("served"), F.min(F.when(~F.col(served), F.col(key))).alias("first_gap"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import deadlines, proposals, text, tokens
+from ..functions import deadlines, jsontext, text, tokens
 from ..operators import compare, leakage, rollups, tasks, validate
 from ..sources import documents
 from ..sources.tables import read
@@ -78,13 +78,13 @@ def tasks_scopes_overlap(spark: SparkSession, d: str) -> DataFrame:
     return open_tasks.agg(F.count_if(is_today).alias("today"), F.count_if(is_over).alias("overdue"), F.count_if(is_today & is_over).alias("both"))
 
 
-COMMANDS = "(SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS id FROM orders WHERE o_custkey % 7 = 0)"
+COMMANDS = "(SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS id FROM orders)"
 
 
 def commands(spark: SparkSession, d: str) -> DataFrame:
-    """Commands of every seventh customer's orders; each fifth names a task that doesn't exist."""
+    """A command for every order; each fifth names a task that doesn't exist."""
     key = F.col("o_orderkey")
-    return read(spark, d, "orders").where("o_custkey % 7 = 0").select(key.alias("seq"), F.when(key % 5 == 0, key + 100000000).otherwise(key).alias("id"))
+    return read(spark, d, "orders").select(key.alias("seq"), F.when(key % 5 == 0, key + 100000000).otherwise(key).alias("id"))
 
 
 @query(
@@ -190,19 +190,6 @@ def text_any_term(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", text.any_term(F.col("text"), ["the ", "der "]).alias("hit"))
 
 
-@query("text_reply_hygiene")
-def text_reply_hygiene(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").where("role = 'assistant'")
-    return turns.select("conv_id", "turn", text.reply_violations(F.col("text"), F.lit(""), ["tool:", "<|"]).alias("violations"))
-
-
-@query("text_differences", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [] WHEN p_partkey % 3 = 1 THEN ['content_mismatch', 'content_truncated'] ELSE ['content_mismatch', 'content_not_verbatim'] END AS tags FROM part""")
-def text_differences(spark: SparkSession, d: str) -> DataFrame:
-    name, k = F.col("p_name"), F.col("p_partkey") % 3
-    actual = F.when(k == 0, name).when(k == 1, F.expr("substring(p_name, 1, length(p_name) - 1)")).otherwise(F.concat(name, F.lit("~")))
-    return read(spark, d, "part").select("p_partkey", text.text_differences("content", actual, name, name).alias("tags"))
-
-
 def generated(spark: SparkSession, d: str) -> DataFrame:
     """Generated texts: a good call, one with text beside it, two calls, a tag without end, JSON with a key twice, a reply."""
     call = F.format_string('<tool_call>{"name": "get", "arguments": {"id": %d}}</tool_call>', F.col("p_partkey"))
@@ -214,20 +201,7 @@ def generated(spark: SparkSession, d: str) -> DataFrame:
 @query("tool_call_extract", """SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 5 THEN 0 ELSE 1 END AS n_calls,
     CASE p_partkey % 6 WHEN 1 THEN ['extra_text'] WHEN 2 THEN ['multiple_calls'] WHEN 3 THEN ['malformed_tool_call_tag'] WHEN 4 THEN ['invalid_call_json'] ELSE [] END AS errors FROM part""")
 def tool_call_extract(spark: SparkSession, d: str) -> DataFrame:
-    return generated(spark, d).select("p_partkey", F.size(text.generated_calls(F.col("t"))).alias("n_calls"), text.generated_errors(F.col("t")).alias("errors"))
-
-
-@query("json_strict", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN true ELSE false END AS ok FROM events")
-def json_strict(spark: SparkSession, d: str) -> DataFrame:
-    forms = F.array(F.col("props"), F.lit('{"k": 1, "k": 2}'), F.lit('{"k": NaN}'))
-    doc = F.element_at(forms, (F.col("event_id") % 3 + 1).cast("int"))
-    return read(spark, d, "events").select("event_id", text.strict_json(doc).isNotNull().alias("ok"))
-
-
-@query("json_exact_equal", "SELECT event_id, event_id % 4 = 0 AS same FROM events")
-def json_exact_equal(spark: SparkSession, d: str) -> DataFrame:
-    other = F.element_at(F.array(F.lit('{"b": "x", "a": 1}'), F.lit('{"a": 1.0, "b": "x"}'), F.lit('{"a": true, "b": "x"}'), F.lit('{"a": "1", "b": "x"}')), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, d, "events").select("event_id", text.exact_equal(F.lit('{"a": 1, "b": "x"}'), other).alias("same"))
+    return generated(spark, d).select("p_partkey", F.size(text.generated_calls(F.col("t"))).alias("n_calls"), text.generated_errors(F.col("t"), jsontext.canonicals(text.generated_calls(F.col("t")))).alias("errors"))
 
 
 # -- roll-ups -----------------------------------------------------------------------------------------------------------
@@ -248,7 +222,7 @@ def proposal_summary(spark: SparkSession, d: str) -> DataFrame:
     return rollups.status_summary(scored(spark, d), ["behavior"])
 
 
-@query("category_rollup", f"SELECT behavior, {COUNTS} FROM {SCORED} GROUP BY ROLLUP (behavior)")
+@query("category_rollup", f"SELECT behavior, grouping(behavior) = 1 AS is_total, {COUNTS} FROM {SCORED} GROUP BY ROLLUP (behavior)")
 def category_rollup(spark: SparkSession, d: str) -> DataFrame:
     return rollups.with_total(scored(spark, d), "behavior")
 
@@ -259,8 +233,8 @@ def latency_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rollups.latency(scored(spark, d), ["behavior"], "seconds", "tokens")
 
 
-@query("length_stats", """SELECT min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS greatest, sum(n_chars)::BIGINT AS total,
-    (SELECT list(doc_id ORDER BY doc_id) FROM documents WHERE n_chars = (SELECT max(n_chars) FROM documents)) AS greatest_keys FROM documents""")
+@query("length_stats", """WITH w AS (SELECT min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS greatest, sum(n_chars)::BIGINT AS total FROM documents)
+    SELECT w.*, doc_id AS greatest_key FROM documents, w WHERE n_chars = greatest""")
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return rollups.length_stats(read(spark, d, "documents"), "n_chars", "doc_id")
 
@@ -422,32 +396,49 @@ def leak_exact(spark: SparkSession, d: str) -> DataFrame:
     return docs.where("id % 2 = 0").select("id", digest.alias("digest")).join(odd, "digest").select("id", "ref_id")
 
 
-@query("leak_folded")
+#: Names as other people write them: folding makes them equal, and little else does.
+PART_VARIANTS = ("upper(p_name)", "'  ' || p_name || chr(9)", "replace(p_name, ' ', chr(10))", "p_name", "p_name || '!'")
+
+
+@query("leak_folded", f"""WITH a AS (SELECT p_partkey AS id, [{', '.join(PART_VARIANTS)}][p_partkey % 5 + 1] AS t FROM part), fold AS (SELECT id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS t FROM a)
+    SELECT f.id, p_partkey AS ref_id FROM fold f JOIN part ON f.t = lower(p_name)""")
 def leak_folded(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
-    return leakage.exact_matches(turns, read(spark, d, "benchmark").withColumnRenamed("item_id", "id")).select("id.*", "ref_id")
+    part = read(spark, d, "part")
+    name = F.col("p_name")
+    written = (F.upper(name), F.concat(F.lit("  "), name, F.lit("\t")), F.replace(name, F.lit(" "), F.lit("\n")), name, F.concat(name, F.lit("!")))
+    audited = part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*written), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
+    return leakage.exact_matches(audited, part.select(F.col("p_partkey").alias("id"), name.alias("text")))
 
 
-@query("leak_length_band", """SELECT conv_id, turn, count(*) AS candidates FROM conversations c JOIN benchmark b ON length(c.text) > 0 AND length(b.text) > 0
-    AND 2 * least(length(c.text), length(b.text)) >= 0.92 * (length(c.text) + length(b.text)) - 1e-9 WHERE role = 'user' GROUP BY conv_id, turn""")
+@query("leak_length_band", """SELECT conv_id, turn, role, count(*) AS candidates FROM conversations c JOIN benchmark b ON length(c.text) > 0 AND length(b.text) > 0
+    AND 2 * least(length(c.text), length(b.text)) >= 0.92 * (length(c.text) + length(b.text)) - 1e-9 GROUP BY conv_id, turn, role""")
 def leak_length_band(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
-    return leakage.length_band(turns, items, 0.92).groupBy("conv_id", "turn").agg(F.count("*").alias("candidates"))
+    return leakage.length_band(read(spark, d, "conversations"), items, 0.92).groupBy("conv_id", "turn", "role").agg(F.count("*").alias("candidates"))
 
 
-@query("leak_near_top1")
+@query("leak_near_top1", """WITH a AS (SELECT n_nationkey AS id, n_name || ' goes to market number ' || n_nationkey AS t FROM nation), b AS (SELECT n_nationkey AS ref_id, n_name || ' goes to market number ' || n_nationkey || '.' AS t FROM nation)
+    SELECT id, ref_id, round(2 * length(a.t) / (2.0 * length(a.t) + 1), 6) AS score FROM a JOIN b ON id = ref_id""")
 def leak_near_top1(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("ref_text"))
-    found = leakage.nearest(turns, items, 0.92, ["conv_id", "turn"], ["ref_id"])
-    return found.select("conv_id", "turn", "ref_id", F.round("score", 6).alias("score"))
+    said = F.concat(F.col("n_name"), F.lit(" goes to market number "), F.col("n_nationkey").cast("string"))
+    nations = read(spark, d, "nation")
+    audited, reference = nations.select(F.col("n_nationkey").alias("id"), said.alias("text")), nations.select(F.col("n_nationkey").alias("ref_id"), F.concat(said, F.lit(".")).alias("ref_text"))
+    return leakage.nearest(audited, reference, 0.92, ["id"], ["ref_id"]).select("id", "ref_id", F.round("score", 6).alias("score"))
 
 
-@query("leak_shapes")
+@query("leak_shapes", """SELECT 'buy <payload> <id> of <id> now' AS shape, 'buy <content> #<id> of x' || p_size || ', <id> now!' AS field_shape, count(*) AS n FROM part GROUP BY ALL""")
 def leak_shapes(spark: SparkSession, d: str) -> DataFrame:
-    parts = read(spark, d, "part").select("p_partkey", leakage.shape(F.concat_ws(" #", F.col("p_name"), F.col("p_size").cast("string")), F.array("p_name")).alias("shape"))
-    return parts.groupBy("shape").agg(F.count("*").alias("n"))
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    first = leakage.shape(F.concat(F.lit("BUY  "), name, F.lit(" #"), size, F.lit(" of "), size, F.lit(", now!")), F.array("p_name"))
+    second = leakage.field_mask(F.concat(F.lit("BUY  "), name, F.lit(" #"), size, F.lit(" of x"), size, F.lit(", "), size, F.lit(" now!")), name, F.lit(None).cast("string"))
+    return read(spark, d, "part").select(first.alias("shape"), second.alias("field_shape")).groupBy("shape", "field_shape").agg(F.count("*").alias("n"))
+
+
+@query("union_last", """SELECT p_size AS size, p_brand AS brand, max(p_partkey) AS ordinal FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL
+    UNION ALL SELECT p_size, p_brand, max(p_partkey) FROM part p WHERE p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 2 = 1 AND q.p_size = p.p_size AND q.p_brand = p.p_brand) GROUP BY ALL""")
+def union_last(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("ordinal"))
+    return leakage.union_last([part.where("ordinal % 2 = 0"), part.where("ordinal % 2 = 1")], ["size", "brand"])
 
 
 @query("leak_families", "SELECT l_suppkey AS family FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7")
@@ -497,74 +488,39 @@ def resume_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 # -- proposals, token arrays and nested documents -----------------------------------------------------------------------
 
-#: Two tools in the shape of the task tools: an id, and a scope from a closed list.
-TOOLS: proposals.Tools = {"complete": (proposals.Field("id", "integer", 1),), "due": (proposals.Field("scope", "string", 1, ("today", "tomorrow", "overdue")),)}
-#: (tool, arguments, errors): one of each kind of error.
-ARGUMENTS = (
-    ("complete", '{"id": 7}', []), ("complete", '{"id": true}', ["invalid_argument:id"]), ("complete", '{"id": 1.0}', ["invalid_argument:id"]), ("complete", '{"z": 1}', ["missing_argument:id", "extra_argument:z"]),
-    ("due", '{"scope": "never"}', ["invalid_enum:scope"]), ("due", "[1]", ["arguments_not_object"]), ("other", "{}", ["unknown_tool"]), ("complete", '{"id": 0}', ["invalid_argument:id"]),
-)
-
-
-def pick(values: tuple, key: str) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
-
-
-@query("proposal_argument_errors", "SELECT event_id, [" + ", ".join(repr(e) for _, _, e in ARGUMENTS) + f"][event_id % {len(ARGUMENTS)} + 1] AS errors FROM events")
-def proposal_argument_errors(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "events").select("event_id", pick(tuple(a[0] for a in ARGUMENTS), "event_id").alias("tool"), pick(tuple(a[1] for a in ARGUMENTS), "event_id").alias("arguments"))
-    return rows.select("event_id", proposals.argument_errors(F.col("tool"), F.col("arguments"), TOOLS).alias("errors"))
-
-
-def responses(spark: SparkSession, d: str) -> DataFrame:
-    """Chat responses: a good call, two calls, no call though one is announced, a reply, a cut-off one, no JSON."""
-    call = '{"id": "c", "type": "function", "function": {"name": "complete", "arguments": "{\\"id\\": 7}"}}'
-    whole = '{"choices": [{"finish_reason": "%s", "message": {"role": "assistant", "content": %s, "tool_calls": %s}}]}'
-    forms = (whole % ("tool_calls", "null", f"[{call}]"), whole % ("tool_calls", "null", f"[{call}, {call}]"), whole % ("tool_calls", "null", "null"), whole % ("stop", '"hi"', "[]"), whole % ("length", "null", f"[{call}]"), "no json")
-    return read(spark, d, "events").select("event_id", pick(forms, "event_id").alias("response"))
-
-
-@query("proposal_scores", """SELECT event_id, [[], ['multiple_calls'], ['missing_tool_calls'], [], ['incomplete_response'], ['invalid_response']][event_id % 6 + 1] AS errors,
-    [1, 2, 0, 0, 1, 0][event_id % 6 + 1] AS n_calls, CASE WHEN event_id % 6 = 0 THEN 'pass' ELSE 'fail' END AS status FROM events""")
-def proposal_scores(spark: SparkSession, d: str) -> DataFrame:
-    calls = F.coalesce(proposals.calls_of(F.col("response")), F.array().cast("array<struct<name:string,arguments:string,envelope_ok:boolean>>"))
-    rows = responses(spark, d).select("event_id", proposals.envelope_errors(F.col("response")).alias("errors"), F.transform(calls, lambda c: F.to_json(F.struct(c["name"], c["arguments"]))).alias("calls"))
-    gold = F.array(F.to_json(F.struct(F.lit("complete").alias("name"), F.lit('{"id": 7}').alias("arguments"))))
-    return rows.select("event_id", "errors", F.size("calls").alias("n_calls"), proposals.proposal_status(F.lit("call"), F.col("calls"), gold, F.col("errors")).alias("status"))
-
-
-@query("proposal_contract", """SELECT event_id, [[], ['accepted_calls'], ['missing_slots'], ['unknown_behavior']][event_id % 4 + 1] AS violations FROM events""")
-def proposal_contract(spark: SparkSession, d: str) -> DataFrame:
-    k, none = F.col("event_id") % 4, F.array().cast("array<string>")
-    behavior = pick(("call", "call", "clarify", "dance"), "event_id")
-    accepted = F.when(k == 0, F.array(F.lit("x"))).otherwise(none)
-    return read(spark, d, "events").select("event_id", proposals.contract_violations(behavior, accepted, none, F.col("props")).alias("violations"))
-
-
-@query("token_arrays", """SELECT l_orderkey, l_linenumber, l_linenumber || ':' || CASE WHEN l_linenumber > 3 THEN 3 ELSE l_linenumber END AS cut, 8 AS padded, 2 * -100 + (l_linenumber * (l_linenumber + 1)) / 2 - CASE l_linenumber WHEN 1 THEN -99 ELSE 3 END AS label_sum
-    FROM lineitem WHERE l_linenumber >= 2""")
+@query("token_arrays", """SELECT l_orderkey, l_linenumber, l_linenumber || ':' || CASE WHEN l_linenumber > 3 THEN 3 ELSE l_linenumber END AS cut, 8 AS padded,
+    CASE WHEN l_linenumber > 1 THEN 2 * -100 + (l_linenumber * (l_linenumber + 1)) / 2 - 3 END AS label_sum FROM lineitem""")
 def token_arrays(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
     ids = F.sequence(F.lit(1), n)
-    rows = read(spark, d, "lineitem").where(n >= 2)
+    rows = read(spark, d, "lineitem")
     cut = F.concat(n.cast("string"), F.lit(":"), F.size(tokens.through_end(ids, 3)).cast("string"))
-    labels = tokens.assistant_labels(F.sequence(F.lit(1), F.lit(2)), ids)
+    labels = tokens.assistant_labels(F.sequence(F.lit(1), F.lit(2)), ids)  # a line of one token doesn't begin with this prefix
     total = F.aggregate(labels, F.lit(0), lambda a, x: a + x).cast("double")
     return rows.select("l_orderkey", "l_linenumber", cut.alias("cut"), F.size(tokens.pad(ids, 0, F.lit(7))).alias("padded"), total.alias("label_sum"))
 
 
-@query("json_digests", """SELECT sha256('{"a":' || p_size || ',"b":"x"}') AS digest, count(*) AS n FROM part GROUP BY 1""")
+@query("json_digests", """SELECT sha256('{"a":' || p_size || ',"b":"x"}') AS digest, sha256('{"a":' || p_size || ',"b":"x"}' || chr(10)) AS with_newline, count(*) AS n FROM part GROUP BY 1, 2""")
 def json_digests(spark: SparkSession, d: str) -> DataFrame:
     text_of = F.concat(F.lit('{"b": "x", "a": '), F.col("p_size").cast("string"), F.lit("}"))
-    return read(spark, d, "part").select(documents.canonical_digest(text_of).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
+    digests = jsontext.canonical_digest(text_of).alias("digest"), jsontext.canonical_digest(text_of, newline=True).alias("with_newline")
+    return read(spark, d, "part").select(*digests).groupBy("digest", "with_newline").agg(F.count("*").alias("n"))
+
+
+#: Nested documents, what they hold at which path, and the id there.
+NESTED = (
+    ('{"cases": [{"prompt": "%s", "x": {"user_message": "inner"}}]}', (("%s", "$.cases[0]", None), ("inner", "$.cases[0].x", None))), ('{"prompt": "", "user_message": "%s", "id": 5}', (("%s", "$", "5"),)), ('{"prompt": 5, "user_message": "%s"}', ()),
+    ("{", ((None, "not strict JSON", None),)), ('{"a": 1, "a": 2}', ((None, "not strict JSON", None),)), ('[[{"user_message": "%s", "id": "u"}], {"prompt": null}]', (("%s", "$[0][0]", "u"),)), ('"%s"', ()), ("[]", ()), ('{"prompt": {"prompt": "%s"}}', (("%s", "$.prompt", None),)),
+    ('{"prompt": "%s", "cases": [{"prompt": "b"}, 3]}', (("%s", "$", None), ("b", "$.cases[0]", None))),
+)
+HARVESTED = ", ".join(f"({k}, {'NULL' if t is None else repr(t)}, {path!r}, {'NULL' if i is None else repr(i)})" for k, (_, found) in enumerate(NESTED) for t, path, i in found)
 
 
-@query("json_harvest", """SELECT p_partkey, p_name AS text, '$.cases[0]' AS path FROM part UNION ALL SELECT p_partkey, p_type, '$.cases[0].x' FROM part""")
+@query("json_harvest", f"SELECT p_partkey, replace(t, '%s', p_name) AS text, path, i AS record_id FROM part JOIN (VALUES {HARVESTED}) h(k, t, path, i) ON p_partkey % {len(NESTED)} = k")
 def json_harvest(spark: SparkSession, d: str) -> DataFrame:
-    inner = F.struct(F.col("p_type").alias("user_message"))
-    case = F.struct(F.col("p_name").alias("prompt"), inner.alias("x"))
-    rows = read(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.array(case).alias("cases"))).alias("doc"))
-    return documents.harvest(rows, "doc").select("p_partkey", "text", "path")
+    doc = F.element_at(F.array(*[F.lit(t) for t, _ in NESTED]), (F.col("p_partkey") % len(NESTED) + 1).cast("int"))
+    rows = read(spark, d, "part").select("p_partkey", F.replace(doc, F.lit("%s"), F.col("p_name")).alias("doc"))
+    return documents.harvest(rows, "doc").select("p_partkey", "text", "path", "record_id")
 
 
 # -- validators ---------------------------------------------------------------------------------------------------------

@@ -36,3 +36,32 @@ def latest_report(spark: SparkSession, path: str, pattern: str = "*.json") -> Da
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     texts = files.select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
     return texts.where(F.try_parse_json("text").isNotNull() & F.col("text").rlike(r"^\s*\{")).orderBy(F.desc("modificationTime"), "path").limit(1).select("path", "text")
+
+
+def scripted_responses(cases: DataFrame, responses: DataFrame, key: str = "id") -> DataFrame:
+    """Cases with the response that a script gives for them, by id; a case without one has a null response."""
+    return cases.join(responses, key, "left")
+
+
+def write_new(df: DataFrame, path: str) -> None:
+    """Write a report that must not exist yet. Spark's committer makes it visible whole or not at all."""
+    df.write.mode("errorifexists").parquet(path)
+
+
+def replace_whole(df: DataFrame, path: str) -> None:
+    """Replace a table by another in one step: the new one is written beside it and moved into its place."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.partial")
+    jvm = spark._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.partial"), jvm.org.apache.hadoop.fs.Path(path)
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"cannot move {new} to {old}")
+
+
+def append_slice(df: DataFrame, path: str, ordinal: str, first: int, size: int) -> None:
+    """Add the rows of one slice of ordinals to a growing result: what a job that is cut off loses is one slice at most, and a slice
+    that is written again replaces itself."""
+    part = df.where((F.col(ordinal) >= first) & (F.col(ordinal) < first + size))
+    part.write.mode("overwrite").parquet(f"{path}/slice={first}")

@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 def reservations(events: DataFrame, run: str, order: list[str]) -> DataFrame:
     """The first event of each run wins; later attempts to reserve it are absent."""
-    rank = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    others = [c for c in events.columns if c != run]
+    first = events.groupBy(run).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))  # combined map side
+    return first.select(run, "_row.*").select(*events.columns)
 
 
 def run_state(events: DataFrame, run: str, order: str, kind: str, terminal: str, interrupted: str) -> DataFrame:
@@ -47,22 +48,34 @@ def turn_states(turns: DataFrame, session: str, turn: str, state: str) -> DataFr
 
 
 class TurnStates(StatefulProcessor):
-    """turn_states on a stream: the last state of each session is kept as value state; a batch's turns are sorted first."""
+    """turn_states on a stream: the last turn and state of each session are kept as value state, for `expiry_ms` after the last turn. A
+    turn that isn't after the last one is late: it comes out with a null state before it and changes nothing."""
+
+    def __init__(self, expiry_ms: int | None = None) -> None:
+        self.expiry_ms = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "state string")
+        self.last = handle.getValueState("last", "turn long, state string", self.expiry_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        seen, state = self.last.get() if self.last.exists() else (None, None)
         batch = pd.concat(list(rows)).sort_values("turn", ignore_index=True)
-        last = self.last.get()[0] if self.last.exists() else None
-        batch["state_before"] = [last, *batch["state"].tolist()[:-1]]
-        self.last.update((batch["state"].iloc[-1],))
+        before = []
+        for turn, now in zip(batch["turn"], batch["state"], strict=True):
+            if seen is not None and turn <= seen:
+                before.append(None)
+                continue
+            before.append(state)
+            seen, state = int(turn), now
+        batch["state_before"] = before
+        self.last.update((seen, state))
         yield batch[["session", "turn", "state_before", "state"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_turn_states(turns: DataFrame) -> DataFrame:
+def stream_turn_states(turns: DataFrame, expiry_ms: int | None = None) -> DataFrame:
     """turns(session, turn, state) as a stream -> (session, turn, state_before, state)."""
-    return turns.groupBy("session").transformWithStateInPandas(TurnStates(), "session long, turn long, state_before string, state string", "append", "none")
+    mode = "processingTime" if expiry_ms else "none"
+    return turns.groupBy("session").transformWithStateInPandas(TurnStates(expiry_ms), "session long, turn long, state_before string, state string", "append", mode)
