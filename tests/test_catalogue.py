@@ -38,6 +38,5 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).collect() is not None
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLE_SQL.keys()

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from curalens.functions import deadlines, text
-from curalens.operators import compare, leakage, tasks
-from curalens.sources import documents
+from curalens.functions import deadlines, jsontext, text
+from curalens.operators import audits, compare, leakage, rollups, tasks
+from curalens.sources import documents, tables
 from curalens.sources.tables import file_digests, latest_report
 from curalens.streaming import lifecycle
 
@@ -93,7 +94,7 @@ def test_text_rules(spark):
     found = [r["v"] for r in replies.select(text.reply_violations(F.col("r"), F.lit("q"), ["tool:"]).alias("v")).collect()]
     assert found == [["empty_reply"], ["raw_json"], ["cjk_character"], ["internal_protocol"], ["placeholder_markup"], []]
     d = spark.createDataFrame([("b\na", "a\nb"), ("buy", "buy."), (None, "x"), ("x", "x")], "a string, t string")
-    tags = [r["v"] for r in d.select(text.text_differences("f", F.col("a"), F.col("t"), F.col("t")).alias("v")).collect()]
+    tags = [r["v"] for r in d.select(text.text_differences("f", F.col("a"), F.array("t"), F.col("t")).alias("v")).collect()]
     assert tags == [["f_mismatch", "f_not_verbatim", "f_lines_reordered"], ["f_mismatch", "f_truncated", "f_punctuation_missing"], ["f_mismatch"], []]
 
 
@@ -156,11 +157,73 @@ def test_file_sources(spark, tmp_path):
 
 
 def test_documents(spark):
-    nested = spark.createDataFrame([(1, '{"cases": [{"prompt": "a", "x": {"user_message": "b"}}], "prompt": 3}'), (2, None)], "id int, doc string")
+    nested = spark.createDataFrame([(1, '{"cases": [{"prompt": "a", "x": {"user_message": "b"}}], "prompt": 3}'), (2, None), (3, "{")], "id int, doc string").where("id < 3")
     assert [(r["id"], r["text"], r["path"]) for r in documents.harvest(nested, "doc").collect()] == [(1, "a", "$.cases[0]"), (1, "b", "$.cases[0].x")]
     pair = spark.createDataFrame([('{"a": 1, "b": [1.5, "é"]}',), ('{"b":[1.5,"é"],"a":1}',), ("{",)], "doc string")
-    digests = [r["d"] for r in pair.select(documents.canonical_digest(F.col("doc")).alias("d")).collect()]
+    digests = [r["d"] for r in pair.select(jsontext.canonical_digest(F.col("doc")).alias("d")).collect()]
     assert digests[0] == digests[1] == hashlib.sha256('{"a":1,"b":[1.5,"é"]}'.encode()).hexdigest() and digests[2] is None
     files = [("f", "b", "00" * 32), ("f", "a", "11" * 32)]
     want = hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p.encode() + bytes.fromhex(h) for _, p, h in sorted(files))).hexdigest()
     assert documents.folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).first()["digest"] == want
+
+
+def test_ties_of_the_nearest(spark):
+    a = spark.createDataFrame([(1, "pay the rent")], "id long, text string")
+    b = spark.createDataFrame([(1, "pay the rent!"), (2, "pay the rent?"), (3, "call mum")], "ref_id long, ref_text string")
+    assert leakage.nearest(a, b, 0.75, ["id"], ["ref_id"]).first()["ref_id"] == 1 and leakage.nearest(a, b, 0.75, ["id"], ["ref_id"], last=True).first()["ref_id"] == 2
+
+
+def test_the_bound_by_characters_loses_no_pair(spark):
+    rng = random.Random(3)
+    pairs = [("".join(rng.choices("abc d", k=rng.randint(1, 14))), "".join(rng.choices("abc d", k=rng.randint(1, 14)))) for _ in range(400)]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    a, b = leakage.letters(F.col("a")), leakage.letters(F.col("b"))
+    got = [r["ok"] for r in frame.select(leakage.may_reach(a, b, F.length("a"), F.length("b"), 0.75).alias("ok")).collect()]
+    near = [SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.75 for x, y in pairs]
+    assert all(ok for ok, n in zip(got, near, strict=True) if n) and sum(got) < len(got) and any(near)
+
+
+def test_both_masks():
+    assert leakage.masked_fields("  Đặt HẠN việc 12a, 12: Mua  sữa lúc 8:00!", "mua sữa", "8:00") == "đặt hạn việc 12a, <id>: <content> lúc <when>!"
+    assert leakage.masked("Đặt HẠN việc 12a, 12: Mua sữa", ["mua sữa"]) == "đặt hạn việc <id> a <id> <payload>"
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.range(10).withColumnRenamed("id", "ordinal")
+    path = str(tmp_path / "report")
+    tables.write_new(rows, path)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        tables.write_new(rows, path)
+    tables.replace_whole(rows.where("ordinal < 3"), path)
+    assert spark.read.parquet(path).count() == 3
+    progress = str(tmp_path / "progress")
+    for first in (0, 4, 4, 8):  # the second slice is written again after a failure
+        tables.append_slice(rows, progress, "ordinal", first, 4)
+    assert sorted(r["ordinal"] for r in spark.read.parquet(progress).collect()) == list(range(10))
+
+
+def test_resume_audit(spark):
+    files = spark.createDataFrame([("done", "in-1\n"), ("state.json", '{"global_step": 25}')], "path string, content string")
+    folder = spark.createDataFrame([("ab",)], "digest string")
+    told = lambda **k: {r["check"]: r["ok"] for r in audits.resume_audit(files, ["done", "state.json"], **({"marker_name": "done", "marker": "in-1", "state_name": "state.json", "step": 25, "digest": "ab", "folder": folder} | k)).collect()}
+    assert all(told().values()) and not told(step=50)["step"] and not told(marker="x")["marker"] and not told(digest="cd")["digest"]
+    assert not {r["check"]: r["ok"] for r in audits.resume_audit(files, ["weights"], "done", "in-1", "state.json", 25, "ab", folder).collect()}["missing_file"]
+
+
+def test_percentiles_against_the_engine(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([1.5, 2.0, 9.25, rng.random() * 1e6, None]), k) for k in range(2000)], "g string, s double, t int")
+    got = {r["g"]: (r["median_seconds"], r["p95_seconds"]) for r in rollups.latency(rows, ["g"], "s", "t").collect()}
+    want = {r["g"]: (r["m"], r["p"]) for r in rows.groupBy("g").agg(F.median("s").alias("m"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY s)").alias("p")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_streamed_states_know_late_turns(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = "session long, turn long, state string"
+    for k, rows in enumerate(([(1, 1, "a"), (1, 3, "c")], [(1, 2, "b"), (1, 4, "d")])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    sink = lifecycle.stream_turn_states(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+    sink.trigger(availableNow=True).start().awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1, None, "a"), (1, 3, "a", "c"), (1, 2, None, "b"), (1, 4, "c", "d")}
