@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 from .common import materialize, portions, unlike, worker_cache
 
 #: Default parameters: window length, the id that ends a document, pieces that are packed together, bytes of cached words.
-WINDOW, END_ID, SHARD_PIECES, CACHE_BYTES = 2048, 1, 4096, 64_000_000
+WINDOW, END_ID, SHARD_PIECES, CACHE_BYTES = 2048, 1, 4096, 80_000_000
 #: Fixed values of byte-level BPE: the characters that stand for the 256 bytes; printable bytes stand for themselves.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Fixed value: the pieces that the byte-level BPE cuts a text into.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters before this one are cut into pieces alike by both libraries, whatever their tables of Unicode.
+LATIN_END = "\u0250"
 #: About what a cached word takes beside its characters and ids.
-ENTRY_BYTES = 200
+ENTRY_BYTES = 130
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -27,72 +32,83 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@functools.cache
+def splitter(path: str) -> tuple[Callable[[str], list[int]], int]:
+    """(subword ids of a text, number of subwords) by a byte-level BPE file of `tokenizers`, read by `tiktoken`: the same ids at half
+    the cost for single words. Ids are the ranks of the merges; special tokens are ordinary text here."""
+    from tiktoken import Encoding
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    byte_of = {c: b for b, c in byte_alphabet().items()}
+    vocabulary = whole.get_vocab()
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
+    return Encoding("subwords", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, len(vocabulary)
+
+
+class Spaced(dict):
+    """Word -> ids of the word after a space, filled on demand. Words are kept in two generations of about `limit` bytes each: a full
+    younger one takes the place of the older one, so frequent words stay."""
+
+    def __init__(self, own: Encoder, limit: int) -> None:
+        super().__init__()
+        self.own, self.limit, self.held, self.older = own, limit, 0, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.own.ids(f" {word}")
+        if len(word) <= 64:
+            self[word] = found
+            self.held += ENTRY_BYTES + len(word) + len(found)
+            if self.held > self.limit:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+        return found
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by a byte-level BPE file of `tokenizers`: the ids
     that the tokenizer's own `encode` gives, the strings of its special tokens included.
 
     The pre-tokenizer never joins across a single space between two non-space characters, nor across a single line feed
-    between them, so words are encoded once and kept. Words of letters alone are one pre-token and go straight to the
-    BPE model. The cache is bounded in bytes: when full it is emptied."""
+    between them, so words are encoded once and kept. Printable words of Latin letters go to `splitter`, which has the same ids for
+    them, and all others to the tokenizer. The cache is bounded in bytes."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit, self.held = self.tokenizer.model, cache_bytes, 0
-        self.alphabet = byte_alphabet()
-        self.words: dict[str, bytes] = {}
-        self.cuts = re.compile(r"(?<=\S)([ \n])(?=\S)")
-        self.runs = re.compile(r"\s\s")
+        self.split, self.spaced = splitter(path)[0], Spaced(self, cache_bytes // 2)
+        self.cuts, self.runs = re.compile(r"(?<=\S)([ \n])(?=\S)"), re.compile(r"\s\s")
         # special tokens are cut out of a text before anything else is looked at
-        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
-        self.marks = special
+        self.marks = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, self.marks))})")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _line(self, chunk: str) -> bytes:
-        """Ids of a chunk without line feeds that holds no space but may begin with one."""
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha() and len(body) <= 200:
-            return self._letters(chunk)
-        if len(body) > 1 and body[-1] in ".,!" and body[-2].isalpha():
-            return self.word(chunk[:-1]) + self.word(body[-1])
-        return self._whole(chunk)
-
     def ids(self, chunk: str) -> bytes:
         """Ids of a chunk that holds no space but may begin with one."""
+        if chunk.isprintable() and max(chunk) < LATIN_END:
+            return array("I", self.split(chunk)).tobytes()
         body = chunk[1:] if chunk[:1] == " " else chunk
         if "\n" in body and body[0] != "\n" and body[-1] != "\n" and not self.runs.search(body):
-            return self.word("\n").join(map(self.word, chunk.split("\n")))
-        return self._line(chunk)
+            first, *rest = chunk.split("\n")
+            feed = self._whole("\n")
+            return self.ids(first) + b"".join(feed + self.ids(line) for line in rest)
+        return self._whole(chunk)
 
     def word(self, chunk: str) -> bytes:
-        """`ids`, kept if the chunk is short."""
-        got = self.words.get(chunk)
-        if got is not None:
-            return got
-        got = self.ids(chunk)
-        if len(chunk) <= 64:
-            self.words[chunk] = got
-            self.held += ENTRY_BYTES + len(chunk) + len(got)
-            if self.held > self.limit:
-                self.clear()
-        return got
-
-    def clear(self) -> None:
-        self.words.clear()
-        self.held = 0
+        """`ids`, through the cache where the chunk begins with a space."""
+        return self.spaced[chunk[1:]] if chunk[:1] == " " and len(chunk) > 1 else self.ids(chunk)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special and any(m in text for m in self.marks):
+        if any(m in text for m in self.marks):
             parts = self.special.split(text)  # text, special token, text, ...
             return b"".join(self._whole(p) if k % 2 else self._plain_text(p) for k, p in enumerate(parts) if p)
         return self._plain_text(text)
@@ -104,15 +120,13 @@ class Encoder:
             for k in range(1, len(parts), 2):
                 lead = parts[k]
                 if lead == "\n":
-                    out.append(self.word("\n"))
+                    out.append(self._whole("\n"))
                     lead = ""
                 chunk = lead + parts[k + 1]
                 out.append(self.word(chunk) if self._solid(parts[k + 1]) else self._whole(chunk))
             return b"".join(out)
         first, *rest = text.split(" ")
-        get, word = self.words.get, self.word
-        found = [get(" " + c) or word(" " + c) for c in rest]
-        return word(first) + b"".join(found)
+        return self.ids(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def _solid(self, chunk: str) -> bool:
         return not any(c.isspace() for c in chunk)
