@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,6 +81,13 @@ class Scratch:
                 drop_path(self.spark, self.paths.pop(name))
 
 
+def give_back() -> None:
+    """Return memory that a fit on the driver no longer uses to the system, where its allocator can be told to."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: The one cache of a Python worker: workers live on from task to task and from operator to operator.
 _CACHE: dict[str, Any] = {}
 

@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, portions, worker_cache
+from .common import Scratch, connected_components, give_back, portions, worker_cache
 
 #: Default parameters: words in a shingle, least Jaccard similarity in hundredths, bands and bins in each band. At 0.85 a
 #: pair shares a bucket with probability 1 - (1 - 0.85^5)^25, over 0.9999995.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 85, 25, 5
 #: Odd multipliers of the 64-bit mixing step, and the words whose hashes a worker keeps.
 MIX1, MIX2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-CACHE = 300_000
+CACHE = 200_000
 #: Bands of the first stars, stars that a bucket gives after them, and the bins of the histogram that orders shingles
 #: from rare to frequent.
 FIRST, STARS, BINS = 4, 3, 1 << 20
@@ -173,6 +173,8 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     bins = sets.select(F.explode("shingles").alias("t")).groupBy(F.pmod("t", F.lit(BINS)).alias("bin")).count().toArrow()
     often = np.zeros(BINS, np.int64)
     often[bins.column(0).to_numpy()] = bins.column(1).to_numpy()
+    del bins
+    give_back()
     shared = sets.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

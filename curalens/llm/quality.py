@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import give_back, remainder
 
 #: Bound of the labelled sample, in rows of each class, and the size of the rule search.
 MAX_ROWS_PER_CLASS = 8_000
@@ -195,5 +195,8 @@ def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: i
     texts = documents.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(picked), "doc_id")
     rows = with_statistics(texts, "_text").select("_y", *[f"_s_{n}" for n in STATISTICS]).collect()
     data = np.array([list(r) for r in rows], float).reshape(-1, 1 + len(STATISTICS))
+    del rows
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-    return fit(data[:, 1:], data[:, 0], prior=prior)
+    model = fit(data[:, 1:], data[:, 0], prior=prior)
+    give_back()
+    return model

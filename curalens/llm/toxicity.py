@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, remainder
+from .common import give_back, portions, remainder
 
 #: Bounds of the labelled sample: rows of each class, and characters of a text and of all texts.
 MAX_ROWS_PER_CLASS, MAX_TEXT_CHARS, MAX_SAMPLE_CHARS = 5_000, 200_000, 40_000_000
@@ -143,7 +143,8 @@ class Sample:
             texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             labels.append(y)
         names, heads = list(known), Words()
-        head_of = np.array([[heads[w[:n]] if len(w) > n else -1 for n in PREFIXES] for w in names], np.int32).reshape(-1, len(PREFIXES))
+        del known
+        head_of = np.fromiter((heads[w[:n]] if len(w) > n else -1 for w in names for n in PREFIXES), np.int32, len(names) * len(PREFIXES)).reshape(-1, len(PREFIXES))
         return cls(names, texts, np.array(labels, int), np.array([zlib.crc32(w.encode()) for w in names], np.uint64), list(heads), head_of)
 
     def distinct(self, checks: int = 3) -> list[int]:
@@ -270,7 +271,9 @@ def score_text(text: str | None, model: ToxicModel) -> tuple[float, list[tuple[i
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS_PER_CLASS, label: str = "toxic") -> ToxicModel:
     """Fit on labelled rows whose crc32(doc_id) mod `modulus` isn't `held_out`: at most `max_rows` of each class, in a
     hash order of the id. Only this sample, bounded in rows and characters, is read into the driver."""
-    return fit(sample_labelled(documents, labels, modulus, held_out, max_rows, label))
+    model = fit(sample_labelled(documents, labels, modulus, held_out, max_rows, label))
+    give_back()
+    return model
 
 
 def sample_labelled(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, max_rows: int, label: str) -> Iterator[tuple[str | None, int]]:
