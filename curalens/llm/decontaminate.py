@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unlike
 
 #: Default parameters: template words in a window, least share of an item's words that matched windows must cover, least
-#: literal words in a window, and the most benchmark windows that are sent to all tasks (some hundred bytes each).
+#: literal words in a window, and the most benchmark windows that travel with the plan (some hundred bytes each).
 SIZE, COVERAGE, LITERAL, BROADCAST_WINDOWS = 5, 0.8, 2, 500_000
 #: Least words of an item for which a document is removed: a word or two alone are an answer that any text may hold.
 SHORTEST = 3
@@ -72,6 +72,17 @@ def item_windows(benchmark: DataFrame, size: int, literal: int, shortest: int) -
     return found
 
 
+def presence(items: DataFrame, n_windows: int) -> Column | None:
+    """Whether a hash may be that of an item's window, by a table of bytes that is part of the plan: 4 slots a window. None
+    where the windows are too many to be sent along."""
+    if n_windows > BROADCAST_WINDOWS:
+        return None
+    slots = bytearray(max(1 << 12, 4 * n_windows))
+    for r in items.select("h").distinct().collect():
+        slots[r["h"] % len(slots)] = 1
+    return F.lit(bytes(slots))
+
+
 def judged(found: DataFrame, spread: Callable[[Column], Column]) -> DataFrame:
     """Add coverage, n_windows, n_slots, verbatim and _fits to found(words, at, slots): the item's positions of the matched
     windows, and the distinct pairs of an item's value and the document's."""
@@ -94,23 +105,13 @@ def nearby(rest: DataFrame, anchors: DataFrame) -> DataFrame:
     return r.join(a, same).select("r.*", "anchor").drop("_bin")
 
 
-def met_windows(docs: DataFrame, items: DataFrame, near_to_all: bool) -> DataFrame:
-    """Each window of docs(doc_id, _raw, _template) that has the hash of an item's window, with that window; once for each kind of
-    window that the items have.
-
-    Where the items are sent to all tasks, a document's hashes are looked up as they are unfolded, in one generated loop, and only the
-    windows that are met are cut out of its words. Else the windows' own words are what is dealt by hash."""
-    found = None
-    for r in sorted(items.select("len", "raw").distinct().collect()):
-        words = "_raw" if r["raw"] else "_template"
-        side = items.where((F.col("len") == r["len"]) & (F.col("raw") == r["raw"])).drop("raw", "len")
-        raw = F.slice("_raw", F.col("pos") + 1, r["len"]).alias("doc_raw")
-        cut = docs.withColumn("_h", windows(words, r["len"], f"{words}{r['len']}")).select("doc_id", "_raw", F.posexplode("_h").alias("pos", "h"))
-        met = cut.join(F.broadcast(side), "h").withColumn("doc_raw", raw) if near_to_all else cut.select("doc_id", "pos", "h", raw).join(side, "h")
-        met = met.select("doc_id", "pos", "doc_raw", "item_id", "item_pos", "item_raw", "marks")
-        found = met if found is None else found.unionByName(met)
-    none = items.select(F.col("item_id").alias("doc_id"), F.col("item_pos").alias("pos"), F.col("item_raw").alias("doc_raw"), "item_id", "item_pos", "item_raw", "marks").limit(0)
-    return none if found is None else found
+def hits_of(hashes: str, size: int, slots: Column | None) -> Column:
+    """(pos, h, doc_raw) of the windows of a document that may be an item's, by the table of bytes; of all of them without one."""
+    at = F.sequence(F.lit(0), F.size(hashes) - 1)
+    if slots is not None:
+        at = F.filter(at, lambda i: F.substring(slots, (F.pmod(F.get(hashes, i), F.length(slots)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
+    hit = F.transform(at, lambda i: F.struct(i.cast("int").alias("pos"), F.get(hashes, i).alias("h"), F.slice("_raw", i + 1, size).alias("doc_raw")))
+    return F.when(F.size(hashes) > 0, hit)
 
 
 def find_leaks(
@@ -132,8 +133,9 @@ def find_leaks(
     Null and empty texts give no pair; texts of any length are read whole, each window once. Rows with one id are one document
     (or item); null ids form one too. An empty table gives an empty result; other columns are ignored.
 
-    The benchmark's windows are counted: up to BROADCAST_WINDOWS they are sent to all tasks, so documents aren't shuffled at all;
-    beyond it both sides are dealt by hash. Only matched windows are grouped, with map-side sums per document and item."""
+    The benchmark's windows are counted: up to BROADCAST_WINDOWS they travel with the plan, so documents aren't shuffled at all
+    and only windows that are likely to match become rows; beyond it both sides are dealt by hash. Only matched windows
+    are grouped, with map-side sums per document and item."""
     scratch = Scratch(documents.sparkSession, "leaks")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("_text"))
     items = scratch.write(item_windows(items, size, literal, shortest), "items")
@@ -141,13 +143,23 @@ def find_leaks(
     totals = items.groupBy("item_id", "len").agg(spread(F.collect_set("item_pos")).alias("words"))
     n_windows = items.count()
     near_to_all = n_windows <= BROADCAST_WINDOWS
+    slots, side = presence(items, n_windows), F.broadcast(items) if near_to_all else items
+
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    met = met_windows(with_templates(docs, F.col("_text")).select("doc_id", "_raw", "_template"), items, near_to_all)
+    docs, hits = with_templates(docs, F.col("_text")), []
+    for k, r in enumerate(sorted(items.select("len", "raw").distinct().collect())):
+        words = "_raw" if r["raw"] else "_template"
+        docs = docs.withColumn(f"_h{k}", windows(words, r["len"], f"{words}{r['len']}"))
+        hits.append(hits_of(f"_h{k}", r["len"], slots))
+    none = F.array().cast("array<struct<pos:int,h:bigint,doc_raw:array<string>>>")
+    docs = docs.select("doc_id", F.explode(F.concat(*[F.coalesce(h, none) for h in hits], none)).alias("hit")).select("doc_id", "hit.*")
+    met = docs.join(side, "h")
     changing = F.filter(F.arrays_zip("item_raw", "doc_raw", "marks"), lambda x: x["marks"])
     met = met.select(
         "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
         F.transform(changing, lambda x: F.struct(x["item_raw"].alias("item"), x["doc_raw"].alias("doc"))).alias("slots"),
     )
+    met = scratch.write(met, "windows")  # so that the table of bytes stands in this one plan alone
     windows_met = F.collect_set(F.struct("item_pos", "shift", "slots"))
     found = met.groupBy("doc_id", "item_id").agg(windows_met.alias("met"))
     totals = totals.withColumnRenamed("item_id", "_item")
