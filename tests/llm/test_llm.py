@@ -178,11 +178,11 @@ def test_encoder_equals_the_tokenizer():
     whole = Tokenizer.from_file(PATH)
     own, rng = packing.Encoder(PATH, cache_bytes=60_000), random.Random(2)
     same = lambda t: np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
-    parts = [*"ab é,.!'\n\t  1\xa0\x1c\u3000s-𝒳", "don't", " the", "  ", "\n\n", "<|endoftext|>", "<|endof", " 's"]
-    for _ in range(3000):
+    parts = [*"ab é,.!'\n\t  1\xa0\x1c\u3000s-𝒳", "don't", " the", "  ", "\n\n", "<|endoftext|>", "<|endof", " 's", "\x85", "\x7f", "ß", "ſ", "漢", "²", "\u200b"]
+    for _ in range(6000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
         assert same(text), repr(text)
-    assert own.held <= 60_000
+    assert own.spaced.held <= 30_000 + 400
     lines = [prose(rng, 4).split()[0] for _ in range(20_000)]
     assert same("\n".join(lines)) and same(" x".join(lines)) and np.frombuffer(own.encode("a<|endoftext|>"), "<u4").tolist() == [64, 50256]
 
@@ -212,6 +212,17 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), PATH).collect() == []
 
 
+def test_subwords_are_those_of_the_tokenizer():
+    rng, own = random.Random(12), packing.Encoder(PATH)
+    words = ["".join(rng.choices([*"abcdefgxyz", "é", "ß", "漢", "'s", ".", "1", "\xa0", "-", "tion"], k=rng.randint(1, 9))) for _ in range(4000)] + ["a\x00b", "\u3000", "it's", "x\x85y"]
+    assert all(lm.made(w.encode(), PATH) == own.ids(" " + w) for w in words)
+    kept = lm.Subwords(PATH, {b"ab": 7}, (5, 50257), limit=100)
+    for w in [w for w in words[:1000] if w != "ab"]:
+        kept.renew()
+        assert kept[w.encode()] == struct.pack("<d", 0.0) + lm.made(w.encode(), PATH)
+    assert len(kept) <= 101 and kept[b"ab"][:8] == struct.pack("<d", 7.0) and kept[None] == struct.pack("<dI", 5, 50257)
+
+
 def test_repeated_rows_spread_over_shards(spark):
     got = packing.pack_documents(docs(spark, [(None, "")] * 400 + [(7, "a b c")] * 400), PATH, shard_pieces=100).collect()
     shards = collections.Counter(r["sequence_id"] >> 32 for r in got)
