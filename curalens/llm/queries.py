@@ -15,6 +15,7 @@ from .lm import lm_scores
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pivots import near_vectors
+from .set_sketch import window_algebra
 from .url_filter import judge_urls, path_of
 from .warc import URN, assemble, read_warc, write_warc
 
@@ -165,6 +166,64 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), html_weights(spark, sf_dir))
 
 
+def op13_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_algebra(table(spark, sf_dir, "clicks"))
+
+
+OP13_SQL = """
+WITH used AS (
+  SELECT DISTINCT client_id, kind, (ts::DATE - DATE '1970-01-01')::BIGINT AS day
+  FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+days AS (SELECT DISTINCT day FROM used),
+kinds AS (SELECT DISTINCT kind FROM used),
+frame AS (SELECT day, a.kind AS kind_a, b.kind AS kind_b FROM days, kinds a, kinds b),
+inside AS (SELECT DISTINCT client_id, kind, unnest(range(day, day + 7)) AS day FROM used),
+one AS (SELECT day, kind, count(*) AS n FROM inside GROUP BY ALL),
+two AS (
+  SELECT x.day, x.kind AS kind_a, y.kind AS kind_b, count(*) AS n
+  FROM inside x JOIN inside y ON x.client_id = y.client_id AND y.day = x.day - 1 GROUP BY ALL),
+hashed AS (
+  SELECT kind, day, bits & 511 AS bucket, bits >> 10 AS v, CASE WHEN bits >> 10 = 0 THEN 0 ELSE length(bin(bits >> 10)) END AS len
+  FROM (SELECT kind, day, ('0x' || substr(md5(client_id::VARCHAR), 1, 14))::BIGINT AS bits FROM used)),
+registers AS (
+  SELECT kind, unnest(range(day, day + 7)) AS day, bucket,
+    (47 - len) * 1024 + 1023 - ((CASE WHEN len > 11 THEN v >> (len - 11) ELSE v << (11 - len) END) & 1023) AS code
+  FROM hashed),
+sketches AS (SELECT kind, day, bucket, max(code) AS code FROM registers GROUP BY ALL),
+zipped AS (
+  SELECT f.day, kind_a, kind_b, coalesce(a.code, 0) AS a, coalesce(b.code, 0) AS b
+  FROM frame f, range(512) r(bucket)
+  LEFT JOIN sketches a ON a.day = f.day AND a.kind = kind_a AND a.bucket = r.bucket
+  LEFT JOIN sketches b ON b.day = f.day - 1 AND b.kind = kind_b AND b.bucket = r.bucket),
+placed AS (
+  SELECT *, CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE least(1.0, pow(2.0, -(a >> 10)) * (1 + (1023 - (a & 1023) + 0.5) / 1024)) END AS pa,
+    CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE least(1.0, pow(2.0, -(b >> 10)) * (1 + (1023 - (b & 1023) + 0.5) / 1024)) END AS pb
+  FROM zipped),
+sums AS (
+  SELECT day, kind_a, kind_b, count(*) FILTER (a > 0 OR b > 0)::DOUBLE AS k, sum(CASE WHEN a >= b THEN pa ELSE pb END) AS s,
+    count(*) FILTER (a > 0) / sum(pa) * 511 / 512 AS la, count(*) FILTER (b > 0) / sum(pb) * 511 / 512 AS lb,
+    count(*) FILTER (a > 0 AND a = b)::DOUBLE AS agree, count(*) FILTER (a > b)::DOUBLE AS first
+  FROM placed GROUP BY ALL),
+sized AS (
+  SELECT *, k * 511 / s AS n, CASE WHEN la > 0 AND lb > 0 THEN 512 * la * lb / (la + lb) * list_sum(list_transform(range(1, 47),
+    lambda i: pow(2.0, -(i + 10)) * (exp(-(la + lb) * pow(2.0, -i)) - exp(-(la + lb) * pow(2.0, 1 - i))))) ELSE 0 END AS chance
+  FROM sums),
+parts AS (
+  SELECT *, CASE WHEN k > 0 THEN least(greatest((agree - chance) / greatest(k - chance, 1), 0), 1) ELSE 0 END AS p, greatest(n, 1e-9) / 512 AS t FROM sized),
+rated AS (
+  SELECT *, CASE WHEN k > 0 THEN (1 - p) * coalesce(first / nullif(k - agree, 0), 0) ELSE 0 END AS q,
+    n * n / 512 * CASE WHEN t < 0.01 THEN 0.5 + t / 12 ELSE 1 / (1 - exp(-t)) - 1 / t END AS spread,
+    n * n / greatest(k, 1) * greatest(1 - k / greatest(n, 1), 0.02) AS own, CASE WHEN n > 0 THEN 0.5 ELSE 0 END AS half, 8 * n / sqrt(512) + 3 AS most
+  FROM parts)
+SELECT r.day, r.kind_a, r.kind_b, coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(t.n, 0) AS n_union, coalesce(t.n, 0) AS n_both,
+  coalesce(a.n, 0) - coalesce(t.n, 0) AS n_only_a, round(r.n, 6) AS est_union, round(r.n * p, 6) AS est_both, round(r.n * q, 6) AS est_only_a,
+  round(least(3 * sqrt(spread) + half, most), 6) AS err_union, round(least(3 * sqrt(own * p * (1 - p) + p * p * spread) + half, most), 6) AS err_both,
+  round(least(3 * sqrt(own * q * (1 - q) + q * q * spread) + half, most), 6) AS err_only_a
+FROM rated r LEFT JOIN one a ON a.day = r.day AND a.kind = r.kind_a LEFT JOIN one b ON b.day = r.day - 1 AND b.kind = r.kind_b
+  LEFT JOIN two t ON t.day = r.day AND t.kind_a = r.kind_a AND t.kind_b = r.kind_b
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxic_segments": op2_toxic_segments,
@@ -176,5 +235,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
+    "op13_set_algebra": op13_set_algebra,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op13_set_algebra": OP13_SQL}
