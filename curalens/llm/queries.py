@@ -15,6 +15,7 @@ from .lm import lm_scores
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .pivots import near_vectors
+from .repacking import repack_documents
 from .set_sketch import window_algebra
 from .url_filter import judge_urls, path_of
 from .warc import URN, assemble, read_warc, write_warc
@@ -166,6 +167,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), html_weights(spark, sf_dir))
 
 
+def op12_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op13_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_algebra(table(spark, sf_dir, "clicks"))
 
@@ -235,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
+    "op12_repacking": op12_repacking,
     "op13_set_algebra": op13_set_algebra,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op13_set_algebra": OP13_SQL}
