@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .collocations import collocations
 from .common import remainder, scratch_path, table
 from .decontaminate import find_leaks
 from .html_text import Weights, extract_main_text, learn
@@ -167,6 +168,39 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"), html_weights(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT row_number() OVER () AS id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+words AS (SELECT id, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM split),
+starts AS (SELECT lang, w AS x, lead(w, 1) OVER v AS y, lead(w, 2) OVER v AS z FROM words WINDOW v AS (PARTITION BY id ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, x AS phrase, count(*) AS f FROM starts GROUP BY ALL
+  UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM starts WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM starts WHERE z IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+phrases AS (SELECT * FROM grams WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, k, f, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') AS first, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS rest
+  FROM phrases, (VALUES (1), (2)) t(j) WHERE j < k),
+rated AS (
+  SELECT c.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.first JOIN grams y ON y.lang = c.lang AND y.phrase = c.rest),
+weakest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM weakest c WHERE NOT EXISTS (
+    SELECT 1 FROM phrases p WHERE p.lang = c.lang AND p.k = 3 AND c.k = 2 AND 100 * p.f >= 50 * c.f
+      AND c.phrase IN (array_to_string(string_split(p.phrase, ' ')[1 : 2], ' '), array_to_string(string_split(p.phrase, ' ')[2 : 3], ' ')))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, f AS a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -240,7 +274,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_html_text": op9_html_text,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op12_repacking": op12_repacking,
     "op13_set_algebra": op13_set_algebra,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op13_set_algebra": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_collocations": OP11_SQL, "op13_set_algebra": OP13_SQL}
