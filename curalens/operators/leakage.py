@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The longest grams of the index, and buckets in which their frequency is counted.
+MOST_GRAM, GRAM_SLOTS = 6, 1 << 16
+#: Common grams that a pair must show before it is compared; thresholds up to this one leave no gram untouched, and bands of length serve.
+SHARED, LEAST_INDEXED = 4, 0.7
+
 
 @F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
@@ -33,17 +40,23 @@ def shape(text: pd.Series, payloads: pd.Series) -> pd.Series:
     return pd.Series([masked(t, None if p is None else list(p)) for t, p in zip(text, payloads, strict=True)])
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio (Ratcliff and Obershelp), first text against second. It isn't symmetric."""
-    out, last, matcher = [], None, SequenceMatcher(autojunk=False)
-    for x, y in zip(a, b, strict=True):
-        if y != last:
-            matcher.set_seq2(y)  # the second text's index is kept while it stays the same
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out)
+def similarity(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
+    """Matching-blocks ratio (Ratcliff and Obershelp), first text against second; it isn't symmetric. Null where it stays below `least`:
+    the letters that both have, in any order, bound the ratio, and most pairs end there."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, matcher = [], None, SequenceMatcher(autojunk=False)
+        for x, y in zip(a, b, strict=True):
+            if y != last:
+                matcher.set_seq2(y)  # the second text's index is kept while it stays the same
+                last = y
+            matcher.set_seq1(x)
+            found = matcher.ratio() if matcher.quick_ratio() >= least else -1.0
+            out.append(found if found >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
 
 
 def normalized(text: str | None) -> str | None:
@@ -67,10 +80,13 @@ def field_mask(text: pd.Series, content: pd.Series, when: pd.Series) -> pd.Serie
 
 
 def exact_matches(audited: DataFrame, reference: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """Pairs of equal texts after folding, by a hash join."""
+    """(id, ref_id, refs): each audited row whose text is in the reference, after folding, with the smallest id of the texts that it
+    equals and their number. A folded text is one class, whatever its copies on either side, so the result is linear in the
+    audited rows; the reference has one row a class by then, so copies of one text are split like any skewed side."""
     a = audited.select(F.col(key).alias("id"), fold(F.col(text)).alias("folded"))
     b = reference.select(F.col(key).alias("ref_id"), fold(F.col(text)).alias("folded"))
-    return a.join(b, "folded").select("id", "ref_id")
+    classes = b.groupBy("folded").agg(F.min("ref_id").alias("ref_id"), F.count("*").alias("refs"))
+    return a.join(classes, "folded").select("id", "ref_id", "refs")
 
 
 def length_band(audited: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
@@ -102,17 +118,118 @@ def may_reach(a: Column, b: Column, la: Column, lb: Column, threshold: float) ->
     return 2 * common >= F.lit(threshold) * (la + lb) - 1e-9
 
 
+def gram_size(threshold: float) -> int:
+    """Characters of the grams for a threshold: as many as leave two fifths of a text's grams untouched by the edits that it allows."""
+    return max(1, min(MOST_GRAM, int(0.6 * threshold / (2 * (1 - threshold))))) if threshold < 1 else MOST_GRAM
+
+
+def edits(length: int, threshold: float) -> int:
+    """Characters that a text of this length and any partner can have outside their matching blocks."""
+    return int(2 * length * (1 - threshold) / threshold + 1e-9)
+
+
+def short_length(threshold: float) -> int:
+    """The greatest length at which the edits may touch every gram."""
+    size = gram_size(threshold)
+    return max((m for m in range(1, 200) if m - size + 1 - size * edits(m, threshold) < 1), default=0)
+
+
+def signature(threshold: float, counts: np.ndarray) -> Column:
+    """A function of (text) -> array of struct(key, at, need): the keys at which a text must meet any other that reaches the
+    threshold, and at how many of them.
+
+    A ratio of t or more leaves at most d = (1 - t)(m + n) characters outside the matching blocks, for m and n the lengths, and n is
+    at most m (2 - t) / t, so at most d = 2 m (1 - t) / t. Each of them touches at most q of the m - q + 1 grams of q
+    characters, and blocks come in the same order in both texts. So in any order of all grams, the first SHARED common ones are
+    among the first q d + SHARED of either text, at places at most d apart. Rare grams come first; `counts` says how often the grams
+    of each bucket of a hash occur. A text so short that no gram may be left gives what remains after every choice of up to d deletions, at
+    place -1, as does any that may be its partner: the common part of both is among them."""
+    size, slots, short = gram_size(threshold), len(counts), short_length(threshold)
+    partner = int(short * (2 - threshold) / threshold + 1e-9)
+
+    def keys(text: str) -> list[dict[str, int]]:
+        m, most, found = len(text), edits(len(text), threshold), []
+        if m <= partner:
+            left = {text}
+            for _ in range(most):
+                left |= {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
+            found += [{"key": hashed("short " + x), "at": -1, "need": 1} for x in left]
+        if m > short:
+            grams = [(hashed(text[i : i + size]), i) for i in range(m - size + 1)]
+            need = min(SHARED, len(grams) - size * most)
+            grams.sort(key=lambda g: (counts[g[0] % slots], g))
+            found += [{"key": k, "at": i, "need": need} for k, i in grams[: size * most + SHARED]]
+        return found
+
+    @F.pandas_udf("array<struct<key:long,at:int,need:int>>")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: keys(t) if t else [])
+
+    return made
+
+
+def hashed(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def gram_counts(texts: DataFrame, threshold: float) -> np.ndarray:
+    """How often the grams of each of GRAM_SLOTS buckets occur. Tasks add up their own buckets, so at most GRAM_SLOTS short rows reach
+    the driver, and the signatures carry an array of that length, whatever the input."""
+    size, found = gram_size(threshold), np.zeros(GRAM_SLOTS, np.int64)
+
+    @F.pandas_udf("array<int>")
+    def slots(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: [hashed(t[i : i + size]) % GRAM_SLOTS for i in range(len(t or "") - size + 1)])
+
+    for row in texts.select(F.explode(slots("text")).alias("slot")).groupBy("slot").count().toLocalIterator():
+        found[row["slot"]] = row["count"]
+    return found
+
+
+def near_candidates(audited: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
+    """(text, ref_text): every pair of different texts that may reach the ratio `threshold`, and few others.
+
+    audited(text) and reference(ref_text) are distinct texts that aren't empty. Pairs meet at a key of both signatures and in an adjacent
+    band of length; then places and lengths must agree, at as many keys as both must share. All bounds are exact. Equal texts are no candidates: they are found
+    as classes. A key that many texts share is a rare one of all of them, is dealt out by bands, and its side with more rows is split by
+    Spark's skew handling, as a plain equi-join allows."""
+    if threshold <= LEAST_INDEXED:
+        return length_band(audited, reference, threshold).where("text <> ref_text").select("text", "ref_text")
+    counts = gram_counts(reference.select(F.col("ref_text").alias("text")), threshold)
+    sign = signature(threshold, counts)
+    ratio = threshold / (2 - threshold)
+    step = F.log(F.lit(1 / ratio)) if ratio < 1 else F.lit(1e-9)
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
+    a = audited.select("text", band("text").alias("band"), F.explode(sign("text")).alias("x")).select("text", "band", "x.*")
+    b = reference.select("ref_text", band("ref_text").alias("near"), F.explode(sign("ref_text")).alias("x"))
+    b = b.select("ref_text", F.explode(F.array(F.col("near") - 1, F.col("near"), F.col("near") + 1)).alias("band"), "x.key", F.col("x.at").alias("ref_at"))
+    la, lb = F.length("text"), F.length("ref_text")
+    apart = F.floor((1 - threshold) * (la + lb) + 1e-9)
+    close = (F.abs(F.col("at") - F.col("ref_at")) <= apart) & (2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
+    met = a.join(b, ["key", "band"]).where(close & (F.col("text") != F.col("ref_text")))
+    met = met.groupBy("text", "ref_text").agg(F.size(F.collect_set("at")).alias("shared"), F.min("need").alias("need"))
+    return met.where("shared >= need").select("text", "ref_text")
+
+
 def nearest(audited: DataFrame, reference: DataFrame, threshold: float, key: list[str], ties: list[str], last: bool = False) -> DataFrame:
     """The most similar reference text of each audited row at `threshold` or more. Of equal scores the first in the order of `ties` wins,
-    or the last. Pairs are cut by length and then by their characters before the ratio is worked out."""
-    pairs = length_band(audited, reference, threshold)
-    a, b = letters(F.col("text")), letters(F.col("ref_text"))
-    pairs = pairs.where(may_reach(a, b, F.length("text"), F.length("ref_text"), threshold))
-    pairs = pairs.withColumn("score", similarity("text", "ref_text")).where(F.col("score") >= threshold)
-    others = [c for c in pairs.columns if c not in key]
-    best = F.max if last else F.min
-    order = F.struct((F.col("score") if last else -F.col("score")).alias("_s"), *[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], F.struct(*others).alias("_row"))
-    return pairs.groupBy(*key).agg(best(order).alias("_b")).select(*key, "_b._row.*")
+    or the last.
+
+    Texts are compared once, however many rows have them: each side is reduced to its distinct texts, a reference text to the
+    row that wins among its own; pairs of texts come from an index of rare grams, equal ones from an equi-join; the ratio is worked
+    out for them alone, and rows join their text's winner at the end. Empty texts match nothing."""
+    pick = F.max if last else F.min
+    others = [c for c in reference.columns if c != "ref_text"]
+    order = F.struct(*[F.col(t).alias(f"_t{k}") for k, t in enumerate(ties)], F.struct(*others).alias("_ref"))
+    refs = reference.where("ref_text <> ''").groupBy("ref_text").agg(pick(order).alias("_o"))
+    texts, known = audited.where("text <> ''").select("text").distinct(), refs.select("ref_text")
+    scored = near_candidates(texts, known, threshold).withColumn("score", similarity("text", "ref_text", threshold)).where(F.col("score").isNotNull())
+    equal = texts.join(known, F.col("text") == F.col("ref_text")).withColumn("score", F.lit(1.0))
+    pairs = scored.unionByName(equal).join(refs, "ref_text")
+    best = F.struct((F.col("score") if last else -F.col("score")).alias("_s"), "_o", "ref_text", "score")
+    won = pairs.groupBy("text").agg(pick(best).alias("_b")).select(F.col("text").alias("_text"), "_b.ref_text", "_b.score", "_b._o._ref.*")
+    extra = [c for c in audited.columns if c not in (*key, "text")]
+    return audited.join(won, F.col("text") == F.col("_text")).select(*key, "text", *extra, "ref_text", *others, "score")
 
 
 def last_of_each(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:

@@ -60,6 +60,62 @@ def guarded_delete(tasks: DataFrame, commands: DataFrame) -> DataFrame:
     return matched(commands, tasks).select("seq", "id", status.alias("status"))
 
 
+def commands_in_order(tasks: DataFrame, commands: DataFrame, block: int = 100_000) -> DataFrame:
+    """Run commands(seq, id, op, content, due_at, expected) one after the other in order of seq, which is unique, so that each sees what
+    those before it left: (seq, id, op, status), one row a command. op: complete, update, deadline or delete; expected: a delete's
+    snapshot, or null.
+
+    Without deletes a task's state is its last content, its last deadline and whether anything completed it, and each is an associative
+    fold. So blocks of `block` numbers are summed up first, map side; sums are carried from block to block; within a block a
+    window brings every command the state before it. No task holds more than one block of one id or one row a block, so a
+    task that a third of all commands name is spread like any other. A deletion is final: the first delete whose snapshot equals the state
+    before it, or that has none, ends the task, and all that follow find nothing.
+
+    An update without content changes nothing; commands on unknown ids find nothing; an op that isn't known has a null status."""
+    base = tasks.select(F.col("id").alias("_id"), F.struct("content", "completed", "due_at").alias("_base"))
+    known = commands.withColumn("_block", F.floor(F.col("seq") / block)).withColumns({
+        "_text": F.when((F.col("op") == "update") & F.col("content").isNotNull(), F.struct("content")),
+        "_due": F.when(F.col("op") == "deadline", F.struct("due_at")), "_done": F.col("op") == "complete",
+    })
+    sums = known.groupBy("id", "_block").agg(
+        F.max_by("_text", F.when(F.col("_text").isNotNull(), F.col("seq"))).alias("_text"), F.max_by("_due", F.when(F.col("_due").isNotNull(), F.col("seq"))).alias("_due"), F.max("_done").alias("_done")
+    )
+    earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: [F.last("_text", True).over(w).alias("_text0"), F.last("_due", True).over(w).alias("_due0"), F.max("_done").over(w).alias("_done0")]
+    carried = sums.select("id", "_block", *before(earlier("id", by="_block")))
+    inner = earlier("id", "_block", by="seq")
+    here = known.select("*", F.last("_text", True).over(inner).alias("_text1"), F.last("_due", True).over(inner).alias("_due1"), F.max("_done").over(inner).alias("_done1"))
+    here = here.join(carried, ["id", "_block"]).join(base, F.col("id") == F.col("_id"), "left")
+    no, found = F.lit(False), F.col("_base").isNotNull()
+    text = F.coalesce("_text1.content", "_text0.content", "_base.content")
+    due_at = F.coalesce("_due1", "_due0", F.struct(F.col("_base.due_at").alias("due_at")))["due_at"]
+    done = F.coalesce("_done1", no) | F.coalesce("_done0", no) | F.coalesce("_base.completed", no)
+    same = F.col("expected.id").eqNullSafe(F.col("id")) & F.col("expected.content").eqNullSafe(text) & F.col("expected.completed").eqNullSafe(done) & F.col("expected.due_at").eqNullSafe(due_at)
+    status = (
+        F.when(F.col("op") == "complete", F.when(done, "already_completed").otherwise("completed"))
+        .when(F.col("op") == "update", F.when(F.coalesce(F.col("content") != text, no), "updated").otherwise("unchanged"))
+        .when(F.col("op") == "deadline", F.when(due_at.isNull() & F.col("due_at").isNotNull(), "set").when(due_at.eqNullSafe(F.col("due_at")), "unchanged").otherwise("updated"))
+        .when(F.col("op") == "delete", F.when(F.col("expected").isNull() | same, "deleted").otherwise("stale"))
+    )
+    would = here.select("seq", "id", "op", F.when(found, status).otherwise("not_found").alias("_status"))
+    ends = would.where("_status = 'deleted'").groupBy("id").agg(F.min("seq").alias("_end")).withColumnRenamed("id", "_gone")
+    gone = F.coalesce(F.col("seq") > F.col("_end"), no)
+    return would.join(ends, F.col("id") == F.col("_gone"), "left").select("seq", "id", "op", F.when(gone, "not_found").otherwise(F.col("_status")).alias("status"))
+
+
+def after_commands(tasks: DataFrame, commands: DataFrame, results: DataFrame) -> DataFrame:
+    """The next snapshot: tasks after all commands, from their results by `commands_in_order`."""
+    told = results.where("status IN ('updated', 'set', 'completed', 'deleted')").select(F.col("seq").alias("_seq"))
+    real = commands.join(told, F.col("seq") == F.col("_seq")).withColumns({"_text": F.when(F.col("op") == "update", F.struct("content")), "_due": F.when(F.col("op") == "deadline", F.struct("due_at"))})
+    last = real.groupBy(F.col("id").alias("_id")).agg(
+        F.max_by("_text", F.when(F.col("_text").isNotNull(), F.col("seq"))).alias("_text"), F.max_by("_due", F.when(F.col("_due").isNotNull(), F.col("seq"))).alias("_due"),
+        F.max(F.col("op") == "complete").alias("_done"), F.max(F.col("op") == "delete").alias("_deleted"),
+    )
+    joined = tasks.join(last, F.col("id") == F.col("_id"), "left").where(~F.coalesce("_deleted", F.lit(False)))
+    due_at = F.coalesce("_due", F.struct("due_at"))["due_at"]
+    return joined.select("id", F.coalesce("_text.content", "content").alias("content"), (F.col("completed") | F.coalesce("_done", F.lit(False))).alias("completed"), due_at.alias("due_at"))
+
+
 def apply_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     """The next snapshot: changes(id, op, content, due_at), at most one for each id, in one join. op: complete, update,
     deadline or delete."""

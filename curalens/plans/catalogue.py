@@ -138,6 +138,46 @@ def next_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return tasks.apply_changes(task_table(spark, d), changes)
 
 
+#: Customers as tasks, and events as commands on them: several on each, on some after a deletion, on others without a task.
+COMMAND_SQL = """WITH RECURSIVE cmds AS (
+    SELECT event_id AS seq, user_id AS id, CASE event_type WHEN 'view' THEN 'update' WHEN 'click' THEN 'deadline' WHEN 'purchase' THEN 'complete' ELSE 'delete' END AS op,
+      'A' || event_id % 2 AS content, event_id % 3 AS due, event_type = 'error' AS guarded, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  run AS (
+    SELECT c_custkey AS id, 0 AS n, true AS alive, c_mktsegment AS content, c_acctbal < 0 AS done, CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey::BIGINT END AS due_at, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::VARCHAR AS status FROM customer
+    UNION ALL SELECT r.id, c.n, alive AND NOT (c.op = 'delete' AND (NOT guarded OR (r.content = c.content AND done AND due_at = due))),
+      CASE WHEN c.op = 'update' THEN c.content ELSE r.content END, done OR c.op = 'complete', CASE WHEN c.op = 'deadline' THEN due ELSE due_at END, c.seq, c.op,
+      CASE WHEN NOT alive THEN 'not_found' WHEN c.op = 'complete' THEN CASE WHEN done THEN 'already_completed' ELSE 'completed' END
+        WHEN c.op = 'update' THEN CASE WHEN r.content <> c.content THEN 'updated' ELSE 'unchanged' END
+        WHEN c.op = 'deadline' THEN CASE WHEN due_at IS NULL THEN 'set' WHEN due_at = due THEN 'unchanged' ELSE 'updated' END
+        WHEN NOT guarded OR (r.content = c.content AND done AND due_at IS NOT DISTINCT FROM due) THEN 'deleted' ELSE 'stale' END
+    FROM run r JOIN cmds c ON c.id = r.id AND c.n = r.n + 1)"""
+
+
+def command_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    due_at = F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey").cast("long"))
+    held = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("content"), (F.col("c_acctbal") < 0).alias("completed"), due_at.alias("due_at"))
+    k, kind = F.col("event_id"), F.col("event_type")
+    op = F.when(kind == "view", "update").when(kind == "click", "deadline").when(kind == "purchase", "complete").otherwise("delete")
+    content, due = F.concat(F.lit("A"), (k % 2).cast("string")), k % 3
+    snapshot = F.struct(F.col("user_id").alias("id"), content.alias("content"), F.lit(True).alias("completed"), due.alias("due_at"))
+    told = read(spark, d, "events").select(
+        k.alias("seq"), F.col("user_id").alias("id"), op.alias("op"), content.alias("content"), due.alias("due_at"), F.when(kind == "error", snapshot).alias("expected")
+    )
+    return held, told
+
+
+@query("command_log", COMMAND_SQL + """SELECT seq, c.id, c.op, coalesce(r.status, 'not_found') AS status FROM cmds c LEFT JOIN (SELECT seq, status FROM run WHERE seq IS NOT NULL) r USING (seq)""")
+def command_log(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.commands_in_order(*command_tables(spark, d), block=1000)
+
+
+@query("command_snapshot", COMMAND_SQL + """SELECT id, content, done AS completed, due_at FROM run WHERE alive QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1
+    AND id NOT IN (SELECT id FROM run WHERE NOT alive)""")
+def command_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    held, told = command_tables(spark, d)
+    return tasks.after_commands(held, told, tasks.commands_in_order(held, told, block=1000))
+
+
 @query(
     "insert_lines",
     """SELECT (1000000 + row_number() OVER (ORDER BY doc_id, pos))::BIGINT AS id, content, false AS completed, NULL::BIGINT AS due_at FROM (
@@ -388,12 +428,12 @@ def template_cross(spark: SparkSession, d: str) -> DataFrame:
 # -- leakage ------------------------------------------------------------------------------------------------------------
 
 
-@query("leak_exact", "SELECT a.doc_id AS id, b.doc_id AS ref_id FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.text <> ''")
+@query("leak_exact", """WITH b AS (SELECT text, min(doc_id) AS ref_id, count(*) AS refs FROM documents WHERE doc_id % 2 = 1 AND text <> '' GROUP BY text)
+    SELECT doc_id AS id, ref_id, refs FROM documents JOIN b USING (text) WHERE doc_id % 2 = 0""")
 def leak_exact(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), "text")
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    odd = docs.where("id % 2 = 1").select(F.col("id").alias("ref_id"), digest.alias("digest"))
-    return docs.where("id % 2 = 0").select("id", digest.alias("digest")).join(odd, "digest").select("id", "ref_id")
+    docs = read(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    classes = docs.where("id % 2 = 1").groupBy("digest").agg(F.min("id").alias("ref_id"), F.count("*").alias("refs"))
+    return docs.where("id % 2 = 0").join(classes, "digest").select("id", "ref_id", "refs")
 
 
 #: Names as other people write them: folding makes them equal, and little else does.
@@ -401,7 +441,7 @@ PART_VARIANTS = ("upper(p_name)", "'  ' || p_name || chr(9)", "replace(p_name, '
 
 
 @query("leak_folded", f"""WITH a AS (SELECT p_partkey AS id, [{', '.join(PART_VARIANTS)}][p_partkey % 5 + 1] AS t FROM part), fold AS (SELECT id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS t FROM a)
-    SELECT f.id, p_partkey AS ref_id FROM fold f JOIN part ON f.t = lower(p_name)""")
+    SELECT f.id, min(p_partkey) AS ref_id, count(*) AS refs FROM fold f JOIN part ON f.t = lower(p_name) GROUP BY f.id""")
 def leak_folded(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
     name = F.col("p_name")
@@ -426,6 +466,20 @@ def leak_near_top1(spark: SparkSession, d: str) -> DataFrame:
     return leakage.nearest(audited, reference, 0.92, ["id"], ["ref_id"]).select("id", "ref_id", F.round("score", 6).alias("score"))
 
 
+#: Least ratio of a near leak.
+NEAR = 0.92
+
+
+@query("leak_near_lines")
+def leak_near_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest benchmark line of every line of every document. The matching-blocks ratio has no SQL; a test works it out pair by pair."""
+    lines = lambda name, key: read(spark, d, name).select(F.col(key).alias("k"), F.posexplode(text.lines_of(F.col("text"))).alias("line", "t"))
+    audited = lines("documents", "doc_id").select(F.col("k").alias("doc_id"), "line", leakage.fold("t").alias("text"))
+    reference = lines("benchmark", "item_id").select(F.col("k").alias("item_id"), F.col("line").alias("item_line"), leakage.fold("t").alias("ref_text"))
+    found = leakage.nearest(audited, reference, NEAR, ["doc_id", "line"], ["item_id", "item_line"])
+    return found.select("doc_id", "line", "item_id", "item_line", F.round("score", 6).alias("score"))
+
+
 @query("leak_shapes", """SELECT 'buy <payload> <id> of <id> now' AS shape, 'buy <content> #<id> of x' || p_size || ', <id> now!' AS field_shape, count(*) AS n FROM part GROUP BY ALL""")
 def leak_shapes(spark: SparkSession, d: str) -> DataFrame:
     name, size = F.col("p_name"), F.col("p_size").cast("string")

@@ -38,5 +38,9 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in cur.fetchall())
 
 
+#: Queries that SQL can't express; tests of their operators work the results out in another way.
+WITHOUT_SQL = {"leak_near_lines"}
+
+
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE_SQL.keys()
+    assert QUERIES.keys() - WITHOUT_SQL == ORACLE_SQL.keys()

@@ -167,6 +167,85 @@ def test_documents(spark):
     assert documents.folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).first()["digest"] == want
 
 
+def one_by_one(held, told):
+    """The store's rules, a command at a time."""
+    state, out = {t[0]: list(t[1:]) for t in held}, []
+    for seq, i, op, content, due, expected in sorted(told, key=lambda c: c[0]):
+        now = state.get(i)
+        if now is None:
+            status = "not_found"
+        elif op == "complete":
+            status, now[1] = "already_completed" if now[1] else "completed", True
+        elif op == "update":
+            status, now[0] = ("unchanged", now[0]) if content in (None, now[0]) else ("updated", content)
+        elif op == "deadline":
+            status, now[2] = "unchanged" if now[2] == due else "set" if now[2] is None else "updated", due
+        else:
+            status = "deleted" if expected is None or expected == (i, *now) else "stale"
+            if status == "deleted":
+                del state[i]
+        out.append((seq, i, status))
+    return out, sorted((i, *s) for i, s in state.items())
+
+
+def test_commands_in_order_against_one_by_one(spark):
+    rng = random.Random(12)
+    held = [(i, f"c{i % 2}", i % 5 == 0, None if i % 3 == 0 else i % 2) for i in range(1, 40)]
+    told = []
+    for seq in rng.sample(range(5000), 900):
+        i, op = rng.choice([7, 7, rng.randint(1, 45)]), rng.choice(["complete", "update", "update", "deadline", "deadline", "delete"])
+        guard = (i, f"c{rng.randint(0, 1)}", rng.random() < 0.8, rng.randint(0, 1)) if i == 7 or rng.random() < 0.8 else None
+        told.append((seq, i, op, rng.choice(["c0", "c1", None]), rng.randint(0, 1), guard if op == "delete" else None))
+    kind = "id long, content string, completed boolean, due_at long"
+    a, b = spark.createDataFrame(held, kind), spark.createDataFrame(told, f"seq long, id long, op string, content string, due_at long, expected struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+    want, left = one_by_one(held, told)
+    for block in (1, 50, 100_000):
+        done = tasks.commands_in_order(a, b, block)
+        assert sorted((r["seq"], r["id"], r["status"]) for r in done.collect()) == want
+    assert sorted(tuple(r) for r in tasks.after_commands(a, b, done).collect()) == left
+    assert {s for _, _, s in want} == {"updated", "unchanged", "set", "stale", "deleted", "not_found", "completed", "already_completed"}
+    assert tasks.commands_in_order(a, b.limit(0)).count() == 0
+
+
+def test_the_nearest_against_every_pair(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcde ", k=rng.choice([1, 2, 3, 5, 6, 8, 12, 30, 60]))).strip() or "a" for _ in range(60)]
+
+    def changed(t):
+        for _ in range(rng.randint(0, max(1, len(t) // 9))):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "x", "a"]) + t[at + rng.randint(0, 1) :]
+        return t
+
+    audited, reference = [changed(t) for t in texts for _ in range(3)] + ["", None], texts + [changed(t) for t in texts] + [""]
+    a = spark.createDataFrame(list(enumerate(audited)), "id long, text string")
+    b = spark.createDataFrame(list(enumerate(reference)), "ref_id long, ref_text string")
+    for threshold in (0.6, 0.75, 0.92, 0.97):
+        want = {}
+        for i, x in enumerate(audited):
+            scores = [(SequenceMatcher(None, x, y, autojunk=False).ratio(), -j) for j, y in enumerate(reference) if x and y]
+            if scores and max(scores)[0] >= threshold:
+                want[i] = (-max(scores)[1], max(scores)[0])
+        got = {r["id"]: (r["ref_id"], r["score"]) for r in leakage.nearest(a, b, threshold, ["id"], ["ref_id"]).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(12))
+    reference = [line() for _ in range(200)]
+    audited = [line() for _ in range(400)] + [t[:-1] + "x" for t in reference[:50]]
+    a, b = spark.createDataFrame([(t,) for t in audited], "text string"), spark.createDataFrame([(t,) for t in reference], "ref_text string")
+    met, band = leakage.near_candidates(a, b, 0.92).count(), leakage.length_band(a, b, 0.92).count()
+    assert 50 <= met < band / 50
+
+
+def test_a_class_a_text_and_not_every_pair(spark):
+    rows = spark.createDataFrame([(i, "Same  Text" if i % 2 else "same text") for i in range(200)], "id long, text string")
+    found = leakage.exact_matches(rows, rows).collect()
+    assert len(found) == 200 and {(r["ref_id"], r["refs"]) for r in found} == {(0, 200)}
+
+
 def test_ties_of_the_nearest(spark):
     a = spark.createDataFrame([(1, "pay the rent")], "id long, text string")
     b = spark.createDataFrame([(1, "pay the rent!"), (2, "pay the rent?"), (3, "call mum")], "ref_id long, ref_text string")
