@@ -109,6 +109,22 @@ def request_spans(spark: SparkSession, d: str) -> DataFrame:
                         F.when(r("kind") == "create", r("create.content")).when(r("kind") == "edit", r("edit.content")).otherwise(r("deadline.when")).alias("span"))
 
 
+#: What a turn says, as the content of a request: whole, in lines, whatever its words.
+TURN_TEXT = "regexp_replace(coalesce(text, ''), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"
+
+
+@query("request_contents", f"""SELECT conv_id, turn, role, CASE WHEN t = '' THEN 'missing_create' ELSE 'create' END AS kind, t AS content,
+    CASE WHEN t = '' THEN 'invalid_arguments' WHEN role = 'user' THEN 'explicit_create' ELSE 'content_not_grounded' END AS reason FROM (SELECT *, {TURN_TEXT} AS t FROM conversations)""")
+def request_contents(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said"))
+    bare = requests.strip(F.col("said"))
+    proposed = F.when(F.col("role") == "user", bare).otherwise(F.concat(bare, F.lit(" và \u2603")))
+    arguments = F.to_json(F.struct(F.when(bare == "", F.lit(" ")).otherwise(proposed).alias("content")))
+    rows = requests.with_request(turns.withColumns({"prompt": F.concat(F.lit("Thêm việc: "), "said"), "arguments": arguments}), "prompt", now())
+    reason = F.when(bare == "", "invalid_arguments").otherwise(requests.decide(F.col("prompt"), F.lit("create_task"), F.col("arguments"), now())["reason"])
+    return rows.select("conv_id", "turn", "role", F.col("request.kind").alias("kind"), F.col("request.create.content").alias("content"), reason.alias("reason"))
+
+
 def decisions(spark: SparkSession, d: str) -> DataFrame:
     rows = requests.with_request(dealt(spark, d, DECISIONS, ("prompt", "tool", "arguments")), "prompt", now())
     return rows.select("id", "tool", requests.decide(F.col("prompt"), F.col("tool"), F.col("arguments"), now()).alias("decision")).select("id", "tool", "decision.*")

@@ -37,8 +37,8 @@ CLARIFIES = {
 }
 #: Proposed calls that are asked back about without a state to wait in.
 ASKED_BACK = {("update_task", "multiple_task_ids"): "awaiting_edit_id", ("delete_task", "multiple_task_ids"): "awaiting_delete_id"}
-#: Whole turns that cancel, confirm or refuse.
-CANCEL, YES, NO = r"^\s*(?:thôi|hủy|huỷ)[.!]?\s*\z", r"^\s*(?:có|đồng ý|xác nhận|xóa|xoá)[.!]?\s*\z", r"^\s*(?:không|thôi|hủy|huỷ)[.!]?\s*\z"
+#: Words that are a whole turn, with or without a final mark.
+CANCEL, YES, NO = ("thôi", "hủy", "huỷ"), ("có", "đồng ý", "xác nhận", "xóa", "xoá"), ("không", "thôi", "hủy", "huỷ")
 
 TASK = "struct<id:long,content:string,completed:boolean,due_at:long>"
 OUTCOME = f"session long, turn long, state_before string, state_after string, status string, source string, say string, tool string, result string, named long, scope string, task {TASK}, shown array<{TASK}>, tasks array<{TASK}>, error_stage string"
@@ -246,14 +246,14 @@ def with_events(turns: DataFrame) -> DataFrame:
     """turns(session, turn, at timestamp, prompt, tool, arguments, fault) -> what the fold reads, all of it columns. tool and
     arguments (JSON text): the call that a model proposed, if any; fault: null, before or after."""
     p, at = F.col("prompt"), F.col("at")
+    said = requests.turn_words(p)
     held = requests.with_request(turns, "prompt", at, "request")
     held = held.withColumn("decision", requests.decide(p, F.col("tool"), F.col("arguments"), at))
     r = lambda path: F.col(f"request.{path}")
     argument = lambda key, kind: requests._typed(F.col("arguments"), key, kind)
     columns: dict[str, Column] = {
-        "kind": r("kind"), "present": requests.present(p), "cancel": requests.like(p, CANCEL), "yes": requests.like(p, YES), "no": requests.like(p, NO),
-        "one_line": ~p.rlike(r"[\r\n]"), "reply_id": F.nullif(requests.part(p, requests.ID_REPLY, 1), F.lit("")).try_cast("long"),
-        "said_scope": requests.scope_of(requests.part(p, requests.DUE_REPLY, 1)), "own_due": parse_deadline(p, at),
+        "kind": r("kind"), "present": requests.present(p), "cancel": said.isin(*CANCEL), "yes": said.isin(*YES), "no": said.isin(*NO),
+        "one_line": ~p.rlike(r"[\r\n]"), "reply_id": requests.replied_id(p), "said_scope": requests.scope_of(p), "own_due": parse_deadline(p, at),
         "edit_id": r("edit.id"), "edit_content": r("edit.content"), "when_id": r("deadline.id"), "when_text": r("deadline.when"),
         "when_due": parse_deadline(r("deadline.when"), at), "result": F.col("decision.result"), "reason": F.col("decision.reason"),
         "arg_id": argument("id", "bigint"), "arg_content": argument("content", "string"), "arg_due": parse_deadline(argument("when", "string"), at),
