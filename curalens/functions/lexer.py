@@ -7,11 +7,13 @@ of another language without touching a frame.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Letter case is ignored, classes are those of Unicode, and a line feed alone ends a line.
-FLAGS = "(?iUd)"
 # The words of the language, by what they do in a request.
 VOCABULARY = {
     # people and courtesy
@@ -33,32 +35,46 @@ VOCABULARY = {
     "3": ("quá hạn", "trễ hạn", "đã quá hạn", "đã trễ hạn", "trễ deadline"), "2": ("ngày mai", "mai"), "1": ("hôm nay",), ">": ("hiện tại", "hiện giờ", "bây giờ", "lúc này", "tính đến giờ"),
     "f": ("phải xong", "phải làm xong"), "i": ("lúc", "ở"), "L": ("là",), "v": ("vào",), "Z": ("thành",), "K": ("của",), "G": ("hãy chuyển sang",), "Y": ("hạn mới là",), "J": ("đúng id đó",), "+": ("kèm", "cùng với"),
 }
-#: Classes of what the vocabulary doesn't have: numbers (with or without #), line ends, final punctuation, other marks, words.
-OTHER = (("^#?[0-9]+$", "n"), (r"^[\r\n]+$", "%"), ("^[.?!]$", "."), ("^[,;:]$", None), (r"^\w", "w"))
+#: Classes of what the vocabulary doesn't have: numbers (with or without #), line ends, final marks, other words, other marks.
+NUMBER, LINE_END, FINAL, WORD, MARK, OWN_MARKS = "n", "%", ".", "w", "-", ",;:"
 
-_SPACE = r"[^\S\r\n]"
 _CLASS_OF = {phrase: letter for letter, phrases in VOCABULARY.items() for phrase in phrases}
-_PHRASES = "|".join(p.replace(" ", _SPACE + "+") for p in sorted(_CLASS_OF, key=len, reverse=True))
-LEXEME = rf"{FLAGS}(?:(?:{_PHRASES})\b|#?[0-9]+\b|\w+|\r\n|\r|\n|[^\w\s]){_SPACE}*"
-
-
-def lexemes(text: Column) -> Column:
-    """A stripped text in lexemes, each with the blanks that follow it: longest phrases of the vocabulary first."""
-    return F.regexp_extract_all(text, F.lit(LEXEME), F.lit(0))
-
-
-def classes(found: Column) -> Column:
-    """One letter a lexeme."""
-    known = F.create_map(*[F.lit(x) for pair in _CLASS_OF.items() for x in pair])
-
-    def letter(lexeme: Column) -> Column:
-        word = F.lower(F.regexp_replace(F.regexp_replace(lexeme, rf"(?U){_SPACE}+$", ""), rf"(?U){_SPACE}+", " "))
-        other = F.lit("-")
-        for pattern, name in reversed(OTHER):
-            other = F.when(word.rlike("(?U)" + pattern), word if name is None else F.lit(name)).otherwise(other)
-        return F.coalesce(known[word], other)
-
-    return F.array_join(F.transform(found, letter), "")
+_LONGEST: dict[str, int] = {}
+for _phrase in _CLASS_OF:
+    _first, *_rest = _phrase.split()
+    _LONGEST[_first] = max(_LONGEST.get(_first, 1), 1 + len(_rest))
+_WORDS = re.compile("(#?[0-9]+(?![\\w\u0300-\u036f])|[\\w\u0300-\u036f]+|\r\n|\r|\n|[^\\w\\s])([^\\S\r\n]*)")
+
+
+def _letter(word: str) -> str:
+    if word[-1].isdigit() and word.lstrip("#").isascii() and word.lstrip("#").isdigit():
+        return NUMBER
+    if word[0] in "\r\n":
+        return LINE_END
+    return FINAL if word in ".?!" else word if word in OWN_MARKS else WORD if word[0].isalnum() or word[0] == "_" else MARK
+
+
+def read(text: str) -> tuple[list[str], str]:
+    """The lexemes of a stripped text, each with the blanks that follow it, and their classes: longest phrases of the vocabulary first."""
+    words = _WORDS.findall(text)
+    low = [w.lower() for w, _ in words]
+    found, letters, i = [], [], 0
+    while i < len(words):
+        taken, letter = 1, None
+        for n in range(min(_LONGEST.get(low[i], 0), len(words) - i), 0, -1):
+            if all(blank for _, blank in words[i : i + n - 1]) and (letter := _CLASS_OF.get(" ".join(low[i : i + n]))):
+                taken = n
+                break
+        found.append("".join(w + blank for w, blank in words[i : i + taken]))
+        letters.append(letter or _letter(words[i][0]))
+        i += taken
+    return found, "".join(letters)
+
+
+@F.pandas_udf(T.StructType().add("lexemes", T.ArrayType(T.StringType())).add("letters", T.StringType()))
+def lexed(texts: pd.Series) -> pd.DataFrame:
+    """`read` over Arrow batches; a null text has no lexemes."""
+    return pd.DataFrame([read(t or "") for t in texts], columns=["lexemes", "letters"])
 
 
 def fits(letters: Column, frame: str) -> Column:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from . import lexer
 from .deadlines import parse_deadline
-from .lexer import FLAGS, fits, letters_from, reach, span
+from .lexer import fits, letters_from, reach, span
 from .text import id_tokens
 
+#: Letter case is ignored, classes are those of Unicode, and a line feed alone ends a line.
+FLAGS = "(?iUd)"
 # Frames over the classes of `lexer.VOCABULARY`: what may stand before a command, after it, and what one is about.
 ASK, END, REFUSED = "p?", r"(?:hm|e)*\.*$", "^m?x"
 THING = "[qn]*t(?:s?,E(?=[:%]|$)|s(?=[:%]|$))?"
@@ -132,7 +134,7 @@ def replied_id(words: Column) -> Column:
 
 def _create(p: Column, lex: Column, cls: Column) -> list[dict[str, Column]]:
     """Projections that read the create frame: head, then tail, then spans, then the reason."""
-    c = lambda name: F.col(f"_c.{name}")
+    c = lambda name: F.col(f"_c_{name}")
     payload = strip(F.when(c("literal"), cut(c("text"), r"^(?::|\r\n|\r|\n)")).otherwise(c("text")))
     polite = ~c("literal") & (reach(c("tail"), CREATE_TAIL, 2) > 0)
     bare = strip(span(lex, c("at"), reach(c("tail"), CREATE_TAIL, 1)))
@@ -146,20 +148,20 @@ def _create(p: Column, lex: Column, cls: Column) -> list[dict[str, Column]]:
         (F.lit(True), "explicit_create"),
     )
     return [
-        {"_c": F.struct(fits(cls, CREATE).alias("found"), (reach(cls, CREATE, 1) > 0).alias("given"), reach(cls, CREATE).alias("at"))},
-        {"_c": F.struct("_c.*", letters_from(cls, c("at")).alias("tail"), span(lex, c("at")).alias("text"))},
-        {"_c": F.struct("_c.*", fits(c("tail"), "^[:%]").alias("literal"))},
-        {"_c": F.struct("_c.*", payload.alias("payload"), polite.alias("polite"))},
-        {"_c": F.struct(
-            "_c.*", F.when(c("literal"), c("payload")).when(polite, bare).otherwise(cut(c("payload"), r"[.?!]+\z")).alias("content"), F.when(polite, bare).otherwise(c("payload")).alias("whole")
-        )},
+        {"_c_found": fits(cls, CREATE), "_c_given": reach(cls, CREATE, 1) > 0, "_c_at": reach(cls, CREATE)},
+        {"_c_tail": letters_from(cls, c("at")), "_c_text": span(lex, c("at"))},
+        {"_c_literal": fits(c("tail"), "^[:%]")},
+        {"_c_payload": payload, "_c_polite": polite},
+        {
+            "_c_content": F.when(c("literal"), c("payload")).when(c("polite"), bare).otherwise(cut(c("payload"), r"[.?!]+\z")),
+            "_c_whole": F.when(c("polite"), bare).otherwise(c("payload")),
+        },
         {"create": F.struct(reason.alias("reason"), c("content").alias("content"), c("whole").alias("whole"))},
     ]
 
 
-def _by_id(p: Column, name: str, refused: Column, opened: Column, exact: Column, missing: Column, reason_missing: str, good: str) -> dict[str, Column]:
+def _by_id(ids: Column, name: str, refused: Column, opened: Column, exact: Column, missing: Column, reason_missing: str, good: str) -> dict[str, Column]:
     """A frame that names one task and nothing else."""
-    ids = numbers(p)
     reason = first_true(
         (refused, "negated_request"), (~opened, "bare_statement"), ((F.size(ids) == 0) & ~missing, "bare_statement"), (F.size(ids) == 0, reason_missing),
         (F.size(ids) > 1, "multiple_task_ids"), (~exact | F.coalesce(F.get(ids, F.lit(0)) <= 0, F.lit(True)), "bare_statement"), (F.lit(True), good),
@@ -169,22 +171,23 @@ def _by_id(p: Column, name: str, refused: Column, opened: Column, exact: Column,
 
 def _halves(lex: Column, cls: Column, name: str, head: str, joint: str) -> list[dict[str, Column]]:
     """Projections of a frame in two halves: its head, what stands before the first joint, and what follows it."""
-    h = lambda field: F.col(f"{name}.{field}")
+    h = lambda field: F.col(f"{name}_{field}")
     first = reach(h("tail"), f"^(.*?){joint}", 1)
     return [
-        {name: F.struct(fits(cls, head).alias("found"), reach(cls, head).alias("at"))},
-        {name: F.struct(f"{name}.*", letters_from(cls, h("at")).alias("tail"))},
-        {name: F.struct(f"{name}.*", fits(h("tail"), joint).alias("has"), first.alias("upto"))},
-        {name: F.struct(
-            f"{name}.*", F.when(h("has"), strip(span(lex, h("at"), h("upto")))).otherwise(short(span(lex, h("at")))).alias("before"),
-            F.when(h("has"), strip(span(lex, h("at") + h("upto") + 1))).otherwise("").alias("rest"), F.when(h("has"), letters_from(h("tail"), h("upto") + 1)).otherwise("").alias("more"),
-            F.when(h("has"), F.substring(h("tail"), F.lit(1), h("upto"))).otherwise(F.regexp_replace(h("tail"), r"\.+$", "")).alias("target"),
-        )},
-    ]
+        {f"{name}_found": fits(cls, head), f"{name}_at": reach(cls, head)},
+        {f"{name}_tail": letters_from(cls, h("at"))},
+        {f"{name}_has": fits(h("tail"), joint), f"{name}_upto": first},
+        {
+            f"{name}_before": F.when(h("has"), strip(span(lex, h("at"), h("upto")))).otherwise(short(span(lex, h("at")))),
+            f"{name}_rest": F.when(h("has"), strip(span(lex, h("at") + h("upto") + 1))).otherwise(""),
+            f"{name}_more": F.when(h("has"), letters_from(h("tail"), h("upto") + 1)).otherwise(""),
+            f"{name}_target": F.when(h("has"), F.substring(h("tail"), F.lit(1), h("upto"))).otherwise(F.regexp_replace(h("tail"), r"\.+$", "")),
+        },
+    ]
 
 
 def _edit(p: Column, lex: Column, cls: Column) -> list[dict[str, Column]]:
-    e = lambda name: F.col(f"_e.{name}")
+    e = lambda name: F.col(f"_e_{name}")
     told = strip(F.regexp_replace(e("rest"), "^:", ""))
     reason = first_true(
         (fits(cls, REFUSED + "(?:uN?|O)"), "negated_request"), (~e("found"), "bare_statement"), (F.size(e("ids")) > 1, "multiple_task_ids"),
@@ -194,8 +197,8 @@ def _edit(p: Column, lex: Column, cls: Column) -> list[dict[str, Column]]:
     )
     return [
         *_halves(lex, cls, "_e", EDIT, "Z"),
-        {"_e": F.struct("_e.*", e("rest").startswith(":").alias("literal"), told.alias("told"), numbers(e("before")).alias("ids"))},
-        {"_e": F.struct("_e.*", F.nullif(F.when(e("literal"), e("told")).otherwise(short(e("told"))), F.lit("")).alias("content"))},
+        {"_e_literal": e("rest").startswith(":"), "_e_told": told, "_e_ids": numbers(e("before"))},
+        {"_e_content": F.nullif(F.when(e("literal"), e("told")).otherwise(short(e("told"))), F.lit(""))},
         {"edit": F.struct(
             reason.alias("reason"), F.when(F.size(e("ids")) == 1, F.get(e("ids"), F.lit(0))).alias("id"), F.when(e("found"), e("content")).alias("content"), e("told").alias("whole")
         )},
@@ -203,7 +206,7 @@ def _edit(p: Column, lex: Column, cls: Column) -> list[dict[str, Column]]:
 
 
 def _deadline(p: Column, lex: Column, cls: Column, reference: Column) -> list[dict[str, Column]]:
-    d, t = lambda name: F.col(f"_d.{name}"), lambda name: F.col(f"_t.{name}")
+    d, t = lambda name: F.col(f"_d_{name}"), lambda name: F.col(f"_t_{name}")
 
     def whole(frame: str) -> tuple[Column, Column]:
         at, length = reach(cls, frame, 1), reach(cls, frame, 2)
@@ -217,16 +220,17 @@ def _deadline(p: Column, lex: Column, cls: Column, reference: Column) -> list[di
     reason = first_true(
         (fits(cls, REFUSED + "S[D5]"), "negated_request"), (~d("found") & F.col("_f").isNull(), "bare_statement"), (F.size(t("ids")) > 1, "multiple_task_ids"),
         (~t("target"), "bare_statement"), (F.size(t("ids")) == 0, "missing_deadline_id"), (F.coalesce(F.get(t("ids"), F.lit(0)) <= 0, F.lit(True)), "bare_statement"),
-        (t("when").isNull(), "missing_deadline_time"), (parse_deadline(t("when"), reference).isNull(), "invalid_deadline_time"), (F.lit(True), "explicit_deadline"),
+        (t("when").isNull(), "missing_deadline_time"), (t("late"), "invalid_deadline_time"), (F.lit(True), "explicit_deadline"),
     )
     known = d("found") | F.col("_f").isNotNull()
     return [
         *_halves(lex, cls, "_d", DEADLINE, "[iLv]"),
         {"_f": first_true(*[whole(frame) for frame in DEADLINE_WHOLE])},
-        {"_t": F.struct(
-            ids.alias("ids"), (own | framed).alias("target"), F.when(framed, F.col("_f.when")).otherwise(F.nullif(short(d("rest")), F.lit(""))).alias("when"),
-            F.when(framed, F.col("_f.whole")).otherwise(d("rest")).alias("whole"),
-        )},
+        {
+            "_t_ids": ids, "_t_target": own | framed, "_t_when": F.when(framed, F.col("_f.when")).otherwise(F.nullif(short(d("rest")), F.lit(""))),
+            "_t_whole": F.when(framed, F.col("_f.whole")).otherwise(d("rest")),
+        },
+        {"_t_late": parse_deadline(t("when"), reference).isNull()},
         {"deadline": F.struct(
             reason.alias("reason"), F.when(F.size(t("ids")) == 1, F.get(t("ids"), F.lit(0))).alias("id"), F.when(known, t("when")).alias("when"), t("whole").alias("whole")
         )},
@@ -261,22 +265,24 @@ def _listing(cls: Column) -> dict[str, Column]:
 def with_request(df: DataFrame, prompt: str, reference: Column, name: str = "request") -> DataFrame:
     """Add the struct `name`: kind, and one struct for each frame (create, complete, edit, delete, deadline, due, listing) with
     its reason and spans. A null or blank prompt is of kind `other`. reference: the time that relative days count from."""
-    p, lex, cls = F.col("_p"), F.col("_lex"), F.col("_cls")
-    held = df.select(F.struct("*").alias("_row"), F.col(prompt).alias("_p"), reference.alias("_now"))
-    steps = [{"_lex": lexer.lexemes(strip(F.coalesce(p, F.lit(""))))}, {"_cls": lexer.classes(lex)}]
-    steps += [*_create(p, lex, cls), *_edit(p, lex, cls), *_deadline(p, lex, cls, F.col("_now")), _due(cls)]
+    p, lex, cls = F.col("_p"), F.col("_said.lexemes"), F.col("_said.letters")
+    held = df.select(F.struct("*").alias("_row"), F.col(prompt).alias("_p"), reference.alias("_now")).withColumn("_said", lexer.lexed(strip(p)))
+    # a lambda in each step keeps the steps out of one generated method, which would be larger than a method can be: each is compiled by itself
+    held = held.withColumn("_apart", F.array(F.length(p)))
+    steps = [*_create(p, lex, cls), *_edit(p, lex, cls), *_deadline(p, lex, cls, F.col("_now")), _due(cls)]
     done, told = fits(cls, COMPLETE_ONE), fits(cls, COMPLETE_TOLD)
+    steps.append({"_ids": numbers(p)})
     nothing = fits(letters_from(cls, reach(cls, DELETE)), r"^\.*$")
     steps.append(
-        _by_id(p, "complete", fits(cls, REFUSED + "[ck]"), fits(cls, COMPLETE) | told, done | told, F.lit(True), "missing_task_id", "explicit_complete")
-        | _by_id(p, "delete", fits(cls, REFUSED + "[dBH]"), fits(cls, DELETE), fits(cls, DELETE_ONE) | fits(cls, DELETE_TOLD), nothing, "missing_delete_id", "explicit_delete")
+        _by_id(F.col("_ids"), "complete", fits(cls, REFUSED + "[ck]"), fits(cls, COMPLETE) | told, done | told, F.lit(True), "missing_task_id", "explicit_complete")
+        | _by_id(F.col("_ids"), "delete", fits(cls, REFUSED + "[dBH]"), fits(cls, DELETE), fits(cls, DELETE_ONE) | fits(cls, DELETE_TOLD), nothing, "missing_delete_id", "explicit_delete")
     )
     steps.append(_listing(cls))
     for step in steps:
-        held = held.withColumns(step)
+        held = held.withColumns(step | {"_apart": F.transform("_apart", lambda x: x)})
     kind = first_true((~present(p), "other"), *[(F.col(f"{frame}.reason") == reason, kind) for frame, reason, kind in KINDS], *[(fits(cls, head), kind) for head, kind in HEADS], (F.lit(True), "other"))
     frames = ("create", "complete", "edit", "delete", "deadline", "due", "listing")
-    return held.withColumn("_kind", kind).select("_row.*", F.struct(F.col("_kind").alias("kind"), *frames).alias(name))
+    return held.withColumn("_kind", F.when(F.size("_apart") > 0, kind)).select("_row.*", F.struct(F.col("_kind").alias("kind"), *frames).alias(name))
 
 
 def tools_for(kind: Column, classified: bool) -> tuple[Column, Column]:
