@@ -186,13 +186,15 @@ def keep_good(documents: DataFrame, model: RuleModel, text_col: str = "text", le
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS_PER_CLASS, label: str = "quality") -> RuleModel:
     """Fit on labelled rows whose crc32(doc_id) mod `modulus` isn't `held_out`: at most `max_rows` of each class, in a
-    hash order of the id. Only their statistics, a few numbers a row, reach the driver."""
+    hash order of the id, each with one text, the least of those that have its id. Only their statistics, a few numbers a row, reach the
+    driver. Empty tables give a model without rules."""
     known = labels.where(F.col(label).isin(0, 1) & (remainder("doc_id", modulus) != held_out)).select("doc_id", F.col(label).cast("int").alias("_y"))
     known = known.dropDuplicates(["doc_id", "_y"])
     totals = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     parts = [known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1])
     texts = documents.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "_y").agg(F.min("_text").alias("_text"))
     rows = with_statistics(texts, "_text").select("_y", *[f"_s_{n}" for n in STATISTICS]).collect()
     data = np.array([list(r) for r in rows], float).reshape(-1, 1 + len(STATISTICS))
     del rows
