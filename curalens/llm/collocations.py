@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, Scratch, portions
+from .common import LOWER, UPPER, Scratch, give_back, portions
 
 #: Default parameters: words of a phrase, least count, percent of a phrase's count at which a longer one covers it, rows a language.
 MOST_WORDS, LEAST_COUNT, COVER_PERCENT, TOP = 3, 10, 50, 2000
 #: Bits of the filter of frequent phrases (8 MB, whatever the input), and bits of one bitmap of Spark's functions.
 FILTER_BITS, BITMAP_BITS = 1 << 26, 1 << 15
-#: Words that a task counts together before it hands rows on.
-COUNTED_WORDS = 1_500_000
+#: Words that a task counts together before it hands rows on, and rows that it hands on at once.
+COUNTED_WORDS, SENT_ROWS = 700_000, 20_000
 #: Characters that end a piece of text; a language's name where there is none.
 PIECE_ENDS, NO_LANG = ".,;:!?\n\x0b\x0c\r", "und"
 #: One byte for one: letters folded, ends of pieces as line feeds.
@@ -35,20 +35,20 @@ class Pieces:
         folded = pa.py_buffer(memoryview(data.to_pybytes().translate(FOLD))) if data is not None else pa.py_buffer(b"")
         texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, folded], offset=texts.offset)
         split = pc.ascii_split_whitespace(pc.split_pattern(texts, "\n").flatten())
-        words, ends = split.flatten(), np.asarray(split.offsets, dtype=np.int64)
+        words, ends = split.flatten(), np.asarray(split.offsets)
         solid = np.asarray(pc.not_equal(words, ""))
         ends = np.concatenate([[0], np.cumsum(solid)])[ends - ends[0]]
         coded = words.filter(pa.array(solid)).dictionary_encode()
-        self.words, self.ids = coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
-        self.end = np.repeat(ends[1:], np.diff(ends))  # of the piece that each word lies in
+        self.words, self.ids = coded.dictionary, np.asarray(coded.indices)
+        self.end = np.repeat(ends[1:].astype(np.int32), np.diff(ends))  # of the piece that each word lies in
 
-    def grams(self, sizes: tuple[int, int], frequent=None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-        """(n, distinct phrases, their counts) for n from sizes[0] to sizes[1]. `frequent` keeps, of the phrases one word shorter than
+    def grams(self, sizes: tuple[int, int], frequent=None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """(distinct phrases of n words, their counts) for n from sizes[0] to sizes[1]. `frequent` keeps, of the phrases one word shorter than
         sizes[0], those that may be frequent; longer ones are only built on them."""
         here, names = self.ids, self.words
-        at, count = np.arange(len(here)), len(names)
+        at = np.arange(len(here), dtype=np.int32)
         if sizes[0] == 1:
-            yield 1, names, np.bincount(here, minlength=count)
+            yield names, np.bincount(here, minlength=len(names))
         for n in range(2, sizes[1] + 1):
             last = at + n - 1
             on = last < self.end[at]
@@ -58,7 +58,7 @@ class Pieces:
                 follows[at[keep]] = True
                 on &= keep & follows[at + 1]
             at, here = at[on], here[on]
-            keys = here * len(self.words) + self.ids[at + n - 1]
+            keys = here.astype(np.int64) * len(self.words) + self.ids[at + n - 1]
             if n == sizes[1]:
                 found, counts = np.unique(keys, return_counts=True)
             else:
@@ -66,7 +66,7 @@ class Pieces:
             head, tail = np.divmod(found, max(1, len(self.words)))
             names = pc.binary_join_element_wise(names.take(pa.array(head)), self.words.take(pa.array(tail)), pa.scalar(" ", pa.large_string()))
             if n >= sizes[0]:
-                yield n, names, counts
+                yield names, counts
 
 
 def frequent_bits(grams: DataFrame) -> bytes:
@@ -81,7 +81,7 @@ def frequent_bits(grams: DataFrame) -> bytes:
 
 
 def count_grams(docs: DataFrame, sizes: tuple[int, int], filter_bits=None) -> DataFrame:
-    """(lang, n, phrase, f): rows of every n-gram with n in `sizes`, counted in each task first, then by hash aggregation."""
+    """(lang, phrase, f): rows of every n-gram with n in `sizes`, counted in each task first, then by hash aggregation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if filter_bits is None else np.frombuffer(filter_bits.value, np.uint8)
@@ -90,20 +90,19 @@ def count_grams(docs: DataFrame, sizes: tuple[int, int], filter_bits=None) -> Da
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang in list(held):
-                pieces = Pieces(pa.concat_arrays(held.pop(lang)))
+                pieces, names, counts = Pieces(pa.concat_arrays(held.pop(lang))), None, None
                 seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # as Spark's xxhash64 goes on from column to column
 
                 def frequent(names: pa.Array, seed: int = seed) -> np.ndarray:
                     at = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in names.cast(pa.large_binary()).to_pylist()), np.uint64, len(names)) % np.uint64(FILTER_BITS)
                     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-                for n, names, counts in pieces.grams(sizes, None if bits is None else frequent):
-                    for at in range(0, len(names), 100_000):
-                        part = names.slice(at, 100_000).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.repeat(pa.scalar(lang), len(part)), pa.repeat(pa.scalar(n, pa.int32()), len(part)), part, pa.array(counts[at : at + 100_000], pa.int64())],
-                            ["lang", "n", "phrase", "f"],
-                        )
+                for names, counts in pieces.grams(sizes, None if bits is None else frequent):
+                    for at in range(0, len(names), SENT_ROWS):
+                        part = names.slice(at, SENT_ROWS).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), part, pa.array(counts[at : at + SENT_ROWS], pa.int64())], ["lang", "phrase", "f"])
+                del pieces, names, counts
+            give_back()
 
         for batch in (p for whole in batches for p in portions(whole, 1)):
             langs = batch.column(0)
@@ -115,7 +114,7 @@ def count_grams(docs: DataFrame, sizes: tuple[int, int], filter_bits=None) -> Da
                 size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def collocations(documents: DataFrame, most_words: int = MOST_WORDS, least_count: int = LEAST_COUNT, cover_percent: int = COVER_PERCENT, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -133,12 +132,13 @@ def collocations(documents: DataFrame, most_words: int = MOST_WORDS, least_count
     order, very long texts are counted whole, an empty table gives no rows, other columns are ignored whatever their names."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "collocations")
     docs = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grams = scratch.write(count_grams(docs, (1, min(2, most_words))).where((F.col("n") == 1) | (F.col("f") >= least_count)), "grams2")
+    pairs = count_grams(docs, (1, min(2, most_words))).where((F.col("f") >= least_count) | (F.instr("phrase", " ") == 0))
+    grams = scratch.write(pairs.withColumn("n", F.when(F.instr("phrase", " ") == 0, 1).otherwise(2)), "grams2")
     totals = grams.where("n = 1").groupBy("lang").agg(F.sum("f").alias("total"))
     grams = grams.where(F.col("f") >= least_count)
     for n in range(3, most_words + 1):
         sent = spark.sparkContext.broadcast(frequent_bits(grams.where(F.col("n") == n - 1)))
-        longer = scratch.write(count_grams(docs, (n, n), sent).where(F.col("f") >= least_count), f"grams{n}")
+        longer = scratch.write(count_grams(docs, (n, n), sent).where(F.col("f") >= least_count).withColumn("n", F.lit(n)), f"grams{n}")
         sent.unpersist()
         grams = grams.unionByName(longer)
     phrases = grams.where("n > 1")
