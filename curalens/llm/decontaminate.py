@@ -18,8 +18,10 @@ from .common import Scratch, unlike
 SIZE, COVERAGE, LITERAL, BROADCAST_WINDOWS = 5, 0.8, 2, 500_000
 #: Least words of an item for which a document is removed: a word or two alone are an answer that any text may hold.
 SHORTEST = 3
-#: Placeholders: characters of the private use area, which the cleaning below keeps.
-NUMBER, NAME, UNIT = "", "", ""
+#: Most words that stay literal where they begin a sentence; rarer ones of the benchmark are names there, in all texts alike.
+OPENERS = 20_000
+#: Placeholders, and a mark before the first word of a sentence: characters of the private use area, which the cleaning below keeps.
+NUMBER, NAME, UNIT, FIRST = "", "", "", ""
 #: Units of measure, money and time that may follow a number.
 UNITS = (
     "percent", "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "gram", "grams", "kg",
@@ -29,18 +31,34 @@ UNITS = (
 )
 
 
-def with_templates(df: DataFrame, text: Column) -> DataFrame:
+def with_templates(df: DataFrame, text: Column, openers: list[str] | None) -> DataFrame:
     """Add _raw and _template: arrays of one length, the words of the text and their template words.
 
     Digit groups are joined (1,000.5 is one number), a number is cut from a unit written against it, other punctuation is
-    dropped, and case is folded. A name is a capitalised word that follows a lower-case word or a comma."""
+    dropped, and case is folded. A name is a capitalised word that follows a lower-case word or a comma, and any other word of a
+    capital and small letters, as at the beginning of a sentence, unless it is one of `openers`. Without `openers` such words
+    keep the mark FIRST."""
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,:/](?=[0-9])", "")
     plain = F.regexp_replace(joined, r"(?<=[0-9])(?=\p{L})", " ")
-    named = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;]\s)\p{Lu}\p{L}+", NAME)
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", " "))
+    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{Ll}\p{N},;]\s.)\p{L}+", NAME)
+    named = F.regexp_replace(named, r"\p{Lu}(?<!\p{L}.)\p{Ll}+(?!\p{L})", f"{FIRST}$0")
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{NUMBER}-{FIRST}]+", " "))
     template = F.regexp_replace(clean(named), r"(?<!\S)\p{N}+(?!\S)", NUMBER)
-    template = F.regexp_replace(template, rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?!\S)", UNIT)
-    return df.withColumns({"_raw": F.split(clean(plain), " "), "_template": F.split(template, " ")})
+    template = F.split(F.regexp_replace(template, rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?!\S)", UNIT), " ")
+    if openers is not None:
+        own = lambda w: F.substring(w, F.lit(2), F.length(w))
+        name = lambda w: F.when(own(w).isin(openers), own(w)).otherwise(NAME) if openers else F.lit(NAME)
+        template = F.transform(template, lambda w: F.when(w.startswith(FIRST), name(w)).otherwise(w))
+    return df.withColumns({"_raw": F.split(clean(plain), " "), "_template": template})
+
+
+def sentence_openers(benchmark: DataFrame, most: int = OPENERS) -> list[str]:
+    """The words of benchmark(_text) that begin sentences there and are written small elsewhere, so that they are no names: the
+    `most` of them that begin the most sentences."""
+    words = with_templates(benchmark.select("_text").distinct(), F.col("_text"), None).select(F.explode("_template").alias("w"))
+    first = F.col("w").startswith(FIRST)
+    words = words.groupBy(F.when(first, F.expr("substring(w, 2)")).otherwise(F.col("w")).alias("word")).agg(F.count_if(first).alias("n"), F.count_if(~first).alias("small"))
+    return [r["word"] for r in words.where("n > 0 AND small > 0").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def windows(words: str, size: int, tag: str) -> Column:
@@ -50,13 +68,13 @@ def windows(words: str, size: int, tag: str) -> Column:
     return F.expr(f"CASE WHEN size({words}) >= {size} THEN transform(array({hashed}), w -> transform(sequence(1, size({words}) - {size - 1}), i -> xxhash64('{tag}', {run})))[0] ELSE array() END")
 
 
-def item_windows(benchmark: DataFrame, size: int, literal: int, shortest: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, openers: list[str], size: int, literal: int, shortest: int) -> DataFrame:
     """(item_id, item_pos, h, item_raw, marks, len, raw) of the windows by which benchmark(item_id, _text) is found.
 
     They are the runs of `size` template words with at least `literal` words that are no placeholder. An item that has none
     is found by its own words instead, of which no slot may change: by runs of `size` words, or by all its words if it has
     fewer, down to `shortest`."""
-    whole = with_templates(benchmark.distinct(), F.col("_text")).where(F.col("_template") != F.array(F.lit(""))).withColumn("n", F.size("_template"))
+    whole = with_templates(benchmark.distinct(), F.col("_text"), openers).where(F.col("_template") != F.array(F.lit(""))).withColumn("n", F.size("_template"))
     own = lambda words, n: F.slice(words, F.col("item_pos") + 1, n)
 
     def cut(rows: DataFrame, words: str, n: int) -> DataFrame:
@@ -129,6 +147,7 @@ def find_leaks(
     nearest window for each position of the item, of that alignment alone, within `size` words and within the item's
     length. The pair is reported with its best occurrence if any passes. Items that have no such window, such as short ones
     or mere numbers, are found by their own words, unchanged but for case and punctuation, down to `shortest` words.
+    Names are slots wherever they stand: a word that begins a sentence is one unless the benchmark also writes it small.
 
     Null and empty texts give no pair; texts of any length are read whole, each window once. Rows with one id are one document
     (or item); null ids form one too. An empty table gives an empty result; other columns are ignored.
@@ -138,7 +157,8 @@ def find_leaks(
     are grouped, with map-side sums per document and item."""
     scratch = Scratch(documents.sparkSession, "leaks")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("_text"))
-    items = scratch.write(item_windows(items, size, literal, shortest), "items")
+    openers = sentence_openers(items)
+    items = scratch.write(item_windows(items, openers, size, literal, shortest), "items")
     spread = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda p: F.sequence(p, p + F.col("len") - 1)))))
     totals = items.groupBy("item_id", "len").agg(spread(F.collect_set("item_pos")).alias("words"))
     n_windows = items.count()
@@ -146,7 +166,7 @@ def find_leaks(
     slots, side = presence(items, n_windows), F.broadcast(items) if near_to_all else items
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    docs, hits = with_templates(docs, F.col("_text")), []
+    docs, hits = with_templates(docs, F.col("_text"), openers), []
     for k, r in enumerate(sorted(items.select("len", "raw").distinct().collect())):
         words = "_raw" if r["raw"] else "_template"
         docs = docs.withColumn(f"_h{k}", windows(words, r["len"], f"{words}{r['len']}"))

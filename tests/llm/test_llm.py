@@ -565,11 +565,19 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, []), bench).collect() == decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).collect() == []
 
 
-def templates(text):
+def openers_of(items):
+    """Words that begin a sentence in some item and are written small in some item."""
+    marks = regex.compile(r"(?<=[\p{Ll}\p{N},;]\s)\p{Lu}\p{L}+")
+    first = {w.lower() for t in items for w in regex.findall(r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})", marks.sub("", t))}
+    return first & {w for t in items for w in regex.findall(r"(?<!\p{L})\p{Ll}+(?!\p{L})", t)}
+
+
+def templates(text, openers=()):
     """Words and template words of a text, one after the other, as the docstring of decontaminate.with_templates says."""
     text = regex.sub(r"(?<=[0-9])[.,:/](?=[0-9])", "", text)
     text = regex.sub(r"(?<=[0-9])(?=\p{L})", " ", text)
     named = regex.sub(r"(?<=[\p{Ll}\p{N},;]\s)\p{Lu}\p{L}+", decontaminate.NAME, text)
+    named = regex.sub(r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})", lambda m: m.group() if m.group().lower() in openers else decontaminate.NAME, named)
     clean = lambda t: regex.sub(rf"[^\p{{L}}\p{{N}}{decontaminate.NUMBER}-{decontaminate.UNIT}]+", " ", t.lower()).split()
     raw, template = clean(text), [decontaminate.NUMBER if regex.fullmatch(r"\p{N}+", w) else w for w in clean(named)]
     for k in range(1, len(template)):
@@ -578,9 +586,9 @@ def templates(text):
     return raw, template
 
 
-def brute_leak(doc, item, size=5):
+def brute_leak(doc, item, openers=(), size=5):
     """(coverage, whether values fit, verbatim) of an item in a whole document; None for an item without windows."""
-    (draw, dt), (iraw, it) = templates(doc), templates(item)
+    (draw, dt), (iraw, it) = templates(doc, openers), templates(item, openers)
     marks = {decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT}
     own = [p for p in range(len(it) - size + 1) if sum(w not in marks for w in it[p : p + size]) >= 2]
     if not own:
@@ -615,10 +623,10 @@ def test_leaks_against_brute_force(spark):
         texts.append((k, f"{sentence(30)}. {item if k % 7 else ''} . {sentence(20)}"))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
-    hits = 0
+    hits, openers = 0, openers_of(items)
     for i, text in texts:
         for j, item in enumerate(items):
-            found = brute_leak(text, item)
+            found = brute_leak(text, item, openers)
             if found is None or found[0] >= 0.8 and not found[1]:
                 continue  # found by its own words, or occurrence by occurrence
             assert ((i, j) in got) == (found[0] >= 0.8)
@@ -628,6 +636,40 @@ def test_leaks_against_brute_force(spark):
     assert hits > 30
 
 
+def test_leaks_with_names_that_begin_sentences(spark):
+    """Items of several sentences, some of which a name begins; documents change names and numbers, alike or not."""
+    rng = random.Random(8)
+    names, verbs, things = ["Tom", "Ann", "Olaf", "Mary", "Ida", "Jack", "Ruth"], ["buys", "sells", "paints", "finds", "takes"], ["pens", "red boats", "old books", "apples", "green chairs"]
+
+    def item():
+        who = rng.choice(names)
+        told = [f"{rng.choice([who, 'Then ' + who, 'The farmer'])} {rng.choice(verbs)} {rng.randint(2, 90)} {rng.choice(things)} {rng.choice(['at the market', 'and then goes home', 'for the school'])}" for _ in range(4)]
+        return ". ".join(told) + f". {who} has how many of each now?"
+
+    def other(text, alike):
+        turn = dict(zip(names, rng.sample(names, len(names)), strict=True))
+        text = regex.sub(r"[0-9]+", lambda m: str(int(m.group()) + 100), text)
+        return regex.sub("|".join(names), lambda m: turn[m.group()] if alike else rng.choice(names), text)
+
+    items = [item() for _ in range(10)] + ["Tom buys 4 pens. Tom pays 8 dollars for the pens. Tom then sells 2 pens. Tom has how many pens?"]
+    openers = openers_of(items)
+    assert sorted(openers) == ["the", "then"]
+    texts = [(k, f"Some words go here. {[items[k % 11], other(items[k % 11], True), other(items[k % 11], False), item()][k % 4]} More words.") for k in range(88)]
+    texts.append((99, "Jack buys 7 pens. Jack pays 9 dollars for the pens. Jack then sells 5 pens. Jack has how many pens?"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted(decontaminate.sentence_openers(bench.selectExpr("text AS _text"))) == sorted(openers)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    for i, text in texts:
+        for j, one in enumerate(items):
+            found = brute_leak(text, one, openers)
+            if found[0] >= 0.8 and not found[1]:
+                continue  # occurrence by occurrence
+            assert ((i, j) in got) == (found[0] >= 0.8)
+            if (i, j) in got:
+                assert abs(got[i, j]["coverage"] - found[0]) < 1e-9 and got[i, j]["verbatim"] == found[2]
+    assert (99, 10) in got and all((i, i % 11) in got for i in range(88) if i % 4 < 2)
+
+
 def test_leaks_of_short_items(spark):
     bench = spark.createDataFrame([(1, "Where is Paris?"), (2, "12 34 56 78 90 11"), (3, "yes"), (4, ""), (None, "one two three four")], "item_id long, text string")
     texts = [(10, "Tell me: where is paris, now?"), (11, "where is London"), (12, "x 12 34 56 78 90 11 y"), (13, "x 12 34 56 78 91 11 y"), (14, "oh yes"), (15, "One, two three four five"), (16, "")]
