@@ -128,14 +128,28 @@ def apply_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def insert_lines(texts: DataFrame, high_water: int, bucket: int = 10_000) -> DataFrame:
+def offsets(counts: DataFrame, last: int, fan: int) -> DataFrame:
+    """counts(b, n) with b from 0 to `last` -> (b, base): the sum of n over all smaller b. Sums of `fan` neighbours are added up level
+    by level, so no task holds more than `fan` rows of one group, however many there are."""
+    dealt = counts.withColumn("up", F.floor(F.col("b") / fan))
+    earlier = Window.partitionBy("up").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    here = dealt.select("b", "up", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    if last < fan:
+        return here.drop("up")
+    above = offsets(dealt.groupBy(F.col("up").alias("b")).agg(F.sum("n").alias("n")), last // fan, fan)
+    return here.join(above.select(F.col("b").alias("up"), F.col("base").alias("_above")), "up").select("b", (F.col("base") + F.col("_above")).alias("base"))
+
+
+def insert_lines(texts: DataFrame, high_water: int, bucket: int = 10_000, fan: int = 10_000) -> DataFrame:
     """texts(seq, text) -> new tasks, one per line that isn't blank, numbered in order after the high-water mark, which
     is kept by the caller and never derived from the surviving rows, so deleted ids aren't used again.
 
-    Numbering is by prefix sums in two steps: over totals of buckets of `seq`, then within each bucket."""
-    cut = texts.select("seq", lines_of(F.col("text")).alias("lines"), F.floor(F.col("seq") / bucket).alias("b"))
-    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("b").agg(F.sum(F.size("lines")).alias("n")).select("b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    Numbering is by prefix sums: over totals of buckets of `seq`, level by level, then within each bucket. Rows without a seq have no
+    place in the order and give no task; null texts have no lines."""
+    ends = texts.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    low, last = (0, 0) if ends["low"] is None else (ends["low"], (ends["high"] - ends["low"]) // bucket)
+    cut = texts.where("seq IS NOT NULL").select("seq", lines_of(F.coalesce("text", F.lit(""))).alias("lines"), F.floor((F.col("seq") - F.lit(low)) / bucket).alias("b"))
+    totals = offsets(cut.groupBy("b").agg(F.sum(F.size("lines")).alias("n")), last, fan)
     within = Window.partitionBy("b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("before", F.coalesce(F.sum(F.size("lines")).over(within), F.lit(0))).join(totals, "b")
     placed = placed.select((F.col("base") + F.col("before")).alias("before"), F.posexplode("lines").alias("pos", "content"))

@@ -16,7 +16,7 @@ from ..operators import compare, leakage, rollups, tasks, validate
 from ..sources import documents
 from ..sources.tables import read
 from ..sources.tables import tasks as task_table
-from ..streaming import lifecycle
+from ..streaming import automata, lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,6 +540,32 @@ def resume_prefix(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.resume_point(expected.select("ordinal", "id"), expected.where("p_partkey <= 50").select("ordinal", "id"))
 
 
+#: What an event does to its user's run, by its type and value, in Spark and SQL alike.
+STEP = """CASE event_type WHEN 'signup' THEN 'reserve' WHEN 'view' THEN CASE WHEN value < 20 THEN 'spawn' ELSE 'poll' END WHEN 'click' THEN CASE WHEN value < 20 THEN 'resume' ELSE 'poll' END
+    WHEN 'error' THEN CASE WHEN value < 5 THEN 'spawn_fail' WHEN value < 25 THEN 'interrupt' ELSE 'fail' END WHEN 'purchase' THEN CASE WHEN value > 120 THEN 'finish' ELSE 'poll' END END"""
+#: The same automaton, one event after the other by recursion.
+STEPPED = f"""WITH RECURSIVE allowed AS (SELECT * FROM (VALUES {", ".join(map(str, automata.TRANSITIONS))}) a(step, state, after)),
+    e AS (SELECT user_id, event_id, {STEP} AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, e.step, n, 'absent' AS state_before, coalesce(after, 'absent') AS state_after, after IS NOT NULL AS legal FROM e LEFT JOIN allowed a ON a.step = e.step AND a.state = 'absent' WHERE n = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.step, e.n, r.state_after, coalesce(after, r.state_after), after IS NOT NULL FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1 LEFT JOIN allowed a ON a.step = e.step AND a.state = r.state_after)"""
+
+
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("user_id", "event_id", F.expr(STEP).alias("step"))
+
+
+@query("run_steps", f"""{STEPPED} SELECT user_id, event_id, step, state_before, state_after, legal, count(*) FILTER (legal AND step = 'resume') OVER w AS resume_count,
+    count(*) FILTER (legal AND step = 'interrupt') OVER w AS interruptions FROM r WINDOW w AS (PARTITION BY user_id ORDER BY n)""")
+def run_steps(spark: SparkSession, d: str) -> DataFrame:
+    return automata.run_steps(run_log(spark, d), "user_id", "event_id", "step")
+
+
+@query("run_records", f"""{STEPPED} SELECT user_id, arg_max(state_after, n) AS state, count(*) FILTER (legal AND step = 'resume') AS resume_count,
+    count(*) FILTER (legal AND step = 'interrupt') AS interruptions, count(*) FILTER (NOT legal) AS illegal FROM r GROUP BY user_id""")
+def run_records(spark: SparkSession, d: str) -> DataFrame:
+    return automata.run_records(run_log(spark, d), "user_id", "event_id", "step")
+
+
 # -- proposals, token arrays and nested documents -----------------------------------------------------------------------
 
 @query("token_arrays", """SELECT l_orderkey, l_linenumber, l_linenumber || ':' || CASE WHEN l_linenumber > 3 THEN 3 ELSE l_linenumber END AS cut, 8 AS padded,

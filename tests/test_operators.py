@@ -82,6 +82,15 @@ def test_insert_keeps_numbers_unused(spark):
     assert [(r["id"], r["content"]) for r in rows] == [(41, "a"), (42, "b"), (43, " c"), (44, "d")]
 
 
+def test_lines_are_numbered_level_by_level(spark):
+    told = [(k * 7 - 300, "\n".join(["x", "", "y"][: k % 4])) for k in range(90)] + [(None, "lost"), (5000, None)]
+    lines = [line for k, text in sorted(x for x in told if x[0] is not None and x[1] is not None) for line in text.split("\n") if line]
+    got = tasks.insert_lines(spark.createDataFrame(told, "seq long, text string"), 50, bucket=10, fan=3)
+    assert [(r["id"], r["content"]) for r in got.orderBy("id").collect()] == [(51 + i, line) for i, line in enumerate(lines)]
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tasks.insert_lines(spark.createDataFrame([], "seq long, text string"), 50).collect() == []
+
+
 def test_migrate_rejects_unknown(spark):
     with pytest.raises(ValueError):
         tasks.migrate(spark.createDataFrame([(1, "a")], "id int, name string"))
