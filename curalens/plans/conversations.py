@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import replies, requests
 from ..operators import rollups
-from ..sources.tables import read
+from ..sources.tables import read, shared_folder
 from ..streaming import sessions
-from .catalogue import NOW, now, query
+from .catalogue import NOW, ORACLE_SQL, now, query
 
 #: (request, its kind). {n}, {m}: two ids; {c}: a content.
 KINDS = (
@@ -202,6 +202,16 @@ def session_turns(spark: SparkSession, d: str) -> DataFrame:
     return found.select("session", "turn", "state_before", "state_after", "status", F.size("tasks").alias("tasks"))
 
 
+@query("session_stream", ORACLE_SQL["session_turns"])
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """session_turns through a stream that is started three times over one checkpoint. What a turn alone decides is worked out once, as it
+    arrives; the stream holds the states. A day without a turn ends a session."""
+    folder = shared_folder(spark, "sessions")
+    sessions.with_events(scripted(spark, d)).write.parquet(f"{folder}/events")
+    found = sessions.replayed(spark.read.parquet(f"{folder}/events"), f"{folder}/stream", 3, expiry_ms=86_400_000)
+    return found.select("session", "turn", "state_before", "state_after", "status", F.size("tasks").alias("tasks"))
+
+
 # -- replies ------------------------------------------------------------------------------------------------------------
 
 

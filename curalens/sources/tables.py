@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share. A local session without that setting, as in tests, gets a
+    temporary one; on a cluster the setting must be there."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        place = f"file://{tempfile.mkdtemp(prefix='curalens-')}"
+    return f"{place.rstrip('/')}/curalens-{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as tasks: open unless the status is F, due at the order date (epoch seconds, UTC)."""
     due = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))

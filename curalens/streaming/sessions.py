@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import replies, requests
 from ..functions.deadlines import local_day_start, parse_deadline
+from ..sources.tables import exists
 
 #: The state that each kind of an incomplete request leads to.
 WAITS = {
@@ -42,6 +43,7 @@ CANCEL, YES, NO = ("thôi", "hủy", "huỷ"), ("có", "đồng ý", "xác nhậ
 
 TASK = "struct<id:long,content:string,completed:boolean,due_at:long>"
 OUTCOME = f"session long, turn long, state_before string, state_after string, status string, source string, say string, tool string, result string, named long, scope string, task {TASK}, shown array<{TASK}>, tasks array<{TASK}>, error_stage string"
+NAMES = [c.split()[0] for c in OUTCOME.replace(TASK, "x").split(", ")]
 
 
 @dataclass
@@ -271,37 +273,86 @@ def with_reply(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("reply", replies.reply())
 
 
+def outcomes(events: DataFrame) -> DataFrame:
+    """The fold over all `with_events` rows at once."""
+    return events.groupBy("session").applyInPandas(lambda frame: pd.DataFrame(fold(State(), records(frame)), columns=NAMES), OUTCOME)
+
+
 def session_turns(turns: DataFrame) -> DataFrame:
     """The outcome of every turn, in batch: one row a turn with its states, status, reply and the session's tasks after it. A
     session's turns are folded in one task; sessions are dealt by their key."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(State(), records(frame)), columns=[c.split()[0] for c in OUTCOME.replace(TASK, "x").split(", ")])
-
-    return with_reply(with_events(turns).groupBy("session").applyInPandas(one, OUTCOME))
+    return with_reply(outcomes(with_events(turns)))
 
 
 class Sessions(StatefulProcessor):
-    """session_turns on a stream: a session's state is kept between batches, and forgotten `expiry_ms` after its last turn."""
+    """The fold on a stream: a session's state is kept between batches, and forgotten `expiry_ms` after its last turn: by the clock of the
+    machine, or with `by_event` by the time of the turns, once the stream's watermark has passed it."""
 
-    def __init__(self, expiry_ms: int | None = None) -> None:
-        self.expiry_ms = expiry_ms
+    def __init__(self, expiry_ms: int | None = None, by_event: bool = False) -> None:
+        self.expiry_ms, self.by_event = expiry_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("state", "state string", self.expiry_ms)
+        self.handle = handle
+        self.held = handle.getValueState("state", "state string", None if self.by_event else self.expiry_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         state = State.load(self.held.get()[0]) if self.held.exists() else State()
         events = [e for frame in rows for e in records(frame)]
         out = fold(state, events)
         self.held.update((state.dump(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.replace(TASK, "x").split(", ")])
+        if self.by_event:
+            ends = 1000 * max(e["now"] for e in events) + self.expiry_ms
+            set_before = list(self.handle.listTimers())
+            if not set_before or ends > max(set_before):  # a late turn doesn't shorten a session's life
+                for timer in set_before:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(ends)
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame([], columns=NAMES)
 
     def close(self) -> None:
         pass
 
 
+def stream_outcomes(events: DataFrame, expiry_ms: int | None = None, by_event: bool = False) -> DataFrame:
+    """The fold over a stream of `with_events` rows. With `by_event` a session is forgotten once the newest turn of the stream is `expiry_ms`
+    later than its own last one, and a turn that is farther behind the newest is dropped."""
+    if by_event:
+        events = events.withColumn("_at", F.timestamp_seconds("now")).withWatermark("_at", f"{expiry_ms} milliseconds")
+    mode = ("eventTime" if by_event else "processingTime") if expiry_ms else "none"
+    return events.groupBy("session").transformWithStateInPandas(Sessions(expiry_ms, by_event), OUTCOME, "append", mode)
+
+
 def stream_session_turns(turns: DataFrame, expiry_ms: int | None = None) -> DataFrame:
     """session_turns for a streaming `turns`; a state that no turn has touched for `expiry_ms` is dropped."""
-    mode = "processingTime" if expiry_ms else "none"
-    return with_reply(with_events(turns).groupBy("session").transformWithStateInPandas(Sessions(expiry_ms), OUTCOME, "append", mode))
+    return with_reply(stream_outcomes(with_events(turns), expiry_ms))
+
+
+def replayed(events: DataFrame, folder: str, slices: int, expiry_ms: int | None = None) -> DataFrame:
+    """The outcomes of `with_events` rows that arrive as files, in `slices` slices by turn, oldest first, each taken up by a new start of
+    the stream; `expiry_ms` counts by the turns' own time.
+
+    Below `folder`, which driver and executors share, lie the slices, the stream's checkpoint and its outcomes. Slices that were
+    written whole and batches that were committed aren't done again, so a replay that was cut off goes on from there when it is
+    called again. Without events there are no outcomes."""
+    spark = events.sparkSession
+    ends = events.agg(F.min("turn").alias("low"), F.max("turn").alias("high")).first()
+    if ends["low"] is None:
+        return spark.createDataFrame([], OUTCOME)
+    wide, provider = (ends["high"] - ends["low"]) // slices + 1, "spark.sql.streaming.stateStore.providerClass"
+    saved = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(slices):
+            if not exists(spark, f"{folder}/turns/{k}/_SUCCESS"):
+                events.where(F.floor((F.col("turn") - ends["low"]) / wide) == k).write.mode("overwrite").parquet(f"{folder}/turns/{k}")
+            found = stream_outcomes(spark.readStream.schema(events.schema).parquet(f"{folder}/turns/*"), expiry_ms, bool(expiry_ms))
+            sink = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/outcomes")
+            sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if saved is None else spark.conf.set(provider, saved)
+    return spark.read.schema(OUTCOME).parquet(f"{folder}/outcomes")

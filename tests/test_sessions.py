@@ -109,6 +109,56 @@ def test_a_forgotten_session_begins_anew(spark, tmp_path):
     assert {(r["turn"], r["state_before"], r["status"]) for r in got.collect()} == {(0, "idle", "needs_clarification"), (1, "idle", "no_tool")}
 
 
+EVENT = """session long, turn long, kind string, present boolean, cancel boolean, yes boolean, no boolean, one_line boolean, reply_id long, said_scope string, own_due long,
+    edit_id long, edit_content string, when_id long, when_text string, when_due long, result string, reason string, arg_id long, arg_content string, arg_due long, arg_scope string,
+    now long, day0 long, day1 long, day2 long, prompt string, tool string, fault string"""
+
+
+def told(spark):
+    """Sessions of six turns: one is asked for a content, gives it, completes the task twice and creates another."""
+    rows = []
+    for s in range(5):
+        add = {"tool": "create_task", "result": "allow", "arg_content": f"task {s}"}
+        done = {"tool": "complete_task", "result": "allow", "arg_id": 1}
+        plan = [{"kind": "missing_create"}, {"prompt": f"line {s}"}, done, done, add, {"kind": "missing_delete_id"}]
+        rows += [event(session=s, turn=k, now=1000 + 60 * k, **e) for k, e in enumerate(plan)]
+    names = [c.split()[0] for c in EVENT.replace("\n", " ").split(",")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], EVENT)
+
+
+def facts(found):
+    return sorted(((r["session"], r["turn"], r["state_before"], r["state_after"], r["status"], r["result"], len(r["tasks"])) for r in found.collect()), key=lambda r: r[:2])
+
+
+def test_a_replay_gives_the_batch_also_after_it_was_cut_off(spark, tmp_path, monkeypatch):
+    rows, folder = told(spark), f"file://{tmp_path}/s"
+    want = facts(sessions.outcomes(rows))
+    real, seen = sessions.stream_outcomes, []
+
+    def cut(events, *options):
+        seen.append(1)
+        if len(seen) == 2:
+            raise RuntimeError("cut off")
+        return real(events, *options)
+
+    monkeypatch.setattr(sessions, "stream_outcomes", cut)
+    with pytest.raises(RuntimeError, match="cut off"):
+        sessions.replayed(rows, folder, 3, 86_400_000)
+    assert {r["turn"] for r in spark.read.parquet(f"{folder}/outcomes").collect()} == {0, 1}
+    assert facts(sessions.replayed(rows, folder, 3, 86_400_000)) == want
+    assert facts(sessions.replayed(rows, folder, 3, 86_400_000)) == want  # nothing is done twice
+    assert sessions.replayed(rows.limit(0), f"{folder}0", 3).collect() == []
+
+
+def test_a_session_ends_by_the_time_of_the_turns(spark, tmp_path):
+    rows = told(spark).where("turn < 2").withColumn("now", F.expr("now + turn * 7200 + session"))
+    got = facts(sessions.replayed(rows.where("turn = 0 OR session < 2"), f"file://{tmp_path}/s", 2, 3_600_000))
+    assert {(s, t, before) for s, t, before, *_ in got if t == 1} == {(0, 1, "awaiting_create_content"), (1, 1, "awaiting_create_content")}
+    late = rows.where("turn = 1 AND session > 1").withColumn("turn", F.lit(2).cast("long")).withColumn("now", F.expr("now + 7200"))
+    got = facts(sessions.replayed(rows.where("turn = 0 OR session < 2").unionByName(late), f"file://{tmp_path}/t", 3, 3_600_000))
+    assert {(s, before) for s, t, before, *_ in got if t == 2} == {(2, "idle"), (3, "idle"), (4, "idle")}
+
+
 @pytest.mark.parametrize("mode, tools, fallback", [(True, ["update_task"], False), (False, list(requests.TOOLS), False)])
 def test_tools_of_a_kind(spark, mode, tools, fallback):
     row = spark.range(1).select(*requests.tools_for(F.lit("multiple_edit"), mode)).first()
