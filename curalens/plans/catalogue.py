@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import deadlines, jsontext, text, tokens
 from ..operators import compare, leakage, rollups, tasks, validate
 from ..sources import documents
-from ..sources.tables import read
+from ..sources.tables import commit_snapshot, read, read_snapshot, shared_folder
 from ..sources.tables import tasks as task_table
 from ..streaming import automata, lifecycle
 
@@ -188,6 +188,15 @@ def insert_lines(spark: SparkSession, d: str) -> DataFrame:
     return tasks.insert_lines(read(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"), 1000000)
 
 
+@query("replaced_snapshot", f"SELECT id, content, completed, due_at, 1 AS version FROM {TASKS} WHERE NOT completed UNION ALL SELECT id, content, completed, due_at, 0 FROM {TASKS}")
+def replaced_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """A table of tasks that is replaced by its own open tasks: the newest version, and the one before, which can still be read."""
+    path = shared_folder(spark, "snapshots")
+    first = commit_snapshot(task_table(spark, d), path)
+    second = commit_snapshot(read_snapshot(spark, path).where(~F.col("completed")), path, after=first)
+    return read_snapshot(spark, path).withColumn("version", F.lit(second)).unionByName(read_snapshot(spark, path, first).withColumn("version", F.lit(first)))
+
+
 @query("migrate_layout", f"SELECT id, content, false AS completed, NULL::BIGINT AS due_at FROM {TASKS}")
 def migrate_layout(spark: SparkSession, d: str) -> DataFrame:
     return tasks.migrate(task_table(spark, d).select("id", "content"))

@@ -68,15 +68,63 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def replace_whole(df: DataFrame, path: str) -> None:
-    """Replace a table by another in one step: the new one is written beside it and moved into its place."""
+    """Replace a plain Parquet folder by another. The new one is written beside it, the old one set aside and deleted last, so neither is
+    ever lost; but between the two moves the folder is absent. Where readers or a crash may come between, use `commit_snapshot`."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.partial")
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.partial"), jvm.org.apache.hadoop.fs.Path(path)
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"cannot move {new} to {old}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    new, here, aside = at(f"{path}.partial"), at(path), at(f"{path}.old")
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(here):
+        files.delete(aside, True)
+        if not files.rename(here, aside):
+            raise OSError(f"cannot move {here} to {aside}")
+    if not files.rename(new, here):
+        raise OSError(f"cannot move {new} to {here}")
+    files.delete(aside, True)
+
+
+def snapshots(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, folder) of a snapshot table's committed versions, oldest first. An entry that was begun and never finished is none."""
+    if not exists(spark, f"{path}/log"):
+        return []
+    rows = spark.read.text(f"{path}/log", wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).collect()  # one short line a version
+    return sorted((int(r["name"]), r["value"].rstrip("\n")) for r in rows if r["value"].endswith("\n"))
+
+
+def commit_snapshot(df: DataFrame, path: str, after: int | None = None) -> int:
+    """Write `df` as the next version of the snapshot table at `path` and return its number.
+
+    The rows go to a folder of their own; then one entry of the log is created, which must not exist yet, and names it. Readers see the
+    old version until the entry is whole and the new one from then on; a writer that dies before leaves the table as it was. With `after`
+    the version must follow that one directly, else FileExistsError: someone else was first. The creation is as indivisible as that of
+    the file system. The rows may be computed from the version that they replace."""
+    spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    log = at(f"{path}/log")
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(log)
+    version = after + 1 if after is not None else 1 + max([int(f.getPath().getName()) for f in files.listStatus(log)], default=-1)
+    entry = at(f"{path}/log/{version:020d}")
+    try:
+        out = files.create(entry, False)
+    except Exception as error:
+        files.delete(at(f"{path}/{folder}"), True)
+        if files.exists(entry):
+            raise FileExistsError(f"version {version} of {path} is already there") from error
+        raise
+    out.write(bytearray(f"{folder}\n".encode()))
+    out.close()
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of a snapshot table, or the one named."""
+    found = dict(snapshots(spark, path))
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"no such version of {path}: {version}")
+    return spark.read.parquet(f"{path}/{found[max(found) if version is None else version]}")
 
 
 def append_slice(df: DataFrame, path: str, ordinal: str, first: int, size: int) -> None:

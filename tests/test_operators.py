@@ -290,6 +290,25 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["ordinal"] for r in spark.read.parquet(progress).collect()) == list(range(10))
 
 
+def test_a_killed_replacement_leaves_a_whole_version(spark, tmp_path):
+    rows, path = spark.range(10), f"file://{tmp_path}/t"
+    assert tables.snapshots(spark, path) == [] and tables.commit_snapshot(rows, path) == 0
+    with pytest.raises(FileNotFoundError):
+        tables.read_snapshot(spark, path, 7)
+    broken = rows.select(F.raise_error(F.lit("killed")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="killed"):  # while the rows are written
+        tables.commit_snapshot(broken, path)
+    (tmp_path / "t/data/left").mkdir()  # before the entry
+    assert tables.read_snapshot(spark, path).count() == 10
+    (tmp_path / f"t/log/{1:020d}").write_text("data/le")  # within the entry
+    assert tables.read_snapshot(spark, path).count() == 10
+    assert tables.commit_snapshot(tables.read_snapshot(spark, path).where("id < 4"), path) == 2 and tables.read_snapshot(spark, path).count() == 4
+    with pytest.raises(FileExistsError):  # two writers that both read version 0
+        tables.commit_snapshot(rows, path, after=1)
+    assert tables.read_snapshot(spark, path).count() == 4 and tables.read_snapshot(spark, path, 0).count() == 10
+    assert [v for v, _ in tables.snapshots(spark, path)] == [0, 2] and len(list((tmp_path / "t/data").iterdir())) == 4
+
+
 def test_resume_audit(spark):
     files = spark.createDataFrame([("done", "in-1\n"), ("state.json", '{"global_step": 25}')], "path string, content string")
     folder = spark.createDataFrame([("ab",)], "digest string")
