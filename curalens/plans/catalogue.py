@@ -575,6 +575,17 @@ def run_records(spark: SparkSession, d: str) -> DataFrame:
     return automata.run_records(run_log(spark, d), "user_id", "event_id", "step")
 
 
+#: What a click does to its client's run.
+CLICKED = """CASE kind WHEN 'signup' THEN 'reserve' WHEN 'view' THEN CASE WHEN value < 20 THEN 'spawn' ELSE 'poll' END WHEN 'click' THEN 'resume'
+    WHEN 'error' THEN CASE WHEN value < 25 THEN 'interrupt' ELSE 'fail' END WHEN 'purchase' THEN CASE WHEN value > 300 THEN 'finish' ELSE 'poll' END END"""
+
+
+@query("click_runs")  # one step after the other in SQL takes too long for a client with most of the clicks; a test does it in Python
+def click_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Records of runs of very uneven lengths, from a log with repeated rows and null steps."""
+    return automata.run_records(read(spark, d, "clicks").select("client_id", "click_id", F.expr(CLICKED).alias("step")), "client_id", "click_id", "step")
+
+
 # -- proposals, token arrays and nested documents -----------------------------------------------------------------------
 
 @query("token_arrays", """SELECT l_orderkey, l_linenumber, l_linenumber || ':' || CASE WHEN l_linenumber > 3 THEN 3 ELSE l_linenumber END AS cut, 8 AS padded,

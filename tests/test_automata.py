@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 
+from curalens.plans import catalogue
 from curalens.streaming import automata
 
 ALLOWED = {(step, state): after for step, state, after in automata.TRANSITIONS}
@@ -48,3 +50,11 @@ def test_every_state_is_reached_and_terminal(spark):
     got = {r["user"]: r for r in automata.run_records(spark.createDataFrame(log, "user long, at long, step string"), "user", "at", "step").collect()}
     assert [got[k]["state"] for k in range(len(paths))] == [s for s in automata.STATES if s != "absent"]
     assert (got[6]["resume_count"], got[6]["interruptions"], got[6]["illegal"], got[2]["illegal"]) == (1, 1, 3, 1)
+
+
+def test_runs_of_clicks(spark):
+    sf = "/root/testdata/sf0.01"
+    log = duckdb.sql(f"SELECT client_id, click_id, {catalogue.CLICKED} FROM '{sf}/clicks.parquet'").fetchall()
+    got = {tuple(r) for r in catalogue.QUERIES["click_runs"](spark, sf).collect()}
+    assert got == one_by_one(log)[1] and len(got) > 100
+    assert len({r[1] for r in got}) > 3
