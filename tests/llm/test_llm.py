@@ -391,6 +391,63 @@ def test_model_probabilities_sum_to_one():
     assert all(np.allclose(together[k], np.concatenate([a[k] for a in apart])) for k in (0, 1))
 
 
+def place_by_place(model, text, block):
+    """Log probability of each subword of a text, one place and one context position after the other, in plain loops."""
+    p, start = model.params, len(model.params["q"]) - 1
+    seen, out = [start, *(int(model.place[i]) for i in text)], []
+    for t, target in enumerate(text):
+        low = max(0, (t // block - 1) * block)
+        heat = [p["q"][seen[t]] @ p["k"][seen[j]] / np.sqrt(p["q"].shape[1]) + p["near"][t - j] for j in range(low, t + 1)]
+        share = np.exp(np.array(heat) - max(heat))
+        share /= share.sum()
+        state = np.tanh(sum(a * p["v"][seen[low + j]] for j, a in enumerate(share)) @ p["mix"] + p["u"][seen[t]])
+        logits = state @ p["out"] + p["bias"]
+        log = logits[model.kind[target]] - np.log(np.exp(logits).sum())
+        at, mates = model.place[target], [m for m in range(model.own) if model.kind[list(model.place).index(m)] == model.kind[target]]
+        before = model.own if model.first[target] else seen[t] if seen[t] < model.own else model.own + 1
+        if at < model.own and len(mates) > 1:
+            inner = {m: model.pairs[before, m] + state @ p["sub"][m] for m in mates}
+            log += inner[at] - np.log(sum(np.exp(v) for v in inner.values()))
+        else:
+            log += model.pairs[before, at] if at < model.own else model.inside[target]
+        out.append(log)
+    return out
+
+
+def test_score_against_a_forward_pass_in_loops():
+    rng = np.random.default_rng(11)
+    model = small_model(rng, 31, n_classes=8, own=14)
+    texts = [np.r_[rng.integers(0, 30, n), 30] for n in (0, 1, 4, 9, 26)]
+    got, _ = attention_lm.score(model, texts, portion=2, group=4, block=4)
+    assert np.allclose(got, np.concatenate([place_by_place(model, t, 4) for t in texts]), atol=1e-5)
+
+
+def test_mixture_weight_by_ratios(spark, monkeypatch):
+    """The weight from counted ratios is that of expectation maximisation word by word, whichever words travel with the tasks."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices(["ba", "do", "ki"], k=rng.randint(1, 4))) for _ in range(80)]
+    rows = docs(spark, [(i, " ".join(rng.choices(words, k=30))) for i in range(40)] + [(90, None), (91, "once-only")])
+    texts = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts = lm.count_words(texts)
+    held = {r["word"] and bytes(r["word"]): r["c"] for r in counts.collect()}
+
+    def fixed(scorer, many):
+        flat = [w for t in many for w in (*t, None)]
+        return flat, np.array([42.0 if w is None else scorer.hot.get(w, 0) for w in flat]), np.array([-3.0 - len(w or b"") / 4 for w in flat])
+
+    monkeypatch.setattr(lm, "word_logs", fixed)
+    many = [lm.words_of(bytes(r["text"])) for r in texts.collect()]
+    tokens, weight = sum(held.values()), 0.5
+    pairs = [((held[w] - (t.count(w) if w else 1)) / tokens, np.exp(-3.0 - len(w or b"") / 4)) for t in many for w in (*t, None)]
+    for _ in range(12):
+        weight = float(np.clip(np.mean([weight * p / (weight * p + (1 - weight) * q) for p, q in pairs]), 0.01, 0.99))
+    for hot in (0, 20, 200):
+        kept = dict(sorted(((w, c) for w, c in held.items() if w), key=lambda x: -x[1])[:hot])
+        told = lm.mixture_ratios(lm.Scorer(None, kept, 42, tokens, len(held), 0.5, ""), texts, counts).collect()
+        assert sum(r["n"] for r in told) == tokens and abs(lm.mixture_weight([(r["ratio"], r["n"]) for r in told]) - weight) < 0.005
+    assert lm.mixture_weight([]) == 0.5
+
+
 def test_scores_of_all_words_sum_to_one(monkeypatch):
     """Subwords 0, 3 and 6 begin words, 9 is the end. Words of up to four subwords, the end, and what goes on after four
     subwords have probability 1 together, by the attention model and in the mixture."""
