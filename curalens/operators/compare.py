@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tasks import offsets
+
 
 def diff(before: DataFrame, after: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """created, deleted and changed keys between two snapshots, by one full outer join; nulls compare as values."""
@@ -92,3 +94,40 @@ def chain_breaks(turns: DataFrame, session: str, turn: str, before: str, after:
     """Turns whose state before isn't the state after the turn before."""
     last = F.lag(after).over(Window.partitionBy(session).orderBy(turn))
     return turns.withColumn("_last", last).where(F.col("_last").isNotNull() & ~F.col(before).eqNullSafe(F.col("_last"))).drop("_last")
+
+
+def positions(rows: DataFrame, ordinal: str, key: str, bucket: int = 10_000, fan: int = 10_000) -> DataFrame:
+    """(position, key): the place of each row in order of a whole-number ordinal, from 0, equal ordinals by key. Rows are counted by
+    buckets of ordinals and the counts added up level by level, so nothing is sorted as a whole and no task holds more than a bucket.
+    Rows without an ordinal have no place."""
+    here = rows.where(F.col(ordinal).isNotNull()).select(F.col(ordinal).cast("long").alias("_o"), F.col(key).alias("key"))
+    ends = here.agg(F.min("_o").alias("low"), F.max("_o").alias("high")).first()
+    low, last = (0, 0) if ends["low"] is None else (ends["low"], (ends["high"] - ends["low"]) // bucket)
+    dealt = here.withColumn("b", F.floor((F.col("_o") - F.lit(low)) / bucket))
+    base = offsets(dealt.groupBy("b").agg(F.count("*").alias("n")), last, fan)
+    place = F.row_number().over(Window.partitionBy("b").orderBy("_o", "key")) - 1
+    return dealt.withColumn("_place", place).join(base, "b").select((F.col("base") + F.col("_place")).cast("long").alias("position"), "key")
+
+
+def order_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(position, expected, actual): the positions at which two lists by `positions` don't hold the same key."""
+    e, a = expected.withColumnRenamed("key", "expected"), actual.withColumnRenamed("key", "actual")
+    return e.join(a, "position", "full_outer").where(~F.col("expected").eqNullSafe(F.col("actual"))).select("position", "expected", "actual")
+
+
+def order_digest(list_of: DataFrame) -> DataFrame:
+    """(n, members, ordered) of a list by `positions`, one row: sums of 60-bit digests of the keys, and of the keys with their positions.
+    Sums of parts add up, so the parts of a list are digested where they lie. Equal members and another order are two lists of one set."""
+    digest = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    name = F.coalesce(F.col("key").cast("string"), F.lit("\\N"))
+    return list_of.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(digest(name)), F.lit(0)).alias("members"), F.coalesce(F.sum(digest(F.concat_ws(":", F.col("position").cast("string"), name))), F.lit(0)).alias("ordered")
+    )
+
+
+def order_gates(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(gate, passed): whether two lists by `positions` are as long, have the same members, and have them in the same order."""
+    e, a = (order_digest(rows).select(F.struct("*").alias(n)) for rows, n in ((expected, "e"), (actual, "a")))
+    gates = {"same_length": ("n",), "same_members": ("n", "members"), "same_order": ("n", "members", "ordered")}
+    told = [F.struct(F.lit(g).alias("gate"), F.forall(F.array(*[F.col(f"e.{c}") == F.col(f"a.{c}") for c in names]), lambda v: v).alias("passed")) for g, names in gates.items()]
+    return e.crossJoin(a).select(F.explode(F.array(*told)).alias("g")).select("g.gate", "g.passed")  # a row each

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,9 +346,9 @@ FAMILIES = ("tool_and_database", "reply_hygiene", "end_to_end", "model_proposal"
 POLICY = ("intervened", "blocked_bad_proposal", "recovered_model_failure", "false_rejection")
 
 
-def system_summary(rows: DataFrame, key: str = "id", category: str = "category", most_ids: int = 100) -> DataFrame:
-    """(is_total, category, section, name, cases, first_ids): every status of the six families and every policy flag, by category and in
-    all, with the least `most_ids` ids of the flagged cases; the counts cover all."""
+def system_summary(rows: DataFrame, key: str = "id", category: str = "category") -> DataFrame:
+    """(is_total, category, section, name, cases, first_id): every status of the six families and every policy flag, by category and in
+    all, with the least id of the flagged cases; `flagged_ids` has all of them."""
     told = F.concat(
         F.array(*[F.struct(F.lit(f).alias("section"), F.col(f).alias("name"), F.lit(None).cast("long").alias("key")) for f in FAMILIES]),
         F.filter(F.array(*[F.struct(F.lit("policy").alias("section"), F.when(F.col(f), F.lit(f)).alias("name"), F.col(key).cast("long").alias("key")) for f in POLICY]), lambda x: x["name"].isNotNull()),
@@ -358,4 +360,32 @@ def system_summary(rows: DataFrame, key: str = "id", category: str = "category",
     return wide.groupBy("is_total", "category", "section", "name").agg(F.sum("cases").alias("cases"), F.min("first_id").alias("first_id"))
 
 
+def ids_of_bits(bucket: pd.Series, bits: pd.Series) -> pd.Series:
+    """The ids that a bucket's bitmap holds, ascending: those of bucket b > 0 begin at 32,768 (b - 1) + 1; 0 and below count down."""
+    out = []
+    for b, held in zip(bucket, bits, strict=True):
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")).astype(np.int64)
+        out.append((b - 1) * 32_768 + 1 + at if b > 0 else np.sort(b * 32_768 - at))
+    return pd.Series(out)
+
+
+def flagged_ids(rows: DataFrame, key: str = "id", category: str = "category", flags: Sequence[str] = POLICY) -> DataFrame:
+    """(is_total, category, name, bucket, bits): the whole set of ids that have each flag, by category and in all, as bitmaps of 32,768
+    ids. A bitmap is 4 KB however many rows repeat its ids, and is formed before rows move, so neither a set nor a hot id is more than
+    its buckets; the total's come from the categories'. A null id is in no set; a null flag isn't set."""
+    told = F.filter(F.array(*[F.when(F.col(f), F.lit(f)) for f in flags]), lambda x: x.isNotNull())
+    long = rows.where(F.col(key).isNotNull()).select(F.col(category).alias("category"), F.col(key).cast("long").alias("_id"), F.explode(told).alias("name"))
+    long = long.select("category", "name", F.bitmap_bucket_number("_id").alias("bucket"), F.bitmap_bit_position("_id").alias("_at"))
+    by = long.groupBy("category", "name", "bucket").agg(F.bitmap_construct_agg("_at").alias("bits"))
+    sides = F.array(F.struct(F.lit(False).alias("is_total"), F.col("category")), F.struct(F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("category")))
+    wide = by.select(F.explode(sides).alias("s"), "name", "bucket", "bits").select("s.*", "name", "bucket", "bits")
+    return wide.groupBy("is_total", "category", "name", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def listed_ids(sets: DataFrame) -> DataFrame:
+    """`flagged_ids` with the ids of each bucket, 32,768 at most, in place of its bits."""
+    told = F.pandas_udf(ids_of_bits, "array<long>")
+    return sets.withColumn("ids", told("bucket", "bits")).drop("bits")
+
+
 assert set(ACTION_TOOLS.values()) == set(TOOLS) == set(TASK_TOOLS)

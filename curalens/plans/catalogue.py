@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import deadlines, jsontext, text, tokens
-from ..operators import compare, leakage, rollups, tasks, validate
+from ..operators import audits, compare, leakage, rollups, tasks, validate
+from ..sources import cases as case_sources
 from ..sources import documents
 from ..sources.tables import commit_snapshot, read, read_snapshot, shared_folder
 from ..sources.tables import tasks as task_table
@@ -664,6 +665,77 @@ def review_completeness(spark: SparkSession, d: str) -> DataFrame:
     return validate.review_completeness(read(spark, d, "documents"), reviews, "doc_id")
 
 
+#: orders as two lists: in the second one, orders of customers whose number is divisible by 5 come two places later.
+LISTS = """WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey AS expected FROM orders),
+    a AS (SELECT row_number() OVER (ORDER BY o_orderkey + CASE WHEN o_custkey % 5 = 0 THEN 2 ELSE 0 END, o_orderkey) - 1 AS position, o_orderkey AS actual FROM orders)"""
+
+
+def two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = read(spark, d, "orders").withColumn("later", F.col("o_orderkey") + F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(0))
+    return compare.positions(orders, "o_orderkey", "o_orderkey"), compare.positions(orders, "later", "o_orderkey")
+
+
+@query("order_differences", f"{LISTS} SELECT position, expected, actual FROM e FULL JOIN a USING (position) WHERE expected IS DISTINCT FROM actual")
+def order_differences(spark: SparkSession, d: str) -> DataFrame:
+    return compare.order_differences(*two_lists(spark, d))
+
+
+@query("order_gates", f"""{LISTS}, g AS (SELECT count(expected) = count(actual) AS l, bool_and(expected IS NOT DISTINCT FROM actual) AS o FROM e FULL JOIN a USING (position))
+    SELECT unnest(['same_length', 'same_members', 'same_order']) AS gate, unnest([l, l AND NOT EXISTS (SELECT expected FROM e EXCEPT ALL SELECT actual FROM a), o]) AS passed FROM g""")
+def order_gates(spark: SparkSession, d: str) -> DataFrame:
+    return compare.order_gates(*two_lists(spark, d))
+
+
+#: conversations as cases in files of about 200. One file in five is cut short, one in five is changed after it was locked; one case in
+#: ten has no id, and the turns of one conversation in ten share theirs.
+CASE_FILES = """t AS (SELECT *, conv_id::VARCHAR || ':' || turn::VARCHAR || ':' || coalesce(role, '') || ':' || coalesce(text, '') AS own FROM conversations),
+    f AS (SELECT *, ('0x' || substr(md5(own), 1, 8))::BIGINT % ((SELECT count(*) FROM conversations) // 200 + 1) AS bucket,
+        CASE WHEN conv_id % 10 = 3 AND turn = 0 THEN NULL WHEN conv_id % 10 = 1 THEN conv_id::VARCHAR ELSE conv_id::VARCHAR || ':' || turn::VARCHAR END AS id FROM t)"""
+
+
+def case_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(bucket, value): the JSON documents, every other one a list, the others objects with `cases`."""
+    rows = read(spark, d, "conversations")
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    own = F.concat(conv, F.lit(":"), turn, F.lit(":"), F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    bucket = F.conv(F.substring(F.md5(own.cast("binary")), 1, 8), 16, 10).cast("long") % (rows.count() // 200 + 1)
+    ident = F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") == 0), None).when(F.col("conv_id") % 10 == 1, conv).otherwise(F.concat(conv, F.lit(":"), turn))
+    cases = rows.select(bucket.alias("bucket"), F.to_json(F.struct(ident.alias("id"), "turn", "role", F.col("text").alias("prompt"))).alias("c"))
+    whole = cases.groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("c"), ","), F.lit("]")).alias("v"))
+    value = F.when(F.col("bucket") % 2 == 0, F.col("v")).otherwise(F.concat(F.lit('{"cases":'), "v", F.lit("}")))
+    return whole.select("bucket", F.when(F.col("bucket") % 5 == 2, F.substring(value, 1, F.length(value) - 1)).otherwise(value).alias("value"))
+
+
+@query("case_files", f"""WITH {CASE_FILES} SELECT 'case' AS kind, id AS record_id, NULL::BIGINT AS bucket, turn::BIGINT AS turn, text AS prompt, count(*) AS n FROM f WHERE bucket % 5 <> 2 AND id IS NOT NULL GROUP BY id, turn, role, text
+    UNION ALL SELECT DISTINCT 'not strict JSON', NULL, bucket, NULL::BIGINT, NULL, 1 FROM f WHERE bucket % 5 = 2 UNION ALL SELECT 'no id', NULL, bucket, NULL, NULL, count(*) FROM f WHERE bucket % 5 <> 2 AND id IS NULL GROUP BY bucket
+    UNION ALL SELECT 'repeated id', id, NULL, NULL, NULL, count(*) FROM f WHERE bucket % 5 <> 2 AND id IS NOT NULL GROUP BY id HAVING count(*) > 1""")
+def case_files(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "cases")
+    case_sources.write_json_files(case_texts(spark, d), "bucket", "value", path)
+    rows = case_sources.case_rows(spark, path)
+    told = F.from_json("record", "turn long, role string, prompt string")
+    good = case_sources.good_cases(rows).select("record_id", told.alias("c")).select("record_id", "c.*").groupBy("record_id", "turn", "role", "prompt").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    faults = case_sources.case_faults(rows).select(
+        F.col("fault").alias("kind"), "record_id", F.when(F.col("record_id").isNull(), case_sources.named("file", "bucket")).cast("long").alias("bucket"), none.cast("long").alias("turn"), none.cast("string").alias("prompt"), "n"
+    )
+    return good.select(F.lit("case").alias("kind"), "record_id", none.cast("long").alias("bucket"), "turn", "prompt", "n").unionByName(faults)
+
+
+@query("file_lock_on_disk", f"WITH {CASE_FILES} SELECT DISTINCT bucket, CASE bucket % 5 WHEN 1 THEN 'missing' ELSE 'changed' END AS problem FROM f WHERE bucket % 5 IN (1, 3)")
+def file_lock_on_disk(spark: SparkSession, d: str) -> DataFrame:
+    """Files are written and locked by their digests; then one in five is gone and one in five has another byte."""
+    path, at = shared_folder(spark, "locked"), F.col("bucket") % 5
+    case_sources.write_json_files(case_texts(spark, d).select("bucket", F.concat("value", F.lit(" ")).alias("value")), "bucket", "value", f"{path}/first")
+    told = case_sources.file_digests(spark, f"{path}/first").select(case_sources.named("path", "bucket").cast("long").alias("bucket"), "sha256", "path")
+    told.select("bucket", "sha256").write.parquet(f"{path}/manifest")
+    texts = spark.read.text(f"{path}/first", wholetext=True).select(case_sources.named(F.col("_metadata.file_path"), "bucket").cast("long").alias("bucket"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    later = texts.where(at != 1).select("bucket", F.when(at == 3, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"))
+    case_sources.write_json_files(later, "bucket", "value", f"{path}/now")
+    now = case_sources.file_digests(spark, f"{path}/now").select(case_sources.named("path", "bucket").cast("long").alias("bucket"), "sha256")
+    return audits.changed_files(spark.read.parquet(f"{path}/manifest"), now, "bucket")
+
+
 @query("latest_numbered", "SELECT 'checkpoint-' || max(p_partkey) AS name, max(p_partkey) AS number FROM part WHERE p_size > 10")
 def latest_numbered(spark: SparkSession, d: str) -> DataFrame:
     names = read(spark, d, "part").select(F.concat(F.lit("checkpoint-"), F.col("p_partkey").cast("string")).alias("name"), "p_size")

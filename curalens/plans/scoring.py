@@ -389,5 +389,12 @@ def system_report(spark: SparkSession, d: str) -> DataFrame:
     return scoring.system_summary(system_cases(spark, d))
 
 
+@query("system_flagged_ids", f"""WITH f AS (SELECT * FROM {FLAGGED}), l AS ({LONG}), k AS (SELECT *, CASE WHEN key > 0 THEN 1 + (key - 1) // 32768 ELSE -(-key // 32768) END AS bucket FROM l WHERE section = 'policy')
+    SELECT false AS is_total, category, name, bucket, list(DISTINCT key ORDER BY key) AS ids FROM k GROUP BY category, name, bucket
+    UNION ALL SELECT true, NULL, name, bucket, list(DISTINCT key ORDER BY key) FROM k GROUP BY name, bucket""")
+def system_flagged_ids(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.listed_ids(scoring.flagged_ids(system_cases(spark, d)))
+
+
 def column_list(names: Sequence[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])

@@ -1,12 +1,10 @@
-"""Nested JSON documents: recursive harvest, and folder digests."""
+"""Nested JSON documents: recursive harvest."""
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -45,17 +43,3 @@ def harvest(documents: DataFrame, column: str, fields: tuple[str, ...] = ("promp
     found = udtf(Harvest, returnType="text string, path string, record_id string, record string")
     documents.sparkSession.udtf.register("curalens_harvest", found)
     return documents.selectExpr("*").lateralJoin(found(F.col(column).outer(), F.lit(",".join(fields))))
-
-
-def folder_digest(files: DataFrame) -> DataFrame:
-    """files(folder, path, sha256) -> (folder, digest): SHA-256 over the sorted relative paths, each as its 8-byte length,
-    its bytes and its file's digest."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        total = hashlib.sha256()
-        for path, digest in sorted(zip(part["path"], part["sha256"], strict=True)):
-            name = path.encode()
-            total.update(len(name).to_bytes(8, "big") + name + bytes.fromhex(digest))
-        return pd.DataFrame({"folder": [part["folder"].iloc[0]], "digest": [total.hexdigest()]})
-
-    return files.groupBy("folder").applyInPandas(fold, "folder string, digest string")

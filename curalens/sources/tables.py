@@ -1,4 +1,4 @@
-"""Readers: the driver's tables in the roles of tasks, turns and corpora, and files by digest."""
+"""Readers: the driver's tables in the roles of tasks, turns and corpora, newest reports, and tables as sinks."""
 
 from __future__ import annotations
 
@@ -44,12 +44,6 @@ def json_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return texts.select(F.posexplode(cases).alias("ordinal", "case"))
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, sha256) of files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def latest_report(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """The newest file that parses as a JSON object: path and text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalens.functions import deadlines, jsontext, text
-from curalens.operators import audits, compare, leakage, rollups, tasks
+from curalens.operators import audits, compare, leakage, rollups, scoring, tasks
 from curalens.sources import documents, tables
-from curalens.sources.tables import file_digests, latest_report
+from curalens.sources.cases import case_faults, case_rows, file_digests, folder_digest, good_cases
+from curalens.sources.tables import latest_report
 from curalens.streaming import lifecycle
 
 TASK = "id long, content string, completed boolean, due_at long"
@@ -173,7 +174,71 @@ def test_documents(spark):
     assert digests[0] == digests[1] == hashlib.sha256('{"a":1,"b":[1.5,"é"]}'.encode()).hexdigest() and digests[2] is None
     files = [("f", "b", "00" * 32), ("f", "a", "11" * 32)]
     want = hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p.encode() + bytes.fromhex(h) for _, p, h in sorted(files))).hexdigest()
-    assert documents.folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).first()["digest"] == want
+    assert folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).first()["digest"] == want
+
+
+def test_case_files(spark, tmp_path):
+    texts = {
+        "a": '[{"id": 1, "x": 1.0}, {"id": "b"}, 3, {"id": true}, {"id": " "}, {}]', "b": '{"cases": [{"id": "b", "y": [1]}, {"id": "1"}]}', "c": '{"cases": {}}', "d": "", "e": "[]",
+        "f": '[{"id": 1, "id": 2}]', "g": "[NaN]", "h": '"text"', "i": "[" * 100_000,
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = case_rows(spark, str(tmp_path), "*.json").withColumn("file", F.regexp_extract("file", r"(.)\.json$", 1))
+    assert [tuple(r) for r in good_cases(rows).orderBy("file", "ordinal").collect()] == [
+        ("a", 0, "1", '{"id":1,"x":1.0}'), ("a", 1, "b", '{"id":"b"}'), ("b", 0, "b", '{"id":"b","y":[1]}'), ("b", 1, "1", '{"id":"1"}')
+    ]
+    assert {tuple(r) for r in case_faults(rows).collect()} == {
+        ("not an object", None, "a", 1), ("no id", None, "a", 3), ("no cases", None, "c", 1), ("no cases", None, "h", 1), ("repeated id", "1", "a", 2), ("repeated id", "b", "a", 2),
+        *(("not strict JSON", None, f, 1) for f in "fgi"),  # d is empty
+    }
+
+
+def test_digests_in_blocks(spark, tmp_path):
+    """Files beyond the bound are hashed in blocks, to the same digests; a folder's files stream through its digest in byte order."""
+    for name, size in (("a", 0), ("b b", 10), ("c%20", 11), ("é", 100_000)):
+        (tmp_path / name).write_bytes(bytes(range(256)) * (size // 256) + b"x" * (size % 256))
+    want = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir() if p.stat().st_size}
+    for whole in (-1, 10, 1 << 20):
+        assert {(r["path"].rsplit("/", 1)[1], r["length"], r["sha256"]) for r in file_digests(spark, str(tmp_path), whole=whole).collect()} == want
+    rng = random.Random(2)
+    files = [(f"f{k % 3}", f"p{rng.randint(0, 10**9)}{'é' * (k % 2)}", f"{k:064x}") for k in range(500)]
+    told = {r["folder"]: r["digest"] for r in folder_digest(spark.createDataFrame(files, "folder string, path string, sha256 string")).collect()}
+    assert told == {
+        f: hashlib.sha256(b"".join(len(p).to_bytes(8, "big") + p + bytes.fromhex(h) for p, h in sorted((p.encode(), h) for g, p, h in files if g == f))).hexdigest() for f in ("f0", "f1", "f2")
+    }
+    assert folder_digest(spark.createDataFrame([], "folder string, path string, sha256 string")).count() == 0
+
+
+def test_order_of_two_lists(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(-40, 900)]), rng.randint(0, 60)) for _ in range(400)] + [(7, 7)] * 3
+    place = lambda r: compare.positions(spark.createDataFrame(r, "o long, k long"), "o", "k", bucket=9, fan=4)
+    want = [(p, k) for p, (_, k) in enumerate(sorted(r for r in rows if r[0] is not None))]
+    assert sorted(tuple(r) for r in place(rows).collect()) == want
+    listed = lambda keys: spark.createDataFrame(list(enumerate(keys)), "position long, key long")
+    gates = lambda a, b: {r["gate"]: r["passed"] for r in compare.order_gates(listed(a), listed(b)).collect()}
+    names = ("same_length", "same_members", "same_order")
+    for other, told in (([3, 1, 2], (1, 1, 1)), ([1, 3, 2], (1, 1, 0)), ([3, 1, 1], (1, 0, 0)), ([3, 1], (0, 0, 0)), ([], (0, 0, 0))):
+        assert gates([3, 1, 2], other) == dict(zip(names, map(bool, told), strict=True))
+    assert gates([], []) == dict.fromkeys(names, True) and place([]).count() == 0
+    assert [tuple(r) for r in compare.order_differences(listed([3, 1, 2]), listed([3, 2])).orderBy("position").collect()] == [(1, 1, 2), (2, 2, None)]
+
+
+def test_whole_id_sets(spark):
+    ids = [1, 2, 32_768, 32_769, 65_536, 0, -1, -32_768, -40_000, 10**12, None]
+    rows = [(i, "ab"[k % 2], k % 3 == 0, None if k % 4 else True) for k, i in enumerate(ids)] * 2
+    sets = scoring.listed_ids(scoring.flagged_ids(spark.createDataFrame(rows, "id long, category string, x boolean, y boolean"), flags=("x", "y")))
+    got = {}
+    for r in sets.collect():
+        assert r["ids"] == sorted(set(r["ids"]))
+        got.setdefault((r["is_total"], r["category"], r["name"]), []).extend(r["ids"])
+    want = {}
+    for i, c, x, y in rows:
+        for name in [n for n, v in (("x", x), ("y", y)) if v and i is not None]:
+            want.setdefault((False, c, name), set()).add(i)
+            want.setdefault((True, None, name), set()).add(i)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def one_by_one(held, told):
