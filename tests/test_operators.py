@@ -399,3 +399,25 @@ def test_streamed_states_know_late_turns(spark, tmp_path):
     sink = lifecycle.stream_turn_states(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
     sink.trigger(availableNow=True).start().awaitTermination(120)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1, None, "a"), (1, 3, "a", "c"), (1, 2, None, "b"), (1, 4, "c", "d")}
+
+
+def test_long_lines_are_indexed_in_little_time(spark):
+    """A line's keys carry a number and not the line, and only those go on that the reference may have; pairs that meet by chance end at a bound that is worked out for many at once."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 6))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    reference = [line(n) for n in (20, 20, 20, 4000)]
+    audited = [line(20) for _ in range(300)] + [line(4000)] + [t[:-2] + "xy" for t in reference]
+    a, b = spark.createDataFrame([(t,) for t in audited], "text string"), spark.createDataFrame([(t,) for t in reference], "ref_text string")
+    found = {(r["text"], r["ref_text"]) for r in leakage.near_candidates(a, b, 0.92).collect()}
+    assert set(zip(audited[-4:], reference, strict=True)) <= found
+    named = leakage.named(b.selectExpr("ref_text AS text"))
+    keys = leakage.audited_segments(leakage.named(a), 0.92, leakage.segment_filter(leakage.reference_segments(named, 0.92)))
+    assert keys.count() < sum(map(len, audited)) / 2 and dict(keys.dtypes)["id"] == "bigint"
+    pairs = [(x, y) for x in audited[:50] for y in audited[:50]]
+    may = leakage.gram_bound([x for x, _ in pairs], [y for _, y in pairs], 0.92)
+    true = [SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92 for x, y in pairs]
+    assert all(m for m, t in zip(may, true, strict=True) if t) and may.sum() < 2 * sum(true)
+    edited = [(t, "".join(c for c in t if rng.random() > 0.04)) for t in audited[:200]]
+    may = leakage.gram_bound([x for x, _ in edited], [y for _, y in edited], 0.92)
+    assert all(m for m, (x, y) in zip(may, edited, strict=True) if SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92)
