@@ -122,6 +122,19 @@ def exact_matches(audited: DataFrame, reference: DataFrame, key: str = "id", tex
     return a.join(classes, "folded").select("id", "ref_id", "refs")
 
 
+def exact_classes(rows: DataFrame, text: str) -> DataFrame:
+    """(id, is_reference, class_id, links): every row of rows(id, is_reference, text) with the class of its text, named by the smallest id of the
+    reference rows in it, and the number of rows of the other side that have the text. The pairs are those of an audited and a reference
+    row of one class, so none is lost, and the result is linear in the rows, whatever the copies. Rows whose text is null or empty, and
+    audited rows without a match, have no class and no links; a key of their own keeps them from meeting in one task."""
+    known, side = F.when(F.col(text) != "", F.sha2(F.col(text).cast("binary"), 256)), F.col("is_reference")
+    rows = rows.select("id", "is_reference", known.alias("_text"))
+    counted = rows.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.min(F.when(side, F.col("id"))).alias("class_id"), F.count_if(side).alias("_refs"), F.count_if(~side).alias("_audited"))
+    key = F.coalesce("_text", F.concat(F.lit("none "), F.col("id").cast("string")))
+    links = F.coalesce(F.when(side, F.col("_audited")).otherwise(F.col("_refs")), F.lit(0).cast("long"))
+    return rows.withColumn("_text", key).join(counted, "_text", "left").select("id", "is_reference", "class_id", links.alias("links"))
+
+
 def length_band(audited: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose lengths allow a ratio of `threshold`: 2 min / (min + max) >= threshold, an exact bound.
 

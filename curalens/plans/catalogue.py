@@ -450,14 +450,18 @@ def leak_exact(spark: SparkSession, d: str) -> DataFrame:
 PART_VARIANTS = ("upper(p_name)", "'  ' || p_name || chr(9)", "replace(p_name, ' ', chr(10))", "p_name", "p_name || '!'")
 
 
-@query("leak_folded", f"""WITH a AS (SELECT p_partkey AS id, [{', '.join(PART_VARIANTS)}][p_partkey % 5 + 1] AS t FROM part), fold AS (SELECT id, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS t FROM a)
-    SELECT f.id, min(p_partkey) AS ref_id, count(*) AS refs FROM fold f JOIN part ON f.t = lower(p_name) GROUP BY f.id""")
+@query("leak_folded", f"""WITH a AS (SELECT p_partkey AS id, false AS is_reference, [{', '.join(PART_VARIANTS)}][p_partkey % 5 + 1] AS t FROM part UNION ALL SELECT p_partkey, true, p_name FROM part),
+    fold AS (SELECT id, is_reference, lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS t FROM a),
+    c AS (SELECT t, min(id) FILTER (is_reference) AS class_id, count(*) FILTER (is_reference) AS refs, count(*) FILTER (NOT is_reference) AS audited FROM fold WHERE t <> '' GROUP BY t)
+    SELECT id, is_reference, class_id, coalesce(CASE WHEN is_reference THEN audited ELSE refs END, 0) AS links FROM fold LEFT JOIN c USING (t)""")
 def leak_folded(spark: SparkSession, d: str) -> DataFrame:
+    """Names as others write them against the names, after folding: every row of both sides with its class, so that each pair is there."""
     part = read(spark, d, "part")
     name = F.col("p_name")
     written = (F.upper(name), F.concat(F.lit("  "), name, F.lit("\t")), F.replace(name, F.lit(" "), F.lit("\n")), name, F.concat(name, F.lit("!")))
-    audited = part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*written), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
-    return leakage.exact_matches(audited, part.select(F.col("p_partkey").alias("id"), name.alias("text")))
+    audited = part.select(F.col("p_partkey").alias("id"), F.lit(False).alias("is_reference"), F.element_at(F.array(*written), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text"))
+    both = audited.unionByName(part.select(F.col("p_partkey").alias("id"), F.lit(True).alias("is_reference"), name.alias("text")))
+    return leakage.exact_classes(both.select("id", "is_reference", leakage.fold("text").alias("text")), "text")
 
 
 @query("leak_length_band", """SELECT conv_id, turn, role, count(*) AS candidates FROM conversations c JOIN benchmark b ON length(c.text) > 0 AND length(b.text) > 0

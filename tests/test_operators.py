@@ -421,3 +421,22 @@ def test_long_lines_are_indexed_in_little_time(spark):
     edited = [(t, "".join(c for c in t if rng.random() > 0.04)) for t in audited[:200]]
     may = leakage.gram_bound([x for x, _ in edited], [y for _, y in edited], 0.92)
     assert all(m for m, (x, y) in zip(may, edited, strict=True) if SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92)
+
+
+def test_classes_hold_every_pair(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 3 == 0, rng.choice(["a", "b", "c", "", None, f"own {i}"])) for i in range(120)]
+    found = leakage.exact_classes(spark.createDataFrame(rows, "id long, is_reference boolean, text string"), "text").collect()
+    pairs = {(x, y) for x, ref, t in rows for y, other, u in rows if not ref and other and t and t == u}
+    assert len(found) == len(rows) and len(pairs) > 100
+    assert {(x["id"], y["id"]) for x in found for y in found if not x["is_reference"] and y["is_reference"] and x["class_id"] is not None and x["class_id"] == y["class_id"]} == pairs
+    assert all(r["links"] == sum(r["id"] == p[r["is_reference"]] for p in pairs) for r in found)
+
+
+@pytest.mark.parametrize("name, sides", [("leak_folded", 2)])
+def test_leaks_have_a_row_for_each_row_read(spark, name, sides):
+    from curalens.plans.catalogue import QUERIES
+
+    where = "/root/testdata/sf0.001"
+    read = spark.read.parquet(f"{where}/{'documents' if name == 'leak_exact' else 'part'}.parquet").count()
+    assert QUERIES[name](spark, where).count() == sides * read
