@@ -438,12 +438,12 @@ def template_cross(spark: SparkSession, d: str) -> DataFrame:
 # -- leakage ------------------------------------------------------------------------------------------------------------
 
 
-@query("leak_exact", """WITH b AS (SELECT text, min(doc_id) AS ref_id, count(*) AS refs FROM documents WHERE doc_id % 2 = 1 AND text <> '' GROUP BY text)
-    SELECT doc_id AS id, ref_id, refs FROM documents JOIN b USING (text) WHERE doc_id % 2 = 0""")
+@query("leak_exact", """WITH c AS (SELECT text, min(doc_id) FILTER (doc_id % 2 = 1) AS class_id, count(*) FILTER (doc_id % 2 = 1) AS refs, count(*) FILTER (doc_id % 2 = 0) AS audited FROM documents WHERE text <> '' GROUP BY text)
+    SELECT doc_id AS id, doc_id % 2 = 1 AS is_reference, class_id, coalesce(CASE WHEN doc_id % 2 = 1 THEN audited ELSE refs END, 0) AS links FROM documents LEFT JOIN c USING (text)""")
 def leak_exact(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").where("text <> ''").select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    classes = docs.where("id % 2 = 1").groupBy("digest").agg(F.min("id").alias("ref_id"), F.count("*").alias("refs"))
-    return docs.where("id % 2 = 0").join(classes, "digest").select("id", "ref_id", "refs")
+    """Even documents against odd ones: every document with its class, so that each pair of equal texts is there."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2 == 1).alias("is_reference"), "text")
+    return leakage.exact_classes(docs, "text")
 
 
 #: Names as other people write them: folding makes them equal, and little else does.

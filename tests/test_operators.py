@@ -433,7 +433,7 @@ def test_classes_hold_every_pair(spark):
     assert all(r["links"] == sum(r["id"] == p[r["is_reference"]] for p in pairs) for r in found)
 
 
-@pytest.mark.parametrize("name, sides", [("leak_folded", 2)])
+@pytest.mark.parametrize("name, sides", [("leak_exact", 1), ("leak_folded", 2)])
 def test_leaks_have_a_row_for_each_row_read(spark, name, sides):
     from curalens.plans.catalogue import QUERIES
 
