@@ -6,10 +6,10 @@ projections over a row, and every summary one aggregation over (section, name) p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -360,13 +360,17 @@ def system_summary(rows: DataFrame, key: str = "id", category: str = "category")
     return wide.groupBy("is_total", "category", "section", "name").agg(F.sum("cases").alias("cases"), F.min("first_id").alias("first_id"))
 
 
-def ids_of_bits(bucket: pd.Series, bits: pd.Series) -> pd.Series:
+#: Buckets whose ids are unfolded at once: 4 MB of them.
+LISTED = 16
+
+
+def ids_of_bits(bucket: Sequence[int], bits: Sequence[bytes]) -> list[np.ndarray]:
     """The ids that a bucket's bitmap holds, ascending: those of bucket b > 0 begin at 32,768 (b - 1) + 1; 0 and below count down."""
     out = []
     for b, held in zip(bucket, bits, strict=True):
         at = np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")).astype(np.int64)
         out.append((b - 1) * 32_768 + 1 + at if b > 0 else np.sort(b * 32_768 - at))
-    return pd.Series(out)
+    return out
 
 
 def flagged_ids(rows: DataFrame, key: str = "id", category: str = "category", flags: Sequence[str] = POLICY) -> DataFrame:
@@ -382,10 +386,21 @@ def flagged_ids(rows: DataFrame, key: str = "id", category: str = "category", fl
     return wide.groupBy("is_total", "category", "name", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def unfolded(batches: Iterator[pa.RecordBatch], others: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of sets with `ids` in place of `bits`, of LISTED rows at most, as ids take up to 64 times the room of their bits."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, LISTED):
+            part = batch.slice(begin, LISTED)
+            found = ids_of_bits(part.column("bucket").to_pylist(), part.column("bits").to_pylist())
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], ids], [*others, "ids"])
+
+
 def listed_ids(sets: DataFrame) -> DataFrame:
     """`flagged_ids` with the ids of each bucket, 32,768 at most, in place of its bits."""
-    told = F.pandas_udf(ids_of_bits, "array<long>")
-    return sets.withColumn("ids", told("bucket", "bits")).drop("bits")
+    others, kinds = [c for c in sets.columns if c != "bits"], dict(sets.dtypes)
+    return sets.mapInArrow(lambda batches: unfolded(batches, others), ", ".join(f"{c} {kinds[c]}" for c in others) + ", ids array<bigint>")
 
 
 assert set(ACTION_TOOLS.values()) == set(TOOLS) == set(TASK_TOOLS)

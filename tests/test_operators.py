@@ -7,6 +7,7 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,11 @@ def test_leaks_have_a_row_for_each_row_read(spark, name, sides):
     where = "/root/testdata/sf0.001"
     read = spark.read.parquet(f"{where}/{'documents' if name == 'leak_exact' else 'part'}.parquet").count()
     assert QUERIES[name](spark, where).count() == sides * read
+
+
+def test_few_sets_are_unfolded_at_once():
+    full = pa.RecordBatch.from_arrays([pa.array(["x"] * 100), pa.array(range(-1, 99), pa.int64()), pa.array([b"\xff" * 4096] * 100)], ["name", "bucket", "bits"])
+    parts = list(scoring.unfolded(iter([full]), ["name", "bucket"]))
+    assert max(p.num_rows for p in parts) <= 16 and sum(p.num_rows for p in parts) == 100
+    ids = [i for p in parts for row in p.column("ids").to_pylist() for i in row]
+    assert ids == list(range(-65_535, 98 * 32_768 + 1))
