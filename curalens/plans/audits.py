@@ -112,8 +112,9 @@ CRITERIA_KIND = "map<string,struct<result:string,evidence:string>>"
 @query("review_criteria", expected("part", "p_partkey", "violations, to_fill", [(r[-1], 0 if not r[1] else 4 if r[2] == "clarify" else 3) for r in REVIEWS]))
 def review_criteria(spark: SparkSession, d: str) -> DataFrame:
     rows = dealt(spark, d, "part", "p_partkey", [(r[0], str(r[1]).lower(), *r[2:]) for r in REVIEWS], ("c", "can", "b", "who", "kind"))
-    can = F.col("can").cast("boolean")
-    found = contracts.criteria_violations(F.from_json("c", CRITERIA_KIND), can, F.col("b"), F.col("who"), F.col("kind"))
+    rows = rows.withColumns({"read": F.from_json("c", CRITERIA_KIND), "can": F.col("can").cast("boolean")})  # a column of its own, as the checks ask for it many times
+    can = F.col("can")
+    found = contracts.criteria_violations(F.col("read"), can, F.col("b"), F.col("who"), F.col("kind"))
     blank = contracts.review_template(can, F.col("b"))
     return rows.select("p_partkey", found.alias("violations"), F.size(F.filter(F.map_values(blank), lambda v: v["result"] == "pending")).alias("to_fill"))
 

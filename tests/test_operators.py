@@ -449,3 +449,11 @@ def test_few_sets_are_unfolded_at_once():
     assert max(p.num_rows for p in parts) <= 16 and sum(p.num_rows for p in parts) == 100
     ids = [i for p in parts for row in p.column("ids").to_pylist() for i in row]
     assert ids == list(range(-65_535, 98 * 32_768 + 1))
+
+
+def test_the_criteria_are_read_once(spark):
+    """Not once for each check: the reader stands in one step of the plan, before the checks."""
+    from curalens.plans.catalogue import QUERIES
+
+    plan = QUERIES["review_criteria"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
