@@ -8,6 +8,7 @@ of another language without touching a frame.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,10 +72,29 @@ def read(text: str) -> tuple[list[str], str]:
     return found, "".join(letters)
 
 
+#: Characters that are read at once: their lexemes take some 20 times the room.
+PIECE = 200_000
+
+
+def pieces(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in order, in lists of about PIECE characters, one at least; null ones as empty."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(text or "")
+        size += len(text or "")
+    if held:
+        yield held
+
+
 @F.pandas_udf(T.StructType().add("lexemes", T.ArrayType(T.StringType())).add("letters", T.StringType()))
-def lexed(texts: pd.Series) -> pd.DataFrame:
-    """`read` over Arrow batches; a null text has no lexemes."""
-    return pd.DataFrame([read(t or "") for t in texts], columns=["lexemes", "letters"])
+def lexed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """`read` over parts of Arrow batches, so that what a task holds doesn't grow with its texts; a null text has no lexemes."""
+    for texts in batches:
+        for part in pieces(texts):
+            yield pd.DataFrame([read(t) for t in part], columns=["lexemes", "letters"])
 
 
 def fits(letters: Column, frame: str) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from curalens.functions import deadlines, jsontext, text
+from curalens.functions import deadlines, jsontext, lexer, text
 from curalens.operators import audits, compare, leakage, rollups, scoring, tasks
 from curalens.sources import documents, tables
 from curalens.sources.cases import case_faults, case_rows, file_digests, folder_digest, good_cases
@@ -457,3 +457,11 @@ def test_the_criteria_are_read_once(spark):
 
     plan = QUERIES["review_criteria"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_long_requests_are_read_in_parts(spark):
+    texts = ["thêm việc " * 4000, None, "", "xong việc 7"] * 6
+    parts = list(lexer.pieces(texts))
+    assert [t for part in parts for t in part] == [t or "" for t in texts] and max(sum(map(len, part)) for part in parts) <= lexer.PIECE
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1).select("k", lexer.lexed("t").alias("x")).select("k", "x.*").collect()
+    assert [(r["k"], (r["lexemes"], r["letters"])) for r in sorted(rows)] == [(k, lexer.read(t or "")) for k, t in enumerate(texts)]
