@@ -311,16 +311,24 @@ def member_of(names: Sequence[str]) -> Callable[[Column, Column], Column]:
 
 def session_summary(turns: DataFrame, case: str = "case_id", category: str = "category", final_ok: str = "final_ok") -> DataFrame:
     """(section, name, passed, total) of scored turns: cases and categories (all turns and the final tasks right), turns, groups of checks
-    over the turns that have one of them, and, per kind, turns and cases with a change that nobody asked for."""
-    cases = turns.groupBy(case).agg((F.bool_and(F.col("result") == "pass") & F.bool_and(final_ok)).alias("ok"), F.min(category).alias("category"), F.array_distinct(F.flatten(F.collect_list("unrequested"))).alias("harm"))
-    kinds = ("write", "completion", "update", "deletion", "deadline_change")
-    per_case = summarize(cases, entries(("case", "all", F.col("ok"), F.lit(True)), ("category", F.col("category"), F.col("ok"), F.lit(True)), *[("unrequested cases", k, F.lit(True), F.array_contains("harm", k)) for k in kinds]))
-    groups = []
-    for name, members in CHECK_GROUPS.items():
-        own = F.map_filter("checks", member_of(members))
-        groups.append(("checks", name, F.forall(F.map_values(own), lambda v: v), F.size(own) > 0))
-    told = entries(("turn", "all", F.col("result") == "pass", F.lit(True)), *groups, *[("unrequested turns", k, F.lit(True), F.array_contains("unrequested", k)) for k in kinds])
-    return per_case.unionByName(summarize(turns, told))
+    over the turns that have one of them, and, per kind, turns and cases with a change that nobody asked for. Turns are scored once: a
+    case's row, combined map side, holds the counts of its turns, and all sections are sums over cases."""
+    kinds, yes = ("write", "completion", "update", "deletion", "deadline_change"), F.lit(True)
+    groups = {f"_g{k}": F.map_filter("checks", member_of(members)) for k, members in enumerate(CHECK_GROUPS.values())}
+    told = [("turn", "all", F.col("result") == "pass", yes)] + [("checks", name, F.forall(F.map_values(own), lambda v: v), F.size(own) > 0) for name, own in zip(CHECK_GROUPS, groups, strict=True)]
+    told += [("unrequested turns", k, yes, F.array_contains("unrequested", k)) for k in kinds]
+    counts = {}
+    for k, (_, _, ok, counted) in enumerate(told):
+        counted = F.coalesce(counted, F.lit(False))
+        counts |= {f"_p{k}": F.count_if(counted & F.coalesce(ok, F.lit(False))), f"_t{k}": F.count_if(counted)}
+    rows = turns.withColumns(groups)
+    cases = rows.groupBy(case).agg((F.bool_and(F.col("result") == "pass") & F.bool_and(final_ok)).alias("_ok"), F.min(category).alias("_category"), *[v.alias(k) for k, v in counts.items()])
+    entry = lambda section, name, passed, total: F.struct(F.lit(section).alias("section"), name.alias("name"), passed.cast("long").alias("passed"), total.cast("long").alias("total"))
+    ok, harm = F.coalesce("_ok", F.lit(False)), {name: F.col(f"_t{k}") > 0 for k, (section, name, *_) in enumerate(told) if section == "unrequested turns"}
+    per_turn = [entry(section, F.lit(name), F.col(f"_p{k}"), F.col(f"_t{k}")) for k, (section, name, *_) in enumerate(told)]
+    per_case = [entry("case", F.lit("all"), ok, yes), entry("category", F.col("_category"), ok, yes), *[entry("unrequested cases", F.lit(k), found, found) for k, found in harm.items()]]
+    long = cases.select(F.explode(F.array(*per_case, *per_turn)).alias("t")).select("t.*").where("total > 0")
+    return long.groupBy("section", "name").agg(F.sum("passed").alias("passed"), F.sum("total").alias("total"))
 
 
 def system_statuses(rows: DataFrame) -> DataFrame:

@@ -465,3 +465,10 @@ def test_long_requests_are_read_in_parts(spark):
     assert [t for part in parts for t in part] == [t or "" for t in texts] and max(sum(map(len, part)) for part in parts) <= lexer.PIECE
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1).select("k", lexer.lexed("t").alias("x")).select("k", "x.*").collect()
     assert [(r["k"], (r["lexemes"], r["letters"])) for r in sorted(rows)] == [(k, lexer.read(t or "")) for k, t in enumerate(texts)]
+
+
+def test_turns_are_scored_once(spark):
+    from curalens.plans.catalogue import QUERIES
+
+    plan = QUERIES["session_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
