@@ -27,9 +27,13 @@ Tools = dict[str, tuple[Field, ...]]
 
 def argument_errors(name: Column, arguments: Column, tools: Tools) -> Column:
     """Codes of what is wrong with a call's arguments (JSON text): the tool is unknown, they are no object, one is missing,
-    extra, of the wrong type or size, or not among the choices. true and 1.0 are no integers."""
-    value = F.try_parse_json(arguments)
-    keys = F.json_object_keys(arguments)
+    extra, of the wrong type or size, or not among the choices. true and 1.0 are no integers. The text is read once, as the one element of
+    an array whose checks are a lambda; else each check would read it."""
+    read = F.array(F.struct(F.try_parse_json(arguments).alias("value"), F.json_object_keys(arguments).alias("keys")))
+    return F.get(F.transform(read, lambda r: _read_errors(name, r["value"], r["keys"], tools)), F.lit(0))
+
+
+def _read_errors(name: Column, value: Column, keys: Column, tools: Tools) -> Column:
     found = F.when(~F.coalesce(name.isin(*tools), F.lit(False)), F.array(F.lit("unknown_tool"))).when(
         ~F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), F.array(F.lit("arguments_not_object"))
     )

@@ -102,16 +102,17 @@ def strip_end_token(text: Column) -> Column:
     return F.regexp_replace(trimmed, rf"(?U)\s*{end}$", "")
 
 
-def generated_calls(text: Column) -> Column:
-    """Bodies of the call tags in a generated text."""
-    return F.regexp_extract_all(strip_end_token(text), F.lit(rf"(?sU){CALL_OPEN}\s*(.*?)\s*{CALL_CLOSE}"), F.lit(1))
+def generated_calls(text: Column, clean: Column | None = None) -> Column:
+    """Bodies of the call tags in a generated text; clean: the text without its end token, where a column holds it."""
+    return F.regexp_extract_all(strip_end_token(text) if clean is None else clean, F.lit(rf"(?sU){CALL_OPEN}\s*(.*?)\s*{CALL_CLOSE}"), F.lit(1))
 
 
-def generated_errors(text: Column, values: Column) -> Column:
+def generated_errors(text: Column, values: Column, clean: Column | None = None, calls: Column | None = None) -> Column:
     """Errors of a generated text's envelope: tag without a body, several calls, text beside them, JSON that is invalid or
-    not exactly a name and arguments. values: the canonical forms of its calls, null for what is no JSON."""
-    clean = strip_end_token(text)
-    calls = generated_calls(text)
+    not exactly a name and arguments. values: the canonical forms of its calls, null for what is no JSON. clean and calls: the text without its
+    end token and the bodies of its calls, where columns hold them; else each check works them out."""
+    clean = strip_end_token(text) if clean is None else clean
+    calls = generated_calls(text, clean) if calls is None else calls
     tagged = F.contains(clean, F.lit(CALL_OPEN)) | F.contains(clean, F.lit(CALL_CLOSE))
     rest = F.regexp_replace(clean, rf"(?sU){CALL_OPEN}\s*(.*?)\s*{CALL_CLOSE}", "")
     shape = F.array(F.lit("arguments"), F.lit("name"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import proposals
 from ..functions.jsontext import canonicals
 from ..functions.requests import TOOLS
-from ..functions.text import generated_calls, generated_errors, tags, text_differences
+from ..functions.text import generated_calls, generated_errors, strip_end_token, tags, text_differences
 
 #: The tool of each action, and the argument fields that are scored.
 ACTION_TOOLS = {
@@ -138,7 +138,9 @@ def score_texts(rows: DataFrame) -> DataFrame:
     pair = lambda c: F.struct(
         F.when(F.schema_of_variant(name(c)) == "STRING", name(c).cast("string")).alias("name"), F.regexp_extract(c, r'(?s)^\{"arguments":(.*),"name":', 1).alias("arguments")
     )
-    rows = rows.withColumn("_values", canonicals(generated_calls(F.col("text"))))
+    # columns of their own, as many checks ask for each
+    rows = rows.withColumn("_clean", strip_end_token(F.col("text"))).withColumn("_bodies", generated_calls(F.col("text"), F.col("_clean")))
+    rows = rows.withColumn("_values", canonicals(F.col("_bodies")))
     rows = rows.withColumn("_calls", F.coalesce(F.transform(F.filter("_values", shape), pair), none(CALL)))
     rows = with_exact(rows, "_calls", "accepted")
     first, n, wants = F.get("_calls", F.lit(0)), F.size("_calls"), F.col("behavior") == "call"
@@ -151,7 +153,7 @@ def score_texts(rows: DataFrame) -> DataFrame:
         (~wants & (n > 0) & (F.col("behavior") == "clarify"), "call_during_clarification"), (~wants & (n > 0) & (F.col("behavior") != "clarify"), "call_without_authorization"),
     )
     exact = F.when(wants, (n == 1) & F.col("_exact")).otherwise(n == 0)
-    rows = rows.withColumn("tags", F.array_sort(F.array_distinct(F.concat(generated_errors(F.col("text"), F.col("_values")), schema, own)))).withColumn("_right", exact)
+    rows = rows.withColumn("tags", F.array_sort(F.array_distinct(F.concat(generated_errors(F.col("text"), F.col("_values"), F.col("_clean"), F.col("_bodies")), schema, own)))).withColumn("_right", exact)
     rows = rows.withColumns({"status": F.when(F.col("_right") & (F.size("tags") == 0), "pass").otherwise("fail"), "calls": F.col("_calls")})
     return rows.select(*[c for c in rows.columns if not c.startswith("_")])
 

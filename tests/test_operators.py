@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from curalens.functions import deadlines, jsontext, lexer, text
+from curalens.functions import deadlines, jsontext, lexer, proposals, text
 from curalens.operators import audits, compare, leakage, rollups, scoring, tasks
 from curalens.sources import documents, tables
 from curalens.sources.cases import case_faults, case_rows, file_digests, folder_digest, good_cases
@@ -472,3 +472,17 @@ def test_turns_are_scored_once(spark):
 
     plan = QUERIES["session_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1
+
+
+def test_a_text_is_stripped_once(spark):
+    from curalens.plans.catalogue import QUERIES
+
+    plan = QUERIES["text_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<\\|im_end\\|>") == 1
+
+
+def test_arguments_are_read_once(spark):
+    rows = spark.createDataFrame([("complete_task", '{"id": 7, "x": 1}'), ("sing", "{}"), ("update_task", "[7]"), ("update_task", '{"id": "7"}')], "n string, a string")
+    found = rows.select("n", "a", proposals.argument_errors(F.col("n"), F.col("a"), scoring.TASK_TOOLS).alias("e"))
+    assert found._jdf.queryExecution().analyzed().toString().lower().count("try_parse_json(a") == 1
+    assert [sorted(r["e"]) for r in found.collect()] == [["extra_argument:x"], ["unknown_tool"], ["arguments_not_object"], ["invalid_argument:id", "missing_argument:content"]]
