@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,7 +49,7 @@ NAMES = [c.split()[0] for c in OUTCOME.replace(TASK, "x").split(", ")]
 @dataclass
 class State:
     """A session between two turns. A field that its state has no use for is empty; the deadline is kept as the moment that it
-    meant when it was said."""
+    meant when it was said. ends: when a stream by event time forgets the session, in milliseconds."""
 
     name: str = "idle"
     task_id: int | None = None
@@ -60,6 +60,7 @@ class State:
     tasks: dict[int, dict] = field(default_factory=dict)
     next_id: int = 1
     turn: int | None = None
+    ends: int | None = None
 
     def go(self, name: str, **kept: object) -> None:
         """Enter a state: what the last one kept is dropped, and only what is named here is kept."""
@@ -287,7 +288,9 @@ def session_turns(turns: DataFrame) -> DataFrame:
 
 class Sessions(StatefulProcessor):
     """The fold on a stream: a session's state is kept between batches, and forgotten `expiry_ms` after its last turn: by the clock of the
-    machine, or with `by_event` by the time of the turns, once the stream's watermark has passed it."""
+    machine, or with `by_event` by the time of the turns, once the stream's watermark has passed it.
+
+    By event time a session has one timer. A turn only moves the end that the state names; a timer that goes off before that end is set to it."""
 
     def __init__(self, expiry_ms: int | None = None, by_event: bool = False) -> None:
         self.expiry_ms, self.by_event = expiry_ms, by_event
@@ -296,23 +299,27 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("state", "state string", None if self.by_event else self.expiry_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        state = State.load(self.held.get()[0]) if self.held.exists() else State()
-        events = [e for frame in rows for e in records(frame)]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.held.get()
+        state = State() if held is None else State.load(held[0])
+        events = [r.asDict() for r in rows]
         out = fold(state, events)
-        self.held.update((state.dump(),))
         if self.by_event:
             ends = 1000 * max(e["now"] for e in events) + self.expiry_ms
-            set_before = list(self.handle.listTimers())
-            if not set_before or ends > max(set_before):  # a late turn doesn't shorten a session's life
-                for timer in set_before:
-                    self.handle.deleteTimer(timer)
+            if state.ends is None:
                 self.handle.registerTimer(ends)
-        yield pd.DataFrame(out, columns=NAMES)
+            state.ends = max(ends, state.ends or ends)  # a late turn doesn't shorten a session's life
+        self.held.update((state.dump(),))
+        return (Row(**{k: o[k] for k in NAMES}) for o in out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        yield pd.DataFrame([], columns=NAMES)
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        held = self.held.get()
+        ends = None if held is None else State.load(held[0]).ends
+        if ends is not None and ends >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+        else:
+            self.held.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -324,7 +331,7 @@ def stream_outcomes(events: DataFrame, expiry_ms: int | None = None, by_event: b
     if by_event:
         events = events.withColumn("_at", F.timestamp_seconds("now")).withWatermark("_at", f"{expiry_ms} milliseconds")
     mode = ("eventTime" if by_event else "processingTime") if expiry_ms else "none"
-    return events.groupBy("session").transformWithStateInPandas(Sessions(expiry_ms, by_event), OUTCOME, "append", mode)
+    return events.groupBy("session").transformWithState(Sessions(expiry_ms, by_event), OUTCOME, "append", mode)
 
 
 def stream_session_turns(turns: DataFrame, expiry_ms: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from curalens.functions import replies, requests
@@ -163,3 +164,41 @@ def test_a_session_ends_by_the_time_of_the_turns(spark, tmp_path):
 def test_tools_of_a_kind(spark, mode, tools, fallback):
     row = spark.range(1).select(*requests.tools_for(F.lit("multiple_edit"), mode)).first()
     assert (row[0], row[1]) == (tools, fallback)
+
+
+def test_a_turn_takes_two_calls_of_the_state():
+    """One timer a session, moved only when it goes off: turns neither list, delete nor set timers after the first."""
+    calls, kept = [], {}
+
+    class Held:
+        def get(self):
+            calls.append("get")
+            return kept.get("state")
+
+        def update(self, value):
+            calls.append("update")
+            kept["state"] = value
+
+        def clear(self):
+            kept.clear()
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, ends):
+            calls.append(ends)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    events = [Row(**event(turn=k, now=k)) for k in range(3)]
+    own = sessions.Sessions(1000, by_event=True)
+    own.init(Handle())
+    first, *_, last = (1000 * e["now"] + 1000 for e in events)
+    out = [o for e in events for o in own.handleInputRows((0,), iter([e]), Times(0))]
+    assert calls == ["get", first, "update", "get", "update", "get", "update"] and [o["turn"] for o in out] == [0, 1, 2]
+    calls.clear()
+    assert not list(own.handleExpiredTimer((0,), Times(last - 1), None)) and calls == ["get", last] and kept
+    assert not list(own.handleExpiredTimer((0,), Times(last + 1), None)) and calls == ["get", last, "get"] and not kept
