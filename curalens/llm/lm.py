@@ -23,14 +23,15 @@ from .packing import byte_alphabet, splitter
 #: Default parameters of the counts: words whose counts travel with the tasks (the others are joined), words that a task
 #: counts before it sends them on, and words whose subwords a worker keeps.
 HOT_WORDS, FLUSH, CACHE = 300_000, 250_000, 250_000
-#: Default parameters of the training: runs of words are drawn from every training text, one in SHARE and LEAST_BLOCKS blocks
-#: at least; the weights start on about WARM_BLOCKS of their blocks and go on over all of them, where they lie.
-SHARE, LEAST_BLOCKS, WARM_BLOCKS, RUN_BYTES, LEAD_BYTES = 32, 150_000, 120_000, 120, 90
+#: Default parameters of the training: the weights begin on about WARM_BLOCKS blocks of runs of words that are drawn from every training
+#: text, and go on over all blocks of all training texts, where they lie.
+WARM_BLOCKS, RUN_BYTES, LEAD_BYTES = 120_000, 120, 90
 #: Rate and blocks of a round of that second part, and the partial sums of weights that reach the driver.
 REFINE_RATE, REFINE_BLOCKS, SUMS = 3e-3, 16_384, 16
-#: The weight of the mixture, one number, is set on one training document in MIXTURE_SHARE, whatever its length, and on about
-#: MIXTURE_DOCS at least. Each word's ratio of both shares is counted to one part in MIXTURE_STEPS of a natural logarithm.
-MIXTURE_SHARE, MIXTURE_DOCS, MIXTURE_STEPS = 64, 300, 64
+#: For the weight of the mixture each training word's ratio of both shares is counted to one part in MIXTURE_STEPS of a natural logarithm.
+MIXTURE_STEPS = 64
+#: Bytes of the texts that a task goes through at once, one text at least.
+PART_BYTES = 600_000
 
 
 @dataclass
@@ -192,17 +193,39 @@ def word_logs(scorer: Scorer, texts: list[list[bytes]]) -> tuple[list[bytes | No
     return flat, counts, np.add.reduceat(logs, at) - opens + closes
 
 
+def kept_logs(scorer: Scorer, texts: list[list[bytes]], logs: pa.Array) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """`word_logs`, with the logarithms that `logged` has kept for these texts."""
+    flat, held = [w for words in texts for w in (*words, None)], scorer.hot
+    counts = np.fromiter((scorer.n_docs if w is None else held.get(w, 0) for w in flat), np.float64, len(flat))
+    return flat, counts, np.asarray(logs.flatten(), np.float64)
+
+
+def logged(scorer: Scorer, documents: DataFrame) -> DataFrame:
+    """documents(doc_id, text as binary, _train) with logs: the `word_logs` of each text, so that the model goes over a text once, for the
+    weight of the mixture and for the score."""
+    shared, held = documents.sparkSession.sparkContext.broadcast(scorer), documents.select("doc_id", "text", "_train")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for whole in batches for p in portions(whole, 1, PART_BYTES)):
+            many = [words_of(t) for t in batch.column(1).to_pylist()]
+            logs = word_logs(shared.value, many)[2].astype(np.float32)
+            offsets = pa.array(np.r_[0, np.cumsum([len(words) + 1 for words in many])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(logs))], ["doc_id", "text", "_train", "logs"])
+
+    return held.mapInArrow(run, "doc_id long, text binary, _train boolean, logs array<float>")
+
+
 def mixture_ratios(scorer: Scorer, texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(ratio, n) of all words and ends of texts(text as binary): how often the share of a word's count, less the occurrences in its own
+    """(ratio, n) of all words and ends of texts(text as binary[, logs]): how often the share of a word's count, less the occurrences in its own
     text, is exp(ratio / MIXTURE_STEPS) times the attention model's probability; null where nothing is left of the count. Frequent
     words are counted in the tasks; for the others the word's count is joined, so all take part."""
     shared, kind = texts.sparkSession.sparkContext.broadcast(scorer), pa.schema([("word", pa.binary()), ("own", pa.int64()), ("log", pa.float64()), ("ratio", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        for batch in (p for whole in batches for p in portions(whole, 0, 600_000)):
+        for batch in (p for whole in batches for p in portions(whole, 0, PART_BYTES)):
             many = [words_of(t) for t in batch.column(0).to_pylist()]
-            flat, c, logs = word_logs(scorer, many)
+            flat, c, logs = word_logs(scorer, many) if batch.num_columns == 1 else kept_logs(scorer, many, batch.column(1))
             own = [k for words in many for held in (Counter(words),) for k in (*map(held.__getitem__, words), 1)]
             own, cold = np.array(own, np.int64), c == 0
             cold[np.cumsum([len(words) + 1 for words in many]) - 1] = False  # an end is never joined
@@ -216,7 +239,7 @@ def mixture_ratios(scorer: Scorer, texts: DataFrame, counts: DataFrame) -> DataF
                 pa.array([*ratio.tolist(), None] + [None] * len(at), pa.int64()), pa.array(np.r_[n, sure, np.ones(len(at), np.int64)]),
             ], schema=kind)
 
-    rows = texts.select("text").mapInArrow(run, "word binary, own long, log double, ratio long, n long")
+    rows = texts.select("text", *[c for c in texts.columns if c == "logs"]).mapInArrow(run, "word binary, own long, log double, ratio long, n long")
     met = rows.where("word IS NOT NULL").join(counts.where("word IS NOT NULL"), "word", "left")
     left = F.coalesce("c", F.lit(0)) - F.col("own")
     ratio = F.round((F.log(left / F.lit(max(scorer.tokens, 1))) - F.col("log")) * MIXTURE_STEPS).cast("long")
@@ -299,28 +322,31 @@ def block_arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarr
     return flat(table.column(0)).reshape(n, -1), np.asarray(table.column(1)), flat(table.column(2)).reshape(n, -1)
 
 
-def refine(model: attention_lm.Model, blocks: DataFrame, scratch: Scratch) -> attention_lm.Model:
-    """Train on all blocks where they lie: each task goes on from the same weights over its own blocks, and the weights are
-    averaged by the tasks' blocks. Sums are formed in two steps, so the driver gets a few of them however many tasks there are."""
-    shared, names = blocks.sparkSession.sparkContext.broadcast(model), sorted(model.params)
+def refine(model: attention_lm.Model, training: DataFrame, path: str, scratch: Scratch) -> attention_lm.Model:
+    """Train on all blocks of all training(text as binary) where they lie: each task goes on from the same weights over the whole texts that
+    it has, and the weights are averaged by the tasks' blocks. Sums are formed in two steps, so the driver gets a few of them however many
+    tasks there are."""
+    shared, names = training.sparkSession.sparkContext.broadcast(model), sorted(model.params)
     kind = "n long, weights binary"
 
     def packed(n: int, params: dict[str, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([b"".join(params[k].astype(np.float64).tobytes() for k in names)], pa.binary())], ["n", "weights"])
 
     def learn_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, seen = attention_lm.copy_of(shared.value), [], 0
+        own, held, seen, rounds = attention_lm.copy_of(shared.value), [], 0, 0
 
         def go_on() -> None:
             whole = tuple(np.concatenate(parts) for parts in zip(*held, strict=True))
-            attention_lm.train(own, whole, max(1, len(whole[0]) // attention_lm.BATCH), rate=REFINE_RATE)
+            attention_lm.train(own, whole, -(-len(whole[0]) // attention_lm.BATCH), rate=REFINE_RATE / np.sqrt(1 + rounds))
             held.clear()
 
-        for batch in batches:
-            held.append(block_arrays(batch))
-            seen += batch.num_rows
+        for batch in (p for whole in batches for p in portions(whole, 0, PART_BYTES)):
+            texts = [ids_of(words_of(t), path, own.end)[0] for t in batch.column(0).to_pylist()]
+            held.append(attention_lm.blocks_of(texts, own)[:3])
+            seen += len(held[-1][0])
             if sum(len(h[0]) for h in held) >= REFINE_BLOCKS:
                 go_on()
+                rounds += 1
         if seen:
             if held:
                 go_on()
@@ -335,7 +361,7 @@ def refine(model: attention_lm.Model, blocks: DataFrame, scratch: Scratch) -> at
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "weights"])
 
-    trained = scratch.write(blocks.mapInArrow(learn_part, kind), "weights")
+    trained = scratch.write(training.select("text").mapInArrow(learn_part, kind), "weights")
     rows = trained.repartition(SUMS).mapInArrow(add, kind).collect()
     n = sum(r["n"] for r in rows)
     if not n:
@@ -351,8 +377,8 @@ def refine(model: attention_lm.Model, blocks: DataFrame, scratch: Scratch) -> at
 
 def learn(training: DataFrame, counts: DataFrame, path: str, scratch: Scratch, hot_words: int = HOT_WORDS, steps: int = attention_lm.STEPS) -> Scorer:
     """All of it comes from the whole of training(doc_id, text as binary) and its word counts: the counts of words and of
-    subword pairs from every word, the classes from the pairs, the attention weights from runs of words that are drawn
-    from every text, the weight of the mixture from a share of the texts. What is drawn grows with the corpus."""
+    subword pairs from every word, the classes from the pairs, the attention weights from every subword of every text. Only the
+    state that the weights begin with comes from runs of words drawn from all texts. The weight of the mixture is not set yet."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("d")).first()
     hot = frequent(counts, hot_words)
     size, own = splitter(path)[1], attention_lm.OWN
@@ -368,20 +394,12 @@ def learn(training: DataFrame, counts: DataFrame, path: str, scratch: Scratch, h
     model = attention_lm.start(seen, first, tuple(near.column(k).to_numpy() for k in range(3)))
     del near
     scratch.drop("pairs")
-    whole = max(1.0, seen.sum() / attention_lm.BLOCK)
-    blocks = scratch.write(training_blocks(training, model, path, min(1.0, max(1 / SHARE, LEAST_BLOCKS / whole))), "blocks")
-    drawn = blocks.count()
-    if drawn:
-        warm = blocks.where(F.rand(attention_lm.SEED) < min(1.0, WARM_BLOCKS / drawn)).toArrow()
-        attention_lm.train(model, block_arrays(warm), steps)
-        del warm
-        model = refine(model, blocks, scratch)
-    scratch.drop("blocks")
+    drawn = training_blocks(training, model, path, min(1.0, WARM_BLOCKS * attention_lm.BLOCK / max(1.0, seen.sum())))
+    warm = block_arrays(drawn.toArrow())
+    attention_lm.train(model, warm, steps)
+    del warm
+    model = refine(model, training, path, scratch)
     scorer = Scorer(model, hot, total["d"] or 0, total["n"] or 0, total["v"] or 0, 0.5, path, uuid.uuid4().hex)
-    few = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, max(1 / MIXTURE_SHARE, MIXTURE_DOCS / max(1, scorer.n_docs))) * (1 << 30))
-    ratios = scratch.write(mixture_ratios(scorer, training.where(few), counts), "ratios")
-    scorer.weight = mixture_weight([(r["ratio"], r["n"]) for r in ratios.collect()])  # one row a ratio, of which some 100,000 can be told apart
-    scratch.drop("ratios")
     give_back()
     return scorer
 
@@ -392,11 +410,11 @@ SCORED = pa.schema([
 ])
 
 
-def score_batch(scorer: Scorer, row: int, ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
+def score_batch(scorer: Scorer, row: int, ids: pa.Array, texts: list[bytes | None], logs: pa.Array | None = None) -> pa.RecordBatch:
     """For each text: tokens, known tokens, base and model log10 probabilities without the words that aren't hot, and those
     words, each occurrence with its natural log probability by the attention model."""
     many = [words_of(t) for t in texts]
-    flat, c, own = word_logs(scorer, many)
+    flat, c, own = word_logs(scorer, many) if logs is None else kept_logs(scorer, many, logs)
     scale, weight = np.log(scorer.tokens + scorer.distinct + 1), scorer.weight
     sizes = np.array([len(words) + 1 for words in many])
     text, known = np.repeat(np.arange(len(many)), sizes), c > 0
@@ -429,16 +447,21 @@ def lm_scores(documents: DataFrame, train_where: Column, tokenizer_path: str, id
     training, scratch = source.where("_train").select("doc_id", "text"), Scratch(documents.sparkSession, "lm")
     counts = scratch.write(count_words(training), "words")
     scorer = learn(training, counts, tokenizer_path, scratch, **options)
+    told = scratch.write(logged(scorer, source), "logged")
+    ratios = scratch.write(mixture_ratios(scorer, told.where("_train"), counts), "ratios")
+    scorer.weight = mixture_weight([(r["ratio"], r["n"]) for r in ratios.collect()])  # one row a ratio, of which some 100,000 can be told apart
+    scratch.drop("ratios")
     shared = documents.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in (p for whole in batches for p in portions(whole, 1, 600_000)):
-            yield score_batch(shared.value, row, batch.column(0), batch.column(1).to_pylist())
+        for batch in (p for whole in batches for p in portions(whole, 1, PART_BYTES)):
+            yield score_batch(shared.value, row, batch.column(0), batch.column(1).to_pylist(), batch.column(2))
             row += batch.num_rows
 
-    scored = source.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, cold array<binary>, logs array<double>")
+    scored = told.select("doc_id", "text", "logs").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, cold array<binary>, logs array<double>")
     scored = scratch.write(scored, "scored")
+    scratch.drop("logged")
     pairs = scored.select("row", F.explode(F.arrays_zip("cold", "logs")).alias("p")).select("row", F.col("p.cold").alias("word"), F.col("p.logs").alias("own"))
     met = pairs.join(counts.where(F.col("word").isNotNull()), "word", "left")
     gain = F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(np.log10(scorer.tokens + scorer.distinct + 1)))

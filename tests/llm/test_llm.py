@@ -520,6 +520,26 @@ def test_lm_score_counts_every_word(spark):
     assert len(few) == 120 and all(abs(few[i] - all_hot[i]) < 1e-6 * abs(all_hot[i]) for i in few)
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    """The weights are trained on all blocks of all training texts, and the mixture is set on all their words, however few are drawn to begin with."""
+    for name in ("WARM_BLOCKS", "LEAST_BLOCKS", "MIXTURE_DOCS"):
+        monkeypatch.setattr(lm, name, 8, raising=False)
+    rng, seen, real = random.Random(8), {}, lm.Scratch.write
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((0, 3, 40, 200))))) for i in range(240)] + [(1000, None)]
+
+    def write(self, df, name):
+        out = real(self, df, name)
+        if name in ("weights", "ratios"):
+            seen[name] = out.agg(F.sum("n")).first()[0]
+        return out
+
+    monkeypatch.setattr(lm.Scratch, "write", write)
+    assert lm.lm_scores(docs(spark, rows), F.col("doc_id") % 5 != 2, PATH, hot_words=50, steps=5).count() == 241
+    many = [lm.words_of((t or "").encode()) for i, t in rows if i % 5 != 2]
+    assert seen["weights"] == sum(-(-len(lm.ids_of(words, PATH, 0)[0]) // attention_lm.BLOCK) for words in many)
+    assert seen["ratios"] == sum(len(words) + 1 for words in many)
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     held = QUERIES["op3_attention_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(held) > 100 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
