@@ -12,7 +12,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +24,8 @@ WIDTH, BLOCK, CLASSES, SINGLE, OWN, BACKOFF = 32, 16, 64, 24, 2500, 20.0
 STEPS, BATCH, RATE, SEED = 1000, 256, 1e-2, 7
 #: Blocks of one portion of the attention, which fits a core's cache, and of one portion of the subwords within classes.
 PORTION, GROUP = 96, 768
+#: Numbers of the tables that one stretch of a training step goes over.
+STRETCH = 16_384
 
 
 @functools.cache
@@ -52,6 +54,10 @@ class Model:
     pairs: np.ndarray
     params: dict[str, np.ndarray]
 
+    def __getstate__(self) -> dict:
+        """Tables that are made from the others aren't sent with them."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
     @property
     def end(self) -> int:
         return len(self.kind) - 1
@@ -61,9 +67,15 @@ class Model:
         return self.pairs.shape[1]
 
     @functools.cached_property
-    def both(self) -> np.ndarray:
-        """Keys and values side by side. Only for a model that isn't trained any more."""
-        return np.concatenate([self.params["k"], self.params["v"]], 1)
+    def both(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, scaled, and values, mixed. Only for a model that isn't trained any more."""
+        p = self.params
+        return p["k"] * np.float32(1 / np.sqrt(p["k"].shape[1])), p["v"] @ p["mix"]
+
+    @functools.cached_property
+    def inner(self) -> list[np.ndarray]:
+        """The columns of the pairs table that each class has, side by side in memory."""
+        return [np.ascontiguousarray(self.pairs[:, lo:hi]) for lo, hi in self.spans]
 
     @functools.cached_property
     def steep(self) -> bool:
@@ -215,26 +227,46 @@ def cut_blocks(ids: np.ndarray, lengths: np.ndarray, model: Model, block: int =
     return np.concatenate([before, x], 1), first, y, text
 
 
+@functools.cache
 def attention_mask(block: int) -> np.ndarray:
     """Distance of each context position from each query of the second half; -1 where it lies ahead."""
     d = block + np.arange(block)[:, None] - np.arange(2 * block)[None, :]
     return np.where(d < 0, -1, d)
 
 
+def total(values: np.ndarray) -> np.ndarray:
+    """Sums of the rows, as a product, which is the faster way for short rows."""
+    return values @ np.ones(values.shape[-1], values.dtype)
+
+
+def exponentiate(values: np.ndarray, most: float = 60.0) -> None:
+    """exp of rows that are normalised afterwards, in place; rows are shifted only where exp might not hold them."""
+    if max(float(values.max(initial=0)), -float(values.min(initial=0))) > most:
+        values -= values.max(-1, keepdims=True)
+    np.exp(values, out=values)
+
+
 def forward(model: Model, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """The attention's shares, states and logits of the classes. Values are mixed as a table, before they are looked up."""
     p, block = model.params, x.shape[1] // 2
-    distance = attention_mask(block)
-    q, k, v = p["q"][x[:, block:]], p["k"][x], p["v"][x]
+    here, distance = x[:, block:], attention_mask(block)
+    q, k, v = np.take(p["q"], here, 0), np.take(p["k"], x, 0), np.take(p["v"] @ p["mix"], x, 0)
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= 1 / np.sqrt(q.shape[2], dtype=np.float32)
-    s += np.where(distance < 0, np.float32(-1e9), p["near"][distance])
+    s *= 1 / np.sqrt(q.shape[2], dtype=s.dtype)
+    s += p["near"][np.maximum(distance, 0)]
+    steep = max(float(s.max(initial=0)), -float(s.min(initial=0))) > 60  # beyond what exp may hold
+    s += np.where(distance < 0, s.dtype.type(-1e9), s.dtype.type(0))
     s[first, :, :block] = -1e9
-    s -= s.max(2, keepdims=True)
+    if steep:
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    s *= (1 / total(s))[..., None]
     h = np.matmul(s, v)
-    z = np.tanh(h @ p["mix"] + p["u"][x[:, block:]])
-    logits = z @ p["out"] + p["bias"]
+    z = np.take(p["u"], here, 0)
+    z += h
+    np.tanh(z, out=z)
+    logits = z.reshape(-1, z.shape[2]) @ p["out"]
+    logits += p["bias"]
     return {"q": q, "k": k, "v": v, "a": s, "h": h, "z": z, "logits": logits}
 
 
@@ -245,21 +277,18 @@ def class_logs(model: Model, x: np.ndarray, first: np.ndarray, target: np.ndarra
     Attention scores and logits are bounded by the small tables, so they are exponentiated without shifting them first;
     they are clipped only if the tables have grown so far that exp might not hold them."""
     p, block = model.params, x.shape[1] // 2
-    distance = attention_mask(block)
-    both, width = model.both[x], p["q"].shape[1]
-    s = np.matmul(p["q"][x[:, block:]], both[..., :width].transpose(0, 2, 1))
-    s *= 1 / np.sqrt(width, dtype=np.float32)
+    here, distance = x[:, block:], attention_mask(block)
+    s = np.matmul(np.take(p["q"], here, 0), np.take(model.both[0], x, 0).transpose(0, 2, 1))
     s += np.where(distance < 0, np.float32(-1e9), p["near"][distance])
-    s[first, :, :block] = -1e9
     if model.steep:
         np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    total = s.sum(2, keepdims=True)
-    h = np.matmul(s, both[..., width:])
-    h /= total
-    z = p["u"][x[:, block:].ravel()]
-    z += h.reshape(-1, h.shape[2]) @ p["mix"]
+    s[first, :, :block] = 0
+    z = np.matmul(s, np.take(model.both[1], x, 0))
+    z *= (1 / total(s))[..., None]
+    z += np.take(p["u"], here, 0)
     np.tanh(z, out=z)
+    z = z.reshape(-1, z.shape[2])
     logits = z @ p["out"]
     logits += p["bias"]
     if model.steep:
@@ -270,28 +299,33 @@ def class_logs(model: Model, x: np.ndarray, first: np.ndarray, target: np.ndarra
     return (chosen - sums[:, 0]).reshape(target.shape), (sums[:, 1] - sums[:, 0]).reshape(target.shape), z
 
 
-def by_class(model: Model, y: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(first row, last row, positions) of each class among the targets y whose subwords the state tells apart."""
+def by_class(model: Model, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, slice]]]:
+    """(positions in the order of the classes, (class, first row, last row, stretch of them) of each class) among the targets y whose
+    subwords the state tells apart."""
     kind = model.group[y]
     order = np.argsort(kind, kind="stable")
     at = np.searchsorted(kind[order], np.arange(len(model.spans) + 1))
-    return [(int(lo), int(hi), order[at[c] : at[c + 1]]) for c, (lo, hi) in enumerate(model.spans) if at[c] < at[c + 1]]
+    found = [(c, int(lo), int(hi), slice(at[c] - at[0], at[c + 1] - at[0])) for c, (lo, hi) in enumerate(model.spans) if at[c] < at[c + 1]]
+    return order[at[0] : at[-1]], found
 
 
 def inside_logs(model: Model, z: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log probability of each target within its class: its state's logits shift its share after the subword before it in its word. Rare
     subwords have their shares of the corpus."""
-    at = model.place[y]
-    own = at < model.own
-    out = np.where(own, model.pairs[before, np.where(own, at, 0)], model.inside[y])
-    for lo, hi, at in by_class(model, y):
-        logits = z[at] @ model.params["sub"][lo:hi].T
-        logits += model.pairs[before[at], lo:hi]
+    place = model.place[y]
+    own = place < model.own
+    out = np.where(own, model.pairs[before, np.where(own, place, 0)], model.inside[y])
+    order, classes = by_class(model, y)
+    states, rows, mine, logs = np.take(z, order, 0), before[order], place[order], np.empty(len(order))
+    for c, lo, hi, at in classes:
+        logits = states[at] @ model.params["sub"][lo:hi].T
+        logits += np.take(model.inner[c], rows[at], 0)
         if model.steep:
             np.clip(logits, -80, 80, out=logits)
-        chosen = logits[np.arange(len(at)), model.place[y[at]] - lo]
+        chosen = logits[np.arange(len(logits)), mine[at] - lo]
         np.exp(logits, out=logits)
-        out[at] = chosen - np.log(logits @ np.ones(hi - lo, np.float32))
+        logs[at] = chosen - np.log(total(logits))
+    out[order] = logs
     return out
 
 
@@ -322,11 +356,11 @@ def score_ids(model: Model, ids: np.ndarray, lengths: np.ndarray, portion: int =
 def gather(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
     """Sum the gradients of each table row."""
     flat, g = rows.ravel(), grads.reshape(-1, grads.shape[-1])
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.int16) if n < 1 << 15 else flat, kind="stable")  # short numbers are sorted by their digits
     flat = flat[order]
     at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    out = np.zeros((n, g.shape[1]), np.float32)
-    out[flat[at]] = np.add.reduceat(g[order], at, 0)
+    out = np.zeros((n, g.shape[1]), g.dtype)
+    out[flat[at]] = np.add.reduceat(np.take(g, order, 0), at, 0)
     return out
 
 
@@ -334,76 +368,92 @@ def gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) ->
     """Mean loss in nats of the predictions of classes and of subwords within them, and its gradients."""
     p, block = model.params, x.shape[1] // 2
     f = forward(model, x, first)
-    own = y >= 0
-    target, n = model.kind[y], max(1, int(own.sum()))
-    logits = f["logits"]
-    logits -= logits.max(-1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
-    prob = np.take_along_axis(logits, target[..., None], -1)
-    loss = float(-np.log(np.maximum(prob[..., 0][own], 1e-30)).sum() / n)
-    np.put_along_axis(logits, target[..., None], prob - 1, -1)
-    logits *= (own / n)[..., None].astype(np.float32)
+    flat, seen = np.where(y >= 0, y, model.end).ravel(), (y >= 0).ravel()
+    n, logits = max(1, int(seen.sum())), f["logits"]
+    weight = (seen / n).astype(logits.dtype)
+    mine = np.arange(len(flat)) * logits.shape[1] + model.kind[flat]
+    exponentiate(logits)
+    sums, prob = total(logits), logits.ravel()[mine]
+    loss = float(-np.log(np.maximum(prob / sums, 1e-30))[seen].sum() / n)
+    logits *= (weight / sums)[:, None]
+    logits.ravel()[mine] -= weight
     rows, width = p["q"].shape
-    z, dl = f["z"].reshape(-1, width), logits.reshape(-1, logits.shape[-1])
-    g = {"out": z.T @ dl, "bias": dl.sum(0), "sub": np.zeros_like(p["sub"])}
+    z, dl = f["z"].reshape(-1, width), logits
+    g = {"out": z.T @ dl, "bias": total(dl.T), "sub": np.zeros_like(p["sub"])}
     dz = dl @ p["out"].T
-    flat, seen = np.where(own, y, model.end).ravel(), own.ravel()
     before = before_rows(model, x[:, block:].ravel(), flat)
-    at = model.place[flat]
-    told = seen & (model.group[flat] < 0)  # a class's share that nothing learns
-    loss -= float(np.where(at < model.own, model.pairs[before, np.where(at < model.own, at, 0)], model.inside[flat])[told].sum() / n)
-    for lo, hi, at in by_class(model, flat):
-        at = at[seen[at]]
-        share = z[at] @ p["sub"][lo:hi].T + model.pairs[before[at], lo:hi]
-        share -= share.max(1, keepdims=True, initial=-1e9)
-        np.exp(share, out=share)
-        share /= share.sum(1, keepdims=True)
-        mine = np.arange(len(at)), model.place[flat[at]] - lo
-        loss += float(-np.log(np.maximum(share[mine], 1e-30)).sum() / n)
-        share[mine] -= 1
-        share /= n
-        g["sub"][lo:hi] = share.T @ z[at]
-        dz[at] += share @ p["sub"][lo:hi]
-    da = (dz * (1 - z * z)).reshape(f["z"].shape)
-    g["u"] = gather(x[:, block:], da, rows)
-    g["mix"] = f["h"].reshape(-1, width).T @ da.reshape(-1, width)
-    dh = da @ p["mix"].T
-    dv = np.matmul(f["a"].transpose(0, 2, 1), dh)
-    ds = np.matmul(dh, f["v"].transpose(0, 2, 1))
-    ds = f["a"] * (ds - (ds * f["a"]).sum(2, keepdims=True))
+    place = model.place[flat]
+    told = np.flatnonzero(seen & (model.group[flat] < 0))  # a class's share that nothing learns
+    at = place[told]
+    loss -= float(np.where(at < model.own, model.pairs[before[told], np.where(at < model.own, at, 0)], model.inside[flat[told]]).sum() / n)
+    order, classes = by_class(model, flat)
+    states, at_rows, at_place, at_weight = np.take(z, order, 0), before[order], place[order], weight[order]
+    back = np.empty_like(states)
+    for c, lo, hi, at in classes:
+        share = states[at] @ p["sub"][lo:hi].T
+        share += np.take(model.inner[c], at_rows[at], 0)
+        exponentiate(share)
+        sums, mine = total(share), np.arange(len(share)) * (hi - lo) + (at_place[at] - lo)
+        loss -= float(np.log(np.maximum(share.ravel()[mine] / sums, 1e-30)) @ at_weight[at])
+        share *= (at_weight[at] / sums)[:, None]
+        share.ravel()[mine] -= at_weight[at]
+        g["sub"][lo:hi] = share.T @ states[at]
+        back[at] = share @ p["sub"][lo:hi]
+    dz[order] += back
+    da = dz.reshape(f["z"].shape)
+    da -= da * np.square(f["z"])
+    dv = np.matmul(f["a"].transpose(0, 2, 1), da)
+    ds = np.matmul(da, f["v"].transpose(0, 2, 1))
+    ds -= np.einsum("ijk,ijk->ij", da, f["h"])[..., None]
+    ds *= f["a"]
     distance = attention_mask(block)
-    g["near"] = np.bincount(distance[distance >= 0], ds.sum(0)[distance >= 0], len(p["near"])).astype(np.float32)
-    ds /= np.sqrt(width, dtype=np.float32)
-    g["q"] = gather(x[:, block:], np.matmul(ds, f["k"]), rows)
-    g["k"] = gather(x, np.matmul(ds.transpose(0, 2, 1), f["q"]), rows)
-    g["v"] = gather(x, dv, rows)
+    g["near"] = np.bincount(distance[distance >= 0], ds.sum(0)[distance >= 0], len(p["near"])).astype(ds.dtype)
+    ds *= 1 / np.sqrt(width, dtype=ds.dtype)
+    queries = gather(x[:, block:], np.concatenate([np.matmul(ds, f["k"]), da], 2), rows)
+    keys = gather(x, np.concatenate([np.matmul(ds.transpose(0, 2, 1), f["q"]), dv], 2), rows)
+    mixed = keys[:, width:]
+    g |= {"q": queries[:, :width], "u": queries[:, width:], "k": keys[:, :width], "v": mixed @ p["mix"].T, "mix": p["v"].T @ mixed}
     return loss, g
 
 
 def train(model: Model, blocks: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> list[float]:
-    """Adam on blocks (contexts, first flags, targets) in a random order, with a cosine learning rate; returns the losses.
+    """Adam on blocks (contexts, first flags, targets) in a random order, with a cosine learning rate; returns the losses. All blocks are
+    gone through, the last ones in a smaller step, before any comes again.
     Without blocks the model keeps its first state, whose predictions are close to the corpus shares."""
     one_thread()
     x, first, y = blocks
-    rng, losses = np.random.default_rng(seed), []
-    m = {k: np.zeros_like(v) for k, v in model.params.items()}
-    s = {k: np.zeros_like(v) for k, v in model.params.items()}
+    rng, losses, names = np.random.default_rng(seed), [], list(model.params)
+    # the tables lie one after the other, so that a step goes over them in stretches that stay in the cache
+    flat = np.concatenate([model.params[k].ravel() for k in names])
+    ends = np.cumsum([model.params[k].size for k in names]).tolist()
+    model.params = {k: flat[to - model.params[k].size : to].reshape(model.params[k].shape) for k, to in zip(names, ends, strict=True)}
+    m, s, g, spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat[:STRETCH])
     order, at = np.zeros(0, np.int64), 0
     for t in range(1, (steps if len(x) else 0) + 1):
-        if at + batch > len(order):
+        if at >= len(order):
             order, at = rng.permutation(len(x)), 0
         pick = order[at : at + batch]
         at += batch
         loss, grads = gradients(model, x[pick], first[pick], y[pick])
         losses.append(loss)
         now = rate * min(1.0, t / 50) * (0.02 + 0.98 * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
-        for k, g in grads.items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.02 * (g * g - s[k])
-            model.params[k] -= (now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.98**t)) + 1e-9)).astype(np.float32)
+        np.concatenate([grads[k].ravel() for k in names], out=g)
+        for low in range(0, len(flat), STRETCH):
+            part = slice(low, low + STRETCH)
+            a, b, c = m[part], s[part], g[part]
+            left = spare[: len(c)]
+            a += np.multiply(np.subtract(c, a, out=left), 0.1, out=left)
+            np.multiply(c, c, out=left)
+            b += np.multiply(np.subtract(left, b, out=left), 0.02, out=left)
+            np.sqrt(np.multiply(b, 1 / (1 - 0.98**t), out=left), out=left)
+            left += 1e-9
+            np.divide(a, left, out=left)
+            flat[part] -= np.multiply(left, now / (1 - 0.9**t), out=left)
     return losses
 
 
 def copy_of(model: Model) -> Model:
-    return replace(model, params={k: v.copy() for k, v in model.params.items()})
+    """A copy that is trained on its own; it shares the tables that training leaves alone."""
+    copy = replace(model, params={k: v.copy() for k, v in model.params.items()})
+    copy.inner = model.inner
+    return copy

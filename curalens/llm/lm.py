@@ -36,14 +36,14 @@ PART_BYTES = 600_000
 
 @dataclass
 class Scorer:
-    """model: the attention model; hot: counts of the most frequent words; weight: of the word counts in the mixture."""
+    """model: the attention model; hot: counts of the most frequent words; weight: of the word counts in the mixture, if it is set."""
 
     model: attention_lm.Model
     hot: dict[bytes, int]
     n_docs: int
     tokens: int
     distinct: int
-    weight: float
+    weight: float | None
     path: str
     name: str = ""
 
@@ -194,35 +194,20 @@ def word_logs(scorer: Scorer, texts: list[list[bytes]]) -> tuple[list[bytes | No
 
 
 def mixture_ratios(scorer: Scorer, texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(ratio, n) of all words and ends of texts(text as binary): how often the share of a word's count, less the occurrences in its own
-    text, is exp(ratio / MIXTURE_STEPS) times the attention model's probability; null where nothing is left of the count. Frequent
-    words are counted in the tasks; for the others the word's count is joined, so all take part."""
-    shared, kind = texts.sparkSession.sparkContext.broadcast(scorer), pa.schema([("word", pa.binary()), ("own", pa.int64()), ("log", pa.float64()), ("ratio", pa.int64()), ("n", pa.int64())])
+    """`ratios_of` all words and ends of texts(doc_id, text as binary), which are gone over for it."""
+    scored = scored_texts(scorer, texts.select("doc_id", "text", F.lit(True).alias("train")))
+    return ratios_of(scored, cold_words(scored, counts), scorer.tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
-        for batch in (p for whole in batches for p in portions(whole, 0, PART_BYTES)):
-            many = [words_of(t) for t in batch.column(0).to_pylist()]
-            flat, c, logs = word_logs(scorer, many)
-            own = [k for words in many for held in (Counter(words),) for k in (*map(held.__getitem__, words), 1)]
-            own, cold = np.array(own, np.int64), c == 0
-            cold[np.cumsum([len(words) + 1 for words in many]) - 1] = False  # an end is never joined
-            with np.errstate(divide="ignore"):
-                told = np.log(np.maximum(c - own, 0) / max(scorer.tokens, 1)) - logs
-            held, sure = ~cold & np.isfinite(told), int((~cold & ~np.isfinite(told)).sum())
-            ratio, n = np.unique(np.round(told[held] * MIXTURE_STEPS).astype(np.int64), return_counts=True)
-            at, none = np.flatnonzero(cold), len(ratio) + 1
-            yield pa.RecordBatch.from_arrays([
-                pa.array([None] * none + [flat[k] for k in at.tolist()], pa.binary()), pa.array(np.r_[np.zeros(none, np.int64), own[at]]), pa.array(np.r_[np.zeros(none), logs[at]]),
-                pa.array([*ratio.tolist(), None] + [None] * len(at), pa.int64()), pa.array(np.r_[n, sure, np.ones(len(at), np.int64)]),
-            ], schema=kind)
-
-    rows = texts.select("text").mapInArrow(run, "word binary, own long, log double, ratio long, n long")
-    met = rows.where("word IS NOT NULL").join(counts.where("word IS NOT NULL"), "word", "left")
+
+def ratios_of(scored: DataFrame, cold: DataFrame, tokens: int) -> DataFrame:
+    """(ratio, n) of all words and ends of the training texts: how often the share of a word's count, less the occurrences in its own
+    text, is exp(ratio / MIXTURE_STEPS) times the attention model's probability; null where nothing is left of the count. Frequent
+    words were counted in the tasks; the others have their counts by a join, so all take part."""
+    counted = scored.select(F.explode(F.arrays_zip("ratio", "n")).alias("r")).select("r.ratio", "r.n")
     left = F.coalesce("c", F.lit(0)) - F.col("own")
-    ratio = F.round((F.log(left / F.lit(max(scorer.tokens, 1))) - F.col("log")) * MIXTURE_STEPS).cast("long")
-    both = rows.where("word IS NULL").select("ratio", "n").unionByName(met.select(F.when(left > 0, ratio).alias("ratio"), "n"))
-    return both.groupBy("ratio").agg(F.sum("n").alias("n"))
+    ratio = F.round((F.log(left / F.lit(max(tokens, 1))) - F.col("log")) * MIXTURE_STEPS).cast("long")
+    met = cold.where("train").select(F.when(left > 0, ratio).alias("ratio"), F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(met).groupBy("ratio").agg(F.sum("n").alias("n"))
 
 
 def mixture_weight(ratios: list[tuple[int | None, int]], rounds: int = 12) -> float:
@@ -377,38 +362,101 @@ def learn(training: DataFrame, counts: DataFrame, path: str, scratch: Scratch, h
     attention_lm.train(model, warm, steps)
     del warm
     model = refine(model, training, path, scratch)
-    scorer = Scorer(model, hot, total["d"] or 0, total["n"] or 0, total["v"] or 0, 0.5, path, uuid.uuid4().hex)
+    scorer = Scorer(model, hot, total["d"] or 0, total["n"] or 0, total["v"] or 0, None, path, uuid.uuid4().hex)
     give_back()
     return scorer
 
 
 SCORED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-    ("cold", pa.list_(pa.binary())), ("logs", pa.list_(pa.float64())),
+    ("cold", pa.list_(pa.binary())), ("logs", pa.list_(pa.float64())), ("own", pa.list_(pa.int64())), ("train", pa.bool_()), ("held", pa.float64()), ("told", pa.binary()),
+    ("ratio", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
 ])
+SCORED_SQL = (
+    "row long, doc_id long, n_tokens long, known long, base double, score double, cold array<binary>, logs array<double>, own array<long>, train boolean, held double, told binary, "
+    "ratio array<long>, n array<long>"
+)
+
+
+def mixed(text: np.ndarray, held: np.ndarray, told: np.ndarray, weight: float) -> np.ndarray:
+    """Log10 probability of each text by the mixture. held: by the attention model alone; told: of each word, and text: its text, how many
+    natural logarithms its share lies above the attention model's probability."""
+    with np.errstate(divide="ignore"):
+        return (held + np.bincount(text, np.logaddexp(np.log(weight) + told, np.log1p(-weight)), len(held))) / np.log(10)
 
 
 def score_batch(scorer: Scorer, row: int, ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
-    """For each text: tokens, known tokens, base and model log10 probabilities without the words that aren't hot, and those
-    words, each occurrence with its natural log probability by the attention model."""
+    """`score_words` of texts that aren't for training."""
     many = [words_of(t) for t in texts]
-    flat, c, own = word_logs(scorer, many)
-    scale, weight = np.log(scorer.tokens + scorer.distinct + 1), scorer.weight
-    sizes = np.array([len(words) + 1 for words in many])
+    return score_words(scorer, row, ids, many, [False] * len(many), word_logs(scorer, many))
+
+
+def score_words(scorer: Scorer, row: int, ids: pa.Array, many: list[list[bytes]], trains: list[bool], found: tuple[list[bytes | None], np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """For each text, of its words and what `word_logs` found for them: tokens, known tokens, base and model log10 probabilities without the words that aren't hot (the latter null while
+    the mixture has no weight), those words, each occurrence with its natural log probability by the attention model and its
+    occurrences in the text, and what `mixed` needs of the other words. The first row has the ratios of the training texts' other words."""
+    flat, c, logs = found
+    sizes, trains = np.array([len(words) + 1 for words in many]), np.array(trains, bool)
     text, known = np.repeat(np.arange(len(many)), sizes), c > 0
     known[np.cumsum(sizes) - 1] = True  # the end is never joined
+    own = np.zeros(len(flat), np.int64)
+    own[trains[text]] = [k for words, train in zip(many, trains.tolist(), strict=True) if train for mates in (Counter(words),) for k in (*map(mates.__getitem__, words), 1)]
     total = lambda values: np.bincount(text[known], values, len(many))
+    base, held = total(np.log(c[known] + 1) - np.log(scorer.tokens + scorer.distinct + 1)), total(logs[known])
+    mine = known & trains[text]
     with np.errstate(divide="ignore"):
-        mixed = np.logaddexp(np.log(weight * c[known] / max(scorer.tokens, 1)), np.log1p(-weight) + own[known])
-    base, score = total(np.log(c[known] + 1) - scale), total(mixed)
-    cold = np.flatnonzero(~known)
+        told = np.log(c[known] / max(scorer.tokens, 1)) - logs[known]
+        ratio = np.log(np.maximum(c[mine] - own[mine], 0) / max(scorer.tokens, 1)) - logs[mine]
+    sure = np.isfinite(ratio)
+    ratio, n = np.unique(np.round(ratio[sure] * MIXTURE_STEPS).astype(np.int64), return_counts=True)
+    ratios, n = pa.array([*ratio.tolist(), None], pa.int64()), pa.array(np.r_[n, (~sure).sum()].astype(np.int64))
+    score = [None] * len(many) if scorer.weight is None else mixed(text[known], held, told, scorer.weight)
+    cold, kept, ends = np.flatnonzero(~known), told.astype("<f4"), np.cumsum(np.bincount(text[known], minlength=len(many)))
     offsets = pa.array(np.r_[0, np.cumsum(np.bincount(text[cold], minlength=len(many)))].astype(np.int32))
+    at_first = pa.array(np.r_[0, np.full(len(many), len(ratios))].astype(np.int32))
     return pa.RecordBatch.from_arrays([
-        pa.array(np.arange(row, row + len(many))), ids, pa.array(sizes), pa.array(np.bincount(text[c > 0], minlength=len(many))), pa.array(base / np.log(10)), pa.array(score / np.log(10)),
-        pa.ListArray.from_arrays(offsets, pa.array([flat[k] for k in cold.tolist()], pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(own[cold])),
+        pa.array(np.arange(row, row + len(many))), ids, pa.array(sizes), pa.array(np.bincount(text[c > 0], minlength=len(many))), pa.array(base / np.log(10)), pa.array(score, pa.float64()),
+        pa.ListArray.from_arrays(offsets, pa.array([flat[k] for k in cold.tolist()], pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(logs[cold])), pa.ListArray.from_arrays(offsets, pa.array(own[cold])),
+        pa.array(trains), pa.array(held), pa.array([part.tobytes() for part in np.split(kept, ends[:-1])], pa.binary()),
+        pa.ListArray.from_arrays(at_first, ratios), pa.ListArray.from_arrays(at_first, n),
     ], schema=SCORED)
 
 
+def scored_texts(scorer: Scorer, texts: DataFrame) -> DataFrame:
+    """`score_words` of texts(doc_id, text as binary, train); each row gets a number."""
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for batch in (p for whole in batches for p in portions(whole, 1, PART_BYTES)):
+            if batch.num_rows:
+                many = [words_of(t) for t in batch.column(1).to_pylist()]
+                yield score_words(shared.value, row, batch.column(0), many, batch.column(2).to_pylist(), word_logs(shared.value, many))
+                row += batch.num_rows
+
+    return texts.select("doc_id", "text", "train").mapInArrow(run, SCORED_SQL)
+
+
+def cold_words(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, train, log, own, c) of each occurrence of a word that isn't hot, with the word's count, null if it has none."""
+    met = scored.select("row", "train", F.explode(F.arrays_zip("cold", "logs", "own")).alias("p"))
+    met = met.select("row", "train", F.col("p.cold").alias("word"), F.col("p.logs").alias("log"), F.col("p.own").alias("own"))
+    return met.join(counts.where(F.col("word").isNotNull()), "word", "left").select("row", "train", "log", "own", "c")
+
+
+def mixed_scores(scored: DataFrame, weight: float) -> DataFrame:
+    """(row, doc_id, n_tokens, known, base, score): the scores without cold words, by a mixture of that weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(t.as_buffer(), "<f4") for t in batch.column(6)]
+            text = np.repeat(np.arange(len(parts)), [len(t) for t in parts])
+            told = np.concatenate([*parts, np.zeros(0, "<f4")]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(mixed(text, batch.column(5).to_numpy(), told, weight))], ["row", "doc_id", "n_tokens", "known", "base", "score"])
+
+    return scored.select("row", "doc_id", "n_tokens", "known", "base", "held", "told").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double")
+
+
 def lm_scores(documents: DataFrame, train_where: Column, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, from its whole text.
 
@@ -421,30 +469,21 @@ def lm_scores(documents: DataFrame, train_where: Column, tokenizer_path: str, id
     Null and empty texts have the end alone; texts of any length are scored whole, in overlapping contexts; rows that repeat an
     id stay rows of their own; without training rows every count is zero. An empty table gives an empty result; other
     columns are ignored."""
-    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), train_where.alias("_train"))
-    training, scratch = source.where("_train").select("doc_id", "text"), Scratch(documents.sparkSession, "lm")
+    source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(train_where, F.lit(False)).alias("train"))
+    training, scratch = source.where("train").select("doc_id", "text"), Scratch(documents.sparkSession, "lm")
     counts = scratch.write(count_words(training), "words")
     scorer = learn(training, counts, tokenizer_path, scratch, **options)
-    ratios = scratch.write(mixture_ratios(scorer, training, counts), "ratios")
-    scorer.weight = mixture_weight([(r["ratio"], r["n"]) for r in ratios.collect()])  # one row a ratio, of which some 100,000 can be told apart
-    scratch.drop("ratios")
-    shared = documents.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in (p for whole in batches for p in portions(whole, 1, PART_BYTES)):
-            yield score_batch(shared.value, row, batch.column(0), batch.column(1).to_pylist())
-            row += batch.num_rows
-
-    scored = source.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, cold array<binary>, logs array<double>")
-    scored = scratch.write(scored, "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("cold", "logs")).alias("p")).select("row", F.col("p.cold").alias("word"), F.col("p.logs").alias("own"))
-    met = pairs.join(counts.where(F.col("word").isNotNull()), "word", "left")
+    # each text is gone over once by the model that is learned; what the weight of the mixture needs of it is kept
+    scored = scratch.write(scored_texts(scorer, source), "scored")
+    cold = scratch.write(cold_words(scored, counts), "cold")
+    ratios = scratch.write(ratios_of(scored, cold, scorer.tokens), "ratios")
+    weight = mixture_weight([(r["ratio"], r["n"]) for r in ratios.collect()])  # one row a ratio, of which some 100,000 can be told apart
+    scratch.drop("ratios", "words")
     gain = F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(float(np.log10(scorer.tokens + scorer.distinct + 1)))
-    share, other, ten = scorer.weight / max(scorer.tokens, 1), 1 - scorer.weight, float(np.log(10))
-    mixed = F.when(F.col("c") > 0, F.log10(F.lit(share) * F.col("c") + F.lit(other) * F.exp("own"))).otherwise(F.lit(float(np.log10(other))) + F.col("own") / F.lit(ten))
-    rest = met.groupBy("row").agg(F.sum(gain).alias("gain"), F.sum(mixed).alias("mixed"), F.sum(F.when(F.col("c") > 0, 1)).alias("found"))
-    whole = scored.drop("cold", "logs").join(rest, "row", "left")
+    share, other, ten = weight / max(scorer.tokens, 1), 1 - weight, float(np.log(10))
+    both = F.when(F.col("c") > 0, F.log10(F.lit(share) * F.col("c") + F.lit(other) * F.exp("log"))).otherwise(F.lit(float(np.log10(other))) + F.col("log") / F.lit(ten))
+    rest = cold.groupBy("row").agg(F.sum(gain).alias("gain"), F.sum(both).alias("mixed"), F.sum(F.when(F.col("c") > 0, 1)).alias("found"))
+    whole = mixed_scores(scored, weight).join(rest, "row", "left")
     return whole.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(scorer.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),

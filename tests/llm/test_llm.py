@@ -540,6 +540,32 @@ def test_lm_learns_from_every_training_text(spark, monkeypatch):
     assert seen["ratios"] == sum(len(words) + 1 for words in many)
 
 
+def test_training_goes_over_all_blocks_before_any_comes_again(monkeypatch):
+    seen = []
+    monkeypatch.setattr(attention_lm, "gradients", lambda model, x, first, y: (seen.append(y[:, 0].tolist()), (0.0, {k: np.zeros_like(v) for k, v in model.params.items()}))[1])
+    y = np.arange(44 * 4).reshape(44, 4)
+    attention_lm.train(small_model(np.random.default_rng(2), n_classes=8, own=20), (np.zeros((44, 8), int), np.zeros(44, bool), y), steps=6, batch=16)
+    assert [len(s) for s in seen] == [16, 16, 12] * 2
+    assert sorted(sum(seen[:3], [])) == sorted(sum(seen[3:], [])) == y[:, 0].tolist()
+
+
+def test_lm_goes_over_each_text_once_with_what_it_learned(spark, monkeypatch):
+    """Neither the weight of the mixture nor the words whose counts are joined take the model over a text again."""
+    told = spark.sparkContext.accumulator(0)
+
+    def counted(scorer, many):
+        told.add(len(many))
+        flat = [w for t in many for w in (*t, None)]
+        return flat, np.array([40.0 if w is None else scorer.hot.get(w, 0) for w in flat]), np.array([-3.0 - len(w or b"") / 4 for w in flat])
+
+    monkeypatch.setattr(lm, "word_logs", counted)
+    monkeypatch.setattr(lm, "WARM_BLOCKS", 8)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(12))) for i in range(50)]
+    got = lm.lm_scores(docs(spark, rows), F.col("doc_id") % 5 != 2, PATH, hot_words=10, steps=2).collect()
+    assert len(got) == 50 and told.value == 50
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     held = QUERIES["op3_attention_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(held) > 100 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
