@@ -23,9 +23,7 @@ WIDTH, BLOCK, CLASSES, SINGLE, OWN, BACKOFF = 32, 16, 64, 24, 2500, 20.0
 #: Default parameters of training: steps, blocks in a step, learning rate, and the seed.
 STEPS, BATCH, RATE, SEED = 1000, 256, 1e-2, 7
 #: Blocks of one portion of the attention, which fits a core's cache, and of one portion of the subwords within classes.
-PORTION, GROUP = 96, 768
-#: Numbers of the tables that one stretch of a training step goes over.
-STRETCH = 16_384
+PORTION, GROUP = 192, 768
 
 
 @functools.cache
@@ -43,7 +41,8 @@ class Model:
     subword in its class. first: whether a subword begins a word; begins: whether a class does. spans: first and last row of
     each class, empty for classes of rare subwords. pairs: log share of a subword (column) in its class after the subword
     before it in its word; its last two rows are a word's start and any rare subword. The last subword is the end mark, which
-    ends words too; the last table row is the start. All logarithms are natural."""
+    ends words too; the last table row is the start. rows: those table rows that a part of a model has, by which its contexts are numbered; all of them, if
+    it is null. All logarithms are natural."""
 
     place: np.ndarray
     kind: np.ndarray
@@ -53,11 +52,16 @@ class Model:
     spans: np.ndarray
     pairs: np.ndarray
     params: dict[str, np.ndarray]
+    rows: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         """Tables that are made from the others aren't sent with them."""
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def share(self, other: Model) -> None:
+        """Take over the tables of another model that are made from what training leaves alone."""
+        self.inner, self.group, self.bounds = other.inner, other.group, other.bounds
+
     @property
     def end(self) -> int:
         return len(self.kind) - 1
@@ -77,6 +81,11 @@ class Model:
         """The columns of the pairs table that each class has, side by side in memory."""
         return [np.ascontiguousarray(self.pairs[:, lo:hi]) for lo, hi in self.spans]
 
+    @functools.cached_property
+    def bounds(self) -> list[list[int]]:
+        """The spans, as Python's numbers."""
+        return self.spans.tolist()
+
     @functools.cached_property
     def steep(self) -> bool:
         """Whether any score or logit may lie beyond what exp holds."""
@@ -197,6 +206,7 @@ def before_rows(model: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row of the pairs table for each target: the subword before it in its word, a word's start, or a rare subword. x: the
     table rows of the contexts' second half, y: the targets."""
     own = model.own
+    x = x if model.rows is None else model.rows[x]
     return np.where(model.first[y], own, np.where(x < own, x, own + 1))
 
 
@@ -239,6 +249,17 @@ def total(values: np.ndarray) -> np.ndarray:
     return values @ np.ones(values.shape[-1], values.dtype)
 
 
+def bend(values: np.ndarray) -> None:
+    """tanh in place, from exp, which takes half its time."""
+    kind = values.dtype.type
+    with np.errstate(over="ignore"):  # beyond what exp holds the result is -1
+        values *= kind(-2)
+        np.exp(values, out=values)
+    values += kind(1)
+    np.divide(kind(2), values, out=values)
+    values -= kind(1)
+
+
 def exponentiate(values: np.ndarray, most: float = 60.0) -> None:
     """exp of rows that are normalised afterwards, in place; rows are shifted only where exp might not hold them."""
     if max(float(values.max(initial=0)), -float(values.min(initial=0))) > most:
@@ -247,24 +268,24 @@ def exponentiate(values: np.ndarray, most: float = 60.0) -> None:
 
 
 def forward(model: Model, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """The attention's shares, states and logits of the classes. Values are mixed as a table, before they are looked up."""
+    """The attention's shares, states and logits of the classes. Values are mixed, and keys scaled, as a table, before they are looked up."""
     p, block = model.params, x.shape[1] // 2
     here, distance = x[:, block:], attention_mask(block)
-    q, k, v = np.take(p["q"], here, 0), np.take(p["k"], x, 0), np.take(p["v"] @ p["mix"], x, 0)
+    kind = p["q"].dtype.type
+    q, k, v = np.take(p["q"], here, 0), np.take(p["k"] * kind(1 / np.sqrt(p["k"].shape[1])), x, 0), np.take(p["v"] @ p["mix"], x, 0)
     s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= 1 / np.sqrt(q.shape[2], dtype=s.dtype)
-    s += p["near"][np.maximum(distance, 0)]
-    steep = max(float(s.max(initial=0)), -float(s.min(initial=0))) > 60  # beyond what exp may hold
-    s += np.where(distance < 0, s.dtype.type(-1e9), s.dtype.type(0))
-    s[first, :, :block] = -1e9
+    steep = max(float(s.max(initial=0)), -float(s.min(initial=0))) + float(np.abs(p["near"]).max()) > 60  # beyond what exp may hold
+    s += np.where(distance < 0, kind(-1e9), p["near"][distance])
     if steep:
+        s[first, :, :block] = -1e9
         s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
+    s[first, :, :block] = 0
     s *= (1 / total(s))[..., None]
     h = np.matmul(s, v)
     z = np.take(p["u"], here, 0)
     z += h
-    np.tanh(z, out=z)
+    bend(z)
     logits = z.reshape(-1, z.shape[2]) @ p["out"]
     logits += p["bias"]
     return {"q": q, "k": k, "v": v, "a": s, "h": h, "z": z, "logits": logits}
@@ -287,7 +308,7 @@ def class_logs(model: Model, x: np.ndarray, first: np.ndarray, target: np.ndarra
     z = np.matmul(s, np.take(model.both[1], x, 0))
     z *= (1 / total(s))[..., None]
     z += np.take(p["u"], here, 0)
-    np.tanh(z, out=z)
+    bend(z)
     z = z.reshape(-1, z.shape[2])
     logits = z @ p["out"]
     logits += p["bias"]
@@ -304,28 +325,49 @@ def by_class(model: Model, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, i
     subwords the state tells apart."""
     kind = model.group[y]
     order = np.argsort(kind, kind="stable")
-    at = np.searchsorted(kind[order], np.arange(len(model.spans) + 1))
-    found = [(c, int(lo), int(hi), slice(at[c] - at[0], at[c + 1] - at[0])) for c, (lo, hi) in enumerate(model.spans) if at[c] < at[c + 1]]
-    return order[at[0] : at[-1]], found
+    sizes = np.bincount(kind + 1, minlength=len(model.spans) + 1)
+    at = (np.cumsum(sizes) - sizes[0]).tolist()
+    found = [(c, *model.bounds[c], slice(at[c], at[c + 1])) for c in np.flatnonzero(sizes[1:]).tolist()]
+    return order[sizes[0] :], found
+
+
+def within(model: Model, z: np.ndarray, before: np.ndarray, y: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """(positions in the order of the classes, their states, parts, logits, where the targets' logits lie) of the subwords within their classes: a state's logits
+    shift the shares after the subword before it in its word. The logits of all classes lie side by side, so that what is alike for them is done at once; a part is
+    (first row, last row, stretch of positions, logits as a table) of a class."""
+    order, classes = by_class(model, y)
+    states, rows, kind = np.take(z, order, 0), before[order], model.kind[y[order]]
+    low = model.spans[:, 0][kind]
+    size = model.spans[:, 1][kind] - low
+    ends = np.cumsum(size)
+    logits, parts = np.empty(int(size.sum()), z.dtype), []
+    for c, lo, hi, at in classes:
+        part = logits[ends[at.start] - (hi - lo) : ends[at.stop - 1]].reshape(-1, hi - lo)
+        np.matmul(states[at], model.params["sub"][lo:hi].T, out=part)
+        part += np.take(model.inner[c], rows[at], 0)
+        parts.append((lo, hi, at, part))
+    return order, states, parts, logits, ends - size + place[order] - low
+
+
+def part_totals(parts: list, n: int, dtype: np.dtype) -> np.ndarray:
+    """Sum of the numbers of each position, of `parts` as `within` gives them."""
+    sums, ones = np.empty(n, dtype), np.ones(max([hi - lo for lo, hi, *_ in parts], default=0), dtype)
+    for lo, hi, at, part in parts:
+        np.matmul(part, ones[: hi - lo], out=sums[at])
+    return sums
 
 
 def inside_logs(model: Model, z: np.ndarray, before: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log probability of each target within its class: its state's logits shift its share after the subword before it in its word. Rare
-    subwords have their shares of the corpus."""
+    """log probability of each target within its class. Rare subwords have their shares of the corpus."""
     place = model.place[y]
     own = place < model.own
     out = np.where(own, model.pairs[before, np.where(own, place, 0)], model.inside[y])
-    order, classes = by_class(model, y)
-    states, rows, mine, logs = np.take(z, order, 0), before[order], place[order], np.empty(len(order))
-    for c, lo, hi, at in classes:
-        logits = states[at] @ model.params["sub"][lo:hi].T
-        logits += np.take(model.inner[c], rows[at], 0)
-        if model.steep:
-            np.clip(logits, -80, 80, out=logits)
-        chosen = logits[np.arange(len(logits)), mine[at] - lo]
-        np.exp(logits, out=logits)
-        logs[at] = chosen - np.log(total(logits))
-    out[order] = logs
+    order, _, parts, logits, mine = within(model, z, before, y, place)
+    if model.steep:
+        np.clip(logits, -80, 80, out=logits)
+    chosen = logits[mine]
+    np.exp(logits, out=logits)
+    out[order] = chosen - np.log(part_totals(parts, len(order), logits.dtype))
     return out
 
 
@@ -353,107 +395,185 @@ def score_ids(model: Model, ids: np.ndarray, lengths: np.ndarray, portion: int =
     return out[own], edge[own].astype(np.float64)
 
 
-def gather(rows: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-    """Sum the gradients of each table row."""
-    flat, g = rows.ravel(), grads.reshape(-1, grads.shape[-1])
-    order = np.argsort(flat.astype(np.int16) if n < 1 << 15 else flat, kind="stable")  # short numbers are sorted by their digits
-    flat = flat[order]
-    at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    out = np.zeros((n, g.shape[1]), g.dtype)
-    out[flat[at]] = np.add.reduceat(np.take(g, order, 0), at, 0)
+@functools.cache
+def row_places(width: int) -> np.ndarray:
+    """Places of the numbers of each row in a flat table of rows of that width."""
+    return np.arange((1 << 12) * width).reshape(-1, width)
+
+
+def spread(rows: np.ndarray, n: int, width: int, dtype: np.dtype) -> tuple[np.ndarray, np.dtype]:
+    """Where the numbers of each of the rows lie in a flat table of n rows, two side by side as one complex number, which are added at once."""
+    pair = np.dtype(dtype.char.upper()) if width % 2 == 0 and dtype.char in "fd" else dtype
+    width = width * dtype.itemsize // pair.itemsize
+    if n > len(row_places(width)):
+        return np.add.outer(rows.ravel().astype(np.intp) * width, np.arange(width)).ravel(), pair
+    return np.take(row_places(width), rows.ravel(), 0).ravel(), pair
+
+
+def gather(places: tuple[np.ndarray, np.dtype], grads: np.ndarray, n: int) -> np.ndarray:
+    """Sum the gradients of each of n table rows, which lie at the places by `spread`."""
+    at, pair = places
+    out = np.zeros((n, grads.shape[-1]), grads.dtype)
+    np.add.at(out.view(pair).ravel(), at, grads.view(pair).ravel())
     return out
 
 
+def inside_back(model: Model, z: np.ndarray, before: np.ndarray, y: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, gradient of the table "sub", positions, gradient of their states) of the predictions of subwords within their classes."""
+    sub = model.params["sub"]
+    order, states, parts, share, mine = within(model, z, before, y, place)
+    weight, back, grad = weight[order], np.empty_like(states), np.zeros_like(sub)
+    if max(float(share.max(initial=0)), -float(share.min(initial=0))) > 60:
+        for *_, part in parts:
+            part -= part.max(1, keepdims=True)
+    np.exp(share, out=share)
+    sums = part_totals(parts, len(order), share.dtype)
+    loss = -float(np.log(np.maximum(share[mine] / sums, 1e-30)) @ weight)
+    sums = (weight / sums)[:, None]
+    for *_, at, part in parts:
+        part *= sums[at]
+    share[mine] -= weight
+    for lo, hi, at, part in parts:
+        np.matmul(part.T, states[at], out=grad[lo:hi])
+        np.matmul(part, sub[lo:hi], out=back[at])
+    return loss, grad, order, back
+
+
 def gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss in nats of the predictions of classes and of subwords within them, and its gradients."""
     p, block = model.params, x.shape[1] // 2
     f = forward(model, x, first)
     flat, seen = np.where(y >= 0, y, model.end).ravel(), (y >= 0).ravel()
-    n, logits = max(1, int(seen.sum())), f["logits"]
-    weight = (seen / n).astype(logits.dtype)
-    mine = np.arange(len(flat)) * logits.shape[1] + model.kind[flat]
-    exponentiate(logits)
-    sums, prob = total(logits), logits.ravel()[mine]
+    n, dl = max(1, int(seen.sum())), f["logits"]
+    weight = (seen / n).astype(dl.dtype)
+    mine = np.arange(len(flat)) * dl.shape[1] + model.kind[flat]
+    exponentiate(dl)
+    sums, prob = total(dl), dl.ravel()[mine]
     loss = float(-np.log(np.maximum(prob / sums, 1e-30))[seen].sum() / n)
-    logits *= (weight / sums)[:, None]
-    logits.ravel()[mine] -= weight
+    dl *= (weight / sums)[:, None]
+    dl.ravel()[mine] -= weight
     rows, width = p["q"].shape
-    z, dl = f["z"].reshape(-1, width), logits
-    g = {"out": z.T @ dl, "bias": total(dl.T), "sub": np.zeros_like(p["sub"])}
-    dz = dl @ p["out"].T
+    z = f["z"].reshape(-1, width)
+    g = {"out": z.T @ dl, "bias": total(dl.T)}
     before = before_rows(model, x[:, block:].ravel(), flat)
     place = model.place[flat]
     told = np.flatnonzero(seen & (model.group[flat] < 0))  # a class's share that nothing learns
     at = place[told]
     loss -= float(np.where(at < model.own, model.pairs[before[told], np.where(at < model.own, at, 0)], model.inside[flat[told]]).sum() / n)
-    order, classes = by_class(model, flat)
-    states, at_rows, at_place, at_weight = np.take(z, order, 0), before[order], place[order], weight[order]
-    back = np.empty_like(states)
-    for c, lo, hi, at in classes:
-        share = states[at] @ p["sub"][lo:hi].T
-        share += np.take(model.inner[c], at_rows[at], 0)
-        exponentiate(share)
-        sums, mine = total(share), np.arange(len(share)) * (hi - lo) + (at_place[at] - lo)
-        loss -= float(np.log(np.maximum(share.ravel()[mine] / sums, 1e-30)) @ at_weight[at])
-        share *= (at_weight[at] / sums)[:, None]
-        share.ravel()[mine] -= at_weight[at]
-        g["sub"][lo:hi] = share.T @ states[at]
-        back[at] = share @ p["sub"][lo:hi]
-    dz[order] += back
+    more, g["sub"], order, back = inside_back(model, z, before, flat, place, weight)
+    loss += more
+    dz = np.zeros_like(z)
+    dz[order] = back
+    dz += dl @ p["out"].T
+    np.multiply(z, z, out=z)  # the states aren't used any more
+    z *= dz
+    dz -= z
     da = dz.reshape(f["z"].shape)
-    da -= da * np.square(f["z"])
     dv = np.matmul(f["a"].transpose(0, 2, 1), da)
     ds = np.matmul(da, f["v"].transpose(0, 2, 1))
     ds -= np.einsum("ijk,ijk->ij", da, f["h"])[..., None]
     ds *= f["a"]
     distance = attention_mask(block)
     g["near"] = np.bincount(distance[distance >= 0], ds.sum(0)[distance >= 0], len(p["near"])).astype(ds.dtype)
-    ds *= 1 / np.sqrt(width, dtype=ds.dtype)
-    queries = gather(x[:, block:], np.concatenate([np.matmul(ds, f["k"]), da], 2), rows)
-    keys = gather(x, np.concatenate([np.matmul(ds.transpose(0, 2, 1), f["q"]), dv], 2), rows)
-    mixed = keys[:, width:]
-    g |= {"q": queries[:, :width], "u": queries[:, width:], "k": keys[:, :width], "v": mixed @ p["mix"].T, "mix": p["v"].T @ mixed}
+    places = spread(x[:, block:], rows, width, ds.dtype)
+    g |= {"q": gather(places, np.matmul(ds, f["k"]), rows), "u": gather(places, da, rows)}
+    places = spread(x, rows, width, ds.dtype)
+    mixed = gather(places, dv, rows)
+    g |= {"k": gather(places, np.matmul(ds.transpose(0, 2, 1), f["q"]), rows), "v": mixed @ p["mix"].T, "mix": p["v"].T @ mixed}
+    g["k"] *= ds.dtype.type(1 / np.sqrt(width))
     return loss, g
 
 
+#: Tables with a row for each subword that has rows of its own; a step changes those of its blocks' subwords alone.
+TABLES = ("q", "k", "v", "u")
+#: Shares of the means of gradients and of their squares that a step leaves.
+KEEP, KEEP_SQUARES = 0.9, 0.98
+
+
+def descend(p: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, pace: float, least: float) -> None:
+    """A step of Adam, in place. a, b: sums of gradients and of their squares, which have lost their shares; g is used up."""
+    a += g
+    g *= g
+    b += g
+    np.sqrt(b, out=g)
+    g += least
+    np.divide(a, g, out=g)
+    g *= pace
+    p -= g
+
+
 def train(model: Model, blocks: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> list[float]:
     """Adam on blocks (contexts, first flags, targets) in a random order, with a cosine learning rate; returns the losses. All blocks are
     gone through, the last ones in a smaller step, before any comes again.
-    Without blocks the model keeps its first state, whose predictions are close to the corpus shares."""
+    Without blocks the model keeps its first state, whose predictions are close to the corpus shares.
+
+    A row of the tables that a step's blocks don't use has no gradient there; it goes on by what it had, which is worked out for all such steps at
+    once when the row is used again: in each its mean gradient and the root of its squares shrink by fixed shares."""
     one_thread()
     x, first, y = blocks
-    rng, losses, names = np.random.default_rng(seed), [], list(model.params)
-    # the tables lie one after the other, so that a step goes over them in stretches that stay in the cache
-    flat = np.concatenate([model.params[k].ravel() for k in names])
-    ends = np.cumsum([model.params[k].size for k in names]).tolist()
-    model.params = {k: flat[to - model.params[k].size : to].reshape(model.params[k].shape) for k, to in zip(names, ends, strict=True)}
-    m, s, g, spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat[:STRETCH])
+    losses: list[float] = []
+    if not len(x) or steps < 1:
+        return losses
+    rng, names, width = np.random.default_rng(seed), list(model.params), model.params["q"].shape[1]
+    rest = [k for k in names if k not in TABLES]
+    table, flat = np.concatenate([model.params[k] for k in TABLES], 1), np.concatenate([model.params[k].ravel() for k in rest])
+    ends = np.cumsum([model.params[k].size for k in rest]).tolist()
+    own = {k: flat[to - model.params[k].size : to].reshape(model.params[k].shape) for k, to in zip(rest, ends, strict=True)}
+    t = np.arange(1, steps + 1)
+    scale = np.sqrt((1 - KEEP_SQUARES) / (1 - KEEP_SQUARES**t))
+    now = rate * np.minimum(1.0, t / 50) * (0.02 + 0.98 * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
+    pace, least = (now * (1 - KEEP) / (1 - KEEP**t) / scale).tolist(), (1e-9 / scale).tolist()
+    small = np.r_[1e-9, 1e-9 / scale].astype(model.params["q"].dtype)
+    # ahead[t]: of a row that isn't used any more after step t, how far it still goes, in units of its ratio then
+    shrink, ahead = KEEP / np.sqrt(KEEP_SQUARES), np.zeros(steps + 1)
+    for k in range(steps - 1, -1, -1):
+        ahead[k] = shrink * (pace[k] + ahead[k + 1])
+    am, bm, last = np.zeros_like(table), np.zeros_like(table), np.zeros(len(table), np.int64)
+    a, b, g, spare = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty(len(table), np.int32)
+
+    def caught_up(rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows, and their sums, as they are after a step."""
+        since = step - last[rows]
+        q, c, d = np.take(table, rows, 0), np.take(am, rows, 0), np.take(bm, rows, 0)
+        move = np.sqrt(d)
+        move += small[last[rows]][:, None]
+        np.divide(c, move, out=move)
+        move *= (ahead[last[rows]] - shrink**since * ahead[step]).astype(q.dtype)[:, None]
+        q -= move
+        c *= (KEEP**since).astype(q.dtype)[:, None]
+        d *= (KEEP_SQUARES**since).astype(q.dtype)[:, None]
+        return q, c, d
+
     order, at = np.zeros(0, np.int64), 0
-    for t in range(1, (steps if len(x) else 0) + 1):
+    for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(len(x)), 0
         pick = order[at : at + batch]
         at += batch
-        loss, grads = gradients(model, x[pick], first[pick], y[pick])
+        used = np.zeros(len(table), bool)
+        used[x[pick]] = True
+        rows = np.flatnonzero(used)
+        spare[rows] = np.arange(len(rows))
+        q, c, d = caught_up(rows, step - 1)
+        part = replace(model, params=own | {k: np.ascontiguousarray(q[:, i * width : (i + 1) * width]) for i, k in enumerate(TABLES)}, rows=rows)
+        part.share(model)
+        loss, grads = gradients(part, spare[x[pick]], first[pick], y[pick])
         losses.append(loss)
-        now = rate * min(1.0, t / 50) * (0.02 + 0.98 * (0.5 + 0.5 * np.cos(np.pi * t / steps)))
-        np.concatenate([grads[k].ravel() for k in names], out=g)
-        for low in range(0, len(flat), STRETCH):
-            part = slice(low, low + STRETCH)
-            a, b, c = m[part], s[part], g[part]
-            left = spare[: len(c)]
-            a += np.multiply(np.subtract(c, a, out=left), 0.1, out=left)
-            np.multiply(c, c, out=left)
-            b += np.multiply(np.subtract(left, b, out=left), 0.02, out=left)
-            np.sqrt(np.multiply(b, 1 / (1 - 0.98**t), out=left), out=left)
-            left += 1e-9
-            np.divide(a, left, out=left)
-            flat[part] -= np.multiply(left, now / (1 - 0.9**t), out=left)
+        c *= KEEP
+        d *= KEEP_SQUARES
+        descend(q, c, d, np.concatenate([grads[k] for k in TABLES], 1), pace[step - 1], least[step - 1])
+        table[rows], am[rows], bm[rows], last[rows] = q, c, d, step
+        np.concatenate([grads[k].ravel() for k in rest], out=g)
+        a *= KEEP
+        b *= KEEP_SQUARES
+        descend(flat, a, b, g, pace[step - 1], least[step - 1])
+    table = caught_up(np.arange(len(table)), steps)[0]
+    model.params = {k: own[k] if k in own else np.ascontiguousarray(table[:, TABLES.index(k) * width :][:, :width]) for k in names}
     return losses
 
 
 def copy_of(model: Model) -> Model:
     """A copy that is trained on its own; it shares the tables that training leaves alone."""
     copy = replace(model, params={k: v.copy() for k, v in model.params.items()})
-    copy.inner = model.inner
+    copy.share(model)
     return copy

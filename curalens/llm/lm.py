@@ -26,7 +26,7 @@ HOT_WORDS, FLUSH, CACHE = 300_000, 250_000, 250_000
 #: Default parameters of the training: the weights begin on about WARM_BLOCKS blocks of runs of words that are drawn from every training
 #: text, and go on over all blocks of all training texts, where they lie.
 WARM_BLOCKS, RUN_BYTES, LEAD_BYTES = 120_000, 120, 90
-#: Rate and blocks of a round of that second part, and the partial sums of weights that reach the driver.
+#: Rate and blocks of a round of that second part, and the partial sums of weights from which one task forms the sum that reaches the driver.
 REFINE_RATE, REFINE_BLOCKS, SUMS = 3e-3, 16_384, 16
 #: For the weight of the mixture each training word's ratio of both shares is counted to one part in MIXTURE_STEPS of a natural logarithm.
 MIXTURE_STEPS = 64
@@ -287,8 +287,8 @@ def block_arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarr
 
 def refine(model: attention_lm.Model, training: DataFrame, path: str, scratch: Scratch) -> attention_lm.Model:
     """Train on all blocks of all training(text as binary) where they lie: each task goes on from the same weights over the whole texts that
-    it has, and the weights are averaged by the tasks' blocks. Sums are formed in two steps, so the driver gets a few of them however many
-    tasks there are."""
+    it has, and the weights are averaged by the tasks' blocks. Sums are formed in two steps, so the driver gets one row however many tasks
+    there are."""
     shared, names = training.sparkSession.sparkContext.broadcast(model), sorted(model.params)
     kind = "n long, weights binary"
 
@@ -325,11 +325,11 @@ def refine(model: attention_lm.Model, training: DataFrame, path: str, scratch: S
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "weights"])
 
     trained = scratch.write(training.select("text").mapInArrow(learn_part, kind), "weights")
-    rows = trained.repartition(SUMS).mapInArrow(add, kind).collect()
-    n = sum(r["n"] for r in rows)
-    if not n:
+    shared.destroy()
+    rows = trained.repartition(SUMS).mapInArrow(add, kind).repartition(1).mapInArrow(add, kind).toArrow()
+    if not rows.num_rows:
         return model
-    mean, at, params = sum(np.frombuffer(bytes(r["weights"]), np.float64) for r in rows) / n, 0, {}
+    mean, at, params = np.frombuffer(rows.column(1)[0].as_buffer(), np.float64) / rows.column(0)[0].as_py(), 0, {}
     for k in names:
         size = model.params[k].size
         params[k] = mean[at : at + size].reshape(model.params[k].shape).astype(np.float32)

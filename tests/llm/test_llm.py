@@ -549,6 +549,55 @@ def test_training_goes_over_all_blocks_before_any_comes_again(monkeypatch):
     assert sorted(sum(seen[:3], [])) == sorted(sum(seen[3:], [])) == y[:, 0].tolist()
 
 
+def test_training_steps_are_those_of_adam_and_touch_the_rows_of_their_blocks_alone(monkeypatch):
+    rng = np.random.default_rng(12)
+    model = small_model(rng, n_classes=8, own=20)
+    x, first, y, _ = attention_lm.blocks_of([np.r_[rng.integers(0, 40, 14), 40] for _ in range(10)], model, 4)
+    plain = attention_lm.copy_of(model)
+    mean, square = ({k: np.zeros_like(v) for k, v in plain.params.items()} for _ in range(2))
+    order, at, seed = np.zeros(0, int), 0, np.random.default_rng(attention_lm.SEED)
+    for t in range(1, 91):
+        if at >= len(order):
+            order, at = seed.permutation(len(x)), 0
+        pick, at = order[at : at + 3], at + 3
+        _, grads = attention_lm.gradients(plain, x[pick], first[pick], y[pick])
+        rate = 1e-2 * min(1, t / 50) * (0.02 + 0.98 * (0.5 + 0.5 * np.cos(np.pi * t / 90)))
+        for k, g in grads.items():
+            mean[k] += 0.1 * (g - mean[k])
+            square[k] += 0.02 * (g * g - square[k])
+            plain.params[k] = plain.params[k] - rate * mean[k] / (1 - 0.9**t) / (np.sqrt(square[k] / (1 - 0.98**t)) + 1e-9)
+    real, held = attention_lm.gradients, []
+
+    def told(part, x, first, y):
+        held.append((len(part.params["q"]), len(np.unique(x))))
+        return real(part, x, first, y)
+
+    monkeypatch.setattr(attention_lm, "gradients", told)
+    attention_lm.train(model, (x, first, y), steps=90, batch=3)
+    assert len(held) == 90 and all(rows == used for rows, used in held)
+    assert all(np.abs(model.params[k] - plain.params[k]).max() < 1e-3 for k in plain.params)
+
+
+def test_one_row_of_weights_reaches_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, rng = [], random.Random(4)
+    for name in ("collect", "toArrow"):
+        real = getattr(DataFrame, name)
+
+        def told(df, real=real):
+            found = real(df)
+            if "weights" in df.columns:
+                rows.append(len(found))
+            return found
+
+        monkeypatch.setattr(DataFrame, name, told)
+    monkeypatch.setattr(lm, "WARM_BLOCKS", 8)
+    texts = docs(spark, [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(12))) for i in range(60)]).repartition(12)
+    assert lm.lm_scores(texts, F.col("doc_id") % 5 != 2, PATH, hot_words=10, steps=2).count() == 60
+    assert rows == [1]
+
+
 def test_lm_goes_over_each_text_once_with_what_it_learned(spark, monkeypatch):
     """Neither the weight of the mixture nor the words whose counts are joined take the model over a text again."""
     told = spark.sparkContext.accumulator(0)
