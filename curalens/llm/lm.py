@@ -9,6 +9,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .packing import byte_alphabet, splitter
 #: Default parameters of the counts: words whose counts travel with the tasks (the others are joined), words that a task
 #: counts before it sends them on, and words whose subwords a worker keeps.
 HOT_WORDS, FLUSH, CACHE = 300_000, 250_000, 250_000
+#: Bytes of the longest words that are kept.
+KEPT_BYTES = 64
 #: Default parameters of the training: the weights begin on about WARM_BLOCKS blocks of runs of words that are drawn from every training
 #: text, and go on over all blocks of all training texts, where they lie.
 WARM_BLOCKS, RUN_BYTES, LEAD_BYTES = 120_000, 120, 90
@@ -81,10 +84,33 @@ class Subwords(dict):
             found = array("I", self.split(" " + word.decode("utf-8", "replace"))).tobytes()
             if self.hot is not None:
                 found = struct.pack("<d", self.hot.get(word, 0)) + found
-        if len(word) <= 64:
+        if len(word) <= KEPT_BYTES:
             self[word] = found
         return found
 
+    def meet(self, words: list[bytes], first: np.ndarray) -> None:
+        """Cut those of the words that aren't known yet in one call, which costs half of a call a word. first: whether a subword begins a word; words
+        that can't be told apart by it are left to be cut alone."""
+        new = [w for w in filterfalse(self.__contains__, set(words)) if w is not None and len(w) <= KEPT_BYTES]
+        known = [w for w in new if w in self.older]
+        self.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        new = list(filterfalse(self.__contains__, new)) if known else new
+        if not new:
+            return
+        try:
+            ids = np.array(self.split(" " + b" ".join(new).decode()), "<u4")
+        except UnicodeDecodeError:
+            return
+        begin = np.flatnonzero(first[ids])
+        if len(begin) != len(new):
+            return
+        if self.hot is not None:
+            counts = np.fromiter(map(self.hot.get, new, repeat(0)), "<f8", len(new)).view("<u4")
+            ids = np.insert(ids, np.repeat(begin, 2), counts)
+            begin = begin + 2 * np.arange(len(begin))
+        data, at = ids.tobytes(), [*(begin * 4).tolist(), ids.nbytes]
+        self.update(zip(new, map(data.__getitem__, map(slice, at, at[1:])), strict=True))
+
     def renew(self) -> None:
         if len(self) > self.limit:
             self.older = dict(self)
@@ -115,6 +141,15 @@ def ids_of(words: list[bytes], path: str, end: int) -> tuple[np.ndarray, np.ndar
     return np.r_[np.frombuffer(b"".join(parts), "<u4").astype(np.int64), end], np.r_[sizes, 1]
 
 
+def text_ids(texts: list[list[bytes]], path: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(subword ids with the end mark, one text after the other, number of them in each text). first: as `Subwords.meet` has it; the end mark is its last."""
+    known, end = subwords(path), array("I", [len(first) - 1]).tobytes()
+    known.meet([w for words in texts for w in words], first)
+    parts = [p for words in texts for p in (*map(known.__getitem__, words), end)]
+    held = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+    return np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.diff(held[np.cumsum([len(words) + 1 for words in texts]) - 1], prepend=0)
+
+
 def count_words(documents: DataFrame) -> DataFrame:
     """(word, c) of documents(text as binary); the null word counts the documents, that is their ends."""
 
@@ -176,7 +211,10 @@ def word_logs(scorer: Scorer, texts: list[list[bytes]]) -> tuple[list[bytes | No
     A word's probability is that of its subwords and of a word's end after them; what opens the next word is counted there,
     given that one opens. So the probabilities of all words and of the end sum to 1 at each place."""
     flat = [w for words in texts for w in (*words, None)]
-    parts = list(map(scorer.known().__getitem__, flat))
+    known = scorer.known()
+    if isinstance(known, Subwords):
+        known.meet(flat, scorer.model.first)
+    parts = list(map(known.__getitem__, flat))
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4 - 2
     data = np.frombuffer(b"".join(parts), "<u4")
     begin = np.cumsum(sizes + 2) - sizes - 2
@@ -304,8 +342,7 @@ def refine(model: attention_lm.Model, training: DataFrame, path: str, scratch: S
             held.clear()
 
         for batch in (p for whole in batches for p in portions(whole, 0, PART_BYTES)):
-            texts = [ids_of(words_of(t), path, own.end)[0] for t in batch.column(0).to_pylist()]
-            held.append(attention_lm.blocks_of(texts, own)[:3])
+            held.append(attention_lm.cut_blocks(*text_ids([words_of(t) for t in batch.column(0).to_pylist()], path, own.first), own)[:3])
             seen += len(held[-1][0])
             if sum(len(h[0]) for h in held) >= REFINE_BLOCKS:
                 go_on()

@@ -223,6 +223,22 @@ def test_subwords_are_those_of_the_tokenizer():
     assert len(kept) <= 101 and kept[b"ab"][:8] == struct.pack("<d", 7.0) and kept[None] == struct.pack("<dI", 5, 50257)
 
 
+def test_subwords_of_many_words_at_once():
+    first, code = lm.starts_of(PATH), "abz09.,'_-\u00e9\u00a0\u2003\u4e2d\u0085\u0301\U0001f600"
+    rng = random.Random(3)
+    words = list({"".join(rng.choices(code, k=rng.randint(1, 9))).encode() for _ in range(4000)})
+    for odd in ([], [b"\xff\xc3", b"\xe2\x82"], [b"x" * 65]):
+        many = [words[:1500] + odd, [], words[1000:] + [b"\xc2\xa0"]]
+        for known in (lm.Subwords(PATH), lm.Subwords(PATH, {w: k for k, w in enumerate(words)}, (5, 50257))):
+            alone = lm.Subwords(PATH, known.hot, (5, 50257))
+            known.meet([w for part in many for w in part], first)
+            assert all(known[w] == alone[w] for part in many for w in part)
+            assert odd or len(known) >= len(words)  # they were cut together
+        ids, lengths = lm.text_ids(many, PATH, first)
+        parts = [lm.ids_of(part, PATH, 50257)[0] for part in many]
+        assert ids.tolist() == np.concatenate(parts).tolist() and lengths.tolist() == [len(p) for p in parts]
+
+
 def test_repeated_rows_spread_over_shards(spark):
     got = packing.pack_documents(docs(spark, [(None, "")] * 400 + [(7, "a b c")] * 400), PATH, shard_pieces=100).collect()
     shards = collections.Counter(r["sequence_id"] >> 32 for r in got)
